@@ -1 +1,128 @@
-"""To come."""
+"""Queries on scans and filters (S*, F*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..facts import Facts
+from ..registry import query
+
+
+@query("S01_project_files", "SELECT filepath, class_id FROM {class_f} WHERE filepath NOT LIKE '%src/test%' AND filepath NOT LIKE '%.git%'")
+def s01(f: Facts) -> DataFrame:
+    return f.class_f.filter(~F.col("filepath").contains("src/test") & ~F.col("filepath").contains(".git")).select("filepath", "class_id")
+
+
+@query("S09_table_scan", "SELECT method_id, method_name, start_line, end_line FROM {method_f}")
+def s09(f: Facts) -> DataFrame:
+    return f.method_f.select("method_id", "method_name", "start_line", "end_line")
+
+
+@query("S12_catalogue", "SELECT tag_old AS baseline, tag_new AS version, count(*) AS tasks FROM {task_f} GROUP BY tag_old, tag_new")
+def s12(f: Facts) -> DataFrame:
+    return f.task_f.groupBy(F.col("tag_old").alias("baseline"), F.col("tag_new").alias("version")).agg(F.count("*").alias("tasks"))
+
+
+@query("S14_ref_prefix", "SELECT task_id, CASE WHEN substr(sha256(git_url), 1, 2) >= '80' THEN 'match' ELSE 'none' END AS ref FROM {task_f}")
+def s14(f: Facts) -> DataFrame:
+    return f.task_f.select("task_id", F.when(F.substring(F.sha2("git_url", 256), 1, 2) >= "80", "match").otherwise("none").alias("ref"))
+
+
+@query("F01_equality", "SELECT method_id FROM {method_v} WHERE project_id = 1 AND method_name = 'getItem0'")
+def f01(f: Facts) -> DataFrame:
+    return f.method_v.filter("project_id = 1 AND method_name = 'getItem0'").select("method_id")
+
+
+@query("F02_path_suffix", "SELECT class_id, filepath FROM {class_f} WHERE filepath LIKE '%5.java'")
+def f02(f: Facts) -> DataFrame:
+    return f.class_f.filter(F.col("filepath").endswith("5.java")).select("class_id", "filepath")
+
+
+@query("F03_name_suffix", "SELECT class_id, class_name FROM {class_f} WHERE lower(class_name) LIKE '%controller' OR lower(class_name) LIKE '%mapper'")
+def f03(f: Facts) -> DataFrame:
+    name = F.lower("class_name")
+    return f.class_f.filter(name.endswith("controller") | name.endswith("mapper")).select("class_id", "class_name")
+
+
+@query("F04_package_suffix", "SELECT class_id, package_name FROM {class_f} WHERE package_name LIKE '%_1'")
+def f04(f: Facts) -> DataFrame:
+    return f.class_f.filter(F.substring("package_name", -1, 1) == "1").filter(F.length("package_name") >= 2).select("class_id", "package_name")
+
+
+@query("F05_in_list", "SELECT method_id FROM {method_f} WHERE change_type IN ('ADDED', 'DELETED')")
+def f05(f: Facts) -> DataFrame:
+    return f.method_f.filter(F.col("change_type").isin("ADDED", "DELETED")).select("method_id")
+
+
+@query("F06_line_in_range", "SELECT method_id FROM {method_f} WHERE start_line <= 105 AND end_line >= 105")
+def f06(f: Facts) -> DataFrame:
+    return f.method_f.filter("start_line <= 105 AND end_line >= 105").select("method_id")
+
+
+@query("F07_interval_overlap", "SELECT method_id FROM {method_f} WHERE start_line <= 300 AND end_line >= 200")
+def f07(f: Facts) -> DataFrame:
+    return f.method_f.filter("start_line <= 300 AND end_line >= 200").select("method_id")
+
+
+@query("F08_changed", "SELECT method_id, change_type FROM {method_f} WHERE change_type <> 'UNCHANGED'")
+def f08(f: Facts) -> DataFrame:
+    return f.method_f.filter("change_type <> 'UNCHANGED'").select("method_id", "change_type")
+
+
+@query("F09_json_exists", "SELECT event_id FROM {events} WHERE json_extract(props, '$.k') IS NOT NULL")
+def f09(f: Facts) -> DataFrame:
+    return f.events.filter(F.get_json_object("props", "$.k").isNotNull()).select("event_id")
+
+
+@query("F10_json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM {events} WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
+def f10(f: Facts) -> DataFrame:
+    return f.events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")).filter("k >= 50")
+
+
+@query("F11_many_paths", "SELECT event_id FROM {events} WHERE CAST(json_extract(props, '$.k') AS BIGINT) IN (SELECT s_suppkey FROM {supplier})")
+def f11(f: Facts) -> DataFrame:
+    keys = f.events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("s_suppkey"))
+    return keys.join(f.supplier.select("s_suppkey"), "s_suppkey", "left_semi").select("event_id")
+
+
+@query("F13_empty_or_equal", "SELECT task_id FROM {task_f} WHERE project_code = '' OR project_code = '1-URGENT'")
+def f13(f: Facts) -> DataFrame:
+    return f.task_f.filter((F.col("project_code") == "") | (F.col("project_code") == "1-URGENT")).select("task_id")
+
+
+@query("F14_coalesced", "SELECT task_id FROM {task_f} WHERE coalesce(project_code, '') = ''")
+def f14(f: Facts) -> DataFrame:
+    return f.task_f.filter(F.coalesce("project_code", F.lit("")) == "").select("task_id")
+
+
+@query("F15_recent_active", "SELECT task_id FROM {task_f} WHERE status IN ('pending', 'running') AND created_at + INTERVAL 30 MINUTE > (SELECT max(created_at) FROM {task_f})")
+def f15(f: Facts) -> DataFrame:
+    """Tasks that are active and less than 30 minutes older than the newest one."""
+    now = f.task_f.agg(F.max("created_at").alias("now"))
+    return f.task_f.filter(F.col("status").isin("pending", "running")).join(F.broadcast(now), F.expr("created_at + INTERVAL 30 MINUTES > now")).select("task_id")
+
+
+@query("F16_package_prefix", "SELECT class_id FROM {class_f} WHERE regexp_matches(package_name, '^(com|cn|net)\\.')")
+def f16(f: Facts) -> DataFrame:
+    return f.class_f.filter(F.col("package_name").rlike("^(com|cn|net)\\.")).select("class_id")
+
+
+@query("F17_annotation_member", "SELECT class_id FROM {class_f} WHERE annotations LIKE '%\"Data\"%'")
+def f17(f: Facts) -> DataFrame:
+    return f.class_f.filter(F.exists(F.from_json("annotations", "array<struct<name:string>>"), lambda a: a["name"].isin("Data", "Getter", "Setter"))).select("class_id")
+
+
+@query("F18_skip_unchanged", "SELECT count(*) FILTER (change_type = 'UNCHANGED') AS skipped, count(*) FILTER (change_type <> 'UNCHANGED') AS kept FROM {method_f}")
+def f18(f: Facts) -> DataFrame:
+    return f.method_f.agg(F.count_if(F.col("change_type") == "UNCHANGED").alias("skipped"), F.count_if(F.col("change_type") != "UNCHANGED").alias("kept"))
+
+
+@query("F19_name_search", "SELECT method_id FROM {method_f} WHERE strpos(lower(method_name), lower('BATCH')) > 0")
+def f19(f: Facts) -> DataFrame:
+    return f.method_f.filter(F.lower("method_name").contains("BATCH".lower())).select("method_id")
+
+
+@query("F20_api_shape", "SELECT method_id AS id, method_name AS name, change_type AS status FROM {method_f}")
+def f20(f: Facts) -> DataFrame:
+    return f.method_f.select(F.col("method_id").alias("id"), F.col("method_name").alias("name"), F.col("change_type").alias("status"))
