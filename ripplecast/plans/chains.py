@@ -1 +1,252 @@
-"""To come."""
+"""Queries on call chains, hierarchies and the impact graph (G*, P*, A09-A11, A19, J20)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..facts import Facts
+from ..operators import entries, graph, lookup
+from ..registry import query
+from ..session import written
+
+DEPTH = 5
+
+
+def roots(f: Facts) -> DataFrame:
+    return f.method_f.filter("change_type <> 'UNCHANGED'").select(F.col("method_id").alias("root_id"))
+
+
+def reverse(f: Facts) -> DataFrame:
+    return written(f.edge_f.select(F.col("callee_id").alias("src"), F.col("caller_id").alias("dst"), F.col("first_line").alias("line")))
+
+
+def forward(f: Facts) -> DataFrame:
+    return written(f.edge_f.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), F.col("first_line").alias("line")))
+
+
+def up(f: Facts) -> DataFrame:
+    return graph.chains(roots(f), reverse(f), DEPTH)
+
+
+def down(f: Facts) -> DataFrame:
+    return graph.chains(roots(f), forward(f), DEPTH)
+
+
+def chain_sql(src: str, dst: str, name: str) -> str:
+    return f"""WITH RECURSIVE {name} AS (
+  SELECT method_id AS root_id, 0 AS depth, method_id AS node_id, CAST(NULL AS BIGINT) AS parent_id, CAST(NULL AS INT) AS line, CAST(method_id AS STRING) AS path, [method_id] AS seen, false AS is_cyclic FROM {{method_f}} WHERE change_type <> 'UNCHANGED'
+  UNION ALL
+  SELECT root_id, depth + 1, e.{dst}, node_id, e.first_line, path || '>' || CAST(e.{dst} AS STRING), list_append(seen, e.{dst}), list_contains(seen, e.{dst}) FROM {name} JOIN {{edge_f}} e ON e.{src} = {name}.node_id WHERE NOT is_cyclic AND depth < {DEPTH})
+"""
+
+
+UP, DOWN = chain_sql("callee_id", "caller_id", "up"), chain_sql("caller_id", "callee_id", "down")
+NODE = ["root_id", "depth", "node_id", graph.path_text(F.col("path")).alias("path"), "is_cyclic"]
+
+
+@query("G01_forward_chains", DOWN + "SELECT root_id, depth, node_id, path, is_cyclic FROM down")
+@query("P04_downwards_document", DOWN + "SELECT root_id, depth, node_id, path, is_cyclic FROM down")
+def g01(f: Facts) -> DataFrame:
+    return down(f).select(*NODE)
+
+
+@query("G02_reverse_chains", UP + "SELECT root_id, depth, node_id, path, is_cyclic FROM up")
+def g02(f: Facts) -> DataFrame:
+    return up(f).select(*NODE)
+
+
+CHA = """SELECT a.method_id AS src, b.method_id AS dst, CAST(0 AS INT) AS line FROM {method_f} a JOIN {class_f} i ON a.class_id = i.class_id AND i.class_type = 'Interface'
+  JOIN {class_f} c ON c.implements_id = i.class_id AND c.class_type = 'Class' JOIN {method_f} b ON b.class_id = c.class_id AND b.method_name = a.method_name"""
+
+
+@query("G03_chains_with_sql", f"""WITH RECURSIVE g AS (SELECT src, dst FROM ({CHA}) x UNION SELECT caller_id, callee_id FROM {{edge_f}}),
+  walk AS (SELECT method_id AS root_id, 0 AS depth, method_id AS node_id, [method_id] AS seen, false AS cyc FROM {{method_f}} WHERE change_type = 'MODIFIED'
+    UNION ALL SELECT root_id, depth + 1, g.dst, list_append(seen, g.dst), list_contains(seen, g.dst) FROM walk JOIN g ON g.src = walk.node_id WHERE NOT cyc AND depth < 3)
+  SELECT w.root_id, w.depth, w.node_id, s.stmt_id FROM walk w JOIN {{stmt_f}} s ON s.linked_method_id = w.node_id""")
+@query("P02_sql_leaves", f"""WITH RECURSIVE g AS (SELECT src, dst FROM ({CHA}) x UNION SELECT caller_id, callee_id FROM {{edge_f}}),
+  walk AS (SELECT method_id AS root_id, 0 AS depth, method_id AS node_id, [method_id] AS seen, false AS cyc FROM {{method_f}} WHERE change_type = 'MODIFIED'
+    UNION ALL SELECT root_id, depth + 1, g.dst, list_append(seen, g.dst), list_contains(seen, g.dst) FROM walk JOIN g ON g.src = walk.node_id WHERE NOT cyc AND depth < 3)
+  SELECT w.root_id, w.depth, w.node_id, s.stmt_id FROM walk w JOIN {{stmt_f}} s ON s.linked_method_id = w.node_id""")
+def g03(f: Facts) -> DataFrame:
+    """Calls and interface-to-implementation steps, three deep, with the statements met."""
+    tops = f.method_f.join(f.class_f.filter("class_type = 'Interface'").select("class_id"), "class_id").select(F.col("class_id").alias("implements_id"), "method_name", F.col("method_id").alias("src"))
+    own = f.method_f.join(f.class_f.filter("class_type = 'Class'").select("class_id", "implements_id"), "class_id").select("implements_id", "method_name", F.col("method_id").alias("dst"))
+    cha = tops.join(own, ["implements_id", "method_name"]).select("src", "dst")
+    edges = written(cha.union(f.edge_f.select("caller_id", "callee_id")).distinct().withColumn("line", F.lit(0)))
+    start = f.method_f.filter("change_type = 'MODIFIED'").select(F.col("method_id").alias("root_id"))
+    nodes = graph.chains(start, edges, 3)
+    statements = f.stmt_f.filter("linked_method_id IS NOT NULL").select(F.col("linked_method_id").alias("node_id"), "stmt_id")
+    return nodes.join(statements, "node_id").select("root_id", "depth", "node_id", "stmt_id")
+
+
+def class_edges(f: Facts, column: str) -> DataFrame:
+    return f.class_f.filter(f"{column} IS NOT NULL").select(F.col(column).alias("src"), F.col("class_id").alias("dst"))
+
+
+def closure_sql(column: str) -> str:
+    return f"""WITH RECURSIVE c AS (SELECT {column} AS src, class_id AS dst FROM {{class_f}} WHERE {column} IS NOT NULL UNION SELECT c.src, k.class_id FROM c JOIN {{class_f}} k ON k.{column} = c.dst) """
+
+
+@query("G04_implementations", closure_sql("implements_id") + "SELECT src AS interface_id, dst AS class_id FROM c WHERE src <> dst")
+def g04(f: Facts) -> DataFrame:
+    return graph.closure(class_edges(f, "implements_id")).select(F.col("src").alias("interface_id"), F.col("dst").alias("class_id"))
+
+
+@query("G05_subclasses", closure_sql("extends_id") + "SELECT src AS class_id, dst AS subclass_id FROM c WHERE src <> dst")
+def g05(f: Facts) -> DataFrame:
+    return graph.closure(class_edges(f, "extends_id")).select(F.col("src").alias("class_id"), F.col("dst").alias("subclass_id"))
+
+
+SUPER = """WITH RECURSIVE s AS (SELECT class_id, class_id AS super_id, 0 AS distance FROM {class_f} UNION ALL SELECT s.class_id, k.extends_id, distance + 1 FROM s JOIN {class_f} k ON k.class_id = s.super_id WHERE k.extends_id IS NOT NULL) """
+
+
+def supers(f: Facts) -> DataFrame:
+    """(class_id, super_id, distance), itself at 0."""
+    up_ = graph.closure(class_edges(f, "extends_id")).select(F.col("dst").alias("class_id"), F.col("src").alias("super_id"), "distance")
+    return f.class_f.select("class_id", F.col("class_id").alias("super_id"), F.lit(0).alias("distance")).union(up_)
+
+
+@query("G06_superclass_method", SUPER + "SELECT DISTINCT ON (class_id, method_name) s.class_id, m.method_name, m.method_id, s.distance FROM s JOIN {method_f} m ON m.class_id = s.super_id ORDER BY s.class_id, m.method_name, s.distance, m.method_id")
+@query("M16_accessor_find", SUPER + "SELECT DISTINCT ON (class_id, method_name) s.class_id, m.method_name, m.method_id, s.distance FROM s JOIN {method_f} m ON m.class_id = s.super_id ORDER BY s.class_id, m.method_name, s.distance, m.method_id")
+def g06(f: Facts) -> DataFrame:
+    rows = supers(f).join(f.method_f.select(F.col("class_id").alias("super_id"), "method_name", "method_id"), "super_id")
+    return lookup.first_per_key(rows, ["class_id", "method_name"], [F.asc("distance"), F.asc("method_id")]).select("class_id", "method_name", "method_id", "distance")
+
+
+INHERITED = SUPER + "SELECT s.class_id, p.brand AS field, min(s.distance) AS distance FROM s JOIN {method_f} p ON p.class_id = s.super_id GROUP BY s.class_id, p.brand"
+
+
+@query("G07_inherited_fields", INHERITED)
+@query("X05_field_override", INHERITED)
+def g07(f: Facts) -> DataFrame:
+    fields = f.method_f.select(F.col("class_id").alias("super_id"), F.col("brand").alias("field")).distinct()
+    return supers(f).join(fields, "super_id").groupBy("class_id", "field").agg(F.min("distance").alias("distance"))
+
+
+IMPACT = """WITH RECURSIVE i AS (SELECT method_id AS node FROM {method_f} WHERE change_type = 'ADDED' UNION SELECT e.caller_id FROM i JOIN {edge_f} e ON e.callee_id = i.node) """
+
+
+@query("G08_impact_fixpoint", IMPACT + "SELECT node FROM i")
+@query("P07_impact_of_objects", IMPACT + "SELECT node FROM i")
+def g08(f: Facts) -> DataFrame:
+    """Everything that reaches an added method, to the fixpoint."""
+    start = f.method_f.filter("change_type = 'ADDED'").select(F.col("method_id").alias("node"))
+    return graph.reached(start, reverse(f)).select("node")
+
+
+LEVELS = """WITH RECURSIVE e AS (SELECT extends_id AS src, class_id AS dst FROM {class_f} WHERE extends_id IS NOT NULL UNION SELECT implements_id, class_id FROM {class_f} WHERE implements_id IS NOT NULL),
+  l AS (SELECT src AS node, 0 AS level FROM e UNION SELECT e.dst, l.level + 1 FROM l JOIN e ON e.src = l.node) """
+
+
+def hierarchy(f: Facts) -> DataFrame:
+    return class_edges(f, "extends_id").union(class_edges(f, "implements_id")).distinct()
+
+
+@query("G09_longest_levels", LEVELS + "SELECT node, max(level) AS level FROM l GROUP BY node")
+def g09(f: Facts) -> DataFrame:
+    return graph.levels(hierarchy(f))
+
+
+@query("P08_graph_layout", LEVELS + "SELECT node, level * 200 AS x, row_number() OVER (PARTITION BY level ORDER BY node) * 80 AS y FROM (SELECT node, max(level) AS level FROM l GROUP BY node) z")
+def p08(f: Facts) -> DataFrame:
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("level").orderBy("node"))
+    return graph.levels(hierarchy(f)).select("node", (F.col("level") * 200).alias("x"), (place * 80).alias("y"))
+
+
+@query("G10_preorder", UP + "SELECT root_id, path, row_number() OVER (PARTITION BY root_id ORDER BY seen) AS place FROM up WHERE depth <= 3")
+def g10(f: Facts) -> DataFrame:
+    """Pre-order by comparing paths from the root."""
+    from pyspark.sql import Window
+
+    rows = graph.chains(roots(f), reverse(f), 3)
+    return rows.select("root_id", graph.path_text(F.col("path")).alias("path"), F.row_number().over(Window.partitionBy("root_id").orderBy("path")).alias("place"))
+
+
+ENTRY = """SELECT m.method_id, CASE WHEN annotation IN ('GetMapping', 'PostMapping') OR is_api THEN 'HTTP_API' WHEN annotation = 'Scheduled' THEN 'SCHEDULED_TASK' WHEN annotation = 'EventListener' THEN 'EVENT_LISTENER'
+    WHEN annotation IN ('KafkaListener', 'RabbitListener') THEN 'MESSAGE_CONSUMER' WHEN lower(class_name) LIKE '%controller' THEN 'CONTROLLER_BY_CONVENTION' END AS entry_type FROM {method_f} m JOIN {class_f} c ON m.class_id = c.class_id"""
+
+
+def entry_nodes(f: Facts) -> DataFrame:
+    entry = entries.entry_methods(f.method_f, f.class_f).select(F.col("method_id").alias("node_id"), "entry_type")
+    return up(f).join(entry, "node_id")
+
+
+@query("G11_entry_points", UP + f"SELECT DISTINCT root_id, node_id, entry_type FROM up JOIN ({ENTRY}) e ON e.method_id = node_id WHERE entry_type IS NOT NULL")
+@query("J20_chains_by_entry", UP + f"SELECT DISTINCT root_id, node_id, entry_type FROM up JOIN ({ENTRY}) e ON e.method_id = node_id WHERE entry_type IS NOT NULL")
+def g11(f: Facts) -> DataFrame:
+    return entry_nodes(f).select("root_id", "node_id", "entry_type").distinct()
+
+
+@query("P03_upwards_document", UP + f"""SELECT root_id, count(*) AS nodes, count(DISTINCT CASE WHEN entry_type IS NOT NULL THEN node_id END) AS entry_points, max(depth) AS depth, count(*) FILTER (is_cyclic) AS cycles FROM up JOIN ({ENTRY}) e ON e.method_id = node_id GROUP BY root_id""")
+@query("P05_bidirectional", UP + f"""SELECT root_id, count(*) AS nodes, count(DISTINCT CASE WHEN entry_type IS NOT NULL THEN node_id END) AS entry_points, max(depth) AS depth, count(*) FILTER (is_cyclic) AS cycles FROM up JOIN ({ENTRY}) e ON e.method_id = node_id GROUP BY root_id""")
+def p03(f: Facts) -> DataFrame:
+    entry = entries.entry_methods(f.method_f, f.class_f).select(F.col("method_id").alias("node_id"), "entry_type")
+    rows = up(f).join(entry, "node_id", "left")
+    return rows.groupBy("root_id").agg(F.count("*").alias("nodes"), F.count_distinct(F.when(F.col("entry_type").isNotNull(), F.col("node_id"))).alias("entry_points"), F.max("depth").alias("depth"), F.count_if("is_cyclic").alias("cycles"))
+
+
+@query("G12_end_points", DOWN + "SELECT DISTINCT root_id, node_id FROM down d WHERE NOT EXISTS (SELECT 1 FROM {edge_f} e WHERE e.caller_id = d.node_id) OR is_cyclic OR depth = 5")
+def g12(f: Facts) -> DataFrame:
+    edges = forward(f)
+    rows = graph.chains(roots(f), edges, DEPTH)
+    inner = edges.select(F.col("src").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    return rows.join(inner, "node_id", "left").filter("inner IS NULL OR is_cyclic OR depth = 5").select("root_id", "node_id").distinct()
+
+
+@query("G13_node_documentation", DOWN + "SELECT DISTINCT ON (root_id) root_id, m.documentation FROM down JOIN {method_f} m ON m.method_id = node_id WHERE m.documentation IS NOT NULL AND m.documentation <> 'None' ORDER BY root_id, seen")
+def g13(f: Facts) -> DataFrame:
+    docs = f.method_f.filter("documentation IS NOT NULL AND documentation <> 'None'").select(F.col("method_id").alias("node_id"), "documentation")
+    return down(f).join(docs, "node_id").groupBy("root_id").agg(F.min_by("documentation", "path").alias("documentation"))
+
+
+@query("G14_chain_methods", UP + "SELECT root_id, node_id, min(depth) AS depth FROM up GROUP BY root_id, node_id")
+@query("G16_tree_nodes", UP + "SELECT root_id, node_id, min(depth) AS depth FROM up GROUP BY root_id, node_id")
+@query("V16_chain_methods", UP + "SELECT root_id, node_id, min(depth) AS depth FROM up GROUP BY root_id, node_id")
+def g14(f: Facts) -> DataFrame:
+    return up(f).groupBy("root_id", "node_id").agg(F.min("depth").alias("depth"))
+
+
+NPLUS1 = """SELECT p.method_id AS parent_id, count(*) AS children FROM {edge_f} e JOIN {method_f} p ON p.method_id = e.caller_id JOIN (SELECT DISTINCT linked_method_id FROM {stmt_f}) s ON s.linked_method_id = e.callee_id
+  WHERE regexp_matches(p.method_name, '(?i)foreach|for|loop|iterate|batch') GROUP BY p.method_id"""
+
+
+@query("G15_n_plus_one", NPLUS1)
+@query("R07_n_plus_one", NPLUS1)
+def g15(f: Facts) -> DataFrame:
+    loops = f.method_f.filter(F.col("method_name").rlike("(?i)foreach|for|loop|iterate|batch")).select(F.col("method_id").alias("caller_id"))
+    mapped = f.stmt_f.filter("linked_method_id IS NOT NULL").select(F.col("linked_method_id").alias("callee_id")).distinct()
+    return f.edge_f.join(loops, "caller_id").join(mapped, "callee_id", "left_semi").groupBy(F.col("caller_id").alias("parent_id")).agg(F.count("*").alias("children"))
+
+
+@query("A09_node_counts", UP + "SELECT root_id, count(*) AS nodes FROM up GROUP BY root_id")
+def a09(f: Facts) -> DataFrame:
+    return up(f).groupBy("root_id").agg(F.count("*").alias("nodes"))
+
+
+@query("A10_entry_counts", UP + f"SELECT root_id, count(*) AS entries FROM up JOIN ({ENTRY}) e ON e.method_id = node_id WHERE entry_type IS NOT NULL GROUP BY root_id")
+def a10(f: Facts) -> DataFrame:
+    return entry_nodes(f).groupBy("root_id").agg(F.count("*").alias("entries"))
+
+
+@query("A11_coverage", UP + """SELECT count(DISTINCT root_id) AS methods, count(DISTINCT root_id) FILTER (depth = 1) AS with_callers, count(*) FILTER (is_cyclic) AS cyclic, count(*) FILTER (depth = 5 AND NOT is_cyclic AND node_id IN (SELECT callee_id FROM {edge_f})) AS depth_limited,
+  round(100.0 * count(DISTINCT root_id) FILTER (depth = 1) / count(DISTINCT root_id), 2) AS coverage FROM up""")
+def a11(f: Facts) -> DataFrame:
+    edges = reverse(f)
+    rows = graph.chains(roots(f), edges, DEPTH)
+    more = edges.select(F.col("src").alias("node_id")).distinct().withColumn("more", F.lit(True))
+    n, with_callers = F.count_distinct("root_id"), F.count_distinct(F.when(F.col("depth") == 1, F.col("root_id")))
+    cut = (F.col("depth") == DEPTH) & ~F.col("is_cyclic") & F.coalesce("more", F.lit(False))
+    return rows.join(more, "node_id", "left").agg(n.alias("methods"), with_callers.alias("with_callers"), F.count_if("is_cyclic").alias("cyclic"), F.count_if(cut).alias("depth_limited"), F.round(100.0 * with_callers / n, 2).alias("coverage"))
+
+
+@query("A19_entries_by_type", UP + f"SELECT entry_type, count(DISTINCT node_id) AS n FROM up JOIN ({ENTRY}) e ON e.method_id = node_id WHERE entry_type IS NOT NULL GROUP BY entry_type")
+def a19(f: Facts) -> DataFrame:
+    return entry_nodes(f).groupBy("entry_type").agg(F.count_distinct("node_id").alias("n"))
+
+
+@query("P10_namespace_statements", "SELECT class_id, method_id, min(stmt_id) AS first_id, count(*) AS n FROM {stmt_f} GROUP BY class_id, method_id")
+def p10(f: Facts) -> DataFrame:
+    return f.stmt_f.groupBy("class_id", "method_id").agg(F.min("stmt_id").alias("first_id"), F.count("*").alias("n"))
