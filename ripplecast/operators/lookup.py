@@ -49,5 +49,5 @@ def upsert(rows: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFram
 
 def insert_absent(rows: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows of fresh whose key rows lacks, one a key."""
-    one = first_per_key(fresh, keys, [F.col(c) for c in fresh.columns if c not in keys])
+    one = first_per_key(fresh, keys, [F.col(c) for c in fresh.columns])
     return one.join(rows.select(*keys), list(keys), "left_anti").select(*fresh.columns)

@@ -1 +1,58 @@
-"""To come."""
+"""Queries of the service surface that are not registered with their operators (V*, S11, S15)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..facts import Facts
+from ..registry import query
+
+
+@query("V01_submit", """SELECT t.task_id, CASE WHEN a.git_url IS NOT NULL THEN 'ACTIVE_DUPLICATE' WHEN c.git_url IS NOT NULL THEN 'COMPLETED_DUPLICATE' ELSE 'INSERT' END AS answer FROM {task_f} t
+  LEFT JOIN (SELECT git_url, tag_old, tag_new, min(task_id) AS id FROM {task_f} WHERE status IN ('pending', 'running') GROUP BY git_url, tag_old, tag_new) a ON t.git_url = a.git_url AND t.tag_old = a.tag_old AND t.tag_new = a.tag_new AND a.id < t.task_id
+  LEFT JOIN (SELECT git_url, tag_old, tag_new, min(task_id) AS id FROM {task_f} WHERE status = 'completed' GROUP BY git_url, tag_old, tag_new) c ON t.git_url = c.git_url AND t.tag_old = c.tag_old AND t.tag_new = c.tag_new AND c.id < t.task_id""")
+def v01(f: Facts) -> DataFrame:
+    """The answer to each task, had it been submitted after those with lower ids."""
+    keys = ["git_url", "tag_old", "tag_new"]
+    first = f.task_f.groupBy(*keys).agg(F.min(F.when(F.col("status").isin("pending", "running"), F.col("task_id"))).alias("active"), F.min(F.when(F.col("status") == "completed", F.col("task_id"))).alias("completed"))
+    answer = F.when(F.col("active") < F.col("task_id"), "ACTIVE_DUPLICATE").when(F.col("completed") < F.col("task_id"), "COMPLETED_DUPLICATE").otherwise("INSERT")
+    return f.task_f.join(first, keys).select("task_id", answer.alias("answer"))
+
+
+@query("V04_cancel", "SELECT task_id, status = 'pending' AS cancelled FROM {task_f}")
+def v04(f: Facts) -> DataFrame:
+    return f.task_f.select("task_id", (F.col("status") == "pending").alias("cancelled"))
+
+
+@query("V07_baselines", "SELECT tag_old AS baseline, string_agg(DISTINCT tag_new, ',' ORDER BY tag_new) AS versions FROM {task_f} WHERE status = 'completed' GROUP BY tag_old")
+def v07(f: Facts) -> DataFrame:
+    return f.task_f.filter("status = 'completed'").groupBy(F.col("tag_old").alias("baseline")).agg(F.array_join(F.array_sort(F.collect_set("tag_new")), ",").alias("versions"))
+
+
+@query("V08_version_info", "SELECT tag_old, tag_new, bool_or(status = 'completed') AS has_result, bool_or(status = 'running') AS is_running FROM {task_f} GROUP BY tag_old, tag_new")
+def v08(f: Facts) -> DataFrame:
+    return f.task_f.groupBy("tag_old", "tag_new").agg(F.bool_or(F.col("status") == "completed").alias("has_result"), F.bool_or(F.col("status") == "running").alias("is_running"))
+
+
+@query("V09_chain_document", "SELECT caller_id AS root_id, count(*) AS children, min(first_line) AS first_line FROM {edge_f} GROUP BY caller_id")
+@query("V17_one_chain", "SELECT caller_id AS root_id, count(*) AS children, min(first_line) AS first_line FROM {edge_f} GROUP BY caller_id")
+def v09(f: Facts) -> DataFrame:
+    return f.edge_f.groupBy(F.col("caller_id").alias("root_id")).agg(F.count("*").alias("children"), F.min("first_line").alias("first_line"))
+
+
+@query("V12_sql_summary", "SELECT class_id, sql_type, count(*) AS n FROM {stmt_f} GROUP BY class_id, sql_type")
+@query("S15_sql_summary_file", "SELECT class_id, sql_type, count(*) AS n FROM {stmt_f} GROUP BY class_id, sql_type")
+def v12(f: Facts) -> DataFrame:
+    return f.stmt_f.groupBy("class_id", "sql_type").agg(F.count("*").alias("n"))
+
+
+@query("V14_result_siblings", "SELECT r.task_id, r.result_id, s.siblings FROM {llm_f} r JOIN (SELECT task_id, count(*) - 1 AS siblings FROM {llm_f} GROUP BY task_id) s ON r.task_id = s.task_id")
+def v14(f: Facts) -> DataFrame:
+    return f.llm_f.join(f.llm_f.groupBy("task_id").agg((F.count("*") - 1).alias("siblings")), "task_id").select("task_id", "result_id", "siblings")
+
+
+@query("V18_cached_or_call", "SELECT task_id, result_id, kind = 'assistant' AND analysis_result <> '' AS cached FROM {llm_f}")
+@query("S11_analysis_cache", "SELECT task_id, result_id, kind = 'assistant' AND analysis_result <> '' AS cached FROM {llm_f}")
+def v18(f: Facts) -> DataFrame:
+    return f.llm_f.select("task_id", "result_id", ((F.col("kind") == "assistant") & (F.col("analysis_result") != "")).alias("cached"))

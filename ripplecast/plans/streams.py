@@ -1 +1,66 @@
-"""To come."""
+"""Queries on call statistics and key health (T*, W09-W11), as batch over the whole log.
+
+tests/test_streaming.py replays the same rows as a stream.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..facts import Facts
+from ..registry import query
+from ..streaming import health
+
+MINUTES = "SELECT api_key, date_trunc('minute', ts) AS window_start, count(*) AS total, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed FROM {log_f} GROUP BY api_key, date_trunc('minute', ts)"
+
+
+def calls(f: Facts) -> DataFrame:
+    return f.log_f.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("T01_minute_counts", MINUTES)
+def t01(f: Facts) -> DataFrame:
+    return health.minute_counts(calls(f))
+
+
+@query("T02_live_windows", f"SELECT api_key, count(*) AS windows FROM ({MINUTES}) m WHERE window_start >= (SELECT max(ts) FROM {{log_f}}) - INTERVAL 60 SECOND GROUP BY api_key")
+def t02(f: Facts) -> DataFrame:
+    now = f.log_f.agg(F.max("ts").alias("now"))
+    m = health.minute_counts(calls(f)).join(F.broadcast(now), F.expr("window_start >= now - INTERVAL 60 SECONDS"))
+    return m.groupBy("api_key").agg(F.count("*").alias("windows"))
+
+
+@query("T03_last_minute", f"SELECT api_key, CAST(sum(total) AS BIGINT) AS calls FROM ({MINUTES}) m WHERE window_start >= (SELECT max(ts) FROM {{log_f}}) - INTERVAL 60 SECOND GROUP BY api_key")
+def t03(f: Facts) -> DataFrame:
+    """Sum over live tumbling windows, which span up to two minutes."""
+    now = f.log_f.agg(F.max("ts").alias("now"))
+    m = health.minute_counts(calls(f)).join(F.broadcast(now), F.expr("window_start >= now - INTERVAL 60 SECONDS"))
+    return m.groupBy("api_key").agg(F.sum("total").alias("calls"))
+
+
+
+
+@query("T04_key_health")
+@query("W11_key_weights")
+def t04(f: Facts) -> DataFrame:
+    """No SQL: a recursive step for each call is too slow on the whole log; tested against a plain fold."""
+    return health.final_health(f.log_f).select("api_key", F.round("weight", 6).alias("weight"), "failures", "enabled", F.round("average", 4).alias("average"), "calls")
+
+
+@query("T06_batch_progress", "SELECT task_id, result_id, round(0.05 + 0.9 * count(*) OVER (PARTITION BY task_id ORDER BY result_id) / count(*) OVER (PARTITION BY task_id), 6) AS progress FROM {llm_f}")
+def t06(f: Facts) -> DataFrame:
+    done = F.count("*").over(Window.partitionBy("task_id").orderBy("result_id"))
+    total = F.count("*").over(Window.partitionBy("task_id"))
+    return f.llm_f.select("task_id", "result_id", F.round(health.progress(done, total), 6).alias("progress"))
+
+
+@query("W09_moving_average", """SELECT api_key, round(sum(power(0.9, n - i) * CASE WHEN i = 1 THEN 1.0 ELSE 0.1 END * response_time), 4) AS average FROM (SELECT api_key, response_time, row_number() OVER (PARTITION BY api_key ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY api_key) AS n FROM {log_f}) x GROUP BY api_key""")
+def w09(f: Facts) -> DataFrame:
+    return health.averages(f.log_f).select("api_key", F.round("average", 4).alias("average"))
+
+
+@query("W10_failure_runs", """SELECT api_key, event_id, CAST(sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (PARTITION BY api_key, island ORDER BY ts, event_id) AS BIGINT) AS run
+  FROM (SELECT *, sum(CAST(success AS INT)) OVER (PARTITION BY api_key ORDER BY ts, event_id) AS island FROM {log_f}) x""")
+def w10(f: Facts) -> DataFrame:
+    return health.failure_runs(f.log_f)
