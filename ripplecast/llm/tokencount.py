@@ -10,7 +10,7 @@ an unknown of score (least score - 10); neighbouring unknowns count as one token
 The vocabulary is a fixed public one, whose file holds merge ranks but no probabilities;
 pieces get the Zipf probability of their rank. Words are cut at white space and start with
 the word mark. Counts equal those of tokenizers' Unigram model with the same pieces.
-Each distinct word of a batch is searched once.
+The first CACHE distinct words that a worker meets are searched once.
 
 Defined results: a null or empty text has no words and 0 tokens; repeated rows give equal
 rows; a null doc_id stays null; an empty table gives no rows; other columns are not read.
@@ -19,6 +19,7 @@ Very long words take time in proportion to their length.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 200_000
+CACHE = 500_000
 
 
 def zipf_pieces(model_path: str) -> list[tuple[str, float]]:
@@ -82,26 +83,29 @@ class Counter:
             got = known.get(w)
             if got is None:
                 got = self.word(MARK + w)
-                if len(w) <= 64:
-                    if len(known) >= CACHE:
-                        known.clear()
+                if len(w) <= 64 and len(known) < CACHE:
                     known[w] = got
             tokens += got[0]
             unknown += got[1]
         return len(words), tokens, unknown
 
 
+@functools.lru_cache(maxsize=1)
+def worker_counter(model_path: str) -> Counter:
+    """One automaton and cache for all tasks of a worker."""
+    return Counter(zipf_pieces(model_path))
+
+
 def count_tokens(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_words, n_tokens and n_unknown of each row."""
     if model_path is None:
         import public_tokenizers
 
         model_path = public_tokenizers.path("piece_bpe_32k.model")
-    pieces = zipf_pieces(model_path)
 
     @F.pandas_udf("n_words long, n_tokens long, n_unknown long")
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counter = Counter(pieces)
+        counter = worker_counter(model_path)
         for texts in batches:
             yield pd.DataFrame(np.array([counter.text(t) for t in texts], np.int64).reshape(-1, 3), columns=["n_words", "n_tokens", "n_unknown"])
 
