@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext as S
 
-SQL, KIND = F.col("sql_content"), F.col("sql_type")
-
-
 def dao_methods(methods: DataFrame, classes: DataFrame, statements: DataFrame) -> DataFrame:
     """(method_id, is_dao): by class suffix, or linked to a statement."""
     linked = statements.filter("linked_method_id is not null").select(F.col("linked_method_id").alias("method_id"), F.lit(True).alias("linked")).distinct()
@@ -20,7 +17,8 @@ def dao_methods(methods: DataFrame, classes: DataFrame, statements: DataFrame) -
 
 def field_edges(statements: DataFrame, classes: DataFrame) -> DataFrame:
     """(stmt_id, table_name, field, op, mapper_method); fields go to a statement's first table by name."""
-    rows = statements.select("stmt_id", "class_id", "method_id", F.try_element_at(S.tables(SQL), F.lit(1)).alias("table_name"), F.explode(S.fields(SQL, KIND)).alias("field"), F.when(KIND == "SELECT", "READ").otherwise("WRITE").alias("op"))
+    sql, kind = F.col("sql_content"), F.col("sql_type")
+    rows = statements.select("stmt_id", "class_id", "method_id", F.try_element_at(S.tables(sql), F.lit(1)).alias("table_name"), F.explode(S.fields(sql, kind)).alias("field"), F.when(kind == "SELECT", "READ").otherwise("WRITE").alias("op"))
     return rows.join(classes.select("class_id", "class_name"), "class_id").select("stmt_id", "table_name", "field", "op", F.concat_ws(".", F.lower("class_name"), "method_id").alias("mapper_method"))
 
 

@@ -42,18 +42,23 @@ def chain_sql(src: str, dst: str, name: str) -> str:
 
 
 UP, DOWN = chain_sql("callee_id", "caller_id", "up"), chain_sql("caller_id", "callee_id", "down")
-NODE = ["root_id", "depth", "node_id", graph.path_text(F.col("path")).alias("path"), "is_cyclic"]
+
+
+def nodes_of(rows: DataFrame) -> DataFrame:
+    return rows.select("root_id", "depth", "node_id", graph.path_text(F.col("path")).alias("path"), "is_cyclic")
+
+
 
 
 @query("G01_forward_chains", DOWN + "SELECT root_id, depth, node_id, path, is_cyclic FROM down")
 @query("P04_downwards_document", DOWN + "SELECT root_id, depth, node_id, path, is_cyclic FROM down")
 def g01(f: Facts) -> DataFrame:
-    return down(f).select(*NODE)
+    return nodes_of(down(f))
 
 
 @query("G02_reverse_chains", UP + "SELECT root_id, depth, node_id, path, is_cyclic FROM up")
 def g02(f: Facts) -> DataFrame:
-    return up(f).select(*NODE)
+    return nodes_of(up(f))
 
 
 CHA = """SELECT a.method_id AS src, b.method_id AS dst, CAST(0 AS INT) AS line FROM {method_f} a JOIN {class_f} i ON a.class_id = i.class_id AND i.class_type = 'Interface'

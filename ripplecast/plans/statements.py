@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..facts import Facts
@@ -10,7 +10,16 @@ from ..functions import sqltext as S
 from ..operators import lineage
 from ..registry import query
 
-SQL, KIND = F.col("sql_content"), F.col("sql_type")
+
+
+def text() -> Column:
+    return F.col("sql_content")
+
+
+def kind() -> Column:
+    return F.col("sql_type")
+
+
 NOT = ", ".join(f"'{w}'" for w in S.NOT_TABLES)
 FOUND = " || ".join("regexp_extract_all(sql_content, '" + p.replace("'", "''").replace("{", "{{").replace("}", "}}") + "', 1)" for p in S.TABLE_PATTERNS)
 WITH_TABLES = f"SELECT *, list_sort(list_distinct(list_filter({FOUND}, lambda t: upper(t) NOT IN ({NOT})))) AS tables FROM {{stmt_f}}"
@@ -32,7 +41,7 @@ LINEAGE = f"""SELECT l.stmt_id, t.tables[1] AS table_name, l.field, CASE WHEN l.
 
 @query("C13_sql_tables", f"SELECT stmt_id, array_to_string(tables, ',') AS tables FROM ({WITH_TABLES}) x")
 def c13(f: Facts) -> DataFrame:
-    return f.stmt_f.select("stmt_id", F.array_join(S.tables(SQL), ",").alias("tables"))
+    return f.stmt_f.select("stmt_id", F.array_join(S.tables(text()), ",").alias("tables"))
 
 
 @query("C15_statement_attribute", "SELECT stmt_id, method_id AS id FROM {stmt_f}")
@@ -43,14 +52,14 @@ def c15(f: Facts) -> DataFrame:
 
 @query("C16_where_limit", f"SELECT stmt_id, sql_type = 'INSERT' OR {WHERE} AS has_where, {LIMIT} AS has_limit FROM {{stmt_f}}")
 def c16(f: Facts) -> DataFrame:
-    return f.stmt_f.select("stmt_id", S.has_where(SQL, KIND).alias("has_where"), S.has_limit(SQL).alias("has_limit"))
+    return f.stmt_f.select("stmt_id", S.has_where(text(), kind()).alias("has_where"), S.has_limit(text()).alias("has_limit"))
 
 
 @query("C17_estimated_rows", f"""SELECT stmt_id, CASE WHEN sql_type IN ('DELETE', 'UPDATE') AND NOT {WHERE} THEN 'ALL' WHEN {LIMIT} THEN CASE WHEN try_cast(regexp_extract(upper(sql_content), 'LIMIT\\s+(\\d+)', 1) AS BIGINT) = 1 THEN 'ONE'
   WHEN coalesce(try_cast(regexp_extract(upper(sql_content), 'LIMIT\\s+(\\d+)', 1) AS BIGINT), 0) <= 10 THEN 'FEW' ELSE 'MANY' END
   WHEN sql_type = 'SELECT' AND {WHERE} THEN CASE WHEN regexp_matches(sql_content, 'WHERE\\s+\\w+\\s*=\\s*#\\{{{{') THEN 'ONE' ELSE 'MANY' END WHEN sql_type = 'INSERT' THEN 'ONE' ELSE 'UNKNOWN' END AS estimate FROM {{stmt_f}}""".replace("\\{{{{", "\\{{"))
 def c17(f: Facts) -> DataFrame:
-    return f.stmt_f.select("stmt_id", S.estimated_rows(SQL, KIND).alias("estimate"))
+    return f.stmt_f.select("stmt_id", S.estimated_rows(text(), kind()).alias("estimate"))
 
 
 @query("C18_risk", f"""SELECT stmt_id, CASE WHEN sql_type IN ('DELETE', 'UPDATE') AND NOT {WHERE} THEN 'CRITICAL' WHEN sql_type = 'DELETE' THEN 'HIGH' WHEN sql_type = 'UPDATE' THEN 'MEDIUM'
@@ -59,7 +68,7 @@ def c17(f: Facts) -> DataFrame:
     CASE WHEN sql_type = 'UPDATE' AND {WHERE} THEN 'UPDATE_AFFECTS' END, CASE WHEN sql_type = 'INSERT' THEN 'INSERT_AFFECTS' END, CASE WHEN sql_type = 'SELECT' AND NOT {WHERE} AND upper(sql_content) NOT LIKE '%LIMIT%' THEN 'SELECT_UNBOUNDED' END,
     CASE WHEN is_dynamic_sql THEN 'DYNAMIC_SQL' END) AS warnings FROM {{stmt_f}}""")
 def c18(f: Facts) -> DataFrame:
-    return f.stmt_f.select("stmt_id", S.risk_level(SQL, KIND).alias("risk"), F.array_join(S.warning_codes(SQL, KIND, F.col("is_dynamic_sql")), ";").alias("warnings"))
+    return f.stmt_f.select("stmt_id", S.risk_level(text(), kind()).alias("risk"), F.array_join(S.warning_codes(text(), kind(), F.col("is_dynamic_sql")), ";").alias("warnings"))
 
 
 @query("C19_is_dao", "SELECT m.method_id, coalesce(lower(c.class_name) LIKE '%mapper' OR lower(c.class_name) LIKE '%dao' OR s.linked_method_id IS NOT NULL, false) AS is_dao FROM {method_f} m JOIN {class_f} c ON m.class_id = c.class_id LEFT JOIN (SELECT DISTINCT linked_method_id FROM {stmt_f}) s ON s.linked_method_id = m.method_id")
@@ -72,23 +81,23 @@ for _id, _name, _severity, _flag in (("R01", "FULL_TABLE_SCAN", "HIGH", "r1"), (
     @query(f"{_id}_{_name.lower()}", f"SELECT stmt_id, '{_name}' AS issue, '{_severity}' AS severity FROM ({RULES}) x WHERE {_flag}")
     def rule(f: Facts, name: str = _name) -> DataFrame:
         own = [r for r in S.RULES if r.name == name]
-        return f.stmt_f.select("stmt_id", F.explode(S.issues(SQL, KIND, own)).alias("i")).select("stmt_id", F.col("i.name").alias("issue"), "i.severity")
+        return f.stmt_f.select("stmt_id", F.explode(S.issues(text(), kind(), own)).alias("i")).select("stmt_id", F.col("i.name").alias("issue"), "i.severity")
 
 
 @query("C20_all_issues", f"SELECT stmt_id, CAST(r1::INT + r2::INT + r3::INT + r4::INT + r5::INT AS INT) AS n_issues FROM ({RULES}) x")
 def c20(f: Facts) -> DataFrame:
-    return f.stmt_f.select("stmt_id", F.size(S.issues(SQL, KIND)).alias("n_issues"))
+    return f.stmt_f.select("stmt_id", F.size(S.issues(text(), kind())).alias("n_issues"))
 
 
 @query("R06_score_level", f"SELECT stmt_id, score, {LEVEL} AS level FROM ({SCORED}) x")
 @query("A13_performance_score", f"SELECT stmt_id, score, {LEVEL} AS level FROM ({SCORED}) x")
 def r06(f: Facts) -> DataFrame:
-    return f.stmt_f.select("stmt_id", S.score(S.issues(SQL, KIND)).alias("score")).withColumn("level", S.level(F.col("score")))
+    return f.stmt_f.select("stmt_id", S.score(S.issues(text(), kind())).alias("score")).withColumn("level", S.level(F.col("score")))
 
 
 @query("C21_statement_fields", f"SELECT stmt_id, field FROM ({FIELDS}) x")
 def c21(f: Facts) -> DataFrame:
-    return f.stmt_f.select("stmt_id", F.explode(S.fields(SQL, KIND)).alias("field"))
+    return f.stmt_f.select("stmt_id", F.explode(S.fields(text(), kind())).alias("field"))
 
 
 @query("C22_field_kinds", "SELECT class_id, CASE WHEN lower(class_name) LIKE '%controller%' THEN 'USER_INPUT' WHEN lower(class_name) LIKE '%config%' THEN 'CONFIG' ELSE 'OTHER_TABLE' END AS source_kind, CASE WHEN lower(class_name) LIKE '%controller%' THEN 'API' WHEN lower(class_name) LIKE '%service%' THEN 'SERVICE' ELSE 'OTHER_SQL' END AS consumer_kind FROM {class_f}")
@@ -124,8 +133,8 @@ def a16(f: Facts) -> DataFrame:
 @query("P01_dao_analysis", f"""SELECT s.stmt_id, CASE WHEN sql_type IN ('DELETE', 'UPDATE') AND NOT {WHERE} THEN 'CRITICAL' WHEN sql_type = 'DELETE' THEN 'HIGH' WHEN sql_type = 'UPDATE' THEN 'MEDIUM' WHEN sql_type = 'SELECT' AND NOT {WHERE} AND upper(sql_content) NOT LIKE '%LIMIT%' THEN 'MEDIUM' ELSE 'LOW' END AS risk,
   score, {LEVEL} AS level, coalesce(n, 0) AS n_fields FROM ({SCORED}) s LEFT JOIN (SELECT stmt_id, count(*) AS n FROM ({FIELDS}) l GROUP BY stmt_id) g ON s.stmt_id = g.stmt_id""")
 def p01(f: Facts) -> DataFrame:
-    points = S.score(S.issues(SQL, KIND))
-    return f.stmt_f.select("stmt_id", S.risk_level(SQL, KIND).alias("risk"), points.alias("score"), S.level(points).alias("level"), F.size(S.fields(SQL, KIND)).cast("long").alias("n_fields"))
+    points = S.score(S.issues(text(), kind()))
+    return f.stmt_f.select("stmt_id", S.risk_level(text(), kind()).alias("risk"), points.alias("score"), S.level(points).alias("level"), F.size(S.fields(text(), kind())).cast("long").alias("n_fields"))
 
 
 @query("A03_mapper_statistics", """SELECT count(*) AS total, count(*) FILTER (sql_type = 'SELECT') AS selects, count(*) FILTER (sql_type = 'INSERT') AS inserts, count(*) FILTER (sql_type = 'UPDATE') AS updates, count(*) FILTER (sql_type = 'DELETE') AS deletes,
@@ -133,7 +142,7 @@ def p01(f: Facts) -> DataFrame:
 def a03(f: Facts) -> DataFrame:
     n = F.count_if
     return f.stmt_f.agg(
-        F.count("*").alias("total"), *[n(KIND == k).alias(a) for k, a in (("SELECT", "selects"), ("INSERT", "inserts"), ("UPDATE", "updates"), ("DELETE", "deletes"))],
+        F.count("*").alias("total"), *[n(kind() == k).alias(a) for k, a in (("SELECT", "selects"), ("INSERT", "inserts"), ("UPDATE", "updates"), ("DELETE", "deletes"))],
         n(F.col("mapper_type") == "XML").alias("xml"), n(F.col("mapper_type") == "ANNOTATION").alias("annotation"), n(F.col("is_dynamic_sql")).alias("dynamic"),
     )
 
@@ -141,7 +150,7 @@ def a03(f: Facts) -> DataFrame:
 @query("A08_sql_summary", f"""SELECT 'type:' || sql_type AS item, count(*) AS n FROM {{stmt_f}} GROUP BY sql_type UNION ALL SELECT 'level:' || {LEVEL}, count(*) FROM ({SCORED}) x GROUP BY {LEVEL}
   UNION ALL SELECT 'tables', count(DISTINCT t) FROM (SELECT unnest(tables) AS t FROM ({WITH_TABLES}) y) z""")
 def a08(f: Facts) -> DataFrame:
-    x = f.stmt_f.select("sql_type", S.level(S.score(S.issues(SQL, KIND))).alias("level"), S.tables(SQL).alias("tables"))
+    x = f.stmt_f.select("sql_type", S.level(S.score(S.issues(text(), kind()))).alias("level"), S.tables(text()).alias("tables"))
     kinds = x.groupBy(F.concat(F.lit("type:"), "sql_type").alias("item")).agg(F.count("*").alias("n"))
     levels = x.groupBy(F.concat(F.lit("level:"), "level").alias("item")).agg(F.count("*").alias("n"))
     return kinds.union(levels).union(x.select(F.explode("tables").alias("t")).agg(F.lit("tables"), F.count_distinct("t")))
@@ -149,5 +158,5 @@ def a08(f: Facts) -> DataFrame:
 
 @query("F12_statement_filter", f"SELECT stmt_id, score FROM ({SCORED}) x WHERE sql_type IN ('SELECT', 'UPDATE') AND {LEVEL} IN ('GOOD', 'FAIR') AND score >= 60")
 def f12(f: Facts) -> DataFrame:
-    x = f.stmt_f.select("stmt_id", "sql_type", S.score(S.issues(SQL, KIND)).alias("score"))
+    x = f.stmt_f.select("stmt_id", "sql_type", S.score(S.issues(text(), kind())).alias("score"))
     return x.filter(F.col("sql_type").isin("SELECT", "UPDATE") & S.level(F.col("score")).isin("GOOD", "FAIR") & (F.col("score") >= 60)).select("stmt_id", "score")
