@@ -145,3 +145,19 @@ def project_of_url(url: Column) -> Column:
 
 def version_path(root: Column, project: Column, old: Column, new: Column, name: Column) -> Column:
     return F.concat_ws("/", root, F.concat_ws("_", project, short_tag(old)), short_tag(new), name)
+
+
+def overload_variants(types: Column, most: int = 1000) -> Column:
+    """All type lists that a call with these argument types may mean: each as it is, unknown, boxed or
+    unboxed, or as a common implementation's interface. At most `most` of them, as the limit is the feature."""
+    wider = {"ArrayList": "List", "LinkedList": "List", "HashMap": "Map", "LinkedHashMap": "Map", "HashSet": "Set", "TreeMap": "Map"}
+
+    def choices(t: Column) -> Column:
+        out = F.array(t, F.lit("null"), boxed_switch(t))
+        for own, top in wider.items():
+            out = F.when(t == own, F.array(t, F.lit("null"), F.lit(top))).otherwise(out)
+        return F.array_distinct(out)
+
+    start = F.array(F.array().cast("array<string>"))
+    grow = lambda lists, t: F.slice(F.flatten(F.transform(lists, lambda a: F.transform(choices(t), lambda c: F.concat(a, F.array(c))))), 1, most)
+    return F.aggregate(types, start, grow)
