@@ -80,7 +80,8 @@ def head_of(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
         if got + k > most:
             break
         threshold, got = n, got + k
-    rows = [(bytes(r["word"]), r["n"]) for r in counts.filter(F.col("n") >= threshold).collect()]
+    found = counts.filter(F.col("n") >= threshold).select("word", "n").toArrow()
+    rows = list(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True))
     return dict(sorted(rows, key=lambda r: (-r[1], r[0]))), threshold
 
 
@@ -100,51 +101,71 @@ class Vocabulary:
         return np.fromiter((u if (u := get(w)) is not None else first + suffix_unit(w) for w in (*words, END)), np.int32, len(words) + 1)
 
 
-def context_counts(train: DataFrame, vocabulary, classes: np.ndarray, k: int, text_col: str = "text") -> np.ndarray:
-    """Counts by (side, unit, class): how often a unit follows (0) and precedes (1) each class."""
+def unit_contexts(train: DataFrame, vocabulary, classes: np.ndarray, k: int, text_col: str = "text") -> DataFrame:
+    """(unit, at, n) for each unit: how often it follows class c (at = c) and precedes it (at = k + c)."""
     words, size = vocabulary, len(classes)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = words.value
-        total, any_row = np.zeros(2 * size * k, np.int64), False
+        total, any_row = np.zeros(size * 2 * k, np.int64), False
         for frame in frames:
             for at in range(0, len(frame), 256):
                 units = [np.concatenate([[0], vocabulary.of(lower_words(t))]) for t in frame["text"].iloc[at : at + 256]]
                 if units:
                     any_row = True
                     before, after = np.concatenate([u[:-1] for u in units]), np.concatenate([u[1:] for u in units])
-                    total += np.bincount(after * k + classes[before], minlength=size * k * 2)
-                    total += np.bincount((size + before) * k + classes[after], minlength=size * k * 2)
+                    cells, n = np.unique(np.concatenate([after * 2 * k + classes[before], before * 2 * k + k + classes[after]]), return_counts=True)
+                    total[cells] += n
         if any_row:
             at = np.flatnonzero(total)
-            yield pd.DataFrame({"cell": at, "n": total[at]})
+            yield pd.DataFrame({"cell": at.astype(np.int32), "n": total[at]})
 
-    cells = train.select(F.col(text_col).alias("text")).mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(2 * size * k, np.float64)
-    out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
-    return out.reshape(2, size, k)
+    cells = train.select(F.col(text_col).alias("text")).mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    unit = F.floor(F.col("cell") / (2 * k)).cast("int")
+    return materialize(cells.groupBy(unit.alias("unit")).agg(F.collect_list((F.col("cell") % (2 * k)).cast("int")).alias("at"), F.collect_list("n").alias("n")))
 
 
-def exchange(context: np.ndarray, classes: np.ndarray, k: int) -> np.ndarray:
-    """Each unit's best class given the class bigrams that the others make.
+def class_bigrams(contexts: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+    """Counts by (class, class after): at most k * k rows come to the driver."""
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, k), np.int64)
+        for frame in frames:
+            for unit, at, n in zip(frame["unit"], frame["at"], frame["n"], strict=True):
+                at = np.asarray(at)
+                total[classes[unit], at[at >= k] - k] += np.asarray(n)[at >= k]
+        yield pd.DataFrame({"cell": np.flatnonzero(total), "n": total.ravel()[np.flatnonzero(total)]})
+
+    out = np.zeros(k * k)
+    for r in contexts.mapInPandas(add, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out.reshape(k, k)
+
+
+def exchange(contexts: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+    """The best class of each unit, given the class bigrams that all units make now.
 
     Moving unit u into class c scores the bigrams around u by how the members of c meet those
     contexts: sum of follows(u, d) * log P(c | d) and precedes(u, d) * log P(d | c), less
-    u's count times log of the class's size, which emissions pay for.
+    u's count times the log of the class's size, which emissions pay for.
     """
-    follows, precedes = context
-    bigrams = np.zeros((k, k))
-    np.add.at(bigrams, classes, precedes)  # by class of the unit, class after
-    totals = follows.sum(axis=1)
-    size = np.bincount(classes, weights=totals, minlength=k)
-    after = np.log((bigrams + 0.5) / (bigrams.sum(axis=1, keepdims=True) + 0.5 * k))
-    score = follows @ after + precedes @ after.T - totals[:, None] * np.log(size + 1.0)[None, :]
-    score[:, 0] = -np.inf
-    # a unit leaves its class only for a strictly better one; its own counts favour staying, so they are taken out
-    best = score.argmax(axis=1).astype(np.int64)
-    best[0] = 0
-    best[totals == 0] = classes[totals == 0]
-    return best
+    bigrams = class_bigrams(contexts, classes, k)
+    log_after = np.log((bigrams + 0.5) / (bigrams.sum(axis=1, keepdims=True) + 0.5 * k))
+    log_size = np.log(bigrams.sum(axis=1) + 1.0)
+
+    @F.pandas_udf("int")
+    def best(ats: pd.Series, counts: pd.Series) -> pd.Series:
+        rows = np.zeros((len(ats), 2 * k))
+        for i, (at, n) in enumerate(zip(ats, counts, strict=True)):
+            rows[i, at] = n
+        score = rows[:, :k] @ log_after + rows[:, k:] @ log_after.T - rows[:, :k].sum(axis=1, keepdims=True) * log_size
+        score[:, 0] = -np.inf
+        return pd.Series(score.argmax(axis=1))
+
+    out = classes.copy()
+    for r in contexts.filter("unit > 0").select("unit", best("at", "n").alias("c")).collect():
+        out[r["unit"]] = r["c"]
+    return out
 
 
 class Model:
@@ -162,10 +183,8 @@ def fit(train: DataFrame, counts: DataFrame, k: int = CLASSES, passes: int = PAS
     classes = np.zeros(vocabulary.size, np.int64)
     classes[1:] = 1 + np.arange(vocabulary.size - 1) % (k - 1)
     for _ in range(passes):
-        classes = exchange(context_counts(train, shared, classes, k), classes, k)
-    follows, precedes = context_counts(train, shared, classes, k)
-    bigrams = np.zeros((k, k))
-    np.add.at(bigrams, classes, precedes)
+        classes = exchange(unit_contexts(train, shared, classes, k), classes, k)
+    bigrams = class_bigrams(unit_contexts(train, shared, classes, k), classes, k)
     sizes = bigrams.sum(axis=0)
     transition = (bigrams + TRANSITION * ((sizes + 1) / (sizes.sum() + k))[None, :]) / (bigrams.sum(axis=1, keepdims=True) + TRANSITION)
 

@@ -23,6 +23,7 @@ itself; a null doc_id stays null; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
+import functools
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -40,53 +41,62 @@ NODES = 20_000
 #: Pieces beside the longest one in an enumerated filling, and fillings tried at a node.
 FILL_DEPTH = 6
 BRANCHES = 4
-CACHE = 300_000
+CACHE = 500_000
+END = END_ID.to_bytes(4, "little")
 
 
 # --- tokens ------------------------------------------------------------------------------
 
 
 class WordCache:
-    """Ids of texts from those of their words.
+    """Ids of texts from those of their words, as little-endian bytes.
 
     The tokenizer cuts at white space before all else and keeps none, so a text's ids are its
-    words' ids in turn; words are looked up in a bounded cache and encoded in batches.
+    words' ids in turn. The first CACHE distinct words that a worker meets stay in its cache,
+    which later tasks of the same worker use again; others are encoded when they come.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[str, np.ndarray] = {"": np.empty(0, np.uint32)}
+        self.known: dict[str, bytes] = {"": b""}
 
-    def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": np.empty(0, np.uint32)}
+    def encode(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, text: str | None) -> bytes:
+        words = text.replace("\n", " ").split(" ") if text else []
         known = self.known
-        fresh = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in known]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32)
-        for words in split:
-            yield np.concatenate([*map(known.__getitem__, words), [END_ID]], dtype=np.uint32, casting="unsafe")
+        try:
+            return b"".join(map(known.__getitem__, words)) + END
+        except KeyError:
+            pass
+        here = {w: self.encode(w) for w in set(words) if w not in known}
+        if len(known) + len(here) <= CACHE:
+            known.update(here)
+        return b"".join([known[w] if w in known else here[w] for w in words]) + END
+
+
+@functools.lru_cache(maxsize=1)
+def word_cache(tokenizer_path: str) -> WordCache:
+    return WordCache(tokenizer_path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth): nth counts the pieces of a length in a partition, from 0."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordCache(tokenizer_path)
+        words = word_cache(tokenizer_path)
         seen = np.zeros(capacity + 1, np.int64)
         for frame in frames:
             for at in range(0, len(frame), 256):
                 part = frame.iloc[at : at + 256]
                 out = []
-                for doc_id, where, ids in zip(part["doc_id"], part["part"], words.ids(list(part["text"])), strict=True):
-                    raw = memoryview(ids.astype("<u4").tobytes())
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        length = min(capacity, len(ids) - start)
+                for doc_id, where, text in zip(part["doc_id"], part["part"], part["text"], strict=True):
+                    raw = memoryview(words.ids(text))
+                    for piece, start in enumerate(range(0, len(raw) // 4, capacity)):
+                        length = min(capacity, len(raw) // 4 - start)
                         out.append((doc_id, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), where, int(seen[length])))
                         seen[length] += 1
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]).astype({"doc_id": frame["doc_id"].dtype})
