@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text
 
 def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph that links values within the radius."""
-    edges, left = [], values
+    edges, left = [], values.view(np.uint64)  # of signed numbers, bitwise_count takes the absolute value
     while len(left) > 1:
         tree, left = [left[0]], left[1:]
         while tree and len(left):
@@ -86,7 +86,7 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
             near = np.bitwise_count(left ^ node) <= radius
             if near.any():
                 found, left = left[near], left[~near]
-                edges += [(int(node), int(x)) for x in found]
+                edges += [(int(a), int(b)) for a, b in zip(np.full(len(found), node).view(np.int64), found.view(np.int64), strict=True)]
                 tree += list(found)
     return edges
 
