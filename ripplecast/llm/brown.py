@@ -207,6 +207,7 @@ def fit(train: DataFrame, counts: DataFrame, k: int = CLASSES, passes: int = PAS
 def scored(docs: DataFrame, held_out: Column, text_col: str = "text") -> DataFrame:
     """Learns from rows where held_out is false; doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (add-one unigrams) and score (log10 probabilities) of each row."""
+    kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.col(text_col).alias("text"), held_out.alias("held_out"))
     train = rows.filter(~F.col("held_out"))
     counts = materialize(word_counts(train))
@@ -220,8 +221,8 @@ def scored(docs: DataFrame, held_out: Column, text_col: str = "text") -> DataFra
         for frame in frames:
             for at in range(0, len(frame), 128):
                 part = frame.iloc[at : at + 128]
-                rid, word, n, sums, known, score, head_c, head_e = [], [], [], [], [], [], [], []
-                for r, text in zip(part["rid"], part["text"], strict=True):
+                rid, doc, held, word, n, sums, known, score, head_c, head_e = [], [], [], [], [], [], [], [], [], []
+                for r, doc_id, is_held, text in zip(part["rid"], part["doc_id"], part["held_out"], part["text"], strict=True):
                     words = lower_words(text)
                     path = classes[m.vocabulary.of(words)]
                     found = np.fromiter((head.get(w, 0) for w in (*words, END)), np.int64, len(words) + 1)
@@ -229,23 +230,25 @@ def scored(docs: DataFrame, held_out: Column, text_col: str = "text") -> DataFra
                     if not found[-1]:
                         rare[END] += 1
                     in_head = found[found > 0]
+                    doc.append(doc_id), held.append(bool(is_held))
                     rid.append(r), word.append(END + str(r).encode()), n.append(0), sums.append(len(words) + 1), known.append(len(in_head))
                     score.append(float(m.log_transition[np.r_[0, path[:-1]], path].sum() - m.log_room[path].sum()))
                     head_c.append(float(np.log10(in_head + 1.0).sum())), head_e.append(float(np.log10(in_head + EMISSION).sum()))
                     for w, k in rare.items():
+                        doc.append(None), held.append(None)
                         rid.append(r), word.append(w), n.append(k), sums.append(0), known.append(0), score.append(0.0), head_c.append(0.0), head_e.append(0.0)
-                yield pd.DataFrame({"rid": rid, "word": word, "n": n, "tokens": sums, "known": known, "score": score, "log_c": head_c, "log_e": head_e})
+                yield pd.DataFrame({"rid": rid, "doc_id": pd.Series(doc, dtype=object), "held_out": pd.Series(held, dtype=object), "word": word, "n": n, "tokens": sums, "known": known, "score": score, "log_c": head_c, "log_e": head_e})
 
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "held_out")
-    out = numbered.select("rid", "text").mapInPandas(parts, "rid long, word binary, n long, tokens long, known long, score double, log_c double, log_e double")
+    out = numbered.mapInPandas(parts, f"rid long, doc_id {kind}, held_out boolean, word binary, n long, tokens long, known long, score double, log_c double, log_e double")
     met = out.join(counts.select("word", F.col("n").alias("c")), "word", "left")
     c = F.coalesce("c", F.lit(0))
     sums = met.groupBy("rid").agg(
-        F.sum("tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
         F.sum("score").alias("score"), F.sum(F.col("log_c") + F.col("n") * F.log10(c + 1)).alias("log_c"), F.sum(F.col("log_e") + F.col("n") * F.log10(c + EMISSION)).alias("log_e"),
     )
     low = float(np.log10(model.tokens + model.types + 1))
-    return numbered.select("rid", "doc_id", "held_out").join(sums, "rid").select(
+    return sums.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("log_c") - F.col("n_tokens") * low).alias("base_score"), (F.col("score") + F.col("log_e")).alias("score"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,26 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        context.setCheckpointDir(folder(spark))
     return df.checkpoint(eager=True)
 
 
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the session names."""
+    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As materialize, for wide rows: df as a compressed Parquet table in the shared folder.
+
+    Row numbers from monotonically_increasing_id hold for one scan only, since a scan's
+    partitions follow the cores at hand; rows that are read again by number are stored first.
+    """
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

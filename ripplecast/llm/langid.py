@@ -23,17 +23,17 @@ results; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 MARK = "▁"
 UNKNOWN = 0  # the piece id of a character that no piece covers
 SMOOTHING = 0.1

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, stored
 
 KINDS = ["assign", "access", "hex", "mixed", "keyblock"]
 WIDE_OWNERS = 4
@@ -78,9 +78,8 @@ def found_in(text_col: str = "text"):
     return find(F.col(text_col))
 
 
-def owned_spans(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, spans) for each row of docs; each span has kind, start, end, base, owners, repositories, live."""
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", found_in().alias("found")))
+def owned_spans(rows: DataFrame) -> DataFrame:
+    """(rid, doc_id, spans) for rows of (rid, doc_id, source, found); each span has kind, start, end, base, owners, repositories, live."""
     each = rows.filter(F.size("found") > 0).select("rid", "doc_id", "source", F.explode("found").alias("f")).select("rid", "doc_id", "source", "f.*")
     held = each.groupBy("value", "source", "doc_id").agg(F.lit(1).alias("one")).groupBy("value", "source").agg(F.sum("one").alias("n"))
     owned = held.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
@@ -97,7 +96,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base kinds, digest of the base spans, and all spans as text."""
     spans = F.col("spans")
     n = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
-    return owned_spans(docs).select(
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", found_in().alias("found")))
+    return owned_spans(rows).select(
         "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
         F.sha2(written(spans, lambda s: s["base"]), 256).alias("base_sha256"), written(spans).alias("spans"),
         F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"), F.col("n_copied").cast("long"),
@@ -123,9 +123,9 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     def hide(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([hidden(t, [] if s is None else list(zip(s, e, strict=True))) for t, s, e in zip(texts, starts, ends, strict=True)], dtype=object)
 
-    spans = owned_spans(docs).filter(F.size("spans") > 0).select("rid", "spans")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"))
-    joined = rows.join(spans, "rid", "left")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("rid"), found_in(text_col).alias("found"), F.struct("*").alias("row")))
+    spans = owned_spans(rows.select("rid", "row.doc_id", "row.source", "found")).filter(F.size("spans") > 0).select("rid", "spans")
+    joined = rows.select("rid", "row").join(spans, "rid", "left")
     text = F.when(F.col("spans").isNull(), F.col("row")[text_col]).otherwise(hide(F.col("row")[text_col], F.col("spans.start"), F.col("spans.end")))
     done = joined.select("row", "spans", text.alias("hidden"))
     columns = [

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize
+from .common import lower_words, materialize, stored
 
 RADIUS = 3
 SHINGLE = 3
@@ -66,14 +66,14 @@ def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     return masks
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, fp) for each row of docs; rid numbers the rows."""
+def fingerprint_of(text_col: str = "text", k: int = SHINGLE) -> Column:
+    """A column: the fingerprint of a text."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, k) for t in texts], dtype="int64")
 
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
+    return fp(F.col(text_col))
 
 
 def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -164,9 +164,14 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, fp, component_id, keep_rid) for each row; component_id is the least doc_id
-    reachable, keep_rid the row number to keep of the component (least doc_id, then first row)."""
-    rows = materialize(fingerprints(docs, k, id_col, text_col))
+    """(rid, doc_id, fp, component_id, keep_rid) for each row, as components gives them."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), fingerprint_of(text_col, k).alias("fp"))
+    return components(materialize(rows), radius)
+
+
+def components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(rid, doc_id, fp, component_id, keep_rid) of rows of (rid, doc_id, fp); component_id is the least
+    doc_id reachable, keep_rid the row number to keep of the component (least doc_id, then first row)."""
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")
     nodes = rows.groupBy("fp").agg(F.min(first).alias("first"))
     roots = connected(candidate_links(nodes.select("fp"), radius))
@@ -179,6 +184,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, id_
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
     """The rows of docs without all but one row of each component, in docs' own columns."""
-    kept = near_duplicates(docs, radius, k).filter(F.col("rid") == F.col("keep_rid")).select("rid")
-    packed = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"))
+    packed = stored(docs.select(F.monotonically_increasing_id().alias("rid"), fingerprint_of("text", k).alias("fp"), F.struct("*").alias("row")))
+    found = components(packed.select("rid", F.col("row.doc_id").alias("doc_id"), "fp"), radius)
+    kept = found.filter(F.col("rid") == F.col("keep_rid")).select("rid")
     return packed.join(kept, "rid", "left_semi").select("row.*")
