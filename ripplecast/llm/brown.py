@@ -29,14 +29,16 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize
+from .common import lower_words, materialize, stored
 
 CLASSES = 48
 UNITS = 12_000
@@ -48,6 +50,9 @@ TRANSITION = 5.0
 EMISSION = 0.3
 END = b" "  # no word holds a space
 FLUSH = 400_000
+#: Tokens that one step of a pass counts; tasks that add up what units bound.
+COUNTED = 1 << 20
+FEW_TASKS = 8
 
 
 def suffix_unit(word: bytes) -> int:
@@ -86,47 +91,103 @@ def head_of(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
 
 
 class Vocabulary:
-    """Units of words: the end is 0, then the most frequent words, then suffixes."""
+    """Units of words: the end is 0, then the most frequent words, then suffixes.
 
-    def __init__(self, head: dict[bytes, int], units: int = UNITS):
+    Words of the head have an index, which arrays of units and counts are read by; other
+    words have the index -1, and the arrays a last element for it.
+    """
+
+    def __init__(self, head: dict[bytes, int], ends: int, units: int = UNITS):
         words = [w for w in head if w != END]
         self.own = min(units, len(words))
         self.size = 1 + self.own + SUFFIX_UNITS
-        self.unit = {w: i + 1 if i < self.own else 1 + self.own + suffix_unit(w) for i, w in enumerate(words)}
-        self.unit[END] = 0
+        self.index = {w: i for i, w in enumerate([END, *words])}
+        own = [i + 1 if i < self.own else 1 + self.own + suffix_unit(w) for i, w in enumerate(words)]
+        self.units = np.array([0, *own, 0], np.int32)
+        self.counts = np.array([ends, *(head[w] for w in words), 0], np.int64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Unit of each word, and of the end after them."""
-        get, first = self.unit.get, 1 + self.own
-        return np.fromiter((u if (u := get(w)) is not None else first + suffix_unit(w) for w in (*words, END)), np.int32, len(words) + 1)
+    def tokens(self, texts: Iterable[str | None]) -> tuple[list[bytes], np.ndarray]:
+        """The tokens of all texts in turn, an end after each text, and where each text starts."""
+        tokens, starts = [], []
+        for text in texts:
+            starts.append(len(tokens))
+            tokens += lower_words(text)
+            tokens.append(END)
+        return tokens, np.array(starts, np.int64)
 
+    def indices(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int32, len(tokens))
 
-def unit_contexts(train: DataFrame, vocabulary, classes: np.ndarray, k: int, text_col: str = "text") -> DataFrame:
-    """(unit, at, n) for each unit: how often it follows class c (at = c) and precedes it (at = k + c)."""
-    words, size = vocabulary, len(classes)
+    def of(self, tokens: list[bytes], indices: np.ndarray) -> np.ndarray:
+        """Unit of each token."""
+        units, first = self.units[indices], 1 + self.own
+        for i in np.flatnonzero(indices < 0).tolist():
+            units[i] = first + suffix_unit(tokens[i])
+        return units
+
+
+def lists(starts: np.ndarray, values: pa.Array) -> pa.Array:
+    """Lists that begin at starts in values."""
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+
+def encoded(train: DataFrame, vocabulary, text_col: str = "text") -> DataFrame:
+    """The units of each training text, stored once for all passes."""
+    shared = vocabulary
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                tokens, starts = vocabulary.tokens(batch.column(0).slice(at, 512).to_pylist())
+                units = vocabulary.of(tokens, vocabulary.indices(tokens))
+                yield pa.RecordBatch.from_arrays([lists(starts, pa.array(units))], ["units"])
+
+    return stored(train.select(F.col(text_col).alias("text")).mapInArrow(encode, "units array<int>"))
+
+
+def _rows_of_units(total: np.ndarray) -> pa.RecordBatch:
+    """Counts by (unit, at) as one row a unit that has any."""
+    unit, at = np.nonzero(total)
+    starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(unit[starts].astype(np.int32)), lists(starts, pa.array(at.astype(np.int32))), lists(starts, pa.array(total[unit, at]))], ["unit", "at", "n"])
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = words.value
-        total, any_row = np.zeros(size * 2 * k, np.int64), False
-        for frame in frames:
-            for at in range(0, len(frame), 256):
-                units = [np.concatenate([[0], vocabulary.of(lower_words(t))]) for t in frame["text"].iloc[at : at + 256]]
-                if units:
-                    any_row = True
-                    before, after = np.concatenate([u[:-1] for u in units]), np.concatenate([u[1:] for u in units])
-                    cells, n = np.unique(np.concatenate([after * 2 * k + classes[before], before * 2 * k + k + classes[after]]), return_counts=True)
-                    total[cells] += n
-        if any_row:
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"cell": at.astype(np.int32), "n": total[at]})
-
-    cells = train.select(F.col(text_col).alias("text")).mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    unit = F.floor(F.col("cell") / (2 * k)).cast("int")
-    return materialize(cells.groupBy(unit.alias("unit")).agg(F.collect_list((F.col("cell") % (2 * k)).cast("int")).alias("at"), F.collect_list("n").alias("n")))
+
+def unit_contexts(train: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
+    """(unit, at, n) for each unit: how often it follows class c (at = c) and precedes it (at = k + c).
+
+    train: rows of units, as encoded gives them. A task counts all its texts and hands on one
+    row a unit, which bounds the shuffle by tasks * units; a unit's rows are added up where
+    they meet.
+    """
+    size, schema = len(classes), "unit int, at array<int>, n array<long>"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * 2 * k, np.int64)
+        for batch in batches:
+            after = batch.column(0).flatten().to_numpy()
+            before = np.concatenate([[0], after[:-1]]) if len(after) else after  # a text ends with the unit 0
+            for at in range(0, len(after), COUNTED):
+                u, v = before[at : at + COUNTED].astype(np.int64), after[at : at + COUNTED].astype(np.int64)
+                total += np.bincount(np.concatenate([v * 2 * k + classes[u], u * 2 * k + k + classes[v]]), minlength=len(total))
+        yield _rows_of_units(total.reshape(size, 2 * k))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, 2 * k), np.int64)
+        for batch in batches:
+            at = batch.column(1)
+            unit = np.repeat(batch.column(0).to_numpy(), at.value_lengths().to_numpy())
+            np.add.at(total, (unit, at.flatten().to_numpy()), batch.column(2).flatten().to_numpy())
+        yield _rows_of_units(total)
+
+    return materialize(train.mapInArrow(count, schema).repartition("unit").mapInArrow(add, schema))
 
 
 def class_bigrams(contexts: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
-    """Counts by (class, class after): at most k * k rows come to the driver."""
+    """Counts by (class, class after): at most k * k rows come to the driver.
+
+    There are at most as many contexts as units, whatever the corpus size, so few tasks add them up.
+    """
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((k, k), np.int64)
@@ -137,7 +198,7 @@ def class_bigrams(contexts: DataFrame, classes: np.ndarray, k: int) -> np.ndarra
         yield pd.DataFrame({"cell": np.flatnonzero(total), "n": total.ravel()[np.flatnonzero(total)]})
 
     out = np.zeros(k * k)
-    for r in contexts.mapInPandas(add, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in contexts.coalesce(FEW_TASKS).mapInPandas(add, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r["cell"]] = r["n"]
     return out.reshape(k, k)
 
@@ -169,31 +230,31 @@ def exchange(contexts: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, log_transition: np.ndarray, log_room: np.ndarray, head: dict[bytes, int], tokens: int, types: int):
+    def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, log_transition: np.ndarray, log_room: np.ndarray, tokens: int, types: int):
         self.vocabulary, self.classes, self.log_transition, self.log_room = vocabulary, classes, log_transition, log_room
-        self.head, self.tokens, self.types = head, tokens, types
+        self.tokens, self.types = tokens, types
 
 
 def fit(train: DataFrame, counts: DataFrame, k: int = CLASSES, passes: int = PASSES) -> Model:
     """The model from all training rows; counts: word_counts(train)."""
     context = train.sparkSession.sparkContext
     head, _ = head_of(counts, HEAD_WORDS)
-    vocabulary = Vocabulary(head)
+    ends = counts.filter(F.col("word") == F.lit(bytearray(END))).first()
+    vocabulary = Vocabulary(head, ends["n"] if ends else 0)
     shared = context.broadcast(vocabulary)
     classes = np.zeros(vocabulary.size, np.int64)
     classes[1:] = 1 + np.arange(vocabulary.size - 1) % (k - 1)
+    units = encoded(train, shared)
     for _ in range(passes):
-        classes = exchange(unit_contexts(train, shared, classes, k), classes, k)
-    bigrams = class_bigrams(unit_contexts(train, shared, classes, k), classes, k)
+        classes = exchange(unit_contexts(units, classes, k), classes, k)
+    bigrams = class_bigrams(unit_contexts(units, classes, k), classes, k)
     sizes = bigrams.sum(axis=0)
     transition = (bigrams + TRANSITION * ((sizes + 1) / (sizes.sum() + k))[None, :]) / (bigrams.sum(axis=1, keepdims=True) + TRANSITION)
 
-    first = 1 + vocabulary.own
-
     @F.pandas_udf("long")
     def unit(words: pd.Series) -> pd.Series:
-        get = shared.value.unit.get
-        return pd.Series([u if (u := get(bytes(w))) is not None else first + suffix_unit(bytes(w)) for w in words], dtype="int64")
+        tokens = [bytes(w) for w in words]
+        return pd.Series(shared.value.of(tokens, shared.value.indices(tokens)).astype(np.int64))
 
     by_unit = counts.groupBy(unit("word").alias("unit")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
     n, types = np.zeros(k), np.zeros(k)
@@ -201,46 +262,51 @@ def fit(train: DataFrame, counts: DataFrame, k: int = CLASSES, passes: int = PAS
     np.add.at(n, at, by_unit["n"].to_numpy(float))
     np.add.at(types, at, by_unit["types"].to_numpy(float))
     room = n + EMISSION * (types + 1)
-    return Model(vocabulary, classes, np.log10(transition), np.log10(room), head, int(by_unit["n"].sum()), int(by_unit["types"].sum()))
+    return Model(vocabulary, classes, np.log10(transition), np.log10(room), int(by_unit["n"].sum()), int(by_unit["types"].sum()))
 
 
 def scored(docs: DataFrame, held_out: Column, text_col: str = "text") -> DataFrame:
     """Learns from rows where held_out is false; doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (add-one unigrams) and score (log10 probabilities) of each row."""
-    kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.col(text_col).alias("text"), held_out.alias("held_out"))
     train = rows.filter(~F.col("held_out"))
     counts = materialize(word_counts(train))
     model = fit(train, counts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each text with what its frequent words give, and one for each rare word of it."""
+    schema = f"rid long, doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, tokens long, known long, score double, log_c double, log_e double, words array<binary>, ns array<long>"
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each text's frequent words give, and its rare words with their numbers."""
         m = shared.value
-        head, classes = m.head, m.classes
-        for frame in frames:
-            for at in range(0, len(frame), 128):
-                part = frame.iloc[at : at + 128]
-                rid, doc, held, word, n, sums, known, score, head_c, head_e = [], [], [], [], [], [], [], [], [], []
-                for r, doc_id, is_held, text in zip(part["rid"], part["doc_id"], part["held_out"], part["text"], strict=True):
-                    words = lower_words(text)
-                    path = classes[m.vocabulary.of(words)]
-                    found = np.fromiter((head.get(w, 0) for w in (*words, END)), np.int64, len(words) + 1)
-                    rare = Counter(w for w, c in zip(words, found, strict=False) if not c)
-                    if not found[-1]:
-                        rare[END] += 1
-                    in_head = found[found > 0]
-                    doc.append(doc_id), held.append(bool(is_held))
-                    rid.append(r), word.append(END + str(r).encode()), n.append(0), sums.append(len(words) + 1), known.append(len(in_head))
-                    score.append(float(m.log_transition[np.r_[0, path[:-1]], path].sum() - m.log_room[path].sum()))
-                    head_c.append(float(np.log10(in_head + 1.0).sum())), head_e.append(float(np.log10(in_head + EMISSION).sum()))
-                    for w, k in rare.items():
-                        doc.append(None), held.append(None)
-                        rid.append(r), word.append(w), n.append(k), sums.append(0), known.append(0), score.append(0.0), head_c.append(0.0), head_e.append(0.0)
-                yield pd.DataFrame({"rid": rid, "doc_id": pd.Series(doc, dtype=object), "held_out": pd.Series(held, dtype=object), "word": word, "n": n, "tokens": sums, "known": known, "score": score, "log_c": head_c, "log_e": head_e})
-
-    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "held_out")
-    out = numbered.mapInPandas(parts, f"rid long, doc_id {kind}, held_out boolean, word binary, n long, tokens long, known long, score double, log_c double, log_e double")
+        v, last = m.vocabulary, np.arange(len(m.vocabulary.counts)) == len(m.vocabulary.counts) - 1
+        log_c, log_e = (np.where(last, 0.0, np.log10(v.counts + x)) for x in (1.0, EMISSION))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                tokens, starts = v.tokens(part.column(3).to_pylist())
+                found = v.indices(tokens)
+                path = m.classes[v.of(tokens, found)]
+                steps = m.log_transition[np.concatenate([[0], path[:-1]]), path] - m.log_room[path]
+                words, n, first = [], [], []
+                rare = np.flatnonzero(found < 0)
+                for own in np.split(rare, np.searchsorted(rare, starts[1:])):
+                    first.append(len(words))
+                    seen = Counter(tokens[i] for i in own.tolist())
+                    words += seen.keys()
+                    n += seen.values()
+                add = lambda x: pa.array(np.add.reduceat(x, starts))
+                own = [pa.array(np.diff(np.append(starts, len(tokens)))), add((v.counts[found] > 0).astype(np.int64)), add(steps), add(log_c[found]), add(log_e[found])]
+                rare_words, rare_n = lists(np.array(first), pa.array(words, pa.binary())), lists(np.array(first), pa.array(n, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *own, rare_words, rare_n], ["rid", "doc_id", "held_out", "tokens", "known", "score", "log_c", "log_e", "words", "ns"])
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
+    each = numbered.mapInArrow(parts, schema)
+    each = each.select("*", F.posexplode_outer(F.arrays_zip("words", "ns")).alias("pos", "w"))
+    # a text's own numbers go with its first rare word, or with a word of its own that no count has
+    once = F.coalesce("pos", F.lit(0)) == 0
+    no_word = F.concat(F.lit(" "), F.col("rid").cast("string")).cast("binary")
+    out = each.select("rid", "doc_id", "held_out", F.coalesce("w.words", no_word).alias("word"), F.coalesce("w.ns", F.lit(0)).alias("n"), *[F.when(once, F.col(c)).otherwise(0).alias(c) for c in ("tokens", "known", "score", "log_c", "log_e")])
     met = out.join(counts.select("word", F.col("n").alias("c")), "word", "left")
     c = F.coalesce("c", F.lit(0))
     sums = met.groupBy("rid").agg(
