@@ -67,15 +67,17 @@ class WordCache:
 
     def ids(self, text: str | None) -> bytes:
         words = text.replace("\n", " ").split(" ") if text else []
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words)) + END
-        except KeyError:
-            pass
-        here = {w: self.encode(w) for w in set(words) if w not in known}
-        if len(known) + len(here) <= CACHE:
-            known.update(here)
-        return b"".join([known[w] if w in known else here[w] for w in words]) + END
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            here: dict[str, bytes] = {}
+            for i, part in enumerate(parts):
+                if part is None:
+                    if (word := words[i]) not in here:
+                        here[word] = self.encode(word)
+                    parts[i] = here[word]
+            if len(self.known) + len(here) <= CACHE:
+                self.known.update(here)
+        return b"".join(parts) + END
 
 
 @functools.lru_cache(maxsize=1)
