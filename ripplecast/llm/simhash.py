@@ -174,7 +174,12 @@ def components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     doc_id reachable, keep_rid the row number to keep of the component (least doc_id, then first row)."""
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")
     nodes = rows.groupBy("fp").agg(F.min(first).alias("first"))
-    roots = connected(candidate_links(nodes.select("fp"), radius))
+    return grouped(rows, nodes, candidate_links(nodes.select("fp"), radius))
+
+
+def grouped(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """As components, given its nodes (fp, first) and the links (src, dst) between them."""
+    roots = connected(links)
     members = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = roots.select(F.col("node").alias("fp"), "root").union(roots.select("root", "root").distinct())
     least = members.join(linked.select("fp"), "fp", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
