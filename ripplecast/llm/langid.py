@@ -43,6 +43,8 @@ CACHE = 200_000
 FLUSH = 200_000
 #: Each character multiplies a path by this, which keeps long words within a double's range; it is taken out again.
 LIFT = 16.0
+#: A word with a path sum below this is searched again in logarithms.
+LEAST = 1e-250
 
 
 def words_of(text: str | None) -> list[str]:
@@ -104,28 +106,28 @@ class Lattice:
             for at in range(0, len(which), 4096):
                 part = which[at : at + 4096]
                 if n <= SHORT + 1:
-                    out[part] = np.log(self.forward([words[i] for i in part], p)[n]) - n * np.log(LIFT)
+                    alpha = self.forward([words[i] for i in part], p)
+                    low = (alpha < LEAST).any(axis=(0, 2))
+                    out[part] = np.log(np.maximum(alpha[n], LEAST)) - n * np.log(LIFT)
+                    for i in np.array(part)[low]:
+                        out[i] = self.long_score(words[i], p)
                 else:
                     for i in part:
                         out[i] = self.long_score(words[i], p)
         return out
 
     def long_score(self, word: str, p: np.ndarray) -> np.ndarray:
-        """As score, for one word of any length: the last alphas are rescaled at each position."""
+        """As score, for one word of any length and pieces of any probability: in logarithms."""
         arcs = defaultdict(list)
         for last, (size, piece) in self.automaton.iter(word):
             arcs[last + 1].append((size, piece))
-        alphas, log = [np.ones(p.shape[1])], np.zeros(p.shape[1])
+        alphas = [np.zeros(p.shape[1])]
         for end in range(1, len(word) + 1):
             own = arcs.get(end, [])
             if not any(size == 1 for size, _ in own):
                 own = [*own, (1, UNKNOWN)]
-            alphas = [*alphas[-self.longest :], sum(alphas[-size] * p[piece] for size, piece in own)]
-            if end % 8 == 0:
-                scale = np.maximum.reduce(alphas)
-                alphas = [a / scale for a in alphas]
-                log += np.log(scale)
-        return log + np.log(alphas[-1])
+            alphas = [*alphas[-self.longest :], np.logaddexp.reduce([alphas[-size] + np.log(p[piece]) for size, piece in own])]
+        return alphas[-1]
 
     def expected(self, counts: dict[str, np.ndarray], p0: np.ndarray, total: np.ndarray) -> None:
         """Adds to total, by (language, piece), the expected uses in words; counts: by word, by language."""
