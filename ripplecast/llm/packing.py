@@ -5,31 +5,40 @@ pieces and a rest. Packing depends on the pieces' lengths only, so the search wo
 histogram with one counter a length (at most CAPACITY of them, whatever the corpus size):
 
 * Bin completion takes the longest piece left and lists the undominated fillings of the rest
-  of its sequence: a filling is dominated if another one fits the same pieces into longer
-  ones. A single piece that fits exactly dominates all others.
-* Branch and bound tries the fillings with the least waste first, each for as many sequences
-  as the counters allow, and prunes a branch whose waste passes that of the incumbent.
-* The incumbent starts as the best-fit decreasing solution, and the search ends at the lower
-  bound ceil(total / CAPACITY) or after NODES nodes with the best found.
-
-A plan is a list of patterns with a number of sequences each; every pattern used up a length
-or ended the search, so the plan's size is bounded by the number of lengths. Rows are then
-placed in parallel: a piece's rank among those of its length picks its pattern, sequence and
-offset. Ranks come from counts by (partition, length), so no length is gathered in one task.
+  of its sequence, the least waste first: a filling is dominated if a piece that is left can
+  take the place of one or more of its pieces that fit into it. A single piece that fits
+  exactly dominates all others. Bit sets of the sums that the shorter lengths can still make
+  lead the enumeration, so it meets no dead end and needs no limit; it is lazy, so only as
+  many fillings are made as the search asks for.
+* Branch and bound takes a filling for as many sequences as the counters allow, and on the way
+  back for half as many, a quarter and so on down to one, so every plan can be reached. A
+  branch ends where its waste leaves no room for fewer sequences than the incumbent has.
+* Best fit decreasing gives the first incumbent. The search ends by proof: at the lower bound
+  ceil(total / CAPACITY), or when the tree is used up; `nodes` is the one limit of effort,
+  after which the incumbent stands (None: no limit). Packing is whole in every case.
+
+A plan is a list of patterns with a number of sequences each; its size is bounded by the
+number of lengths. Rows are then placed in parallel: a piece's rank among those of its length
+picks its pattern, sequence and offset. Ranks come from counts by (partition, length), so no
+length is gathered in one task.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each for
-itself; a null doc_id stays null; an empty table gives no rows; other columns are not read.
+itself; a null doc_id stays null and ids of any type stay exact; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +47,13 @@ from .common import materialize
 CAPACITY = 2048
 END_ID = 0
 NODES = 20_000
-#: Pieces beside the longest one in an enumerated filling, and fillings tried at a node.
-FILL_DEPTH = 6
-BRANCHES = 4
 CACHE = 500_000
 END = END_ID.to_bytes(4, "little")
+#: Words of letters, digits and signs that no normalization of the tokenizer but lower case can change.
+PLAIN = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+")
+#: Byte-level alphabet of BPE vocabularies: printable bytes stand for themselves, others follow from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
 # --- tokens ------------------------------------------------------------------------------
@@ -52,8 +63,10 @@ class WordCache:
     """Ids of texts from those of their words, as little-endian bytes.
 
     The tokenizer cuts at white space before all else and keeps none, so a text's ids are its
-    words' ids in turn. The first CACHE distinct words that a worker meets stay in its cache,
-    which later tasks of the same worker use again; others are encoded when they come.
+    words' ids in turn. A plain word is cut further by the tokenizer's own pattern, and only
+    parts that were not met before go through its merges. The first CACHE distinct words and
+    twice as many parts that a worker meets stay in its caches, which later tasks of the same
+    worker use again; others are encoded when they come.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -61,9 +74,35 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        with open(tokenizer_path, encoding="utf-8") as f:
+            kind = json.load(f)
+        self.added = tuple(x["content"] for x in kind["added_tokens"])
+        self.pattern = self._pattern(kind)
+
+    @staticmethod
+    def _pattern(kind: dict) -> regex.Pattern | None:
+        """The pattern that words are cut by, if lower case, that pattern and bytes are all that comes before the merges."""
+        steps = [x["type"] for x in (kind["normalizer"] or {}).get("normalizers", [])]
+        cuts = (kind["pre_tokenizer"] or {}).get("pretokenizers", [])
+        usual = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and kind["model"]["type"] == "BPE"
+        if usual and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]:
+            return regex.compile(cuts[0]["pattern"]["Regex"])
+        return None
 
     def encode(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        """Ids of a word without spaces."""
+        if self.pattern is None or not PLAIN.fullmatch(word) or any(x in word for x in self.added):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
+        for part in self.pattern.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = b"".join(x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(ALPHABET)))
+                if len(self.parts) < 2 * CACHE:
+                    self.parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def ids(self, text: str | None) -> bytes:
         words = text.replace("\n", " ").split(" ") if text else []
@@ -88,24 +127,29 @@ def word_cache(tokenizer_path: str) -> WordCache:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth): nth counts the pieces of a length in a partition, from 0."""
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_cache(tokenizer_path)
         seen = np.zeros(capacity + 1, np.int64)
-        for frame in frames:
-            for at in range(0, len(frame), 256):
-                part = frame.iloc[at : at + 256]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                own = batch.slice(at, 256)
                 out = []
-                for doc_id, where, text in zip(part["doc_id"], part["part"], part["text"], strict=True):
+                for row, text in enumerate(own.column(2).to_pylist()):
                     raw = memoryview(words.ids(text))
                     for piece, start in enumerate(range(0, len(raw) // 4, capacity)):
                         length = min(capacity, len(raw) // 4 - start)
-                        out.append((doc_id, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), where, int(seen[length])))
+                        out.append((row, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), int(seen[length])))
                         seen[length] += 1
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]).astype({"doc_id": frame["doc_id"].dtype})
+                row, piece, start, length, crc, nth = (np.array(x, np.int64) for x in zip(*out, strict=True))
+                where = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0).take(where), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(crc), own.column(1).take(where), pa.array(nth)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"],
+                )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    return rows.mapInPandas(cut, f"doc_id {kind}, piece int, start long, length int, ids_crc32 long, part int, nth long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.spark_partition_id().alias("part"), "text")
+    return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length int, ids_crc32 long, part int, nth long")
 
 
 # --- plan --------------------------------------------------------------------------------
@@ -157,61 +201,53 @@ def best_fit_filling(left: _Lengths, capacity: int) -> Pattern:
     return tuple(pattern)
 
 
-def dominated(a: Pattern, b: Pattern) -> bool:
-    """Whether the pieces of a fit into those of b as if these were bins (first fit, longest first)."""
-    room = list(b)
-    for k in a:
-        for i, r in enumerate(room):
-            if k <= r:
-                room[i] -= k
-                break
-        else:
-            return False
-    return True
+def replaceable(filling: Pattern, waste: int, free: int) -> bool:
+    """Whether a piece of the lengths in free (a bit set) can take the place of pieces of the filling that fit into it."""
+    single = several = 0
+    for k in filling:
+        several |= (several | single) << k
+        single |= 1 << k
+    return bool(several & free) or any((several | single) << w & free for w in range(1, waste + 1))
 
 
-def fillings(left: _Lengths, capacity: int) -> list[Pattern]:
-    """Undominated fillings around the longest piece, the least waste first."""
+def fillings(left: _Lengths, capacity: int, most_waste: int) -> Iterator[Pattern]:
+    """Undominated fillings around the longest piece that waste at most most_waste, the least waste first."""
     longest = left.order[-1]
     room = capacity - longest
-    if room == 0:
-        return [(longest,)]
-    free = lambda k: left.count.get(k, 0) - (k == longest)
-    if free(room) > 0:
-        return [(longest, room)]
-    found: list[Pattern] = []
-    tries = 400
-
-    def extend(chosen: Pattern, most: int, rest: int) -> None:
-        nonlocal tries
-        at = left.below(min(most, rest))
-        grown = False
-        while at >= 0 and tries > 0:
-            k = left.order[at]
-            at -= 1
-            if free(k) - chosen.count(k) <= 0:
-                continue
-            grown = True
-            tries -= 1
-            if len(chosen) + 1 < FILL_DEPTH and rest - k >= left.order[0]:
-                extend((*chosen, k), k, rest - k)
-            else:
-                found.append((*chosen, k))
-            if any(sum(f) == room for f in found[-1:]):
-                break
-        if not grown:
-            found.append(chosen)
-
-    extend((), room, room)
-    best = best_fit_filling(left, capacity)[1:]
-    found = sorted({best, *found}, key=lambda f: (room - sum(f), len(f), [-k for k in f]))
-    out: list[Pattern] = []
-    for f in found:
-        if not any(dominated(f, g) for g in out):
-            out.append(f)
-        if len(out) == BRANCHES:
-            break
-    return [(longest, *f) for f in out]
+    free = {k: left.count[k] - (k == longest) for k in left.order[: left.below(room) + 1]}
+    if room == 0 or free.get(room, 0) > 0:
+        yield (longest, room) if room else (longest,)
+        return
+    sizes = [k for k in reversed(free) if free[k] > 0]
+    #: By place in sizes: the sums, as a bit set, that this length and shorter ones can make.
+    reach, full = [1], (1 << (room + 1)) - 1
+    for k in reversed(sizes):
+        sums, more, step = reach[-1], min(free[k], room // k), 1
+        while more > 0:
+            sums |= sums << k * min(step, more) & full
+            more, step = more - step, 2 * step
+        reach.append(sums)
+    reach.reverse()
+
+    def exact(at: int, rest: int) -> Iterator[Pattern]:
+        """All fillings of this sum from sizes[at:], those with the longest pieces first."""
+        if rest == 0:
+            yield ()
+            return
+        while reach[at] >> rest & 1:
+            k = sizes[at]
+            at += 1
+            for n in range(min(free[k], rest // k), 0, -1):
+                if reach[at] >> rest - n * k & 1:
+                    for more in exact(at, rest - n * k):
+                        yield (k,) * n + more
+
+    for waste in range(min(room, most_waste) + 1):
+        if reach[0] >> room - waste & 1:
+            for f in exact(0, room - waste):
+                over = sum(1 << k for k in sizes if free[k] > f.count(k)) if waste or len(f) > 1 else 0
+                if not replaceable(f, waste, over):
+                    yield (longest, *f)
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
@@ -224,7 +260,7 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pat
     return plan
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
+def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> list[tuple[Pattern, int]]:
     """(pattern, sequences) pairs that use up the counters in as few sequences as found."""
     total = sum(k * n for k, n in counts.items())
     bound = -(-total // capacity)
@@ -232,35 +268,40 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
     most = sum(t for _, t in best)
     left = _Lengths(counts)
     plan: list[tuple[Pattern, int]] = []
-    waste, used, seen = 0, 0, 0
-    #: Depth first, by hand: each level holds the fillings still to try.
-    stack: list[list[Pattern]] = []
-    while most > bound:
-        if not left.order and used < most:
-            best, most = list(plan), used
-            if most <= bound:
-                break
-        seen += 1
-        # a plan with most - 1 sequences wastes (most - 1) * capacity - total; more waste cannot beat the incumbent
-        if left.order and seen <= nodes and waste <= (most - 1) * capacity - total:
-            stack.append(fillings(left, capacity)[::-1])
-        else:
-            stack.append([])
-        while stack and not stack[-1]:
+    waste = seen = 0
+
+    def branches() -> Iterator[tuple[Pattern, int]]:
+        # one sequence less than the incumbent leaves so much to waste
+        for pattern in fillings(left, capacity, (most - 1) * capacity - total - waste):
+            times = left.times(pattern)
+            while times:
+                yield pattern, times
+                times //= 2
+
+    #: Depth first, by hand: each level holds what is still to try there.
+    stack: list[Iterator[tuple[Pattern, int]]] = [branches()] if left.order else []
+    while stack and most > bound and (nodes is None or seen < nodes):
+        step = next(stack[-1], None)
+        if step is None:
             stack.pop()
-            if plan and stack:
+            if plan:
                 pattern, times = plan.pop()
                 left.give(pattern, times)
                 waste -= (capacity - sum(pattern)) * times
-                used -= times
-        if not stack or seen > nodes:
-            break
-        pattern = stack[-1].pop()
-        times = left.times(pattern)
+            continue
+        pattern, times = step
+        lost = (capacity - sum(pattern)) * times
+        if waste + lost > (most - 1) * capacity - total:
+            continue
+        seen += 1
         left.take(pattern, times)
-        plan.append((pattern, times))
-        waste += (capacity - sum(pattern)) * times
-        used += times
+        plan.append(step)
+        waste += lost
+        if left.order:
+            stack.append(branches())
+        else:
+            best, most = list(plan), sum(t for _, t in plan)
+            stack.append(iter(()))
     return best
 
 

@@ -120,7 +120,61 @@ def test_packing_is_exact(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
+def test_packing_keeps_large_ids_beside_nulls(spark):
+    """Ids over 2**53, and ids that are text."""
+    ids = [2**60 + 1, None, 2**60 + 3]
+    got = packing.pack(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string").coalesce(1)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(ids)
+    got = packing.pack(spark.createDataFrame([("x", "a b"), (None, "c")], "doc_id string, text string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(["x", None])
+
+
+def test_ids_of_odd_words_are_the_tokenizers():
+    import public_tokenizers
+
+    words = packing.WordCache(public_tokenizers.path("word_bpe_49k.json"))
+    assert words.pattern is not None
+    odd = ["don't", "It'S", "ABC123def", "x²½y", "ﬁne", "İstanbul", "Σίσυφος", "e\u0301a", "a\u00a0b", "a\x1cb", "\x85", "<|endoftext|>", "a<|startoftext|>b", "<|end", "漢字kana", "%%%rend***", "_a_", "🙂", "Ünïcodeß", "\u00ad", "tok\u0000en"]
+    for w in [*odd, *(w for t in texts() if t and len(t) < 2000 for w in t.replace("\n", " ").split(" "))]:
+        assert np.frombuffer(words.encode(w), "<u4").tolist() == words.tokenizer.encode(w, add_special_tokens=False).ids, w
+
+
+def sequences(plan, sizes, capacity):
+    assert sum((Counter({k: t * n for k, n in Counter(p).items()}) for p, t in plan), Counter()) == sizes
+    assert all(sum(p) <= capacity for p, _ in plan)
+    return sum(t for _, t in plan)
+
+
+def test_bin_completion_meets_bounds_that_best_fit_misses():
+    better = 0
+    for seed in range(30):
+        sizes = Counter(np.random.default_rng(seed).integers(20, 60, 200).tolist())
+        best_fit, found = (sequences(p, sizes, 100) for p in (packing.best_fit(sizes, 100), packing.complete(sizes, 100, nodes=2000)))
+        assert found <= best_fit
+        better += best_fit > found == -(-sum(k * n for k, n in sizes.items()) // 100)
+    assert better >= 5
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_fillings_are_all_that_are_undominated(seed):
+    """Against all subsets: each listed filling is one, and each subset is dominated by or equal to a listed one."""
+    rng = np.random.default_rng(seed)
+    sizes = sorted(rng.integers(5, 60, 7).tolist())
+    room = 100 - sizes[-1]
+    found = list(packing.fillings(packing._Lengths(dict(Counter(sizes))), 100, 100))
+    subsets = {tuple(sorted((k for b, k in enumerate(sizes[:-1]) if m >> b & 1), reverse=True)) for m in range(64)}
+    fit = {f for f in subsets if sum(f) <= room}
+    assert {f[1:] for f in found} <= fit and all(f[0] == sizes[-1] for f in found) and len(set(found)) == len(found)
+
+    def fits_into(a, b):
+        """Whether the pieces of a can be dealt into those of b."""
+        return not a or any(b[i] >= a[0] and fits_into(a[1:], [*b[:i], b[i] - a[0], *b[i + 1 :]]) for i in range(len(b)))
+
+    assert all(any(fits_into(list(f), list(g[1:])) for g in found) for f in fit)
+    assert [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+
+
+@pytest.mark.parametrize("seed", range(8))
 def test_bin_completion_against_all_packings(seed):
     """Few pieces: as few bins as an exhaustive search finds; never worse than best fit."""
     rng = np.random.default_rng(seed)
@@ -139,9 +193,7 @@ def test_bin_completion_against_all_packings(seed):
         place(i + 1, [*bins, sizes[i]])
 
     place(0, [])
-    plan = packing.complete(dict(Counter(sizes)), 100)
-    assert sum((Counter({k: t * n for k, n in Counter(p).items()}) for p, t in plan), Counter()) == Counter(sizes)
-    assert all(sum(p) <= 100 for p, _ in plan) and sum(t for _, t in plan) == least[0]
+    assert sequences(packing.complete(dict(Counter(sizes)), 100, nodes=None), Counter(sizes), 100) == least[0]
 
 
 def test_token_counts_are_the_tokenizers(spark):
