@@ -92,7 +92,7 @@ def plain_matches(text, item, k=5):
     words, own = ((x or "").encode().lower().split() for x in (text, item))
     bag = lambda ws: Counter(tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1)))
     best = 0
-    for i in range(len(words) - len(own) + 1):
+    for i in range(max(1, len(words) - len(own) + 1) if words else 0):
         if own:
             a, b = bag(words[i : i + len(own)]), bag(own)
             best = max(best, (a & b).total() / (a | b).total())
@@ -117,6 +117,38 @@ def test_decontamination_against_all_windows(spark):
     assert decontaminate.keep_clean(documents(spark), bench.limit(0)).count() == len(rows())
 
 
+@pytest.mark.parametrize("part", [2000, 3])
+def test_benchmark_ids_of_any_kind(spark, part):
+    """Null and text ids count; a text shorter than its item is compared as a whole; parts find what one part finds."""
+    items = [(None, prose(1, 50)), ("b", prose(2, 60)), ("a", prose(2, 60)), ("c", prose(3, 7)), (None, None), ("d", ""), ("e", prose(5, 40)), ("f", prose(6, 30))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = documents(spark, [(i, t, *[None] * 7) for i, t in enumerate([f"x {prose(1, 50)} y", prose(2, 60), " ".join(prose(5, 40).split()[:38]), " ".join(prose(6, 30).split()[:20]), "", None])])
+    got = {r.row.doc_id: sorted((m.item or "", round(m.similarity, 3)) for m in r.found) for r in decontaminate.matched(docs, bench, part=part).collect()}
+    assert got == {0: [("", 1.0)], 1: [("a", 1.0), ("b", 1.0)], 2: [("e", round(34 / 36, 3))], 3: [], 4: [], 5: []}
+    best = {r.doc_id: r.best_item for r in decontaminate.report(docs, bench).collect()}
+    assert best == {0: None, 1: "a", 2: "e", 3: None, 4: None, 5: None}
+
+
+def test_blocks_list_few_unrelated_items_and_all_within_their_radius():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    hashes = [rng.integers(0, 2**64, 40, np.uint64) for _ in range(300)]
+    index = decontaminate.Index(44, list(range(300)), hashes)
+    _, item = index.listed(rng.integers(0, 2**16, (500, decontaminate.BLOCKS)).astype(np.uint16))
+    assert len(item) / (500 * 300) < 0.05
+    for bits in (1, 20, 35):
+        prints = index.prints.copy()
+        for row in prints:
+            for b in rng.choice(decontaminate.BITS, bits, replace=False):
+                row[b // 16] ^= np.uint16(1 << int(b % 16))
+        assert {(i, i) for i in range(300)} <= set(zip(*(x.tolist() for x in index.candidates(prints)), strict=True))
+    # windows that share 36 of 40 shingles with an item: similarity 36 / 44
+    near = np.concatenate([decontaminate.majority(decontaminate.spread(np.r_[h[:36], rng.integers(0, 2**64, 4, np.uint64)]).sum(axis=0, dtype=np.int64)[None, :], 40) for h in hashes])
+    found = set(zip(*(x.tolist() for x in index.candidates(near)), strict=True))
+    assert sum((i, i) in found for i in range(300)) >= 297
+
+
 ARTICLE = "<article><header><h1>T &amp; x</h1></header><p>one\n two<br>three<div class='share'>no</div><p>four<aside>no</aside><section id=comments>no</section></article>"
 PAGES = [
     ("http://a.b/1", f"<html><head><title>no</title></head><body><nav>no</nav><div class='ad'>no</div>{ARTICLE}<footer>no</footer><script>var t='</p>'</script>", "T & x\none two three\nfour"),
