@@ -98,10 +98,35 @@ def test_quality_counts(spark):
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and r.kept == (not r.base_failed)
 
 
-def test_forest_separates_labelled_rows(spark):
-    got = queries.op2_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("not base_failed")
+def test_forest_separates_rows_that_it_was_not_fitted_on(spark):
+    """Labels of one half of the ids fit and calibrate; the other half is judged."""
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2))
+    got = quality.rate(docs, labels.filter(fold == 0)).join(labels.filter(fold == 1), "doc_id").filter("not base_failed").cache()
     bad, good = got.filter("quality = 0"), got.filter("quality = 1")
-    assert bad.filter("kept").count() <= 0.1 * max(1, bad.count()) and good.filter("not kept").count() <= 0.05 * good.count()
+    assert bad.count() > 5 and bad.filter("kept").count() <= 0.1 * bad.count() and good.filter("not kept").count() <= 0.05 * good.count()
+
+
+def test_verdicts_by_plain_path_lengths(spark):
+    """Each tree walked by hand, row by row."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        n, _, _, _, repeats, *shares = quality.statistics(r.text)
+        x = [v - h if v > h else v - lo if v < lo else 0.0 for v, lo, h in zip(shares, model.low, model.high)]
+        depth = 0.0
+        for feature, split, left, right, path in model.forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if x[feature[at]] <= split[at] else right[at]
+            depth += path[at]
+        size = model.forest.size
+        usual = 2 * (math.log(size - 1) + np.euler_gamma) - 2 * (size - 1) / size
+        anomaly = 2 ** (-depth / len(model.forest.trees) / usual)
+        failed = n < 20 or 100 * repeats > 30 * n
+        want[r.doc_id] = (failed, not failed and anomaly <= model.threshold, round(anomaly, 9))
+    assert {r.doc_id: (r.base_failed, r.kept, round(r.anomaly, 9)) for r in quality.rate(docs, labels).collect()} == want
 
 
 def test_packing_is_exact(spark):
