@@ -3,14 +3,20 @@
 P(text) is the product over its tokens of P(class | class before) * P(token | class). Tokens
 are words (A-Z in lower case) and one end a text; the class before the first is the end's.
 
-Every word belongs to a unit: the UNITS most frequent words are units of their own, all others
-share a unit by the last letters of the word (SUFFIX_UNITS of them), so rare and unseen words
-have a class as well. Classes start by frequency rank modulo CLASSES, which puts the most
-frequent words into classes of their own. An exchange pass counts, over the whole training
-corpus, how often each unit follows and precedes each class, and moves each unit to the class
-with the highest likelihood of the class bigrams around it; PASSES passes run. The counts have
-units * classes cells, whatever the corpus size, and are summed by Spark; the end is a class
-of its own that never moves.
+Every word belongs to a unit: each of the at most HEAD_WORDS most frequent words is a unit of
+its own, all others share a unit by their last letters (SUFFIX_UNITS of them), so rare and
+unseen words have a class as well. Classes start by frequency rank modulo CLASSES, which puts
+the most frequent words into classes of their own. Exchange works on the EXCHANGED most
+frequent words and the endings, with the other words in the class of their ending: a pass
+counts, over the whole training corpus, how often each unit follows and precedes each class,
+gives the log likelihood of the classes that it counted with, and proposes for each unit the
+class with the highest likelihood of the class bigrams around it. All or a part of the units
+move at once; where the next pass finds a lower likelihood, the moves are taken back and half
+as many are tried, so the likelihood that is kept never falls. It ends after PASSES passes, or
+when a pass gains less than TOLERANCE of the likelihood. Then every other word of the head is
+given the class of the highest likelihood around it, kept again only if the whole gains by it.
+The end is a class of its own that never moves. Counts are summed by Spark; the cells of a
+unit are at most 2 * CLASSES, whatever the corpus size.
 
 Transitions: (bigrams + TRANSITION * P(class)) / (class before + TRANSITION). Emissions:
 (c + EMISSION) / (words in class + EMISSION * (distinct words in class + 1)), where the last
@@ -41,22 +47,26 @@ from pyspark.sql import functions as F
 from .common import lower_words, materialize, stored
 
 CLASSES = 48
-UNITS = 12_000
+EXCHANGED = 12_000
 SUFFIX_UNITS = 4_096
 SUFFIX = 3
-PASSES = 4
+PASSES = 5
+TOLERANCE = 1e-4
 HEAD_WORDS = 200_000
 TRANSITION = 5.0
 EMISSION = 0.3
 END = b" "  # no word holds a space
 FLUSH = 400_000
-#: Tokens that one step of a pass counts; tasks that add up what units bound.
+#: Tokens that one step of a pass counts.
 COUNTED = 1 << 20
-FEW_TASKS = 8
 
 
 def suffix_unit(word: bytes) -> int:
-    return zlib.crc32(word[-SUFFIX:]) % SUFFIX_UNITS
+    """By the last SUFFIX bytes, and those before them that belong to the same character."""
+    n = SUFFIX
+    while n < len(word) and word[-n] & 0xC0 == 0x80:
+        n += 1
+    return zlib.crc32(word[-n:]) % SUFFIX_UNITS
 
 
 def word_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
@@ -91,20 +101,22 @@ def head_of(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
 
 
 class Vocabulary:
-    """Units of words: the end is 0, then the most frequent words, then suffixes.
+    """Units of words: the end is 0, then the words of the head by frequency, then endings.
 
-    Words of the head have an index, which arrays of units and counts are read by; other
-    words have the index -1, and the arrays a last element for it.
+    Words of the head have an index, which is their unit too; other words have the index -1,
+    and the array of counts a last element for it.
     """
 
-    def __init__(self, head: dict[bytes, int], ends: int, units: int = UNITS):
+    def __init__(self, head: dict[bytes, int], ends: int, exchanged: int | None = None):
         words = [w for w in head if w != END]
-        self.own = min(units, len(words))
+        self.own = len(words)
         self.size = 1 + self.own + SUFFIX_UNITS
         self.index = {w: i for i, w in enumerate([END, *words])}
-        own = [i + 1 if i < self.own else 1 + self.own + suffix_unit(w) for i, w in enumerate(words)]
-        self.units = np.array([0, *own, 0], np.int32)
         self.counts = np.array([ends, *(head[w] for w in words), 0], np.int64)
+        #: By unit: the unit that it moves with during exchange.
+        self.leader = np.arange(self.size, dtype=np.int32)
+        first = 1 + min(EXCHANGED if exchanged is None else exchanged, self.own)
+        self.leader[first : 1 + self.own] = [1 + self.own + suffix_unit(w) for w in words[first - 1 :]]
 
     def tokens(self, texts: Iterable[str | None]) -> tuple[list[bytes], np.ndarray]:
         """The tokens of all texts in turn, an end after each text, and where each text starts."""
@@ -120,7 +132,7 @@ class Vocabulary:
 
     def of(self, tokens: list[bytes], indices: np.ndarray) -> np.ndarray:
         """Unit of each token."""
-        units, first = self.units[indices], 1 + self.own
+        units, first = indices.copy(), 1 + self.own
         for i in np.flatnonzero(indices < 0).tolist():
             units[i] = first + suffix_unit(tokens[i])
         return units
@@ -146,71 +158,99 @@ def encoded(train: DataFrame, vocabulary, text_col: str = "text") -> DataFrame:
     return stored(train.select(F.col(text_col).alias("text")).mapInArrow(encode, "units array<int>"))
 
 
-def _rows_of_units(total: np.ndarray) -> pa.RecordBatch:
-    """Counts by (unit, at) as one row a unit that has any."""
-    unit, at = np.nonzero(total)
-    starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(unit[starts].astype(np.int32)), lists(starts, pa.array(at.astype(np.int32))), lists(starts, pa.array(total[unit, at]))], ["unit", "at", "n"])
+class _Cells:
+    """Counts by (unit, at) as sorted keys, added up whenever many have come."""
 
+    def __init__(self, width: int):
+        self.width, self.keys, self.counts, self.waiting = width, [], [], 0
 
-def unit_contexts(train: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
-    """(unit, at, n) for each unit: how often it follows class c (at = c) and precedes it (at = k + c).
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        if counts is None:
+            keys, counts = np.unique(keys, return_counts=True)
+        self.keys.append(keys), self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting > 2 * len(self.keys[0]) + COUNTED:
+            self.settle()
 
-    train: rows of units, as encoded gives them. A task counts all its texts and hands on one
-    row a unit, which bounds the shuffle by tasks * units; a unit's rows are added up where
-    they meet.
+    def settle(self) -> None:
+        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        self.keys, self.counts, self.waiting = [keys], [np.bincount(at, np.concatenate(self.counts), len(keys)).astype(np.int64)], 0
+
+    def rows(self) -> pa.RecordBatch:
+        """One row a unit that has any."""
+        if self.keys:
+            self.settle()
+        key, n = (self.keys[0], self.counts[0]) if self.keys else (np.empty(0, np.int64), np.empty(0, np.int64))
+        unit, at = np.divmod(key, self.width)
+        starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(unit[starts].astype(np.int32)), lists(starts, pa.array(at.astype(np.int32))), lists(starts, pa.array(n))], ["unit", "at", "n"])
+
+
+def unit_contexts(train: DataFrame, classes: np.ndarray, k: int, leader: np.ndarray, some: np.ndarray | None = None) -> DataFrame:
+    """(unit, at, n) for each leading unit: how often it and those it leads follow class c (at = c) and precede it (at = k + c).
+
+    train: rows of units, as encoded gives them; some: which units to count, all by default. A
+    task counts all its texts and hands on one row a unit, which bounds the shuffle by tasks *
+    units; a unit's rows are added up where they meet.
     """
-    size, schema = len(classes), "unit int, at array<int>, n array<long>"
+    schema = "unit int, at array<int>, n array<long>"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * 2 * k, np.int64)
+        cells = _Cells(2 * k)
         for batch in batches:
             after = batch.column(0).flatten().to_numpy()
             before = np.concatenate([[0], after[:-1]]) if len(after) else after  # a text ends with the unit 0
             for at in range(0, len(after), COUNTED):
-                u, v = before[at : at + COUNTED].astype(np.int64), after[at : at + COUNTED].astype(np.int64)
-                total += np.bincount(np.concatenate([v * 2 * k + classes[u], u * 2 * k + k + classes[v]]), minlength=len(total))
-        yield _rows_of_units(total.reshape(size, 2 * k))
+                u, v = before[at : at + COUNTED], after[at : at + COUNTED]
+                follows, precedes = leader[v].astype(np.int64) * 2 * k + classes[u], leader[u].astype(np.int64) * 2 * k + k + classes[v]
+                if some is not None:
+                    follows, precedes = follows[some[v]], precedes[some[u]]
+                cells.add(np.concatenate([follows, precedes]))
+        yield cells.rows()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, 2 * k), np.int64)
+        cells = _Cells(2 * k)
         for batch in batches:
             at = batch.column(1)
-            unit = np.repeat(batch.column(0).to_numpy(), at.value_lengths().to_numpy())
-            np.add.at(total, (unit, at.flatten().to_numpy()), batch.column(2).flatten().to_numpy())
-        yield _rows_of_units(total)
+            unit = np.repeat(batch.column(0).to_numpy().astype(np.int64), at.value_lengths().to_numpy())
+            cells.add(unit * 2 * k + at.flatten().to_numpy(), batch.column(2).flatten().to_numpy())
+        yield cells.rows()
 
     return materialize(train.mapInArrow(count, schema).repartition("unit").mapInArrow(add, schema))
 
 
-def class_bigrams(contexts: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
-    """Counts by (class, class after): at most k * k rows come to the driver.
+def class_bigrams(units: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+    """Counts by (class, class after): at most k * k rows a task come together."""
 
-    There are at most as many contexts as units, whatever the corpus size, so few tasks add them up.
-    """
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k), np.int64)
-        for frame in frames:
-            for unit, at, n in zip(frame["unit"], frame["at"], frame["n"], strict=True):
-                at = np.asarray(at)
-                total[classes[unit], at[at >= k] - k] += np.asarray(n)[at >= k]
-        yield pd.DataFrame({"cell": np.flatnonzero(total), "n": total.ravel()[np.flatnonzero(total)]})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            path = classes[batch.column(0).flatten().to_numpy()]
+            if len(path):
+                total += np.bincount(np.concatenate([[0], path[:-1]]) * k + path, minlength=k * k)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "n"])
 
     out = np.zeros(k * k)
-    for r in contexts.coalesce(FEW_TASKS).mapInPandas(add, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in units.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r["cell"]] = r["n"]
     return out.reshape(k, k)
 
 
-def exchange(contexts: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
-    """The best class of each unit, given the class bigrams that all units make now.
+def log_likelihood(bigrams: np.ndarray) -> float:
+    """Of the class bigrams, less the part that the words' own counts give whatever their classes are."""
+    part = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    return part(bigrams) - part(bigrams.sum(axis=0)) - part(bigrams.sum(axis=1))
+
+
+def best_classes(contexts: DataFrame, classes: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """The best class of each unit that has contexts, given the class bigrams that all units make now.
 
     Moving unit u into class c scores the bigrams around u by how the members of c meet those
     contexts: sum of follows(u, d) * log P(c | d) and precedes(u, d) * log P(d | c), less
     u's count times the log of the class's size, which emissions pay for.
     """
-    bigrams = class_bigrams(contexts, classes, k)
+    k = len(bigrams)
     log_after = np.log((bigrams + 0.5) / (bigrams.sum(axis=1, keepdims=True) + 0.5 * k))
     log_size = np.log(bigrams.sum(axis=1) + 1.0)
 
@@ -224,15 +264,49 @@ def exchange(contexts: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
         return pd.Series(score.argmax(axis=1))
 
     out = classes.copy()
-    for r in contexts.filter("unit > 0").select("unit", best("at", "n").alias("c")).collect():
-        out[r["unit"]] = r["c"]
+    found = contexts.filter("unit > 0").select("unit", best("at", "n").alias("c")).toArrow()
+    out[found["unit"].to_numpy()] = found["c"].to_numpy()
     return out
 
 
+def clustered(units: DataFrame, vocabulary: Vocabulary, k: int, passes: int, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Class of each unit, class bigrams, and the log likelihoods that were kept, one after the other."""
+    leader = vocabulary.leader
+    classes = np.zeros(vocabulary.size, np.int64)
+    classes[1:] = 1 + np.arange(vocabulary.size - 1) % (k - 1)
+    classes = classes[leader]
+    kept: list[float] = []
+    share = 1.0
+    for i in range(passes + 1):
+        bigrams = class_bigrams(units, classes, k)
+        now = log_likelihood(bigrams)
+        if not kept or now > kept[-1]:
+            gain = (now - kept[-1]) / max(abs(now), 1.0) if kept else np.inf
+            kept.append(now)
+            best, best_bigrams = classes, bigrams
+            if gain < tolerance or i == passes:
+                break
+            proposed = best_classes(unit_contexts(units, classes, k, leader), classes, bigrams)[leader]
+        else:
+            share /= 2
+        moving = np.random.default_rng(i).random(vocabulary.size) < share
+        classes = np.where(moving[leader], proposed, best)
+    # the other words of the head, each by its own contexts
+    others = leader != np.arange(len(leader))
+    if others.any():
+        contexts = unit_contexts(units, best, k, np.arange(len(leader), dtype=np.int32), others)
+        classes = best_classes(contexts, best, best_bigrams)
+        bigrams = class_bigrams(units, classes, k)
+        if (now := log_likelihood(bigrams)) > kept[-1]:
+            kept.append(now)
+            best, best_bigrams = classes, bigrams
+    return best, best_bigrams, kept
+
+
 class Model:
-    def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, log_transition: np.ndarray, log_room: np.ndarray, tokens: int, types: int):
+    def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, log_transition: np.ndarray, log_room: np.ndarray, tokens: int, types: int, likelihoods: list[float]):
         self.vocabulary, self.classes, self.log_transition, self.log_room = vocabulary, classes, log_transition, log_room
-        self.tokens, self.types = tokens, types
+        self.tokens, self.types, self.likelihoods = tokens, types, likelihoods
 
 
 def fit(train: DataFrame, counts: DataFrame, k: int = CLASSES, passes: int = PASSES) -> Model:
@@ -242,12 +316,7 @@ def fit(train: DataFrame, counts: DataFrame, k: int = CLASSES, passes: int = PAS
     ends = counts.filter(F.col("word") == F.lit(bytearray(END))).first()
     vocabulary = Vocabulary(head, ends["n"] if ends else 0)
     shared = context.broadcast(vocabulary)
-    classes = np.zeros(vocabulary.size, np.int64)
-    classes[1:] = 1 + np.arange(vocabulary.size - 1) % (k - 1)
-    units = encoded(train, shared)
-    for _ in range(passes):
-        classes = exchange(unit_contexts(units, classes, k), classes, k)
-    bigrams = class_bigrams(unit_contexts(units, classes, k), classes, k)
+    classes, bigrams, likelihoods = clustered(encoded(train, shared), vocabulary, k, passes)
     sizes = bigrams.sum(axis=0)
     transition = (bigrams + TRANSITION * ((sizes + 1) / (sizes.sum() + k))[None, :]) / (bigrams.sum(axis=1, keepdims=True) + TRANSITION)
 
@@ -262,7 +331,7 @@ def fit(train: DataFrame, counts: DataFrame, k: int = CLASSES, passes: int = PAS
     np.add.at(n, at, by_unit["n"].to_numpy(float))
     np.add.at(types, at, by_unit["types"].to_numpy(float))
     room = n + EMISSION * (types + 1)
-    return Model(vocabulary, classes, np.log10(transition), np.log10(room), int(by_unit["n"].sum()), int(by_unit["types"].sum()))
+    return Model(vocabulary, classes, np.log10(transition), np.log10(room), int(by_unit["n"].sum()), int(by_unit["types"].sum()), likelihoods)
 
 
 def scored(docs: DataFrame, held_out: Column, text_col: str = "text") -> DataFrame:

@@ -61,7 +61,7 @@ def test_language_of_odd_rows(spark):
 @pytest.mark.parametrize("some", [None, []])
 def test_class_model_base(spark, monkeypatch, some):
     monkeypatch.setattr(brown, "HEAD_WORDS", 30)
-    monkeypatch.setattr(brown, "UNITS", 10)
+    monkeypatch.setattr(brown, "EXCHANGED", 10)
     docs = documents(spark, some)
     got = brown.scored(docs, id_bucket("doc_id", 7) == 2).collect()
     held = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", (id_bucket("doc_id", 7) == 2).alias("h")).collect()}
@@ -77,6 +77,47 @@ def test_class_model_base(spark, monkeypatch, some):
     assert all(r.score < 0 for r in got)
 
 
+def test_class_model_score_token_by_token(spark, monkeypatch):
+    """Scores, class bigrams and likelihoods from plain counts over the classes that were learned."""
+    import numpy as np
+
+    monkeypatch.setattr(brown, "HEAD_WORDS", 60)
+    monkeypatch.setattr(brown, "EXCHANGED", 20)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter(F.length("text") < 5_000)
+    held = id_bucket("doc_id", 7) == 2
+    texts = [(r.doc_id, r.text, r.h) for r in docs.select("doc_id", "text", held.alias("h")).collect()]
+    m = brown.fit(docs.filter(~held), brown.word_counts(docs.filter(~held)), k=6)
+    tokens = lambda t: [*(t or "").encode().lower().split(), b" "]
+    unit = lambda w: m.vocabulary.index.get(w, 1 + m.vocabulary.own + brown.suffix_unit(w) if w not in m.vocabulary.index else 0)
+    counts, bigrams, size, types = Counter(), np.zeros((6, 6)), np.zeros(6), np.zeros(6)
+    for _, t, h in texts:
+        if not h:
+            before = 0
+            for w in tokens(t):
+                counts[w] += 1
+                c = m.classes[unit(w)]
+                bigrams[before, c] += 1
+                before = c
+    for w, n in counts.items():
+        size[m.classes[unit(w)]] += n
+        types[m.classes[unit(w)]] += 1
+    assert m.classes[0] == 0 and (m.classes[1:] > 0).all()
+    assert m.likelihoods == sorted(m.likelihoods) and len(m.likelihoods) > 1
+    part = lambda x: sum(v * math.log(v) for v in np.ravel(x) if v)
+    assert m.likelihoods[-1] == pytest.approx(part(bigrams) - part(bigrams.sum(axis=0)) - part(bigrams.sum(axis=1)))
+    prior = (bigrams.sum(axis=0) + 1) / (bigrams.sum() + 6)
+    monkeypatch.setattr(brown, "fit", lambda *_: m)
+    got = {r.doc_id: r.score for r in brown.scored(docs, held).collect()}
+    for doc_id, t, _ in texts:
+        want, before = 0.0, 0
+        for w in tokens(t):
+            c = m.classes[unit(w)]
+            want += math.log10((bigrams[before, c] + brown.TRANSITION * prior[c]) / (bigrams[before].sum() + brown.TRANSITION))
+            want += math.log10((counts[w] + brown.EMISSION) / (size[c] + brown.EMISSION * (types[c] + 1)))
+            before = c
+        assert got[doc_id] == pytest.approx(want, rel=1e-9), doc_id
+
+
 def test_class_model_is_a_distribution(spark):
     """Known words and one unknown a class sum to 1 after any class; held-out texts score better than by unigrams."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter(F.length("text") < 20_000)
