@@ -47,6 +47,53 @@ def test_forward_algorithm():
         assert langid.Lattice(pieces).long_score(w, p) == pytest.approx(row)
 
 
+def test_expected_uses_of_pieces():
+    """Against all segmentations, weighted by their probability; words of any length, and pieces of tiny probability."""
+    import numpy as np
+
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba"]
+    lattice = langid.Lattice(pieces)
+    for low in (1.0, 1e-100):
+        p = np.random.default_rng(2).dirichlet(np.ones(len(pieces) + 1)) * np.where(np.arange(8) == 3, low, 1.0)
+        p = np.append(p, 0.0)
+        words, counts = ["▁abab", "▁bca", "▁a", "▁aaba", "▁bbb"], np.array([3.0, 1.0, 2.0, 5.0, 4.0])
+        want, likely = np.zeros(9), 0.0
+        for w, c in zip(words, counts):
+            ways = [([], 1.0, 0)]
+            done = []
+            while ways:
+                used, q, at = ways.pop()
+                if at == len(w):
+                    done.append((used, q))
+                    continue
+                for end in range(at + 1, len(w) + 1):
+                    if w[at:end] in pieces:
+                        ways.append(([*used, pieces.index(w[at:end]) + 1], q * p[pieces.index(w[at:end]) + 1], end))
+                if w[at] not in pieces:
+                    ways.append(([*used, 0], q * p[0], at + 1))
+            total = sum(q for _, q in done)
+            likely += c * math.log(total)
+            for used, q in done:
+                for u in used:
+                    want[u] += c * q / total
+        got, alone = np.zeros(9), np.zeros(9)
+        assert lattice.expected(words, counts, p, got) == pytest.approx(likely)
+        assert got == pytest.approx(want)
+        assert sum(lattice.long_expected(w, c, p, alone) for w, c in zip(words, counts)) == pytest.approx(likely)
+        assert alone == pytest.approx(want)
+
+
+def test_language_training_raises_the_likelihood(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pieces = langid.letter_pieces(__import__("public_tokenizers").path("piece_bpe_32k.model"))
+    model = langid.train(docs, pieces, steps=4, tolerance=0)
+    assert len(model.likelihoods) == 4 and model.likelihoods == sorted(model.likelihoods)
+    assert langid.words_of("Ab²c½ dⅧe 漢字_一x9") == ["ab", "c", "d", "e", "漢字", "一x"]
+    long = documents(spark, [(1, "ab" * 50 + " abc " * 9, "xx", None, 1, 1, 1, "", ""), (2, "ö" * 90, "yy", None, 1, 1, 1, "", "")])
+    own = langid.train(long, pieces)
+    assert {r.lang: r.p.lang_pred for r in long.select("lang", langid.predicted(own).alias("p")).collect()} == {"xx": "xx", "yy": "yy"}
+
+
 def test_language_of_odd_rows(spark):
     model = langid.train(documents(spark), langid.letter_pieces(__import__("public_tokenizers").path("piece_bpe_32k.model")))
     docs = documents(spark)
