@@ -16,7 +16,7 @@ FACTS: dict[str, str] = {}
 FACTS["class_f"] = """
 SELECT s_suppkey AS class_id, 0 AS project_id,
   'C' || CAST(s_suppkey AS STRING) || CASE s_suppkey % 4 WHEN 0 THEN 'Controller' WHEN 1 THEN 'Service' WHEN 2 THEN 'Mapper' ELSE 'Impl' END AS class_name,
-  'com.' || lower(replace(n_name, ' ', '_')) AS package_name,
+  'com.' || lower(replace(n_name, ' ', '_')) || CASE WHEN s_suppkey % 20 = 3 THEN '.dao' WHEN s_suppkey % 20 = 5 THEN '.mapper' ELSE '' END AS package_name,
   CASE WHEN s_suppkey % 10 < 2 THEN 'Interface' ELSE 'Class' END AS class_type,
   CASE WHEN s_suppkey % 10 >= 5 THEN s_suppkey - 3 END AS extends_id,
   CASE WHEN s_suppkey % 10 >= 2 THEN s_suppkey - s_suppkey % 10 + s_suppkey % 2 WHEN s_suppkey % 10 = 1 THEN s_suppkey - 1 END AS implements_id,
@@ -87,6 +87,24 @@ SELECT CAST(p_partkey AS BIGINT) AS stmt_id, CAST(p_partkey % (SELECT count(*) F
 FROM {part}
 """
 
+FACTS["import_f"] = """
+SELECT c.class_id, t.package_name || '.' || t.class_name AS import_path, false AS is_wildcard FROM {class_f} c CROSS JOIN (SELECT count(*) AS n FROM {supplier}) z JOIN {class_f} t ON t.class_id = (c.class_id * 7 + 3) % z.n
+UNION ALL
+SELECT c.class_id, t.package_name, true FROM {class_f} c CROSS JOIN (SELECT count(*) AS n FROM {supplier}) z JOIN {class_f} t ON t.class_id = (c.class_id * 3 + 1) % z.n WHERE c.class_id % 4 = 1
+"""
+
+FACTS["field_f"] = """
+SELECT CAST(p_partkey AS BIGINT) AS field_id, CAST(p_partkey % (SELECT count(*) FROM {supplier}) AS BIGINT) AS class_id, 'field' || CAST(p_size AS STRING) AS field_name, coalesce(c.class_name, 'String') AS field_type
+FROM {part} LEFT JOIN {class_f} c ON c.class_id = p_partkey % 97
+"""
+
+FACTS["cache_f"] = """
+SELECT conv_id * 1000 + turn AS id, CASE turn % 2 WHEN 0 THEN 'single' ELSE 'chain' END AS analysis_type, role AS direction, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE 'v' || CAST(conv_id % 2 AS STRING) END AS baseline,
+  CASE WHEN conv_id % 5 = 0 THEN '' ELSE 'v9' END AS version, 'C' || CAST(conv_id % 4 AS STRING) AS class_name, 'm' || CAST(turn % 3 AS STRING) AS method_name, CASE conv_id % 2 WHEN 0 THEN 'ADDED' ELSE 'MODIFIED' END AS change_type,
+  CAST(turn AS INT) AS created_at, text AS analysis_result
+FROM {conversations}
+"""
+
 FACTS["task_f"] = """
 SELECT CAST(o_orderkey AS BIGINT) AS task_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'pending' END AS status,
   'git@host:group/p' || CAST(o_custkey % 50 AS STRING) || '.git' AS git_url, 'u' || CAST(o_custkey % 17 AS STRING) AS user_name,

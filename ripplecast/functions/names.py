@@ -161,3 +161,9 @@ def overload_variants(types: Column, most: int = 1000) -> Column:
     start = F.array(F.array().cast("array<string>"))
     grow = lambda lists, t: F.slice(F.flatten(F.transform(lists, lambda a: F.transform(choices(t), lambda c: F.concat(a, F.array(c))))), 1, most)
     return F.aggregate(types, start, grow)
+
+
+def body_lines(body: Column) -> Column:
+    """A stored body as lines: a JSON list of them, else the text as one line; none for a null or empty body."""
+    read = F.from_json(body, "array<string>")
+    return F.when(body.isNull() | (body == ""), F.array().cast("array<string>")).otherwise(F.coalesce(read, F.array(body)))

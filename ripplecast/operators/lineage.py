@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext as S
 
+# What names a data access class, and what is part of its package.
+DAO_CLASSES = "(Mapper|Dao|Repository)$"
+DAO_PACKAGES = [".mapper.", ".dao."]
+
+
 def dao_methods(methods: DataFrame, classes: DataFrame, statements: DataFrame) -> DataFrame:
-    """(method_id, is_dao): by class suffix, or linked to a statement."""
+    """(method_id, is_dao): by class suffix, by package part, or linked to a statement."""
     linked = statements.filter("linked_method_id is not null").select(F.col("linked_method_id").alias("method_id"), F.lit(True).alias("linked")).distinct()
-    named = F.lower("class_name").endswith("mapper") | F.lower("class_name").endswith("dao")
-    rows = methods.join(classes.select("class_id", "class_name"), "class_id").join(linked, "method_id", "left")
+    full_name = F.concat_ws(".", "package_name", "class_name")
+    named = F.col("class_name").rlike(DAO_CLASSES)
+    for part in DAO_PACKAGES:
+        named = named | full_name.contains(part)
+    rows = methods.join(classes.select("class_id", "class_name", "package_name"), "class_id").join(linked, "method_id", "left")
     return rows.select("method_id", (named | F.coalesce("linked", F.lit(False))).alias("is_dao"))
 
 

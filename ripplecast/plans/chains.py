@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..facts import Facts
 from ..operators import entries, graph, lookup
+from ..operators.hierarchy import implementing_methods
 from ..registry import query
 from ..session import written
+from ..sources import documents
+from .relational import BELOW, OVERRIDES
 
 DEPTH = 5
 
@@ -51,7 +56,6 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
 
 @query("G01_forward_chains", DOWN + "SELECT root_id, depth, node_id, path, is_cyclic FROM down")
-@query("P04_downwards_document", DOWN + "SELECT root_id, depth, node_id, path, is_cyclic FROM down")
 def g01(f: Facts) -> DataFrame:
     return nodes_of(down(f))
 
@@ -61,28 +65,52 @@ def g02(f: Facts) -> DataFrame:
     return nodes_of(up(f))
 
 
-CHA = """SELECT a.method_id AS src, b.method_id AS dst, CAST(0 AS INT) AS line FROM {method_f} a JOIN {class_f} i ON a.class_id = i.class_id AND i.class_type = 'Interface'
-  JOIN {class_f} c ON c.implements_id = i.class_id AND c.class_type = 'Class' JOIN {method_f} b ON b.class_id = c.class_id AND b.method_name = a.method_name"""
+#: Calls, and steps from an interface's method to those that implement it; DOWN's walk over them.
+CHA_DOWN = f"""WITH RECURSIVE b AS ({BELOW}), g AS (SELECT interface_method AS src, implementing_method AS dst FROM ({OVERRIDES}) o UNION SELECT caller_id, callee_id FROM {{edge_f}}),
+  walk AS (SELECT method_id AS root_id, 0 AS depth, method_id AS node_id, [method_id] AS seen, false AS is_cyclic FROM {{method_f}} WHERE change_type <> 'UNCHANGED'
+    UNION ALL SELECT root_id, depth + 1, g.dst, list_append(seen, g.dst), list_contains(seen, g.dst) FROM walk JOIN g ON g.src = walk.node_id WHERE NOT is_cyclic AND depth < {DEPTH})
+"""
+
+
+def down_with_implementations(f: Facts) -> DataFrame:
+    """Chains of all changed methods along calls and interface-to-implementation steps."""
+    steps = implementing_methods(f.method_f, f.class_f).union(f.edge_f.select("caller_id", "callee_id")).distinct()
+    edges = written(steps.toDF("src", "dst").withColumn("line", F.lit(None).cast("int")))
+    return graph.chains(roots(f), edges, DEPTH)
+
+
+def linked_statements(f: Facts) -> DataFrame:
+    return f.stmt_f.filter("linked_method_id IS NOT NULL").select(F.col("linked_method_id").alias("node_id"), "stmt_id", "sql_type", "sql_content")
 
 
-@query("G03_chains_with_sql", f"""WITH RECURSIVE g AS (SELECT src, dst FROM ({CHA}) x UNION SELECT caller_id, callee_id FROM {{edge_f}}),
-  walk AS (SELECT method_id AS root_id, 0 AS depth, method_id AS node_id, [method_id] AS seen, false AS cyc FROM {{method_f}} WHERE change_type = 'MODIFIED'
-    UNION ALL SELECT root_id, depth + 1, g.dst, list_append(seen, g.dst), list_contains(seen, g.dst) FROM walk JOIN g ON g.src = walk.node_id WHERE NOT cyc AND depth < 3)
-  SELECT w.root_id, w.depth, w.node_id, s.stmt_id FROM walk w JOIN {{stmt_f}} s ON s.linked_method_id = w.node_id""")
-@query("P02_sql_leaves", f"""WITH RECURSIVE g AS (SELECT src, dst FROM ({CHA}) x UNION SELECT caller_id, callee_id FROM {{edge_f}}),
-  walk AS (SELECT method_id AS root_id, 0 AS depth, method_id AS node_id, [method_id] AS seen, false AS cyc FROM {{method_f}} WHERE change_type = 'MODIFIED'
-    UNION ALL SELECT root_id, depth + 1, g.dst, list_append(seen, g.dst), list_contains(seen, g.dst) FROM walk JOIN g ON g.src = walk.node_id WHERE NOT cyc AND depth < 3)
-  SELECT w.root_id, w.depth, w.node_id, s.stmt_id FROM walk w JOIN {{stmt_f}} s ON s.linked_method_id = w.node_id""")
+@query("G03_chains_with_sql", CHA_DOWN + "SELECT w.root_id, w.depth, w.node_id, s.stmt_id FROM walk w JOIN {stmt_f} s ON s.linked_method_id = w.node_id")
 def g03(f: Facts) -> DataFrame:
-    """Calls and interface-to-implementation steps, three deep, with the statements met."""
-    tops = f.method_f.join(f.class_f.filter("class_type = 'Interface'").select("class_id"), "class_id").select(F.col("class_id").alias("implements_id"), "method_name", F.col("method_id").alias("src"))
-    own = f.method_f.join(f.class_f.filter("class_type = 'Class'").select("class_id", "implements_id"), "class_id").select("implements_id", "method_name", F.col("method_id").alias("dst"))
-    cha = tops.join(own, ["implements_id", "method_name"]).select("src", "dst")
-    edges = written(cha.union(f.edge_f.select("caller_id", "callee_id")).distinct().withColumn("line", F.lit(0)))
-    start = f.method_f.filter("change_type = 'MODIFIED'").select(F.col("method_id").alias("root_id"))
-    nodes = graph.chains(start, edges, 3)
-    statements = f.stmt_f.filter("linked_method_id IS NOT NULL").select(F.col("linked_method_id").alias("node_id"), "stmt_id")
-    return nodes.join(statements, "node_id").select("root_id", "depth", "node_id", "stmt_id")
+    """The statements met on every chain of a changed method, with interface calls resolved."""
+    return down_with_implementations(f).join(linked_statements(f), "node_id").select("root_id", "depth", "node_id", "stmt_id")
+
+
+@query("P02_sql_leaves", CHA_DOWN + "SELECT root_id, node_id AS dao_node, stmt_id, min(depth) + 1 AS depth, any_value(sql_type || ': ' || CASE WHEN length(sql_content) > 30 THEN left(sql_content, 30) || '...' ELSE sql_content END) AS label FROM walk JOIN {stmt_f} s ON s.linked_method_id = node_id GROUP BY root_id, node_id, stmt_id")
+def p02(f: Facts) -> DataFrame:
+    """A leaf below each data access node: its statement's kind and the start of its text."""
+    label = F.concat(F.col("sql_type"), F.lit(": "), F.when(F.length("sql_content") > 30, F.concat(F.substring("sql_content", 1, 30), F.lit("..."))).otherwise(F.col("sql_content")))
+    first = down_with_implementations(f).groupBy("root_id", "node_id").agg((F.min("depth") + 1).alias("depth"))
+    return first.join(linked_statements(f), "node_id").select("root_id", F.col("node_id").alias("dao_node"), "stmt_id", "depth", label.alias("label"))
+
+
+DOWN_DOC = "SELECT root_id, count(DISTINCT (node_id, seen)) AS nodes, max(depth) AS depth, count(DISTINCT CASE WHEN is_cyclic THEN (node_id, seen) END) AS cycles, count(DISTINCT CASE WHEN stmt_id IS NOT NULL THEN node_id END) AS dao_nodes, count(DISTINCT stmt_id) AS statements FROM walk LEFT JOIN {stmt_f} s ON s.linked_method_id = node_id GROUP BY root_id"
+
+
+def down_documents(f: Facts) -> DataFrame:
+    """Nodes, depth, cycles, data access methods and statements below each root."""
+    each = down_with_implementations(f).groupBy("root_id", "node_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.count_if("is_cyclic").alias("cycles"))
+    leaves = linked_statements(f).groupBy("node_id").agg(F.count("*").alias("statements"))
+    # statements are linked to one method each, so the numbers of distinct ones add up
+    return each.join(leaves, "node_id", "left").groupBy("root_id").agg(F.sum("nodes").alias("nodes"), F.max("depth").alias("depth"), F.sum("cycles").alias("cycles"), F.count("statements").alias("dao_nodes"), F.coalesce(F.sum("statements"), F.lit(0)).alias("statements"))
+
+
+@query("P04_downwards_document", CHA_DOWN + DOWN_DOC)
+def p04(f: Facts) -> DataFrame:
+    return down_documents(f)
 
 
 def class_edges(f: Facts, column: str) -> DataFrame:
@@ -113,7 +141,6 @@ def supers(f: Facts) -> DataFrame:
 
 
 @query("G06_superclass_method", SUPER + "SELECT DISTINCT ON (class_id, method_name) s.class_id, m.method_name, m.method_id, s.distance FROM s JOIN {method_f} m ON m.class_id = s.super_id ORDER BY s.class_id, m.method_name, s.distance, m.method_id")
-@query("M16_accessor_find", SUPER + "SELECT DISTINCT ON (class_id, method_name) s.class_id, m.method_name, m.method_id, s.distance FROM s JOIN {method_f} m ON m.class_id = s.super_id ORDER BY s.class_id, m.method_name, s.distance, m.method_id")
 def g06(f: Facts) -> DataFrame:
     rows = supers(f).join(f.method_f.select(F.col("class_id").alias("super_id"), "method_name", "method_id"), "super_id")
     return lookup.first_per_key(rows, ["class_id", "method_name"], [F.asc("distance"), F.asc("method_id")]).select("class_id", "method_name", "method_id", "distance")
@@ -123,23 +150,50 @@ INHERITED = SUPER + "SELECT s.class_id, p.brand AS field, min(s.distance) AS dis
 
 
 @query("G07_inherited_fields", INHERITED)
-@query("X05_field_override", INHERITED)
 def g07(f: Facts) -> DataFrame:
     fields = f.method_f.select(F.col("class_id").alias("super_id"), F.col("brand").alias("field")).distinct()
     return supers(f).join(fields, "super_id").groupBy("class_id", "field").agg(F.min("distance").alias("distance"))
 
 
+@query("X05_field_override", SUPER + "SELECT DISTINCT ON (class_id, field_name) s.class_id, x.field_name, x.field_id, x.field_type FROM s JOIN {field_f} x ON x.class_id = s.super_id ORDER BY s.class_id, x.field_name, s.distance, x.field_id")
+def x05(f: Facts) -> DataFrame:
+    """A class's own field hides the one of that name further up."""
+    rows = supers(f).join(f.field_f.withColumnRenamed("class_id", "super_id"), "super_id")
+    return lookup.first_per_key(rows, ["class_id", "field_name"], [F.asc("distance"), F.asc("field_id")]).select("class_id", "field_name", "field_id", "field_type")
+
+
 IMPACT = """WITH RECURSIVE i AS (SELECT method_id AS node FROM {method_f} WHERE change_type = 'ADDED' UNION SELECT e.caller_id FROM i JOIN {edge_f} e ON e.callee_id = i.node) """
 
 
 @query("G08_impact_fixpoint", IMPACT + "SELECT node FROM i")
-@query("P07_impact_of_objects", IMPACT + "SELECT node FROM i")
 def g08(f: Facts) -> DataFrame:
     """Everything that reaches an added method, to the fixpoint."""
     start = f.method_f.filter("change_type = 'ADDED'").select(F.col("method_id").alias("node"))
     return graph.reached(start, reverse(f)).select("node")
 
 
+@query("P07_impact_of_objects", f"""WITH RECURSIVE b AS ({BELOW}), o AS ({OVERRIDES}), called AS (SELECT method_id, method_id AS target FROM {{method_f}} UNION ALL SELECT implementing_method, interface_method FROM o)
+  SELECT 'xml' AS kind, stmt_id AS object_id, linked_method_id AS impacted FROM {{stmt_f}} WHERE linked_method_id IS NOT NULL
+  UNION SELECT 'method', c.method_id, e.caller_id FROM called c JOIN {{method_f}} m ON m.method_id = c.method_id AND m.change_type <> 'UNCHANGED' JOIN {{edge_f}} e ON e.callee_id = c.target
+  UNION SELECT 'class', k.class_id, e.caller_id FROM {{class_f}} k JOIN {{method_f}} m ON m.class_id = k.class_id AND k.change_type <> 'UNCHANGED' JOIN {{edge_f}} e ON e.callee_id = m.method_id
+  UNION SELECT 'field', x.field_id, m.method_id FROM {{field_f}} x JOIN {{class_f}} k ON k.class_id = x.class_id AND contains(k.annotations, '"Data"') JOIN {{method_f}} m ON m.class_id = x.class_id""")
+def p07(f: Facts) -> DataFrame:
+    """One step of impact by the object's kind: a statement's method; callers of a method, through the interfaces
+    that it implements too; callers of a class's methods; users of a field whose accessors are generated."""
+    as_long = lambda df: df.select(F.col("kind"), F.col("object_id").cast("long"), F.col("impacted").cast("long"))
+    callers = f.edge_f.select(F.col("callee_id").alias("target"), F.col("caller_id").alias("impacted"))
+    changed = f.method_f.filter("change_type <> 'UNCHANGED'").select("method_id")
+    overrides = implementing_methods(f.method_f, f.class_f).select(F.col("implementing_method").alias("method_id"), F.col("interface_method").alias("target"))
+    called = changed.withColumn("target", F.col("method_id")).union(overrides.join(changed, "method_id").select("method_id", "target"))
+    statement = f.stmt_f.filter("linked_method_id IS NOT NULL").select(F.lit("xml").alias("kind"), F.col("stmt_id").alias("object_id"), F.col("linked_method_id").alias("impacted"))
+    method = called.join(callers, "target").select(F.lit("method").alias("kind"), F.col("method_id").alias("object_id"), "impacted")
+    of_class = f.class_f.filter("change_type <> 'UNCHANGED'").join(f.method_f.select("class_id", F.col("method_id").alias("target")), "class_id").join(callers, "target")
+    with_data = f.class_f.filter(F.col("annotations").contains('"Data"')).select("class_id")
+    field = f.field_f.join(with_data, "class_id").join(f.method_f.select("class_id", "method_id"), "class_id").select(F.lit("field").alias("kind"), F.col("field_id").alias("object_id"), F.col("method_id").alias("impacted"))
+    parts = [statement, method, of_class.select(F.lit("class").alias("kind"), F.col("class_id").alias("object_id"), "impacted"), field]
+    return reduce(DataFrame.union, map(as_long, parts)).distinct()
+
+
 LEVELS = """WITH RECURSIVE e AS (SELECT extends_id AS src, class_id AS dst FROM {class_f} WHERE extends_id IS NOT NULL UNION SELECT implements_id, class_id FROM {class_f} WHERE implements_id IS NOT NULL),
   l AS (SELECT src AS node, 0 AS level FROM e UNION SELECT e.dst, l.level + 1 FROM l JOIN e ON e.src = l.node) """
 
@@ -161,12 +215,12 @@ def p08(f: Facts) -> DataFrame:
     return graph.levels(hierarchy(f)).select("node", (F.col("level") * 200).alias("x"), (place * 80).alias("y"))
 
 
-@query("G10_preorder", UP + "SELECT root_id, path, row_number() OVER (PARTITION BY root_id ORDER BY seen) AS place FROM up WHERE depth <= 3")
+@query("G10_preorder", UP + "SELECT root_id, path, row_number() OVER (PARTITION BY root_id ORDER BY seen) AS place FROM up")
 def g10(f: Facts) -> DataFrame:
     """Pre-order by comparing paths from the root."""
     from pyspark.sql import Window
 
-    rows = graph.chains(roots(f), reverse(f), 3)
+    rows = up(f)
     return rows.select("root_id", graph.path_text(F.col("path")).alias("path"), F.row_number().over(Window.partitionBy("root_id").orderBy("path")).alias("place"))
 
 
@@ -185,12 +239,38 @@ def g11(f: Facts) -> DataFrame:
     return entry_nodes(f).select("root_id", "node_id", "entry_type").distinct()
 
 
-@query("P03_upwards_document", UP + f"""SELECT root_id, count(*) AS nodes, count(DISTINCT CASE WHEN entry_type IS NOT NULL THEN node_id END) AS entry_points, max(depth) AS depth, count(*) FILTER (is_cyclic) AS cycles FROM up JOIN ({ENTRY}) e ON e.method_id = node_id GROUP BY root_id""")
-@query("P05_bidirectional", UP + f"""SELECT root_id, count(*) AS nodes, count(DISTINCT CASE WHEN entry_type IS NOT NULL THEN node_id END) AS entry_points, max(depth) AS depth, count(*) FILTER (is_cyclic) AS cycles FROM up JOIN ({ENTRY}) e ON e.method_id = node_id GROUP BY root_id""")
-def p03(f: Facts) -> DataFrame:
+UP_DOC = f"""SELECT root_id, count(*) AS nodes, count(DISTINCT CASE WHEN entry_type IS NOT NULL THEN node_id END) AS entry_points, max(depth) AS depth, count(*) FILTER (is_cyclic) AS cycles,
+  count(*) FILTER (depth = {DEPTH} AND NOT is_cyclic AND EXISTS (SELECT 1 FROM {{edge_f}} x WHERE x.callee_id = node_id)) AS cut FROM up JOIN ({ENTRY}) e ON e.method_id = node_id GROUP BY root_id"""
+
+
+def up_documents(f: Facts) -> DataFrame:
+    """Nodes, entry points, depth, cycles and paths cut at the depth limit above each root."""
     entry = entries.entry_methods(f.method_f, f.class_f).select(F.col("method_id").alias("node_id"), "entry_type")
-    rows = up(f).join(entry, "node_id", "left")
-    return rows.groupBy("root_id").agg(F.count("*").alias("nodes"), F.count_distinct(F.when(F.col("entry_type").isNotNull(), F.col("node_id"))).alias("entry_points"), F.max("depth").alias("depth"), F.count_if("is_cyclic").alias("cycles"))
+    edges = reverse(f)
+    more = edges.select(F.col("src").alias("node_id")).distinct().withColumn("more", F.lit(True))
+    rows = graph.chains(roots(f), edges, DEPTH).join(entry, "node_id", "left").join(more, "node_id", "left")
+    cut_off = (F.col("depth") == DEPTH) & ~F.col("is_cyclic") & F.coalesce("more", F.lit(False))
+    return rows.groupBy("root_id").agg(
+        F.count("*").alias("nodes"), F.count_distinct(F.when(F.col("entry_type").isNotNull(), F.col("node_id"))).alias("entry_points"), F.max("depth").alias("depth"),
+        F.count_if("is_cyclic").alias("cycles"), F.count_if(cut_off).alias("cut"),
+    )
+
+
+# What a chain's limits and findings are called.
+NOTES = "concat_ws(';', CASE WHEN depth = 0 THEN 'NO_CALLER' END, CASE WHEN entry_points = 0 THEN 'NO_ENTRY_POINT' END, CASE WHEN cycles > 0 THEN 'CYCLE_DETECTED' END, CASE WHEN cut > 0 THEN 'DEPTH_LIMITED' END)"
+
+
+@query("P03_upwards_document", UP + f"SELECT *, {NOTES} AS notes FROM ({UP_DOC}) d")
+def p03(f: Facts) -> DataFrame:
+    return up_documents(f).withColumn("notes", F.expr(NOTES))
+
+
+@query("P05_bidirectional", CHA_DOWN + UP.replace("WITH RECURSIVE", ",") + f"SELECT coalesce(u.root_id, d.root_id) AS root_id, u.nodes AS up_nodes, u.entry_points, u.depth AS up_depth, d.nodes AS down_nodes, d.depth AS down_depth, d.dao_nodes, d.statements FROM ({UP_DOC}) u FULL JOIN ({DOWN_DOC}) d ON u.root_id = d.root_id")
+def p05(f: Facts) -> DataFrame:
+    """Both directions of each changed method side by side; unchanged ones are no roots."""
+    above = up_documents(f).select("root_id", F.col("nodes").alias("up_nodes"), "entry_points", F.col("depth").alias("up_depth"))
+    below = down_documents(f).select("root_id", F.col("nodes").alias("down_nodes"), F.col("depth").alias("down_depth"), "dao_nodes", "statements")
+    return above.join(below, "root_id", "full")
 
 
 @query("G12_end_points", DOWN + "SELECT DISTINCT root_id, node_id FROM down d WHERE NOT EXISTS (SELECT 1 FROM {edge_f} e WHERE e.caller_id = d.node_id) OR is_cyclic OR depth = 5")
@@ -209,11 +289,53 @@ def g13(f: Facts) -> DataFrame:
 
 @query("G14_chain_methods", UP + "SELECT root_id, node_id, min(depth) AS depth FROM up GROUP BY root_id, node_id")
 @query("G16_tree_nodes", UP + "SELECT root_id, node_id, min(depth) AS depth FROM up GROUP BY root_id, node_id")
-@query("V16_chain_methods", UP + "SELECT root_id, node_id, min(depth) AS depth FROM up GROUP BY root_id, node_id")
 def g14(f: Facts) -> DataFrame:
     return up(f).groupBy("root_id", "node_id").agg(F.min("depth").alias("depth"))
 
 
+@query("V16_chain_methods", UP + f"""SELECT d.root_id, d.node_id, d.depth, e.entry_type IS NOT NULL AS is_end, l.task_id AS latest_task, (row_number() OVER (PARTITION BY d.root_id ORDER BY d.depth, d.node_id) - 1) // 20 AS page
+  FROM (SELECT root_id, node_id, min(depth) AS depth FROM up GROUP BY root_id, node_id) d JOIN ({ENTRY}) e ON e.method_id = d.node_id
+  LEFT JOIN (SELECT method_name, arg_max(task_id, CAST(created_at AS BIGINT) * 1000000000 + task_id) AS task_id FROM {{llm_f}} GROUP BY method_name) l ON l.method_name = 'm' || CAST(d.node_id % 7 AS STRING)""")
+def v16(f: Facts) -> DataFrame:
+    """The distinct methods of each chain, with end points, the latest analysis of each, and its page of 20."""
+    from pyspark.sql import Window
+
+    entry = entries.entry_methods(f.method_f, f.class_f).select(F.col("method_id").alias("node_id"), F.lit(True).alias("is_end"))
+    latest = f.llm_f.groupBy("method_name").agg(F.max_by("task_id", F.struct("created_at", "task_id")).alias("latest_task"))
+    rows = up(f).groupBy("root_id", "node_id").agg(F.min("depth").alias("depth")).withColumn("method_name", F.concat(F.lit("m"), (F.col("node_id") % 7).cast("string")))
+    rows = rows.join(entry, "node_id", "left").join(latest, "method_name", "left")
+    place = F.row_number().over(Window.partitionBy("root_id").orderBy("depth", "node_id"))
+    return rows.select("root_id", "node_id", "depth", F.coalesce("is_end", F.lit(False)).alias("is_end"), "latest_task", F.floor((place - 1) / 20).alias("page"))
+
+
+CHAIN_DOC = "SELECT root_id, count(*) AS nodes, string_agg(path, ';' ORDER BY seen) AS chain FROM {name} GROUP BY root_id"
+
+
+def chain_documents(rows: DataFrame) -> DataFrame:
+    """A root's chain as one text: its paths in pre-order."""
+    paths = F.transform(F.array_sort(F.collect_list("path")), graph.path_text)
+    return rows.groupBy("root_id").agg(F.count("*").alias("nodes"), F.array_join(paths, ";").alias("chain"))
+
+
+@query("V09_chain_documents", UP + ", " + DOWN.replace("WITH RECURSIVE", "") + f"SELECT 'upwards' AS direction, u.* FROM ({CHAIN_DOC.format(name='up')}) u UNION ALL SELECT 'downwards', d.* FROM ({CHAIN_DOC.format(name='down')}) d")
+def v09(f: Facts) -> DataFrame:
+    return chain_documents(up(f)).select(F.lit("upwards").alias("direction"), "*").union(chain_documents(down(f)).select(F.lit("downwards"), "*"))
+
+
+@query("V10_report_text", UP + "SELECT root_id, string_agg(repeat(chr(9), depth) || m.method_name || ' (' || m.change_type || ')', chr(10) ORDER BY seen) AS report FROM up JOIN {method_f} m ON m.method_id = node_id GROUP BY root_id")
+def v10(f: Facts) -> DataFrame:
+    """The upwards report of each changed method: a line a node, indented by depth, in pre-order."""
+    names = f.method_f.select(F.col("method_id").alias("node_id"), F.col("method_name").alias("name"), "change_type")
+    return documents.report(up(f).join(names, "node_id"))
+
+
+@query("V17_one_chain", UP + "SELECT depth, node_id, parent_id, line, path, is_cyclic FROM up WHERE root_id = (SELECT min(method_id) FROM {method_f} WHERE change_type = 'MODIFIED')")
+def v17(f: Facts) -> DataFrame:
+    """The chain of one method: the filter is the feature, and only that root is walked."""
+    one = f.method_f.filter("change_type = 'MODIFIED'").agg(F.min("method_id").alias("root_id"))
+    return graph.chains(one, reverse(f), DEPTH).select("depth", "node_id", "parent_id", "line", graph.path_text(F.col("path")).alias("path"), "is_cyclic")
+
+
 NPLUS1 = """SELECT p.method_id AS parent_id, count(*) AS children FROM {edge_f} e JOIN {method_f} p ON p.method_id = e.caller_id JOIN (SELECT DISTINCT linked_method_id FROM {stmt_f}) s ON s.linked_method_id = e.callee_id
   WHERE regexp_matches(p.method_name, '(?i)foreach|for|loop|iterate|batch') GROUP BY p.method_id"""
 

@@ -1,4 +1,4 @@
-"""Queries on sources (S02-S08, M*, C07, C14): texts are made of class facts, a file a class."""
+"""Queries on sources (S*, M*, C07, C14, C24, C34, G17): texts are made of class facts, a file a class."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..facts import Facts
 from ..functions import names as N
 from ..registry import query
-from ..sources import diffs, java, mappers
-from ..session import written
+from ..session import new_folder, written
+from ..sources import diffs, folders, java, mappers
 
 
 def diff_texts(f: Facts) -> DataFrame:
@@ -47,15 +47,28 @@ FULL = """SELECT package_name || '.' || class_name || '.' || id AS full_method,
 
 
 @query("S07_mapper_scan", FULL)
-@query("C14_statement_text", FULL)
-@query("G17_include_expansion", FULL)
 def s07(f: Facts) -> DataFrame:
     return mappers.statements(mapper_texts(f)).select("full_method", "sql_type", "sql_content", "is_dynamic_sql")
 
 
-@query("S08_mapper_files", "SELECT DISTINCT filepath AS path FROM {class_f} WHERE class_name LIKE '%Mapper'")
-def s08(f: Facts) -> DataFrame:
-    return f.class_f.filter(F.col("class_name").endswith("Mapper")).select(F.col("filepath").alias("path")).distinct()
+@query("C14_statement_text", "SELECT full_method, length(sql_content) AS n, is_dynamic_sql FROM (" + FULL + ") x WHERE sql_type = 'SELECT' OR sql_type = 'INSERT'")
+def c14(f: Facts) -> DataFrame:
+    """Texts that are put together from includes, conditions and loops."""
+    return s07(f).filter("sql_type IN ('SELECT', 'INSERT')").select("full_method", F.length("sql_content").alias("n"), "is_dynamic_sql")
+
+
+def nested_mapper_texts(f: Facts) -> DataFrame:
+    """Fragments that include fragments, three deep, and one that includes what is not there."""
+    text = F.concat(
+        F.lit('<mapper namespace="n'), F.col("class_id").cast("string"), F.lit('"><sql id="a">x, y</sql><sql id="b"><include refid="a"/>, z</sql><sql id="c">id, <include refid="b"/></sql>'),
+        F.lit('<select id="all">SELECT <include refid="c"/> FROM t'), F.col("class_id").cast("string"), F.lit("</select></mapper>"),
+    )
+    return f.class_f.select(F.col("filepath").alias("path"), text.alias("text"))
+
+
+@query("G17_include_expansion", "SELECT 'n' || CAST(class_id AS STRING) || '.all' AS full_method, 'SELECT id, x, y, z FROM t' || CAST(class_id AS STRING) AS sql_content FROM {class_f}")
+def g17(f: Facts) -> DataFrame:
+    return mappers.statements(nested_mapper_texts(f)).select("full_method", "sql_content")
 
 
 def java_lines(f: Facts) -> DataFrame:
@@ -75,13 +88,11 @@ def s04(f: Facts) -> DataFrame:
 
 
 @query("M02_class_facts", "SELECT class_name, package_name, 'Class' AS class_type, 'Base' AS extends_class, 'One,Two' AS implements, 7 AS start_line FROM {class_f}")
-@query("M01_top_types", "SELECT class_name, package_name, 'Class' AS class_type, 'Base' AS extends_class, 'One,Two' AS implements, 7 AS start_line FROM {class_f}")
 def m02(f: Facts) -> DataFrame:
     return java.classes(java_lines(f)).select("class_name", "package_name", "class_type", "extends_class", F.array_join("implements", ",").alias("implements"), "start_line")
 
 
 @query("M03_import_facts", "SELECT filepath AS path, line_no, import_path, is_static FROM {class_f}, (VALUES (2, 'com.base.Store', false), (3, 'com.base.Util.help', true)) v(line_no, import_path, is_static)")
-@query("S06_import_closure", "SELECT filepath AS path, line_no, import_path, is_static FROM {class_f}, (VALUES (2, 'com.base.Store', false), (3, 'com.base.Util.help', true)) v(line_no, import_path, is_static)")
 def m03(f: Facts) -> DataFrame:
     return java.imports(java_lines(f)).select("path", "line_no", "import_path", "is_static")
 
@@ -93,10 +104,6 @@ def m04(f: Facts) -> DataFrame:
 
 @query("M07_method_facts", """SELECT filepath AS path, coalesce(name, class_name) AS method_name, parameters, start_line, end_line, notes FROM {class_f},
   (VALUES (NULL, 'Store', 11, 13, ''), ('load', 'Map<String, Integer>,long', 16, 22, 'Override'), ('own', 'long', 24, 24, '')) v(name, parameters, start_line, end_line, notes)""")
-@query("M06_constructors", """SELECT filepath AS path, coalesce(name, class_name) AS method_name, parameters, start_line, end_line, notes FROM {class_f},
-  (VALUES (NULL, 'Store', 11, 13, ''), ('load', 'Map<String, Integer>,long', 16, 22, 'Override'), ('own', 'long', 24, 24, '')) v(name, parameters, start_line, end_line, notes)""")
-@query("C34_end_lines", """SELECT filepath AS path, coalesce(name, class_name) AS method_name, parameters, start_line, end_line, notes FROM {class_f},
-  (VALUES (NULL, 'Store', 11, 13, ''), ('load', 'Map<String, Integer>,long', 16, 22, 'Override'), ('own', 'long', 24, 24, '')) v(name, parameters, start_line, end_line, notes)""")
 def m07(f: Facts) -> DataFrame:
     return java.methods(java_lines(f)).select("path", "method_name", "parameters", "start_line", "end_line", F.array_join("annotations", ",").alias("notes"))
 
@@ -110,14 +117,150 @@ CALLED = """SELECT filepath AS path, 'load' AS caller, coalesce(callee, package_
   (VALUES ('com.base.Store', NULL, 'find', '18,20'), (NULL, 'Helper', 'run', '19'), (NULL, NULL, 'own', '21')) v(callee, simple, method_name, lines)"""
 
 
-@query("M10_invocations", CALLED)
-@query("M13_name_resolution", CALLED)
 @query("M15_invocation_map", CALLED)
-@query("M08_local_types", CALLED)
 def m15(f: Facts) -> DataFrame:
     return java.invocations(java_lines(f)).select("path", "caller", "callee_class", "method_name", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
 
+def nested_lines(f: Facts) -> DataFrame:
+    """A second layout: nested types, enums, several declarations on a line, overloads, chained calls, a block comment with code in it."""
+    text = F.concat(
+        F.lit("package "), "package_name", F.lit(";\nimport com.base.Store;\nimport com.base.*;\n/* a comment\n   class Fake { int no; }\n*/\n@Data\npublic class "), "class_name",
+        F.lit(" {\n    private String name; private int size;\n    private Store store = new Store();\n    enum Color { RED, GREEN(2), BLUE; }\n    enum Size {\n        SMALL,\n        LARGE(10);\n        private int n;\n    }\n"),
+        F.lit("    static class Item {\n        Helper helper;\n        Helper pick(int i) { return helper; }\n        String label(String s, Long n) { return s; }\n        String label(String s) { return s; }\n    }\n    public "), "class_name",
+        F.lit("(String name) { this.name = name; }\n    public String run(Item item, int count) {\n        String text = item.pick(count).open(\"a\", true).trim();\n        item.label(text, (Long) count);\n        item.label(name);\n"),
+        F.lit("        int n = item.helper.size + store.total;\n        Store.reset(1);\n        Color.valueOf(text);\n        tidy(new Item(), x -> x, n + 1);\n        return item.pick(3 + n).open(text, false);\n    }\n"),
+        F.lit("    void tidy(Item a, Object b, int c) { }\n    String getName() { return name; }\n}\nclass Helper {\n    int size;\n    Helper open(String s, boolean b) { return this; }\n    Helper trim() { return null; }\n}\n"),
+    )
+    return written(java.numbered_lines(f.class_f.select(F.col("filepath").alias("path"), text.alias("text"))))
+
+
+def answers(columns: str, rows: str) -> str:
+    return f"SELECT filepath AS path, {', '.join('v.' + c for c in columns.split(', '))} FROM {{class_f}}, (VALUES {rows}) v({columns})"
+
+
+@query("M01_top_types", "SELECT filepath AS path, package_name, class_name FROM {class_f}")
+def m01(f: Facts) -> DataFrame:
+    """The first top-level type of each file; nested and later ones are not it."""
+    return java.classes(nested_lines(f)).filter("is_first").select("path", "package_name", "class_name")
+
+
+@query("M05_enum_constants", answers("class_name, line_no, field_name", "('Color', 11, 'RED'), ('Color', 11, 'GREEN'), ('Color', 11, 'BLUE'), ('Size', 13, 'SMALL'), ('Size', 14, 'LARGE')"))
+def m05(f: Facts) -> DataFrame:
+    return java.enum_constants(nested_lines(f)).select("path", "class_name", "line_no", "field_name")
+
+
+@query("M06_constructors", "SELECT filepath AS path, class_name AS method_name, class_name AS return_type, 'String' AS parameters, 23 AS start_line FROM {class_f}")
+def m06(f: Facts) -> DataFrame:
+    return java.methods(nested_lines(f)).filter("is_constructor").select("path", "method_name", "return_type", "parameters", "start_line")
+
+
+@query("C34_end_lines", """SELECT filepath AS path, coalesce(name, class_name) AS method_name, start_line, end_line FROM {class_f}, (VALUES ('pick', 19, 19), ('label', 20, 20), ('label', 21, 21), (NULL, 23, 23), ('run', 24, 33), ('tidy', 34, 34), ('getName', 35, 35),
+  ('open', 39, 39), ('trim', 40, 40)) v(name, start_line, end_line)""")
+def c34(f: Facts) -> DataFrame:
+    """Ends by the last brace that a method's body reaches."""
+    return java.methods(nested_lines(f)).select("path", "method_name", "start_line", "end_line")
+
+
+@query("M08_local_types", "SELECT filepath AS path, coalesce(scope, class_name) AS class_name, name, type, rank FROM {class_f}, (VALUES (NULL, 'item', 'Item', 1), (NULL, 'count', 'int', 1), (NULL, 'text', 'String', 2), (NULL, 'n', 'int', 2), (NULL, 'name', 'String', 1), (NULL, 'a', 'Item', 1), (NULL, 'b', 'Object', 1), (NULL, 'c', 'int', 1), ('Item', 'i', 'int', 1), ('Item', 's', 'String', 1), ('Item', 's', 'String', 1), ('Item', 'n', 'Long', 1), ('Helper', 's', 'String', 1), ('Helper', 'b', 'boolean', 1)) v(scope, name, type, rank)")
+def m08(f: Facts) -> DataFrame:
+    """Parameters and local variables of each method, with their types."""
+    return java.symbols(nested_lines(f)).filter("rank < 3").select("path", "class_name", "name", "type", "rank")
+
+
+@query("M10_invocations", """SELECT filepath AS path, line_no, method_name, coalesce(full_name, package_name || '.' || coalesce(simple, class_name)) AS callee_class FROM {class_f},
+  (VALUES (25, 'pick', NULL, 'Item'), (26, 'label', NULL, 'Item'), (27, 'label', NULL, 'Item'), (29, 'reset', 'com.base.Store', NULL), (30, 'valueOf', NULL, 'Color'), (31, 'tidy', NULL, NULL), (32, 'pick', NULL, 'Item')) v(line_no, method_name, full_name, simple)""")
+def m10(f: Facts) -> DataFrame:
+    """Qualified, static and same-class calls by the class that they go to."""
+    return java.resolved_calls(nested_lines(f)).select("path", "line_no", "method_name", "callee_class")
+
+
+@query("M13_name_resolution", "SELECT filepath AS path, line_no, target, how FROM {class_f}, (VALUES (25, 'item', 'PARAMETER'), (26, 'item', 'PARAMETER'), (27, 'item', 'PARAMETER'), (29, 'Store', 'IMPORT'), (30, 'Color', 'FILE'), (31, NULL, 'OWN'), (32, 'item', 'PARAMETER')) v(line_no, target, how)")
+def m13(f: Facts) -> DataFrame:
+    """How the name before each call was found."""
+    return java.resolved_calls(nested_lines(f)).select("path", "line_no", "target", "how")
+
+
+@query("M11_chained_selectors", answers("line_no, position, owner, method_name", "(25, 0, 'Item', 'pick'), (25, 1, 'Helper', 'open'), (25, 2, 'Helper', 'trim'), (32, 0, 'Item', 'pick'), (32, 1, 'Helper', 'open')"))
+def m11(f: Facts) -> DataFrame:
+    return java.chains(nested_lines(f)).select("path", "line_no", "position", "owner", "method_name")
+
+
+@query("M12_member_uses", "SELECT filepath AS path, line_no, coalesce(own, class_name) AS owner, field_name FROM {class_f}, (VALUES (28, 'Item', 'helper'), (28, 'Store', 'total'), (23, NULL, 'name')) v(line_no, own, field_name)")
+def m12(f: Facts) -> DataFrame:
+    return java.member_uses(nested_lines(f)).select("path", "line_no", "owner", "field_name")
+
+
+@query("M14_argument_types", answers("line_no, method_name, types", "(25, 'pick', 'int'), (25, 'open', 'String,Boolean'), (26, 'label', 'String,Long'), (27, 'label', 'String'), (29, 'reset', 'Int'), (30, 'valueOf', 'String'), (31, 'tidy', 'Item,unknown,String'), (32, 'pick', 'String'), (32, 'open', 'String,Boolean')"))
+def m14(f: Facts) -> DataFrame:
+    return java.argument_types(nested_lines(f)).select("path", "line_no", "method_name", "types")
+
+
+@query("M16_accessor_find", "SELECT filepath AS path, class_name, method_name, field_name, field_type FROM {class_f}, (VALUES ('setName', 'name', 'String'), ('getSize', 'size', 'int'), ('setSize', 'size', 'int'), ('getStore', 'store', 'Store'), ('setStore', 'store', 'Store')) v(method_name, field_name, field_type)")
+def m16(f: Facts) -> DataFrame:
+    """Accessors that annotations generate, by the field that they stand for."""
+    return java.accessors(nested_lines(f))
+
+
+def importing_lines(f: Facts) -> DataFrame:
+    """Files that import each other as the facts say: named, static (of a member) and by wildcard."""
+    own = f.import_f.groupBy("class_id").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("is_wildcard"), F.concat(F.lit("import "), "import_path", F.lit(".*;"))).when(F.col("class_id") % 3 == 0, F.concat(F.lit("import static "), "import_path", F.lit(".help;"))).otherwise(F.concat(F.lit("import "), "import_path", F.lit(";"))))), "\n").alias("imports"))
+    text = F.concat(F.lit("package "), "package_name", F.lit(";\n"), "imports", F.lit("\npublic class "), "class_name", F.lit(" {\n}\n"))
+    return written(java.numbered_lines(f.class_f.join(own, "class_id").select(F.col("filepath").alias("path"), text.alias("text"))))
+
+
+@query("S06_import_closure", """WITH RECURSIVE d AS (SELECT DISTINCT c.filepath AS path, t.filepath AS needed FROM {import_f} i JOIN {class_f} c ON c.class_id = i.class_id JOIN {class_f} t ON CASE WHEN i.is_wildcard THEN t.package_name = i.import_path ELSE t.package_name || '.' || t.class_name = i.import_path END),
+  r AS (SELECT path, needed FROM d UNION SELECT r.path, d.needed FROM r JOIN d ON d.path = r.needed) SELECT path, count(*) AS files FROM r WHERE path <> needed GROUP BY path""")
+def s06(f: Facts) -> DataFrame:
+    """The files that each file's imports lead to."""
+    return java.import_closure(importing_lines(f)).groupBy("path").agg(F.count("*").alias("files"))
+
+
+def project_folder(f: Facts) -> str:
+    """A folder tree with a text a class, some of them test sources."""
+    path = new_folder(f.spark, "project")
+    folder = F.when(F.col("class_id") % 6 == 5, "src/test/java").when(F.col("class_id") % 4 == 2, "src/main/resources/mapper").otherwise("src/main/java")
+    rows = f.class_f.select(folder.alias("folder"), F.concat(F.lit("class "), "class_name").alias("value"))
+    for kind in ("src/main/java", "src/test/java", "src/main/resources/mapper"):
+        rows.filter(F.col("folder") == kind).select("value").write.text(f"{path}/{kind}")
+    return path
+
+
+TREE = "CASE WHEN class_id % 6 = 5 THEN 'src/test/java' WHEN class_id % 4 = 2 THEN 'src/main/resources/mapper' ELSE 'src/main/java' END"
+
+
+@query("S01_project_files", f"SELECT folder, count(*) AS classes FROM (SELECT {TREE} AS folder FROM {{class_f}}) x WHERE folder NOT LIKE '%src/test%' GROUP BY folder")
+def s01(f: Facts) -> DataFrame:
+    """A project folder listed with all below it, without test sources, and what its files hold."""
+    files = folders.project_files(f.spark, project_folder(f), "*.txt")
+    lines = files.select(F.regexp_extract("path", "/(src/[a-z/]+)/[^/]+$", 1).alias("folder"), F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).filter("line <> ''")
+    return lines.groupBy("folder").agg(F.count("*").alias("classes"))
+
+
+@query("S08_mapper_files", "SELECT count(*) FILTER (class_id % 6 <> 5) AS classes FROM {class_f} WHERE class_id % 4 = 2")
+def s08(f: Facts) -> DataFrame:
+    """Files that any of three globs finds, each once."""
+    files = folders.by_globs(f.spark, project_folder(f), ["*.txt", "**/mapper/*", "src/main/resources/*/*.txt"]).filter(F.col("path").contains("/mapper/"))
+    return files.select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).filter("line <> ''").agg(F.count("*").alias("classes"))
+
+
+@query("S12_catalogue", "SELECT tag_old AS baseline, tag_new AS version FROM {task_f} WHERE status = 'completed' GROUP BY tag_old, tag_new")
+def s12(f: Facts) -> DataFrame:
+    """Baselines and versions by the folders on disk."""
+    path = new_folder(f.spark, "results")
+    f.task_f.filter("status = 'completed'").select("tag_old", "tag_new", "task_id").repartition("tag_old", "tag_new").write.partitionBy("tag_old", "tag_new").parquet(path)
+    return folders.catalogue(f.spark, path, "tag_old", "tag_new").toDF("baseline", "version")
+
+
+@query("C24_body_lines", """SELECT method_id, CASE WHEN body IS NULL OR body = '' THEN 0 WHEN json_valid(body) THEN json_array_length(body) ELSE 1 END AS lines, CASE WHEN body IS NULL OR body = '' THEN NULL WHEN json_valid(body) THEN body ->> '$[0]' ELSE body END AS first
+  FROM (SELECT method_id, CASE method_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '["' || method_name || '() {{","}}"]' ELSE 'plain ' || method_name END AS body FROM {method_f}) x""")
+def c24(f: Facts) -> DataFrame:
+    """A stored body as lines: a JSON list, else the text as one line."""
+    made = F.expr("""CASE method_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '["' || method_name || '() {","}"]' ELSE 'plain ' || method_name END""")
+    lines = N.body_lines(F.col("body"))
+    return f.method_f.select("method_id", made.alias("body")).select("method_id", F.size(lines).cast("long").alias("lines"), F.try_element_at(lines, F.lit(1)).alias("first"))
+
+
 @query("C07_overload_variants", "SELECT method_id, CASE parameters WHEN '' THEN 1 WHEN 'Long' THEN 3 WHEN 'java.lang.Long' THEN 2 WHEN 'int,List<String>' THEN 6 ELSE 4 END AS variants FROM {method_f}")
 def c07(f: Facts) -> DataFrame:
     return f.method_f.select("method_id", F.size(N.overload_variants(N.split_types(F.col("parameters")))).alias("variants"))

@@ -48,7 +48,6 @@ def k06(f: Facts) -> DataFrame:
 
 
 @query("K07_cache_upsert", "SELECT DISTINCT ON (method_name, kind) method_name, kind, task_id, result_id FROM {llm_f} ORDER BY method_name, kind, task_id DESC, result_id DESC")
-@query("K08_cache_migration", "SELECT DISTINCT ON (method_name, kind) method_name, kind, task_id, result_id FROM {llm_f} ORDER BY method_name, kind, task_id DESC, result_id DESC")
 def k07(f: Facts) -> DataFrame:
     last = F.max(F.struct("task_id", "result_id")).alias("last")
     return f.llm_f.groupBy("method_name", "kind").agg(last).select("method_name", "kind", "last.task_id", "last.result_id")
@@ -68,7 +67,6 @@ def s10(f: Facts) -> DataFrame:
 
 
 @query("K11_report_lines", "SELECT method_id, row_number() OVER (PARTITION BY class_id ORDER BY method_id) AS line_no, repeat(chr(9), 1) || method_name || ' (' || change_type || ')' AS line FROM {method_f} WHERE change_type <> 'UNCHANGED'")
-@query("V10_report_text", "SELECT method_id, row_number() OVER (PARTITION BY class_id ORDER BY method_id) AS line_no, repeat(chr(9), 1) || method_name || ' (' || change_type || ')' AS line FROM {method_f} WHERE change_type <> 'UNCHANGED'")
 def k11(f: Facts) -> DataFrame:
     from pyspark.sql import Window
 

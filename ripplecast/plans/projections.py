@@ -9,24 +9,18 @@ from ..facts import Facts
 from ..registry import query
 
 
-@query("S01_project_files", "SELECT filepath, class_id FROM {class_f} WHERE filepath NOT LIKE '%src/test%' AND filepath NOT LIKE '%.git%'")
-def s01(f: Facts) -> DataFrame:
-    return f.class_f.filter(~F.col("filepath").contains("src/test") & ~F.col("filepath").contains(".git")).select("filepath", "class_id")
-
-
 @query("S09_table_scan", "SELECT method_id, method_name, start_line, end_line FROM {method_f}")
 def s09(f: Facts) -> DataFrame:
     return f.method_f.select("method_id", "method_name", "start_line", "end_line")
 
 
-@query("S12_catalogue", "SELECT tag_old AS baseline, tag_new AS version, count(*) AS tasks FROM {task_f} GROUP BY tag_old, tag_new")
-def s12(f: Facts) -> DataFrame:
-    return f.task_f.groupBy(F.col("tag_old").alias("baseline"), F.col("tag_new").alias("version")).agg(F.count("*").alias("tasks"))
-
-
-@query("S14_ref_prefix", "SELECT task_id, CASE WHEN substr(sha256(git_url), 1, 2) >= '80' THEN 'match' ELSE 'none' END AS ref FROM {task_f}")
+@query("S14_ref_validation", "SELECT t.task_id, CASE WHEN r.tag IS NOT NULL THEN 'tag' WHEN h.prefix IS NOT NULL THEN 'commit' ELSE 'unknown' END AS ref FROM {task_f} t LEFT JOIN (SELECT DISTINCT git_url, tag_old AS tag FROM {task_f}) r ON r.git_url = t.git_url AND r.tag = t.tag_new LEFT JOIN (SELECT DISTINCT left(sha256(git_url), 8) AS prefix FROM {task_f} WHERE status = 'completed') h ON starts_with(sha256(t.git_url), h.prefix)")
 def s14(f: Facts) -> DataFrame:
-    return f.task_f.select("task_id", F.when(F.substring(F.sha2("git_url", 256), 1, 2) >= "80", "match").otherwise("none").alias("ref"))
+    """A version against the refs of its repository: a tag of that name, else a commit that begins as it does."""
+    tags = f.task_f.select("git_url", F.col("tag_old").alias("tag_new")).distinct().withColumn("is_tag", F.lit(True))
+    commits = f.task_f.filter("status = 'completed'").select(F.substring(F.sha2("git_url", 256), 1, 8).alias("prefix")).distinct().withColumn("is_commit", F.lit(True))
+    rows = f.task_f.withColumn("prefix", F.substring(F.sha2("git_url", 256), 1, 8)).join(tags, ["git_url", "tag_new"], "left").join(commits, "prefix", "left")
+    return rows.select("task_id", F.when(F.col("is_tag"), "tag").when(F.col("is_commit"), "commit").otherwise("unknown").alias("ref"))
 
 
 @query("F01_equality", "SELECT method_id FROM {method_v} WHERE project_id = 1 AND method_name = 'getItem0'")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..facts import Facts
-from ..operators import lookup
+from ..operators import hierarchy, lookup
 from ..registry import query
 
 
@@ -20,10 +20,9 @@ def j02(f: Facts) -> DataFrame:
     return f.method_f.join(f.class_f, "class_id", "left").filter("class_type = 'Interface'").select("method_id", "class_name")
 
 
-@query("J03_results_tasks", "SELECT r.task_id, r.result_id, t.turns FROM {llm_f} r JOIN (SELECT task_id, count(*) AS turns FROM {llm_f} GROUP BY task_id) t ON r.task_id = t.task_id")
+@query("J03_results_with_tasks", "SELECT r.task_id, r.result_id, t.status, t.git_url FROM {llm_f} r JOIN {task_f} t ON r.task_id = t.task_id")
 def j03(f: Facts) -> DataFrame:
-    tasks = f.llm_f.groupBy("task_id").agg(F.count("*").alias("turns"))
-    return f.llm_f.join(tasks, "task_id").select("task_id", "result_id", "turns")
+    return f.llm_f.join(f.task_f.select("task_id", "status", "git_url"), "task_id").select("task_id", "result_id", "status", "git_url")
 
 
 LINES = "SELECT DISTINCT class_id, line_no FROM {diff_f} WHERE op = '+'"
@@ -88,15 +87,19 @@ def j11(f: Facts) -> DataFrame:
     return own.join(f.class_f.select(F.col("class_id").alias("interface_id")), "interface_id").select("interface_id", "implementation_id")
 
 
-@query("J12_interface_methods", """SELECT a.method_id AS interface_method, b.method_id AS implementing_method FROM {method_f} a JOIN {class_f} i ON a.class_id = i.class_id AND i.class_type = 'Interface'
-  JOIN {class_f} c ON c.implements_id = i.class_id AND c.class_type = 'Class' JOIN {method_f} b ON b.class_id = c.class_id AND b.method_name = a.method_name""")
-@query("P11_concrete_methods", """SELECT a.method_id AS interface_method, b.method_id AS implementing_method FROM {method_f} a JOIN {class_f} i ON a.class_id = i.class_id AND i.class_type = 'Interface'
-  JOIN {class_f} c ON c.implements_id = i.class_id AND c.class_type = 'Class' JOIN {method_f} b ON b.class_id = c.class_id AND b.method_name = a.method_name""")
+BELOW = "SELECT implements_id AS src, class_id AS dst FROM {class_f} WHERE implements_id IS NOT NULL UNION SELECT b.src, k.class_id FROM b JOIN {class_f} k ON k.implements_id = b.dst"
+OVERRIDES = """SELECT i.method_id AS interface_method, m.method_id AS implementing_method FROM {method_f} i JOIN {class_f} t ON i.class_id = t.class_id AND t.class_type = 'Interface' JOIN b ON b.src = t.class_id AND b.dst <> b.src
+  JOIN {class_f} c ON c.class_id = b.dst AND c.class_type = 'Class' JOIN {method_f} m ON m.class_id = c.class_id AND m.method_name = i.method_name AND m.parameters = i.parameters"""
+
+
+@query("J12_interface_methods", f"WITH RECURSIVE b AS ({BELOW}) {OVERRIDES}")
 def j12(f: Facts) -> DataFrame:
-    """By declared name: an implementation's method overrides the interface's of the same name."""
-    tops = f.method_f.join(f.class_f.filter("class_type = 'Interface'").select("class_id"), "class_id").select(F.col("class_id").alias("implements_id"), "method_name", F.col("method_id").alias("interface_method"))
-    own = f.method_f.join(f.class_f.filter("class_type = 'Class'").select("class_id", "implements_id"), "class_id").select("implements_id", "method_name", F.col("method_id").alias("implementing_method"))
-    return tops.join(own, ["implements_id", "method_name"]).select("interface_method", "implementing_method")
+    return hierarchy.implementing_methods(f.method_f, f.class_f)
+
+
+@query("P11_concrete_methods", f"WITH RECURSIVE b AS ({BELOW}) SELECT m.method_id AS called, m.method_id AS concrete FROM {{method_f}} m JOIN {{class_f}} c ON c.class_id = m.class_id AND c.class_type = 'Class' UNION ALL SELECT interface_method, implementing_method FROM ({OVERRIDES}) o")
+def p11(f: Facts) -> DataFrame:
+    return hierarchy.concrete_methods(f.method_f, f.class_f)
 
 
 @query("J13_link_statements", "SELECT s.stmt_id, m.method_id AS linked FROM {stmt_f} s LEFT JOIN {method_f} m ON m.class_id = s.class_id AND m.method_id = s.linked_method_id")
@@ -124,16 +127,20 @@ def j16(f: Facts) -> DataFrame:
     return lookup.first_per_key(f.method_v, ["class_id", "method_name"], [F.desc("project_id"), F.asc("method_id")]).select("class_id", "method_name", "method_id", "project_id")
 
 
-@query("J18_type_in_imports", "SELECT c.class_id, t.class_id AS type_id FROM {class_f} c JOIN {class_f} t ON t.package_name = c.package_name AND t.class_type = 'Interface'")
+@query("J18_type_in_imports", "SELECT DISTINCT i.class_id, t.class_id AS type_id FROM {import_f} i JOIN {class_f} t ON CASE WHEN i.is_wildcard THEN t.package_name = i.import_path ELSE t.package_name || '.' || t.class_name = i.import_path END JOIN {class_f} c ON c.class_id = i.class_id AND c.project_id = t.project_id")
 def j18(f: Facts) -> DataFrame:
-    types = f.class_f.filter("class_type = 'Interface'").select("package_name", F.col("class_id").alias("type_id"))
-    return f.class_f.select("class_id", "package_name").join(types, "package_name").select("class_id", "type_id")
+    """Types of the same project that an import names, or whose package one takes in whole: two equi joins."""
+    types = f.class_f.select(F.col("class_id").alias("type_id"), "project_id", "package_name", F.concat_ws(".", "package_name", "class_name").alias("full_name"))
+    imports = f.import_f.join(f.class_f.select("class_id", "project_id"), "class_id")
+    named = imports.filter("NOT is_wildcard").join(types.withColumnRenamed("full_name", "import_path"), ["project_id", "import_path"])
+    whole = imports.filter("is_wildcard").join(types.withColumnRenamed("package_name", "import_path"), ["project_id", "import_path"])
+    return named.select("class_id", "type_id").union(whole.select("class_id", "type_id")).distinct()
 
 
-@query("J19_field_type", "SELECT p_partkey AS field_id, c.class_id FROM {part} JOIN {class_f} c ON c.class_id = p_size % 10")
+@query("J19_field_type", "SELECT x.field_id, c.class_id FROM {field_f} x JOIN {class_f} c ON c.class_name = x.field_type")
 def j19(f: Facts) -> DataFrame:
-    fields = f.part.select(F.col("p_partkey").alias("field_id"), (F.col("p_size") % 10).cast("long").alias("class_id"))
-    return fields.join(f.class_f.select("class_id"), "class_id").select("field_id", "class_id")
+    """Fields by the class that is their type."""
+    return f.field_f.select("field_id", "field_type").join(f.class_f.select("class_id", F.col("class_name").alias("field_type")), "field_type").select("field_id", "class_id")
 
 
 @query("J21_tag_fallback", "SELECT t.task_id, coalesce(n.n_name, t.tag_new) AS full_tag FROM {task_f} t LEFT JOIN {nation} n ON 'v' || CAST(n.n_nationkey AS STRING) = t.tag_new")
@@ -143,7 +150,6 @@ def j21(f: Facts) -> DataFrame:
 
 
 @query("J22_duplicate_task", """SELECT DISTINCT ON (git_url, tag_old, tag_new, max_depth) git_url, tag_old, tag_new, max_depth, task_id FROM {task_f} WHERE status IN ('pending', 'running') ORDER BY git_url, tag_old, tag_new, max_depth, created_at DESC, task_id""")
-@query("V13_conflicting_task", """SELECT DISTINCT ON (git_url, tag_old, tag_new, max_depth) git_url, tag_old, tag_new, max_depth, task_id FROM {task_f} WHERE status IN ('pending', 'running') ORDER BY git_url, tag_old, tag_new, max_depth, created_at DESC, task_id""")
 def j22(f: Facts) -> DataFrame:
     keys = ["git_url", "tag_old", "tag_new", "max_depth"]
     return lookup.first_per_key(f.task_f.filter(F.col("status").isin("pending", "running")), keys, [F.desc("created_at"), F.asc("task_id")]).select(*keys, "task_id")
@@ -159,7 +165,6 @@ SIDES = "SELECT class_id, method_name, parameters, min(method_id) AS id FROM {me
 
 
 @query("J24_both_versions", f"SELECT coalesce(b.class_id, v.class_id) AS class_id, coalesce(b.method_name, v.method_name) AS method_name, coalesce(b.parameters, v.parameters) AS parameters, b.id AS old_id, v.id AS new_id FROM ({SIDES % 0}) b FULL JOIN ({SIDES % 1}) v ON b.class_id = v.class_id AND b.method_name = v.method_name AND b.parameters = v.parameters")
-@query("V11_method_code", f"SELECT coalesce(b.class_id, v.class_id) AS class_id, coalesce(b.method_name, v.method_name) AS method_name, coalesce(b.parameters, v.parameters) AS parameters, b.id AS old_id, v.id AS new_id FROM ({SIDES % 0}) b FULL JOIN ({SIDES % 1}) v ON b.class_id = v.class_id AND b.method_name = v.method_name AND b.parameters = v.parameters")
 def j24(f: Facts) -> DataFrame:
     """One grouping in place of a full join: each version's id per key."""
     side = lambda p: F.min(F.when(F.col("project_id") == p, F.col("method_id")))
@@ -263,12 +268,11 @@ def w01(f: Facts) -> DataFrame:
     return lookup.first_per_key(hits, ["class_id", "line_no"], [F.asc("start_line"), F.asc("method_id")]).select("class_id", "line_no", "method_id")
 
 
-@query("W02_latest_result", "SELECT method_name, kind, max(created_at * 1000000 + task_id) AS latest FROM {llm_f} GROUP BY method_name, kind")
-@query("V15_nodes_status", "SELECT method_name, kind, max(created_at * 1000000 + task_id) AS latest FROM {llm_f} GROUP BY method_name, kind")
-@query("V19_cache_lookup", "SELECT method_name, kind, max(created_at * 1000000 + task_id) AS latest FROM {llm_f} GROUP BY method_name, kind")
+@query("W02_latest_result", "SELECT method_name, kind, max(created_at) AS latest_at, arg_max(task_id, CAST(created_at AS BIGINT) * 1000000000 + task_id) AS latest_task FROM {llm_f} GROUP BY method_name, kind")
 def w02(f: Facts) -> DataFrame:
     """Latest by time, then by task: an aggregate with map-side combine in place of a window."""
-    return f.llm_f.groupBy("method_name", "kind").agg(F.max_by(F.col("created_at") * 1000000 + F.col("task_id"), F.struct("created_at", "task_id")).alias("latest"))
+    last = F.max(F.struct("created_at", "task_id")).alias("last")
+    return f.llm_f.groupBy("method_name", "kind").agg(last).select("method_name", "kind", F.col("last.created_at").alias("latest_at"), F.col("last.task_id").alias("latest_task"))
 
 
 @query("W03_latest_project", "SELECT class_id, max(project_id) AS project_id FROM {method_v} GROUP BY class_id")
@@ -308,7 +312,6 @@ PAGE = 100
 
 
 @query("L01_task_page", "SELECT task_id FROM {task_f} ORDER BY created_at DESC, task_id LIMIT 100 OFFSET 200")
-@query("V02_task_page", "SELECT task_id FROM {task_f} ORDER BY created_at DESC, task_id LIMIT 100 OFFSET 200")
 def l01(f: Facts) -> DataFrame:
     """The third page: paging is the feature."""
     return f.task_f.select("task_id", "created_at").orderBy(F.desc("created_at"), "task_id").offset(2 * PAGE).limit(PAGE).select("task_id")

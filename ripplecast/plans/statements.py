@@ -71,7 +71,8 @@ def c18(f: Facts) -> DataFrame:
     return f.stmt_f.select("stmt_id", S.risk_level(text(), kind()).alias("risk"), F.array_join(S.warning_codes(text(), kind(), F.col("is_dynamic_sql")), ";").alias("warnings"))
 
 
-@query("C19_is_dao", "SELECT m.method_id, coalesce(lower(c.class_name) LIKE '%mapper' OR lower(c.class_name) LIKE '%dao' OR s.linked_method_id IS NOT NULL, false) AS is_dao FROM {method_f} m JOIN {class_f} c ON m.class_id = c.class_id LEFT JOIN (SELECT DISTINCT linked_method_id FROM {stmt_f}) s ON s.linked_method_id = m.method_id")
+@query("C19_is_dao", """SELECT m.method_id, regexp_matches(c.class_name, '(Mapper|Dao|Repository)$') OR contains(c.package_name || '.' || c.class_name, '.mapper.') OR contains(c.package_name || '.' || c.class_name, '.dao.') OR s.linked_method_id IS NOT NULL AS is_dao
+  FROM {method_f} m JOIN {class_f} c ON m.class_id = c.class_id LEFT JOIN (SELECT DISTINCT linked_method_id FROM {stmt_f}) s ON s.linked_method_id = m.method_id""")
 def c19(f: Facts) -> DataFrame:
     return lineage.dao_methods(f.method_f, f.class_f, f.stmt_f)
 

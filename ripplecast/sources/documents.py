@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,16 @@ def read_documents(spark: SparkSession, path: str, schema: str, defaults: dict[s
     return rows.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in defaults.items() if n in rows.columns})
 
 
+def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines below path; no rows where there is no such path."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def report_line(depth: Column, name: Column, change: Column) -> Column:
     return F.concat(F.repeat(F.lit("\t"), depth), name, F.lit(" ("), change, F.lit(")"))
 

@@ -1,12 +1,15 @@
 """Facts of Java sources by patterns over numbered lines.
 
-Declarations are found line by line with regular expressions and running brace depths, all in
-Spark SQL functions; names are resolved by joins afterwards. This covers the usual layout of
-one declaration to a line; it is no compiler.
+Sources are cut into pieces, which end at a semicolon, a brace or the end of the line, so that a
+line may hold several declarations; comments of any form and string contents are blanked first.
+Declarations are found piece by piece with regular expressions and running brace depths, all in
+Spark SQL functions; names are resolved by joins afterwards. It is no compiler.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +24,14 @@ IMPORT = "^import\\s+(static\\s+)?([\\w.]+)(\\.\\*)?\\s*;"
 LOCAL = f"^\\s+(?:final )?({TYPE})\\s+(\\w+)\\s*[=:;]"
 CALL = "(?:(\\b[\\w.]+)\\.)?(\\b\\w+)\\s*\\("
 NEW = "new\\s+([A-Z]\\w*)"
+BLOCK_COMMENT = "(?s)/\\*.*?\\*/"
+PIECE_END = "(?<=[{};])(?![^()]*\\))"
+CONSTANT = "\\b([A-Z][A-Z0-9_]*)\\s*(?:\\([^()]*\\))?\\s*(?=[,;}]|$)"
+MEMBER = "\\b([a-z]\\w*)\\.([a-z]\\w*)\\b(?!\\s*\\()"
+PLAIN_CALL = "(?:(\\b[\\w.]+)\\.)?(\\b\\w+)\\s*\\(([^()]*)\\)"
+ACCESSOR_NOTES = ["Data", "Getter", "Setter"]
 NOT_CALLS = ["if", "for", "while", "switch", "catch", "return", "synchronized", "super", "this", "new"]
-NOT_TYPES = ["return", "new", "throw", "else", "package", "import", "case", "goto", "assert"]
+NOT_TYPES = ["public", "private", "protected", "return", "new", "throw", "else", "package", "import", "case", "goto", "assert"]
 
 
 def read_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,14 +41,18 @@ def read_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numbered_lines(files: DataFrame) -> DataFrame:
-    """(path, line_no, line, depth): comments and string contents blanked; depth of braces before the line."""
+    """(path, seq, line_no, line, depth, opened): pieces in order, with the depth of braces before each; comments and string contents blanked."""
     text = F.regexp_replace("text", '"(?:[^"\\\\\\n]|\\\\.)*"', '""')
-    blank = F.regexp_replace(text, "//[^\\n]*", "")
-    lines = files.select("path", F.posexplode(F.split(blank, "\n")).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1)
-    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    # block comments leave their line ends
+    between, comments = F.split(text, BLOCK_COMMENT, -1), F.regexp_extract_all(text, F.lit(BLOCK_COMMENT), F.lit(0))
+    kept = F.transform(F.arrays_zip(between.alias("b"), comments.alias("c")), lambda x: F.concat(x["b"], F.coalesce(F.regexp_replace(x["c"], "[^\\n]", ""), F.lit(""))))
+    blank = F.regexp_replace(F.array_join(kept, ""), "//[^\\n]*", "")
+    lines = files.select("path", F.posexplode(F.split(blank, "\n")).alias("pos", "whole"))
+    pieces = lines.select("path", (F.col("pos") + 1).alias("line_no"), F.posexplode(F.split("whole", PIECE_END, -1)).alias("nth", "line")).filter("nth = 0 OR trim(line) <> ''")
+    rows = pieces.withColumn("seq", F.col("line_no").cast("long") * 100_000 + F.col("nth"))
+    w = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     opened = F.length(F.regexp_replace("line", "[^{]", "")) - F.length(F.regexp_replace("line", "[^}]", ""))
-    star = F.trim("line").startswith("*") | F.trim("line").startswith("/*")
-    return lines.select("path", "line_no", F.when(star, "").otherwise(F.col("line")).alias("line"), (F.sum(opened).over(w) - opened).alias("depth"), opened.alias("opened"))
+    return rows.select("path", "seq", "line_no", "line", (F.sum(opened).over(w) - opened).alias("depth"), opened.alias("opened"))
 
 
 def packages(lines: DataFrame) -> DataFrame:
@@ -58,17 +71,21 @@ def classes(lines: DataFrame) -> DataFrame:
     """(path, package_name, class_name, class_type, extends_class, implements, start_line, depth); a nested class's package is its file's."""
     part = lambda i: F.regexp_extract("line", CLASS, i)
     rows = lines.filter(F.col("line").rlike(CLASS)).select(
-        "path", "line_no", "depth", part(3).alias("class_name"), F.initcap(part(2)).alias("class_type"), F.nullif(F.trim(part(4)), F.lit("")).alias("extends_class"),
+        "path", "line_no", "depth", (F.row_number().over(Window.partitionBy("path").orderBy("seq")) == 1).alias("is_first"), part(3).alias("class_name"), F.initcap(part(2)).alias("class_type"), F.nullif(F.trim(part(4)), F.lit("")).alias("extends_class"),
         F.when(part(5) != "", F.transform(F.split(part(5), ","), lambda x: F.regexp_replace(F.trim(x), "<.*", ""))).alias("implements"),
     )
     return rows.join(packages(lines), "path").withColumnRenamed("line_no", "start_line")
 
 
 def in_class(lines: DataFrame) -> DataFrame:
-    """lines with the last class opened before them in the file."""
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.regexp_extract("line", CLASS, 3)
-    return lines.withColumn("class_name", F.last(F.when(name != "", name), True).over(w)).withColumn("class_depth", F.last(F.when(name != "", F.col("depth")), True).over(w))
+    """lines with the innermost class around each piece, its own declaration included: class_name, class_depth, class_kind, class_seq."""
+    part = lambda k: F.regexp_extract("line", CLASS, k)
+    opened = lines.filter(F.col("line").rlike(CLASS)).select("path", F.struct(F.col("seq").alias("seq"), part(3).alias("name"), F.col("depth").alias("depth"), part(2).alias("kind")).alias("c"))
+    falls = lines.select("path", "seq", (F.col("depth") + F.col("opened")).alias("after")).filter("after >= 0")
+    ends = opened.join(falls, "path").filter("seq > c.seq AND after <= c.depth").groupBy("path", "c").agg(F.min("seq").alias("end"))
+    ranges = opened.join(ends, ["path", "c"], "left").select("path", "c", "end")
+    around = lines.select("path", "seq").join(ranges, "path").filter("seq >= c.seq AND (end IS NULL OR seq <= end)").groupBy("path", "seq").agg(F.max("c").alias("c"))
+    return lines.join(around, ["path", "seq"], "left").select(*lines.columns, F.col("c.name").alias("class_name"), F.col("c.depth").alias("class_depth"), F.col("c.kind").alias("class_kind"), F.col("c.seq").alias("class_seq"))
 
 
 def fields(lines: DataFrame) -> DataFrame:
@@ -79,7 +96,7 @@ def fields(lines: DataFrame) -> DataFrame:
 
 
 def methods(lines: DataFrame) -> DataFrame:
-    """(path, class_name, method_name, return_type, parameters, start_line, end_line, annotations).
+    """(path, class_name, method_name, return_type, parameters, start_line, end_line, annotations, is_static, is_constructor, start_seq, end_seq, parameter_list).
 
     A method ends at the first line after which the depth is back at its own. Constructors are
     methods that return their class. Annotations are those on the lines right above.
@@ -89,13 +106,13 @@ def methods(lines: DataFrame) -> DataFrame:
     is_method = (F.col("depth") == F.col("class_depth") + 1) & F.col("line").rlike(METHOD) & ~part(2).isin(NOT_TYPES)
     is_constructor = (F.col("depth") == F.col("class_depth") + 1) & F.col("line").rlike(CONSTRUCTOR) & (F.regexp_extract("line", CONSTRUCTOR, 1) == F.col("class_name"))
     note = F.regexp_extract("line", "^\\s*@(\\w+)", 1)
-    in_file = Window.partitionBy("path").orderBy("line_no")
+    in_file = Window.partitionBy("path").orderBy("seq")
     no_note = F.sum(F.when(note == "", 1).otherwise(0)).over(in_file.rowsBetween(Window.unboundedPreceding, -1))
     member = member.withColumn("block", F.coalesce(no_note, F.lit(0))).withColumn("note", note)
-    member = member.withColumn("annotations", F.collect_list(F.when(F.col("note") != "", F.col("note"))).over(Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)))
+    member = member.withColumn("annotations", F.collect_list(F.when(F.col("note") != "", F.col("note"))).over(Window.partitionBy("path", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)))
     # the next line at which the depth falls back to a class member's
-    closes = F.when((F.col("depth") + F.col("opened") == F.col("class_depth") + 1) & ((F.col("opened") < 0) | F.col("line").rlike("[;}]\\s*$")), F.col("line_no"))
-    member = member.withColumn("end_line", F.first(closes, True).over(in_file.rowsBetween(0, Window.unboundedFollowing)))
+    closes = F.when((F.col("depth") + F.col("opened") == F.col("class_depth") + 1) & ((F.col("opened") < 0) | F.col("line").rlike("[;}]\\s*$")), F.struct("line_no", "seq"))
+    member = member.withColumn("end", F.first(closes, True).over(in_file.rowsBetween(0, Window.unboundedFollowing)))
     found = member.filter(is_method | is_constructor)
     constructor = F.col("line").rlike(CONSTRUCTOR) & ~is_method
     pick = lambda a, b: F.when(constructor, a).otherwise(b)
@@ -103,37 +120,73 @@ def methods(lines: DataFrame) -> DataFrame:
     types = F.transform(F.filter(F.split(F.trim(parameters), ",(?![^<]*>)"), lambda p: F.trim(p) != ""), lambda p: F.regexp_replace(F.regexp_replace(F.trim(p), "^(?:@\\w+(?:\\([^)]*\\))?\\s+|final\\s+)*", ""), "\\s+\\w+$", ""))
     return found.select(
         "path", "class_name", pick(F.col("class_name"), part(3)).alias("method_name"), pick(F.col("class_name"), part(2)).alias("return_type"), F.array_join(types, ",").alias("parameters"),
-        F.col("line_no").alias("start_line"), "end_line", "annotations", part(1).contains("static").alias("is_static"),
+        F.col("line_no").alias("start_line"), F.col("end.line_no").alias("end_line"), "annotations", part(1).contains("static").alias("is_static"),
+        constructor.alias("is_constructor"), F.col("seq").alias("start_seq"), F.col("end.seq").alias("end_seq"), parameters.alias("parameter_list"),
     )
 
 
+def in_method(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """rows (with path and seq) inside a method's body, with class_name, caller and the method's start_seq."""
+    own = methods(lines).select("path", "class_name", F.col("method_name").alias("caller"), "start_seq", "end_seq")
+    return rows.join(own, "path").filter("seq > start_seq AND seq <= end_seq")
+
+
 def calls(lines: DataFrame) -> DataFrame:
-    """(path, class_name, caller, start_line, line_no, target, method_name): target is the name before the dot, if any."""
-    own = methods(lines).select("path", "class_name", F.col("method_name").alias("caller"), "start_line", "end_line")
-    sites = lines.filter(F.col("line").rlike(CALL)).select("path", "line_no", F.explode(F.arrays_zip(F.regexp_extract_all("line", F.lit(CALL), F.lit(1)).alias("target"), F.regexp_extract_all("line", F.lit(CALL), F.lit(2)).alias("method_name"))).alias("c"))
-    inside = sites.join(own, "path").filter("line_no BETWEEN start_line AND end_line AND line_no > start_line")
-    rows = inside.select("path", "class_name", "caller", "start_line", "line_no", F.nullif(F.col("c.target"), F.lit("")).alias("target"), "c.method_name")
+    """(path, class_name, caller, start_seq, line_no, target, method_name): target is the name before the dot, if any; calls on a call's result are chains'."""
+    plain = F.regexp_replace("line", "\\)\\s*\\.\\s*\\w+\\s*\\(", ")(")
+    found = F.arrays_zip(F.regexp_extract_all(plain, F.lit(CALL), F.lit(1)).alias("target"), F.regexp_extract_all(plain, F.lit(CALL), F.lit(2)).alias("method_name"))
+    sites = lines.filter(F.col("line").rlike(CALL)).select("path", "line_no", "seq", F.explode(found).alias("c"))
+    rows = in_method(sites, lines).select("path", "class_name", "caller", "start_seq", "line_no", F.nullif(F.col("c.target"), F.lit("")).alias("target"), "c.method_name")
     return rows.filter(~F.col("method_name").isin(NOT_CALLS) & ~F.col("method_name").rlike("^[A-Z]"))
 
 
-def variables(lines: DataFrame) -> DataFrame:
-    """(path, name, type, rank): locals before fields."""
+def enum_constants(lines: DataFrame) -> DataFrame:
+    """(path, class_name, line_no, field_name): public static fields of type ENUM, up to the first semicolon of an enum."""
+    members = in_class(lines).filter((F.col("class_kind") == "enum") & (F.col("depth") == F.col("class_depth") + 1) & (F.col("seq") > F.col("class_seq")))
+    before = Window.partitionBy("path", "class_seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.sum(F.col("line").contains(";").cast("int")).over(before), F.lit(0)) > 0
+    rows = members.withColumn("ended", ended).filter("NOT ended")
+    return rows.select("path", "class_name", "line_no", F.explode(F.regexp_extract_all("line", F.lit(CONSTANT), F.lit(1))).alias("field_name"))
+
+
+def symbols(lines: DataFrame) -> DataFrame:
+    """(path, start_seq, class_name, name, type, rank): parameters (1), locals (2) by method, fields (3) by class."""
+    own = methods(lines)
+    parameter = F.explode(F.filter(F.split(F.col("parameter_list"), ",(?![^<]*>)"), lambda p: F.trim(p) != ""))
+    each = own.select("path", "start_seq", "class_name", parameter.alias("raw"))
+    named = each.select("path", "start_seq", "class_name", F.trim(F.regexp_replace("raw", "^\\s*(?:@\\w+(?:\\([^)]*\\))?\\s+|final\\s+)*", "")).alias("p"))
+    parameters = named.select("path", "start_seq", "class_name", F.regexp_extract("p", "(\\w+)$", 1).alias("name"), F.regexp_replace("p", "\\s+\\w+$", "").alias("type"), F.lit(1).alias("rank"))
     part = lambda i: F.regexp_extract("line", LOCAL, i)
-    local = lines.filter(F.col("line").rlike(LOCAL) & ~part(1).isin(NOT_TYPES)).select("path", part(2).alias("name"), part(1).alias("type"), F.lit(1).alias("rank"))
-    return local.union(fields(lines).select("path", F.col("field_name"), "field_type", F.lit(2)))
+    local = in_method(lines.filter(F.col("line").rlike(LOCAL) & ~part(1).isin(NOT_TYPES)), lines).select("path", "start_seq", "class_name", part(2).alias("name"), part(1).alias("type"), F.lit(2).alias("rank"))
+    none = F.lit(None).cast("long")
+    return parameters.union(local).union(fields(lines).select("path", none, "class_name", "field_name", "field_type", F.lit(3)))
 
 
-def resolved_calls(lines: DataFrame) -> DataFrame:
-    """calls with callee_class: a variable's type, else the target itself (a class), else the own class;
-    simple names are qualified by the file's imports, else by its package."""
+def typed(rows: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """rows (with path, start_seq, class_name) with the type and rank of the column `name`: a parameter, else a local of
+    the method, else a field of the class; null where there is none."""
     from ..operators.lookup import first_per_key
 
-    types = first_per_key(variables(lines), ["path", "name"], [F.asc("rank"), F.asc("type")]).select("path", F.col("name").alias("target"), "type")
-    rows = calls(lines).join(types, ["path", "target"], "left")
-    simple = F.regexp_replace(F.coalesce("type", F.when(F.col("target") != "this", F.col("target")), "class_name"), "<.*", "")
+    own = symbols(lines)
+    here = own.filter("rank < 3").select("path", "start_seq", F.col("name").alias(name), "type", "rank")
+    field = own.filter("rank = 3").select("path", "class_name", F.col("name").alias(name), F.col("type").alias("field_type"))
+    first = first_per_key(here, ["path", "start_seq", name], [F.asc("rank"), F.asc("type")])
+    found = rows.join(first, ["path", "start_seq", name], "left").join(field.dropDuplicates(["path", "class_name", name]), ["path", "class_name", name], "left")
+    return found.withColumn("rank", F.when(F.col("type").isNull() & F.col("field_type").isNotNull(), 3).otherwise(F.col("rank"))).withColumn("type", F.coalesce("type", "field_type")).drop("field_type")
+
+
+def resolved_calls(lines: DataFrame) -> DataFrame:
+    """calls with callee_class and `how` the target was found: PARAMETER, LOCAL or FIELD by its type, OWN class without a
+    target or on `this`, else a class by name: of an IMPORT, of this FILE, or of the same PACKAGE. Simple names are
+    qualified by the file's imports, else by its package."""
+    rows = typed(calls(lines), lines, "target")
+    own = F.col("target").isNull() | (F.col("target") == "this")
+    simple = F.regexp_replace(F.coalesce("type", F.when(~own, F.col("target")), "class_name"), "<.*", "")
     named = imports(lines).filter("NOT is_wildcard").select("path", F.substring_index("import_path", ".", -1).alias("simple"), "import_path").dropDuplicates(["path", "simple"])
-    rows = rows.withColumn("simple", simple).join(named, ["path", "simple"], "left").join(packages(lines), "path")
-    return rows.select("path", "class_name", "caller", "line_no", "method_name", F.coalesce("import_path", F.concat_ws(".", "package_name", "simple")).alias("callee_class"))
+    inside = classes(lines).select("path", F.col("class_name").alias("simple"), F.lit(True).alias("in_file")).distinct()
+    rows = rows.withColumn("simple", simple).join(named, ["path", "simple"], "left").join(inside, ["path", "simple"], "left").join(packages(lines), "path")
+    how = F.when(F.col("rank") == 1, "PARAMETER").when(F.col("rank") == 2, "LOCAL").when(F.col("rank") == 3, "FIELD").when(own, "OWN").when(F.col("import_path").isNotNull(), "IMPORT").when(F.col("in_file"), "FILE").otherwise("PACKAGE")
+    return rows.select("path", "class_name", "caller", "line_no", "target", "method_name", how.alias("how"), F.coalesce("import_path", F.concat_ws(".", "package_name", "simple")).alias("callee_class"))
 
 
 def invocations(lines: DataFrame) -> DataFrame:
@@ -141,6 +194,86 @@ def invocations(lines: DataFrame) -> DataFrame:
     return resolved_calls(lines).groupBy("path", "class_name", "caller", "callee_class", "method_name").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
 
 
+def chains(lines: DataFrame) -> DataFrame:
+    """(path, caller, line_no, position, owner, method_name): calls on results of calls; owner is the class that the call
+    before returns, null where that method is not known. Position 0 is the first call of the chain."""
+    flat = F.col("line")
+    for _ in range(4):  # arguments, from the inside out
+        flat = F.regexp_replace(flat, "\\([^()]*\\)", "\u0001")
+    found = F.explode(F.regexp_extract_all(flat, F.lit("([\\w.]*\\w\u0001(?:\\.\\w+\u0001)+)"), F.lit(1)))
+    sites = in_method(lines.select("path", "seq", "line_no", found.alias("chain")), lines)
+    steps = sites.withColumn("names", F.transform(F.filter(F.split("chain", "\u0001"), lambda x: x != ""), lambda x: F.regexp_replace(x, "^\\.", "")))
+    first = F.element_at("names", 1)
+    steps = steps.withColumn("target", F.nullif(F.regexp_replace(first, "\\.?\\w+$", ""), F.lit(""))).withColumn("names", F.concat(F.array(F.regexp_extract(first, "(\\w+)$", 1)), F.slice("names", 2, 1000)))
+    now = typed(steps, lines, "target").withColumn("owner", F.regexp_replace(F.coalesce("type", "target", "class_name"), "<.*", ""))
+    now = now.select("path", "seq", "caller", "line_no", "chain", "names", F.lit(0).alias("position"), "owner")
+    returns = methods(lines).groupBy(F.col("class_name").alias("owner"), F.col("method_name").alias("name")).agg(F.min("return_type").alias("returned"))
+    out = []
+    longest = steps.agg(F.max(F.size("names"))).first()[0] or 0
+    for position in range(longest):
+        now = now.filter(F.size("names") > position).withColumn("name", F.element_at("names", position + 1))
+        out.append(now.select("path", "caller", "line_no", F.lit(position).alias("position"), "owner", F.col("name").alias("method_name")))
+        now = now.join(returns, ["owner", "name"], "left").withColumn("owner", F.regexp_replace("returned", "<.*", "")).drop("returned", "name")
+    return reduce(DataFrame.union, out) if out else lines.sparkSession.createDataFrame([], "path string, caller string, line_no int, position int, owner string, method_name string")
+
+
+def member_uses(lines: DataFrame) -> DataFrame:
+    """(path, caller, line_no, owner, field_name): references `name.field` to members of a typed name's class."""
+    found = F.arrays_zip(F.regexp_extract_all("line", F.lit(MEMBER), F.lit(1)).alias("target"), F.regexp_extract_all("line", F.lit(MEMBER), F.lit(2)).alias("field_name"))
+    sites = in_method(lines.select("path", "seq", "line_no", F.explode(found).alias("m")), lines).select("*", "m.target", "m.field_name")
+    rows = typed(sites, lines, "target")
+    owner = F.when(F.col("target") == "this", F.col("class_name")).otherwise(F.regexp_replace("type", "<.*", ""))
+    return rows.select("path", "caller", "line_no", owner.alias("owner"), "field_name").filter("owner IS NOT NULL")
+
+
+def argument_types(lines: DataFrame) -> DataFrame:
+    """(path, caller, line_no, nth, method_name, types): of calls without calls in their arguments. Literals, casts, new
+    objects and typed names have types; a binary operation counts as String; the rest is unknown."""
+    flat = F.regexp_replace("line", "\\(\\s*([A-Z]\\w*)\\s*\\)\\s*(?=\\w)", "cast $1 ")
+    flat = F.regexp_replace(flat, "new\\s+([A-Z]\\w*)\\s*\\([^()]*\\)", "new $1")
+    flat = F.replace(flat, F.lit("->"), F.lit("::"))  # an arrow is no end of type arguments
+    part = lambda i: F.regexp_extract_all(flat, F.lit(PLAIN_CALL), F.lit(i))
+    found = F.posexplode(F.arrays_zip(part(2).alias("method_name"), part(3).alias("arguments")))
+    sites = in_method(lines.select("path", "seq", "line_no", found.alias("nth", "c")), lines).select("path", "class_name", "caller", "start_seq", "seq", "line_no", "nth", "c.*")
+    sites = sites.filter(~F.col("method_name").isin(NOT_CALLS) & (F.trim("arguments") != ""))
+    each = sites.select("*", F.posexplode(F.split("arguments", ",(?![^<]*>)")).alias("place", "raw")).withColumn("argument", F.trim("raw"))
+    a = F.col("argument")
+    known = typed(each, lines, "argument")
+    kind = (
+        F.when(a.isin("true", "false"), "Boolean").when(a.rlike("^\\d+$"), "Int").when(a.rlike("->|::|\\?"), "unknown").when(a.rlike("^(?:cast|new) [A-Z]\\w*"), F.regexp_extract(a, "^(?:cast|new) (\\w+)", 1))
+        .when(a == '""', "String").when(a.rlike("[-+*/%<>=&|]"), "String").otherwise(F.coalesce(F.regexp_replace("type", "<.*", ""), F.lit("unknown")))
+    )
+    types = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", kind.alias("t")))), lambda x: x["t"]), ",")
+    return known.groupBy("path", "caller", "seq", "line_no", "nth", "method_name").agg(types.alias("types"))
+
+
+def accessors(lines: DataFrame) -> DataFrame:
+    """(path, class_name, method_name, field_name, field_type): getters and setters that a class's annotations generate and it does not declare."""
+    note = F.regexp_extract("line", "^\\s*@(\\w+)", 1)
+    block = F.sum(F.when(note == "", 1).otherwise(0)).over(Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    noted = lines.withColumn("note", note).withColumn("block", F.coalesce(block, F.lit(0)))
+    above = noted.filter(F.col("note") != "").groupBy("path", "block").agg(F.collect_set("note").alias("notes"))
+    owners = noted.filter(F.col("line").rlike(CLASS)).join(above, ["path", "block"]).select("path", F.regexp_extract("line", CLASS, 3).alias("class_name"), "notes")
+    own = fields(lines).join(owners, ["path", "class_name"])
+    has = lambda *names: F.arrays_overlap("notes", F.array(*map(F.lit, names)))
+    name = F.concat(F.upper(F.substring("field_name", 1, 1)), F.expr("substring(field_name, 2)"))
+    made = F.explode(F.array_compact(F.array(F.when(has("Data", "Getter"), F.concat(F.lit("get"), name)), F.when(has("Data", "Setter"), F.concat(F.lit("set"), name)))))
+    rows = own.select("path", "class_name", made.alias("method_name"), "field_name", "field_type")
+    return rows.join(methods(lines).select("path", "class_name", "method_name"), ["path", "class_name", "method_name"], "left_anti")
+
+
+def import_closure(lines: DataFrame) -> DataFrame:
+    """(path, needed, distance): files that a file's imports lead to, named, static and by wildcard, step by step."""
+    from ..operators import graph
+
+    types = classes(lines).filter("depth = 0").select(F.col("path").alias("needed"), "package_name", F.concat_ws(".", "package_name", "class_name").alias("full_name"))
+    own = imports(lines)
+    # a static import names a member of the type
+    named = own.filter("NOT is_wildcard").select("path", F.when(F.col("is_static"), F.regexp_replace("import_path", "\\.\\w+$", "")).otherwise(F.col("import_path")).alias("full_name"))
+    direct = named.join(types, "full_name").select("path", "needed").union(own.filter("is_wildcard").select("path", F.col("import_path").alias("package_name")).join(types, "package_name").select("path", "needed"))
+    return graph.closure(direct.distinct().toDF("src", "dst")).toDF("path", "needed", "distance")
+
+
 def created(lines: DataFrame) -> DataFrame:
     """(path, line_no, class_name) of each `new X(...)`."""
     return lines.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(NEW), F.lit(1))).alias("class_name"))

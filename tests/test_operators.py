@@ -144,3 +144,9 @@ def test_stream_replays_the_batch(spark, tmp_path):
         if r.api_key not in last or r.calls > last[r.api_key].calls:
             last[r.api_key] = r
     assert {k: tuple(r)[1:] for k, r in last.items()} == {k: pytest.approx(v) for k, v in folded(calls(120)).items()}
+
+
+def test_saved_json_is_loaded_where_it_is(spark, tmp_path):
+    assert documents.load_json(spark, str(tmp_path / "none"), "a long").count() == 0
+    spark.range(3).select(F.col("id").alias("a")).write.json(str(tmp_path / "some"))
+    assert sorted(r.a for r in documents.load_json(spark, str(tmp_path / "some"), "a long").collect()) == [0, 1, 2]
