@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only by sessions on one machine that name no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -25,8 +25,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the session names."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The shared folder that the session names; without one only a session on one machine goes on."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return LOCAL_CHECKPOINTS
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -16,12 +16,13 @@ other columns of the input are not read, so their names cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_words, materialize, stored
@@ -29,7 +30,7 @@ from .common import lower_words, materialize, stored
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Members of a bucket that one step compares; larger buckets are cut into blocks of this size.
+#: Members of a bucket that one step compares; larger buckets are masked again, then cut into blocks of this size.
 BLOCK = 2048
 _STEP = 1 << 16
 
@@ -56,14 +57,14 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
-    """The masks, as signed numbers."""
-    vectors = [i % ((1 << (radius + 1)) - 1) + 1 for i in range(bits)]
-    masks = []
-    for v in range(1, 1 << (radius + 1)):
-        mask = sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2)
-        masks.append(mask - (1 << bits) if mask >> (bits - 1) else mask)
-    return masks
+def covering_masks(radius: int = RADIUS, positions: Sequence[int] = range(64)) -> list[int]:
+    """The masks over some bit positions, as signed numbers."""
+    vectors = [i % ((1 << (radius + 1)) - 1) + 1 for i in range(len(positions))]
+    return [signed(sum(1 << p for p, m in zip(positions, vectors) if (m & v).bit_count() % 2)) for v in range(1, 1 << (radius + 1))]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def fingerprint_of(text_col: str = "text", k: int = SHINGLE) -> Column:
@@ -122,23 +123,35 @@ def candidate_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (src, dst) whose components are those of all pairs of distinct fp within the radius.
 
     Each bucket gives a spanning forest of its members, at most one link less than it has
-    members. A bucket over BLOCK members is cut into blocks by hash, and each pair of
-    blocks is compared by itself, so no task holds more than two blocks.
+    members. In a bucket over BLOCK members, all of which agree on what its mask keeps, the other
+    bits are covered by masks of their own in the same way, so it falls into smaller ones that
+    miss no pair either. What is still over BLOCK members is cut into blocks by hash, and each
+    pair of blocks is compared by itself, so no task holds more than two blocks.
     """
-    masks = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("kept")) for i, m in enumerate(covering_masks(radius))])
-    rows = nodes.select("fp", F.explode(masks).alias("b")).select("fp", "b.mask", "b.kept")
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("mask", "kept"))).filter("n > 1")
-    schema = "src long, dst long"
-    small = rows.filter(F.col("n") <= BLOCK).select("mask", "kept", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp").sortWithinPartitions("mask", "kept")
+    masks = covering_masks(radius)
+    finer = [[signed((m | n) % (1 << 64)) for n in covering_masks(radius, [b for b in range(64) if not m >> b & 1])] for m in masks]
+    kept = lambda own: F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("kept")) for i, m in enumerate(own)])
+    members = lambda b: b.select("fp", "b.mask", "b.kept")
+    rows = shared(members(nodes.select("fp", F.explode(kept(masks)).alias("b"))))
+    inner = reduce(lambda c, i: c.when(F.col("mask") == i, F.array(*[F.struct(F.lit((i + 1) * len(masks) + j).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("kept")) for j, m in enumerate(finer[i])])), range(1, len(masks)), F.when(F.col("mask") == 0, F.array(*[F.struct(F.lit(len(masks) + j).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("kept")) for j, m in enumerate(finer[0])])))
+    again = shared(members(rows.filter(F.col("n") > BLOCK).select("fp", F.explode(inner).alias("b"))))
+    small = rows.filter(F.col("n") <= BLOCK).unionByName(again.filter(F.col("n") <= BLOCK))
+    small = small.select("mask", "kept", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp").repartition("mask", "kept").sortWithinPartitions("mask", "kept")
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("fp"), blocks)
     other = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    large = rows.filter(F.col("n") > BLOCK).withColumn("own", own).select("mask", "kept", "fp", "own", F.explode(F.filter(other, lambda p: p["i"] < p["j"])).alias("p"))
+    large = again.filter(F.col("n") > BLOCK).withColumn("own", own).select("mask", "kept", "fp", "own", F.explode(F.filter(other, lambda p: p["i"] < p["j"])).alias("p"))
     large = large.select("mask", "kept", "p.i", "p.j", "fp").repartition("mask", "kept", "i", "j").sortWithinPartitions("mask", "kept", "i", "j")
-    verify = _links(radius)
+    verify, schema = _links(radius), "src long, dst long"
     return small.mapInPandas(verify, schema).union(large.mapInPandas(verify, schema)).distinct()
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """rows of (fp, mask, kept) in buckets of two or more, with the bucket's size n."""
+    sizes = rows.groupBy("mask", "kept").agg(F.count("*").alias("n")).filter("n > 1")
+    return materialize(rows.join(sizes, ["mask", "kept"]))
+
+
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) with the smallest node of each component, by alternating star contraction.
 

@@ -254,6 +254,62 @@ def test_pages(spark):
     assert htmlmain.extract(df.limit(0)).count() == 0
 
 
+def repeated_by_suffix_array(streams, run, needed):
+    """Which tokens of each stream lie in substrings of at least run tokens that as many distinct streams hold: by a sorted suffix array."""
+    suffixes = sorted((tuple(s[i:]), k, i) for k, s in enumerate(streams) for i in range(len(s)))
+    lcp = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    hit = [[False] * len(s) for s in streams]
+    for at, (suffix, k, i) in enumerate(suffixes):
+        longest = 0
+        # the best group around this suffix: spread to both sides, always to the nearer one
+        low, high, depth, pages = at, at, len(suffix), {k}
+        while True:
+            if len(pages) >= needed:
+                longest = depth
+                break
+            left = min(depth, lcp(suffixes[low - 1][0], suffix)) if low else -1
+            right = min(depth, lcp(suffixes[high + 1][0], suffix)) if high + 1 < len(suffixes) else -1
+            depth = max(left, right)
+            if depth < run:
+                break
+            low, high = (low - 1, high) if left >= right else (low, high + 1)
+            pages.add(suffixes[low if left >= right else high][1])
+        if longest >= run:
+            hit[k][i : i + longest] = [True] * longest
+    return hit
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_of_a_host_against_a_suffix_array(spark, seed):
+    rng = random.Random(seed)
+    shared = [prose(50 + i, rng.randrange(6, 30)) for i in range(4)]
+    pages = [[rng.choice(shared) if rng.random() < 0.5 else prose(1000 * seed + 10 * p + b, rng.randrange(4, 25)) for b in range(5)] for p in range(8)]
+    pages.append(list(pages[0]))  # a copy counts once
+    df = spark.createDataFrame([(i, "http://h/x", "".join(f"<p>{b}</p>" for b in p)) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    distinct = [[w for b in p for w in b.split()] for p in {tuple(p): p for p in pages}.values()]
+    hit = repeated_by_suffix_array(distinct, 8, 3)
+    want = {}
+    for i, p in enumerate(pages):
+        marks, at, kept = hit[distinct.index([w for b in p for w in b.split()])], 0, []
+        for b in p:
+            n = len(b.split())
+            if sum(marks[at : at + n]) < 0.7 * n:
+                kept.append(b)
+            at += n
+        want[i] = "\n".join(kept)
+    got = {r.page_id: r.text for r in htmlmain.extract(df, min_pages=3, share=0.1).collect()}
+    assert got == want and len(set(want.values())) > 1
+
+
+def test_broken_markup_takes_time_in_proportion():
+    import time
+
+    for broken in ("<a b ", '<a "', "<!x", "<div>", "<div></b>", "<a '\"", "<"):
+        started = time.process_time()
+        htmlmain.blocks(broken * 60_000)
+        assert time.process_time() - started < 5, broken
+
+
 def test_pipeline_stages_in_turn(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = [docs]
