@@ -310,6 +310,12 @@ def test_broken_markup_takes_time_in_proportion():
         assert time.process_time() - started < 5, broken
 
 
+def stored_folders(spark):
+    import os
+
+    return set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+
+
 def test_pipeline_stages_in_turn(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = [docs]
@@ -324,7 +330,9 @@ def test_pipeline_stages_in_turn(spark):
     prints = [r.fp % 2**64 for r in own]
     assert all((a ^ b).bit_count() > 3 for i, a in enumerate(prints) for b in prints[:i])
     assert secretscan.digest(hidden).filter("n_assign + n_access + n_hex > 0").count() == 0
+    before = stored_folders(spark)
     ran = corpus_pipeline.run(spark, SF)
+    assert [x for x in stored_folders(spark) - before if x.startswith("table-")] == []
     key = lambda df: Counter(tuple(r) for r in df.select("doc_id", "piece", "length", "ids_crc32").collect())
     assert key(ran) == key(packed)
 
