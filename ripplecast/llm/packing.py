@@ -14,8 +14,8 @@ histogram with one counter a length (at most CAPACITY of them, whatever the corp
   back for half as many, a quarter and so on down to one, so every plan can be reached. A
   branch ends where its waste leaves no room for fewer sequences than the incumbent has.
 * Best fit decreasing gives the first incumbent. The search ends by proof: at the lower bound
-  ceil(total / CAPACITY), or when the tree is used up; `nodes` is the one limit of effort,
-  after which the incumbent stands (None: no limit). Packing is whole in every case.
+  ceil(total / CAPACITY), or when the tree is used up; `nodes` is the one limit of effort, in
+  fillings looked at, after which the incumbent stands (None: no limit). Packing is whole in every case.
 
 A plan is a list of patterns with a number of sequences each; its size is bounded by the
 number of lengths. Rows are then placed in parallel: a piece's rank among those of its length
@@ -207,11 +207,18 @@ def replaceable(filling: Pattern, waste: int, free: int) -> bool:
     for k in filling:
         several |= (several | single) << k
         single |= 1 << k
-    return bool(several & free) or any((several | single) << w & free for w in range(1, waste + 1))
+    near, reached = free >> 1, 1  # sums that one of free exceeds by 1 to `reached`
+    while reached < waste:
+        step = min(reached, waste - reached)
+        near, reached = near | near >> step, reached + step
+    return bool(several & free or waste and (several | single) & near)
 
 
-def fillings(left: _Lengths, capacity: int, most_waste: int) -> Iterator[Pattern]:
-    """Undominated fillings around the longest piece that waste at most most_waste, the least waste first."""
+def fillings(left: _Lengths, capacity: int, most_waste: int, effort: list[int] | None = None) -> Iterator[Pattern]:
+    """Undominated fillings around the longest piece that waste at most most_waste, the least waste first.
+
+    Each filling that is looked at, dominated ones too, takes one from effort[0]; at 0 there are no more.
+    """
     longest = left.order[-1]
     room = capacity - longest
     free = {k: left.count[k] - (k == longest) for k in left.order[: left.below(room) + 1]}
@@ -242,11 +249,16 @@ def fillings(left: _Lengths, capacity: int, most_waste: int) -> Iterator[Pattern
                     for more in exact(at, rest - n * k):
                         yield (k,) * n + more
 
+    some = sum(1 << k for k in sizes)
     for waste in range(min(room, most_waste) + 1):
         if reach[0] >> room - waste & 1:
             for f in exact(0, room - waste):
-                over = sum(1 << k for k in sizes if free[k] > f.count(k)) if waste or len(f) > 1 else 0
-                if not replaceable(f, waste, over):
+                if effort is not None:
+                    if effort[0] <= 0:
+                        return
+                    effort[0] -= 1
+                used_up = sum(1 << k for k in set(f) if f.count(k) >= free[k])
+                if not replaceable(f, waste, some & ~used_up):
                     yield (longest, *f)
 
 
@@ -268,11 +280,12 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None
     most = sum(t for _, t in best)
     left = _Lengths(counts)
     plan: list[tuple[Pattern, int]] = []
-    waste = seen = 0
+    waste = 0
+    effort = None if nodes is None else [nodes]
 
     def branches() -> Iterator[tuple[Pattern, int]]:
         # one sequence less than the incumbent leaves so much to waste
-        for pattern in fillings(left, capacity, (most - 1) * capacity - total - waste):
+        for pattern in fillings(left, capacity, (most - 1) * capacity - total - waste, effort):
             times = left.times(pattern)
             while times:
                 yield pattern, times
@@ -280,7 +293,7 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None
 
     #: Depth first, by hand: each level holds what is still to try there.
     stack: list[Iterator[tuple[Pattern, int]]] = [branches()] if left.order else []
-    while stack and most > bound and (nodes is None or seen < nodes):
+    while stack and most > bound and (effort is None or effort[0] > 0):
         step = next(stack[-1], None)
         if step is None:
             stack.pop()
@@ -293,7 +306,6 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None
         lost = (capacity - sum(pattern)) * times
         if waste + lost > (most - 1) * capacity - total:
             continue
-        seen += 1
         left.take(pattern, times)
         plan.append(step)
         waste += lost
