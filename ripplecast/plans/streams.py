@@ -1,6 +1,6 @@
 """Queries on call statistics and key health (T*, W09-W11), as batch over the whole log.
 
-tests/test_streaming.py replays the same rows as a stream.
+tests/test_operators.py replays the same rows as a stream.
 """
 
 from __future__ import annotations
