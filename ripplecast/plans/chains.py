@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..facts import Facts
 from ..operators import entries, graph, lookup
 from ..operators.hierarchy import implementing_methods
+from ..operators.ranks import id_block, ranked
 from ..registry import query
 from ..session import written
 from ..sources import documents
@@ -209,10 +210,8 @@ def g09(f: Facts) -> DataFrame:
 
 @query("P08_graph_layout", LEVELS + "SELECT node, level * 200 AS x, row_number() OVER (PARTITION BY level ORDER BY node) * 80 AS y FROM (SELECT node, max(level) AS level FROM l GROUP BY node) z")
 def p08(f: Facts) -> DataFrame:
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("level").orderBy("node"))
-    return graph.levels(hierarchy(f)).select("node", (F.col("level") * 200).alias("x"), (place * 80).alias("y"))
+    rows = ranked(graph.levels(hierarchy(f)), ["level"], ["node"], id_block("node"))
+    return rows.select("node", (F.col("level") * 200).alias("x"), (F.col("place") * 80).alias("y"))
 
 
 @query("G10_preorder", UP + "SELECT root_id, path, row_number() OVER (PARTITION BY root_id ORDER BY seen) AS place FROM up")

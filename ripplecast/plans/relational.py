@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..facts import Facts
 from ..operators import hierarchy, lookup
+from ..operators.ranks import id_block, ranked
 from ..registry import query
 
 
@@ -292,8 +293,7 @@ def w05(f: Facts) -> DataFrame:
 
 @query("W06_rank_in_level", "SELECT class_id, class_id % 10 AS level, row_number() OVER (PARTITION BY class_id % 10 ORDER BY class_id) AS place FROM {class_f}")
 def w06(f: Facts) -> DataFrame:
-    level = F.col("class_id") % 10
-    return f.class_f.select("class_id", level.alias("level"), F.row_number().over(Window.partitionBy(level).orderBy("class_id")).alias("place"))
+    return ranked(f.class_f.select("class_id", (F.col("class_id") % 10).alias("level")), ["level"], ["class_id"], id_block("class_id"))
 
 
 @query("W07_chain_ordinal", "SELECT method_id, row_number() OVER (PARTITION BY class_id ORDER BY start_line, method_id) AS ordinal FROM {method_f} WHERE change_type <> 'UNCHANGED'")

@@ -41,13 +41,25 @@ def t03(f: Facts) -> DataFrame:
 
 
 
-@query("T04_key_health")
-@query("W11_key_weights")
+FOLD = """WITH lists AS (SELECT api_key, list({{'w': 1.0::DOUBLE, 'f': 0::BIGINT, 'ok': success, 'a': response_time, 'n': 1::BIGINT}} ORDER BY ts, event_id) AS l FROM {log_f} GROUP BY api_key),
+  folds AS (SELECT api_key, list_reduce(l, lambda s, e: {{
+    'w': CASE WHEN NOT e.ok THEN greatest(0.0, s.w - 0.2 * least(s.f + 1, 5)) WHEN s.f >= 10 THEN 0.5 ELSE least(1.0, s.w + 0.05) END,
+    'f': CASE WHEN e.ok THEN 0 ELSE s.f + 1 END, 'ok': e.ok, 'a': CASE WHEN s.n = 0 THEN e.a ELSE 0.1 * e.a + 0.9 * s.a END, 'n': s.n + 1}},
+    {{'w': 1.0::DOUBLE, 'f': 0::BIGINT, 'ok': true, 'a': 0.0::DOUBLE, 'n': 0::BIGINT}}) AS s FROM lists)
+  """
+
+
+@query("T04_key_health", FOLD + "SELECT api_key, round(s.w, 6) AS weight, CAST(s.f AS INT) AS failures, s.f < 10 AS enabled, round(s.a, 4) AS average, s.n AS calls FROM folds")
 def t04(f: Facts) -> DataFrame:
-    """No SQL: a recursive step for each call is too slow on the whole log; tested against a plain fold."""
+    """The SQL folds call by call."""
     return health.final_health(f.log_f).select("api_key", F.round("weight", 6).alias("weight"), "failures", "enabled", F.round("average", 4).alias("average"), "calls")
 
 
+@query("W11_key_weights", FOLD + "SELECT api_key, round(s.w, 6) AS weight FROM folds")
+def w11(f: Facts) -> DataFrame:
+    return health.weights(health.placed(f.log_f)).select("api_key", F.round("weight", 6).alias("weight"))
+
+
 @query("T06_batch_progress", "SELECT task_id, result_id, round(0.05 + 0.9 * count(*) OVER (PARTITION BY task_id ORDER BY result_id) / count(*) OVER (PARTITION BY task_id), 6) AS progress FROM {llm_f}")
 def t06(f: Facts) -> DataFrame:
     done = F.count("*").over(Window.partitionBy("task_id").orderBy("result_id"))

@@ -1,7 +1,7 @@
 """Health of API keys over a stream of calls: windows, weights, moving averages.
 
-The batch folds and the streaming processor share `step`, so a replayed stream gives the
-rows of the batch.
+The streaming processor folds by `step`; the batch works by blocks of calls and gives the same
+rows, however many calls a key has.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+
 # Fixed values of the weight rules.
 RECOVERY = 0.05
 PENALTY = 0.2
@@ -21,6 +23,10 @@ REENABLED_WEIGHT = 0.5
 ALPHA = 0.1
 WINDOW = "60 seconds"
 
+#: Calls of a key are placed by blocks of this length of time, and folded by so many.
+BLOCK = "MINUTE"
+FOLD = 4096
+
 
 def minute_counts(calls: DataFrame, watermark: str | None = None) -> DataFrame:
     """Calls, successes and failures by key and 60-second window; for a stream, windows close after the watermark."""
@@ -47,53 +53,92 @@ def step(state: tuple, success: bool, response_time: float) -> tuple:
     return weight, failures, enabled, average, calls + 1
 
 
-def averages(calls: DataFrame) -> DataFrame:
-    """(api_key, average): the exponential moving average over each key's calls in order of (ts, event_id).
+def placed(calls: DataFrame) -> DataFrame:
+    """calls by key with each one's place i in the order of (ts, event_id), the key's total, and run, prior:
+    the failures in a row up to it and before it.
 
-    The fold is linear, so it is a weighted sum: call i of n counts ALPHA * (1 - ALPHA)**(n - i), the
-    first one (1 - ALPHA)**(n - 1). Ranks come from counts by (key, time block), so no key is one task's work.
+    Places and runs are those within a (key, BLOCK) plus what the blocks before leave over; only one
+    row a block is ordered along a whole key. A null success counts as a failure, as in step.
     """
     order = ["ts", "event_id"]
-    hour = F.date_trunc("HOUR", "ts").alias("hour")
-    rows = calls.select("api_key", *order, "response_time", hour)
-    nth = F.row_number().over(Window.partitionBy("api_key", "hour").orderBy(*order))
-    counts = rows.groupBy("api_key", "hour").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("api_key").orderBy("hour")
-    before = counts.select("api_key", "hour", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("api_key")).alias("total"))
-    ranked = rows.withColumn("nth", nth).join(before, ["api_key", "hour"]).withColumn("i", F.col("nth") + F.col("before"))
-    weight = F.pow(F.lit(1 - ALPHA), F.col("total") - F.col("i")) * F.when(F.col("i") == 1, 1.0).otherwise(ALPHA)
-    return ranked.groupBy("api_key").agg(F.sum(weight * F.col("response_time")).alias("average"))
+    rows = calls.select("api_key", *order, F.coalesce("success", F.lit(False)).alias("success"), "response_time", F.date_trunc(BLOCK, "ts").alias("block"))
+    w = Window.partitionBy("api_key", "block").orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    done = F.count_if("success").over(so_far)
+    last = F.max(F.when(F.col("success"), F.col("nth"))).over(so_far)
+    local = rows.withColumn("nth", F.row_number().over(w)).select("*", done.alias("done"), last.alias("last"))
+
+    # a block's tail: its failures after its last success, or all its calls
+    blocks = rows.groupBy("api_key", "block").agg(F.count("*").alias("n"), F.count_if("success").alias("oks"))
+    tails = local.filter("success").groupBy("api_key", "block").agg(F.max("nth").alias("last_ok"))
+    along = Window.partitionBy("api_key").orderBy("block")
+    past = along.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.join(tails, ["api_key", "block"], "left").withColumn("tail", F.col("n") - F.coalesce("last_ok", F.lit(0)))
+    blocks = blocks.withColumn("island", F.count_if(F.col("oks") > 0).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = blocks.withColumn("left_over", F.sum("tail").over(Window.partitionBy("api_key", "island").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)))
+    starts = blocks.select(
+        "api_key", "block", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("api_key")).alias("total"),
+        F.coalesce(F.lag("left_over").over(along), F.lit(0)).alias("carry"),
+    )
+    run = F.when(F.col("done") == 0, F.col("nth") + F.col("carry")).otherwise(F.col("nth") - F.col("last"))
+    joined = local.join(starts, ["api_key", "block"]).withColumn("run", run)
+    prior = F.coalesce(F.lag("run").over(w), F.col("carry"))
+    return joined.select("api_key", *order, "success", "response_time", (F.col("nth") + F.col("before")).alias("i"), "total", "run", prior.alias("prior"))
+
+
+def average(i: Column, total: Column) -> Column:
+    """The exponential moving average as a sum: call i of n counts ALPHA * (1 - ALPHA)**(n - i), the first (1 - ALPHA)**(n - 1)."""
+    weight = F.pow(F.lit(1 - ALPHA), total - i) * F.when(i == 1, 1.0).otherwise(ALPHA)
+    return F.sum(weight * F.col("response_time"))
+
+
+def averages(calls: DataFrame) -> DataFrame:
+    """(api_key, average): the exponential moving average over each key's calls in order of (ts, event_id)."""
+    rows = ranked(calls.select("api_key", "ts", "event_id", "response_time"), ["api_key"], ["ts", "event_id"], F.date_trunc(BLOCK, "ts"), "i")
+    totals = calls.groupBy("api_key").agg(F.count("*").alias("total"))
+    return rows.join(F.broadcast(totals), "api_key").groupBy("api_key").agg(average(F.col("i"), F.col("total")).alias("average"))
 
 
 def failure_runs(calls: DataFrame) -> DataFrame:
-    """(api_key, event_id, run): failures in a row up to each call, by islands between successes."""
-    w = Window.partitionBy("api_key").orderBy("ts", "event_id")
-    island = F.sum(F.col("success").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    run = F.sum(F.when(F.col("success"), 0).otherwise(1)).over(Window.partitionBy("api_key", "island").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return calls.withColumn("island", island).select("api_key", "event_id", run.alias("run"))
+    """(api_key, event_id, run): failures in a row up to each call."""
+    return placed(calls).select("api_key", "event_id", "run")
 
 
-def final_health(calls: DataFrame) -> DataFrame:
-    """(api_key, weight, failures, enabled, average, calls) after each key's calls in order: a fold by step.
+def weights(rows: DataFrame) -> DataFrame:
+    """(api_key, weight) after all calls of placed rows.
 
-    Keys' calls are sorted within partitions by Spark and folded in a stream, so a key of any
-    size takes constant memory.
+    Each call maps a weight x to min(high, max(low, x + move)), and such maps compose to one of
+    their kind. So FOLD maps in a row are folded to one, FOLD of those again, and what is left
+    of a key, one map for FOLD**2 calls, at last; no list is longer than that.
     """
+    ok = F.col("success")
+    back = ok & (F.col("prior") >= DISABLE_AFTER)
+    move = F.when(back, 0.0).when(ok, RECOVERY).otherwise(-PENALTY * F.least(F.col("run"), F.lit(PENALTY_STEPS)))
+    maps = rows.select("api_key", "i", move.alias("move"), F.when(back, REENABLED_WEIGHT).otherwise(0.0).alias("low"), F.when(back, REENABLED_WEIGHT).otherwise(1.0).alias("high"))
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, start_state()
-        for frame in frames:
-            for k, ok, took in zip(frame["api_key"], frame["success"], frame["response_time"], strict=True):
-                if k != key:
-                    if key is not None:
-                        yield pd.DataFrame([(key, *state)], columns=COLUMNS)
-                    key, state = k, start_state()
-                state = step(state, bool(ok), float(took))
-        if key is not None:
-            yield pd.DataFrame([(key, *state)], columns=COLUMNS)
-
-    rows = calls.select("api_key", "ts", "event_id", "success", "response_time").repartition("api_key").sortWithinPartitions("api_key", "ts", "event_id")
-    return rows.mapInPandas(fold, SCHEMA)
+    def clamped(x: Column, m: Column) -> Column:
+        return F.least(m["high"], F.greatest(m["low"], x + m["move"]))
+
+    def then(f: Column, m: Column) -> Column:
+        return F.struct((f["move"] + m["move"]).alias("move"), clamped(f["low"], m).alias("low"), clamped(f["high"], m).alias("high"))
+
+    start = F.struct(F.lit(0.0).alias("move"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    for group in (["api_key", F.floor(F.col("i") / FOLD).alias("i")], ["api_key", F.floor(F.col("i") / FOLD).alias("i")], ["api_key"]):
+        listed = maps.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("i", "move", "low", "high"))).alias("maps"))
+        folded = F.aggregate("maps", start, then)
+        maps = listed.withColumn("f", folded).select(*listed.columns[:-1], "f.*")
+    return maps.select("api_key", F.least(F.col("high"), F.greatest(F.col("low"), F.lit(1.0) + F.col("move"))).alias("weight"))
+
+
+def final_health(calls: DataFrame) -> DataFrame:
+    """(api_key, weight, failures, enabled, average, calls) after each key's calls in order, as a fold by step gives.
+
+    A key is disabled while DISABLE_AFTER or more failures stand in a row.
+    """
+    rows = placed(calls)
+    last = rows.groupBy("api_key").agg(F.max_by("run", "i").alias("failures"), average(F.col("i"), F.col("total")).alias("average"), F.count("*").alias("calls"))
+    failures = F.col("failures").cast("int").alias("failures")
+    return last.join(weights(rows), "api_key").select("api_key", "weight", failures, (F.col("failures") < DISABLE_AFTER).alias("enabled"), "average", "calls")
 
 
 COLUMNS = ["api_key", "weight", "failures", "enabled", "average", "calls"]

@@ -9,6 +9,7 @@ from ripplecast.functions import names as N
 from ripplecast.functions import sqltext as S
 from ripplecast.operators import graph, lookup
 from ripplecast.sources import diffs, documents, java, mappers
+from ripplecast.operators.ranks import ranked
 from ripplecast.streaming import health
 
 
@@ -70,7 +71,7 @@ def test_levels_closure_fixpoint(spark):
     cycle = edges.union(spark.createDataFrame([("D", "A")], edges.schema))
     assert {r.node for r in graph.reached(spark.createDataFrame([("B",)], "node string"), cycle).collect()} == set("ABCD")
     with pytest.raises(ValueError):
-        graph.levels(cycle, most_rounds=8)
+        graph.levels(cycle)
 
 
 def test_merge_keeps_increment(spark):
@@ -128,6 +129,28 @@ def test_health_is_the_plain_fold(spark):
     assert means == {k: pytest.approx(v[3]) for k, v in want.items()}
 
 
+def test_health_by_blocks_of_any_size(spark, monkeypatch):
+    # long runs of failures over many blocks, ties in time and a null success
+    rng = random.Random(9)
+    many = [(i, f"k{rng.randrange(2)}", None if i == 7 else rng.random() > (0.98 if i % 300 > 150 else 0.4), rng.random()) for i in range(1500)]
+    rows = log(spark, many).withColumn("ts", F.timestamp_seconds(F.floor(F.col("event_id") / 3) * 25))
+    monkeypatch.setattr(health, "FOLD", 7)
+    want = folded((i, k, bool(ok), took) for i, k, ok, took in many)
+    assert {r.api_key: tuple(r)[1:] for r in health.final_health(rows).collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    runs, now = {}, {}
+    for i, k, ok, _ in many:
+        runs[k, i] = now[k] = 0 if ok else now.get(k, 0) + 1
+    assert {(r.api_key, r.event_id): r.run for r in health.failure_runs(rows).collect()} == runs
+    assert health.final_health(rows.limit(0)).collect() == []
+
+
+def test_ranks_by_blocks(spark):
+    rows = [(None if i % 7 == 0 else i % 3, i * 37 % 501) for i in range(501)]
+    got = ranked(spark.createDataFrame(rows, "k int, id long"), ["k"], ["id"], F.floor(F.col("id") / 50)).collect()
+    groups = {k: sorted(i for g, i in rows if g == k) for k in {k for k, _ in rows}}
+    assert sorted((r.id, r.place) for r in got) == sorted((i, n + 1) for ids in groups.values() for n, i in enumerate(ids))
+
+
 def test_stream_replays_the_batch(spark, tmp_path):
     rows = log(spark, calls(120))
     for part in range(3):
