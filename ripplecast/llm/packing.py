@@ -47,10 +47,11 @@ from .common import materialize
 CAPACITY = 2048
 END_ID = 0
 NODES = 20_000
-CACHE = 500_000
+CACHE = 300_000
+SLOTS = 1 << 22
 END = END_ID.to_bytes(4, "little")
 #: Words of letters, digits and signs that no normalization of the tokenizer but lower case can change.
-PLAIN = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+")
+PLAIN = r"[!-~\u00a1-\u012f\u0131-\u024f]+"
 #: Byte-level alphabet of BPE vocabularies: printable bytes stand for themselves, others follow from 256 on.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
@@ -64,20 +65,24 @@ class WordCache:
 
     The tokenizer cuts at white space before all else and keeps none, so a text's ids are its
     words' ids in turn. A plain word is cut further by the tokenizer's own pattern, and only
-    parts that were not met before go through its merges. The first CACHE distinct words and
-    twice as many parts that a worker meets stay in its caches, which later tasks of the same
-    worker use again; others are encoded when they come.
+    parts that are not cached go through its merges. The first CACHE distinct words and as
+    many parts that a worker meets twice (by SLOTS marks under their hashes, so a few of those
+    met once get in) stay in its caches, which later tasks of the same worker use again; others
+    are encoded when they come. Words met once, most of the distinct ones, take no memory.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
+        self.met_words, self.met_parts = bytearray(SLOTS), bytearray(SLOTS)
         with open(tokenizer_path, encoding="utf-8") as f:
             kind = json.load(f)
-        self.added = tuple(x["content"] for x in kind["added_tokens"])
+        added = "|".join(regex.escape(x["content"]) for x in kind["added_tokens"])
+        self.plain = regex.compile(f"(?!.*?(?:{added})){PLAIN}" if added else PLAIN)
         self.pattern = self._pattern(kind)
 
     @staticmethod
@@ -90,16 +95,26 @@ class WordCache:
             return regex.compile(cuts[0]["pattern"]["Regex"])
         return None
 
+    @staticmethod
+    def _again(word: str, met: bytearray) -> bool:
+        slot = hash(word) % SLOTS
+        if met[slot]:
+            return True
+        met[slot] = 1
+        return False
+
     def encode(self, word: str) -> bytes:
         """Ids of a word without spaces."""
-        if self.pattern is None or not PLAIN.fullmatch(word) or any(x in word for x in self.added):
+        if self.pattern is None or not self.plain.fullmatch(word):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for part in self.pattern.findall(word.lower()):
             ids = self.parts.get(part)
             if ids is None:
-                ids = b"".join(x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(ALPHABET)))
-                if len(self.parts) < 2 * CACHE:
+                # of ASCII, a word has signs only that stand for themselves
+                alphabet = part if part.isascii() else part.encode().decode("latin-1").translate(ALPHABET)
+                ids = b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(alphabet)])
+                if len(self.parts) < CACHE and self._again(part, self.met_parts):
                     self.parts[part] = ids
             out.append(ids)
         return b"".join(out)
@@ -115,7 +130,7 @@ class WordCache:
                         here[word] = self.encode(word)
                     parts[i] = here[word]
             if len(self.known) + len(here) <= CACHE:
-                self.known.update(here)
+                self.known.update((w, x) for w, x in here.items() if self._again(w, self.met_words))
         return b"".join(parts) + END
 
 
