@@ -167,7 +167,8 @@ def drawn(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_word
     """
     gains = bucket_gains(counted(bucket_totals(docs, text_col, order, buckets)), counted(bucket_totals(target, text_col, order, buckets)), buckets)
     rows = docs.select(F.col(id_col).alias("doc_id"), weights(gains, text_col, order).alias("w")).select("doc_id", "w.*")
-    rows = rows.select("*", (F.col("weight") + noise(F.col("doc_id"), seed)).alias("score"), (F.col("n_words") >= least_words).alias("may"))
+    # written first, since sampling the range bounds would weigh the texts a second time
+    rows = materialize(rows.select("*", (F.col("weight") + noise(F.col("doc_id"), seed)).alias("score"), (F.col("n_words") >= least_words).alias("may")))
     by = [F.col("may").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     # written once: range bounds are sampled, and both the counts and the ranks must see the same ones
     placed = materialize(rows.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.monotonically_increasing_id().alias("mid")))
