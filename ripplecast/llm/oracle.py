@@ -1,8 +1,24 @@
 """DuckDB SQL of this subpackage's queries, for those that SQL can express."""
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+SEARCH = rf"""
+WITH held AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS term FROM documents) GROUP BY doc_id, term
+), lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM held GROUP BY doc_id),
+corpus AS (SELECT count(*) AS all_n, sum(n)::BIGINT AS all_l FROM lengths),
+norms AS (SELECT doc_id, 10 + 90 * n * all_n // all_l AS m FROM lengths, corpus),
+weights AS (SELECT term, floor(1000 * ln((2 * all_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, corpus GROUP BY term, all_n),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(w * (1000000000 * tf // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN norms USING (doc_id) GROUP BY item_id, doc_id
+), placed AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
 #: crc32 byte by byte with the table of its reversed polynomial.
 RESAMPLE = rf"""
 WITH RECURSIVE crc_steps AS (

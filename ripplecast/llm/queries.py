@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, htmlmain, langid, oracle, packing, quality, resample, secretscan, sharding, simhash, tokencount
+from . import brown, decontaminate, htmlmain, langid, oracle, packing, quality, resample, search, secretscan, sharding, simhash, tokencount
 from .common import id_bucket, table
 
 
@@ -68,16 +68,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weight and score of each document for the benchmark's distribution, and the rank of the drawn ones."""
     return resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash, op2_quality, op3_language, op4_packing, op5_class_lm, op6_decontaminate, op7_html, op8_shards, op9_secrets, op10_token_counts, op12_resample]
+    own = [op1_simhash, op2_quality, op3_language, op4_packing, op5_class_lm, op6_decontaminate, op7_html, op8_shards, op9_secrets, op10_token_counts, op11_search, op12_resample]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Hashes by seed, tokenizers, models and searches have no DuckDB form; tests hold brute-force versions of the others."""
-    return {"op12_resample": oracle.RESAMPLE}
+    return {"op11_search": oracle.SEARCH, "op12_resample": oracle.RESAMPLE}
