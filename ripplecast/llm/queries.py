@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, htmlmain, langid, oracle, packing, quality, resample, search, secretscan, sharding, simhash, tokencount
+from . import brown, decontaminate, htmlmain, langid, oracle, packing, quality, resample, search, secretscan, sharding, simhash, suffixes, tokencount
 from .common import id_bucket, table
 
 
@@ -78,8 +78,13 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the bytes of strings of 200 bytes that occur again."""
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash, op2_quality, op3_language, op4_packing, op5_class_lm, op6_decontaminate, op7_html, op8_shards, op9_secrets, op10_token_counts, op11_search, op12_resample]
+    own = [op1_simhash, op2_quality, op3_language, op4_packing, op5_class_lm, op6_decontaminate, op7_html, op8_shards, op9_secrets, op10_token_counts, op11_search, op12_resample, op13_suffixes]
     return {f.__name__: f for f in own}
 
 
