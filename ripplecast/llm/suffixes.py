@@ -84,11 +84,11 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - n)], values[width - n :]) if width > n else values
 
 
-def contexts(body: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+def contexts(body: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM, step: int = SLICE) -> Iterator[tuple[np.ndarray, ...]]:
     """The anchors' hashes and places, first windows and last windows of a text's contexts, in slices."""
     width, data = length - gram + 1, np.frombuffer(body, np.uint8)
-    for at in range(0, len(data) - length + 1, SLICE):
-        sums = powers.sums(data[at : at + SLICE + length - 1])
+    for at in range(0, len(data) - length + 1, step):
+        sums = powers.sums(data[at : at + step + length - 1])
         h = (sums[gram:] - sums[:-gram]) * powers.down[: len(sums) - gram]
         h ^= h >> np.uint64(32)
         h *= _MIX
@@ -103,11 +103,13 @@ def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(a, c, rid, at) of the contexts of rows (rid, body): hashes of anchor and context; at packs the first
     window, the anchor's distance from it and that of the last window."""
 
+    step = SLICE
+
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, digest = Powers(SLICE + length), xxhash.xxh3_64_intdigest
+        powers, digest = Powers(step + length), xxhash.xxh3_64_intdigest
         for frame in frames:
             for rid, body in zip(frame["rid"], frame["body"], strict=True):
-                for a, anchors, starts, ends in contexts(body, powers, length, gram):
+                for a, anchors, starts, ends in contexts(body, powers, length, gram, step):
                     ahead, span = anchors - starts, ends - starts
                     c = [digest(body[s : e + length], x) for s, e, x in zip(starts.tolist(), ends.tolist(), ahead.tolist(), strict=True)]
                     yield pd.DataFrame({"a": a, "c": np.array(c, np.uint64).view(np.int64), "rid": rid, "at": (starts << 2 * _BITS) | (ahead << _BITS) | span})
