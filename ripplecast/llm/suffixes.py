@@ -287,17 +287,23 @@ def sorted_contexts(rows: DataFrame, length: int, cell: int) -> DataFrame:
 def fetched(hard: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """The contexts (a, c, n, d, base, ahead, span, text) of hard (a, c, n, d, rid, at), cut from the texts of docs."""
 
+    names = ["a", "c", "n", "d", "base", "ahead", "span", "text"]
+
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low = (1 << _BITS) - 1
+        low, out, held = (1 << _BITS) - 1, [], 0
         for frame in frames:
-            for body, rows in zip(frame["body"], frame["rows"], strict=True):
-                places = [(r["a"], r["c"], r["n"], r["d"], r["at"] >> 2 * _BITS, r["at"] >> _BITS & low, r["at"] & low) for r in rows]
-                for at in range(0, len(places), 20_000):
-                    out = [(a, c, n, d, 0, ahead, span, body[s : s + span + length]) for a, c, n, d, s, ahead, span in places[at : at + 20_000]]
-                    yield pd.DataFrame(out, columns=["a", "c", "n", "d", "base", "ahead", "span", "text"])
+            for body, *columns in zip(frame["body"], *(frame[x] for x in "a c n d at".split()), strict=True):
+                for a, c, n, d, at in zip(*(x.tolist() for x in columns), strict=True):
+                    start, span = at >> 2 * _BITS, at & low
+                    out.append((a, c, n, d, 0, at >> _BITS & low, span, body[start : start + span + length]))
+                    held += span + length
+                    if held >= 4_000_000:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+        yield pd.DataFrame(out, columns=names)
 
     wanted = hard.groupBy("rid").agg(F.collect_list(F.struct("a", "c", "n", "d", "at")).alias("rows"))
-    return wanted.join(docs.select("rid", "body"), "rid").select("body", "rows").mapInPandas(cut, "a long, c long, n long, d long, base int, ahead int, span int, text binary")
+    return wanted.join(docs.select("rid", "body"), "rid").select("body", "rows.a", "rows.c", "rows.n", "rows.d", "rows.at").mapInPandas(cut, "a long, c long, n long, d long, base int, ahead int, span int, text binary")
 
 
 def narrowed(rows: DataFrame, width: int, length: int, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
