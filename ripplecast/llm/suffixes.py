@@ -353,12 +353,13 @@ def intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell: int
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     rows = keep(scan(docs, length, gram), "rows")
-    alive = rows.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("hard")).filter("n > 1").select("a", "hard")
+    # written, so that a join with a frequent anchor's rows can be split
+    alive = keep(rows.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("hard")).filter("n > 1").select("a", "hard"), "alive")
     members = keep(rows.join(alive, "a"), "members")
     delete(spark, f"{work}/rows")
     each = members.filter("hard").groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one"))
     each = keep(each.select("a", "c", "n", "one.rid", "one.at"), "each")
-    hard = each.join(each.groupBy("a").agg(F.count("*").alias("d")), "a")
+    hard = each.join(keep(each.groupBy("a").agg(F.count("*").alias("d")), "sizes"), "a")
     found = keep(covers(hard, docs, length, gram, cell, keep), "found")
     start = F.shiftright("at", 2 * _BITS)
     last = start + F.col("at").bitwiseAND(F.lit((1 << _BITS) - 1))
