@@ -71,46 +71,46 @@ def g17(f: Facts) -> DataFrame:
     return mappers.statements(nested_mapper_texts(f)).select("full_method", "sql_content")
 
 
-def java_lines(f: Facts) -> DataFrame:
+def java_lines(f: Facts) -> java.Source:
     text = F.concat(
         F.lit("package "), "package_name", F.lit(";\nimport com.base.Store;\nimport static com.base.Util.help;\n\n/** doc */\n@Service\npublic class "), "class_name",
         F.lit(" extends Base implements One, Two<X> {\n    private Store store;\n    static int count = 0;\n\n    public "), "class_name", F.lit("(Store s) {\n        this.store = s;\n    }\n\n    @Override\n    public List<String> load(Map<String, Integer> m, final long id) {\n"),
         F.lit('        Helper h = new Helper();\n        store.find(id); // store.skip(1)\n        h.run("x.y(z)");\n        store.find(2);\n        return own(id);\n    }\n\n    private List<String> own(long id) { return null; }\n}\n'),
     )
-    return written(java.numbered_lines(f.class_f.select(F.col("filepath").alias("path"), text.alias("text"))))
+    return java.Source(f.class_f.select(F.col("filepath").alias("path"), text.alias("text")))
 
 
 @query("S04_java_facts", "SELECT filepath AS path, 1 AS classes, 2 AS imports, 2 AS fields, 3 AS methods FROM {class_f}")
 def s04(f: Facts) -> DataFrame:
-    lines = java_lines(f)
+    s = java_lines(f)
     n = lambda rows, name: rows.groupBy("path").agg(F.count("*").cast("int").alias(name))
-    return n(java.classes(lines), "classes").join(n(java.imports(lines), "imports"), "path").join(n(java.fields(lines), "fields"), "path").join(n(java.methods(lines), "methods"), "path")
+    return n(s.classes, "classes").join(n(s.imports, "imports"), "path").join(n(s.fields, "fields"), "path").join(n(s.methods, "methods"), "path")
 
 
 @query("M02_class_facts", "SELECT class_name, package_name, 'Class' AS class_type, 'Base' AS extends_class, 'One,Two' AS implements, 7 AS start_line FROM {class_f}")
 def m02(f: Facts) -> DataFrame:
-    return java.classes(java_lines(f)).select("class_name", "package_name", "class_type", "extends_class", F.array_join("implements", ",").alias("implements"), "start_line")
+    return java_lines(f).classes.select("class_name", "package_name", "class_type", "extends_class", F.array_join("implements", ",").alias("implements"), "start_line")
 
 
 @query("M03_import_facts", "SELECT filepath AS path, line_no, import_path, is_static FROM {class_f}, (VALUES (2, 'com.base.Store', false), (3, 'com.base.Util.help', true)) v(line_no, import_path, is_static)")
 def m03(f: Facts) -> DataFrame:
-    return java.imports(java_lines(f)).select("path", "line_no", "import_path", "is_static")
+    return java_lines(f).imports.select("path", "line_no", "import_path", "is_static")
 
 
 @query("M04_field_facts", "SELECT filepath AS path, field_type, field_name, is_static FROM {class_f}, (VALUES ('Store', 'store', false), ('int', 'count', true)) v(field_type, field_name, is_static)")
 def m04(f: Facts) -> DataFrame:
-    return java.fields(java_lines(f)).select("path", "field_type", "field_name", "is_static")
+    return java_lines(f).fields.select("path", "field_type", "field_name", "is_static")
 
 
 @query("M07_method_facts", """SELECT filepath AS path, coalesce(name, class_name) AS method_name, parameters, start_line, end_line, notes FROM {class_f},
   (VALUES (NULL, 'Store', 11, 13, ''), ('load', 'Map<String, Integer>,long', 16, 22, 'Override'), ('own', 'long', 24, 24, '')) v(name, parameters, start_line, end_line, notes)""")
 def m07(f: Facts) -> DataFrame:
-    return java.methods(java_lines(f)).select("path", "method_name", "parameters", "start_line", "end_line", F.array_join("annotations", ",").alias("notes"))
+    return java_lines(f).methods.select("path", "method_name", "parameters", "start_line", "end_line", F.array_join("annotations", ",").alias("notes"))
 
 
 @query("M09_created_objects", "SELECT filepath AS path, 17 AS line_no, 'Helper' AS class_name FROM {class_f}")
 def m09(f: Facts) -> DataFrame:
-    return java.created(java_lines(f))
+    return java_lines(f).created
 
 
 CALLED = """SELECT filepath AS path, 'load' AS caller, coalesce(callee, package_name || '.' || coalesce(simple, class_name)) AS callee_class, method_name, lines FROM {class_f},
@@ -119,10 +119,10 @@ CALLED = """SELECT filepath AS path, 'load' AS caller, coalesce(callee, package_
 
 @query("M15_invocation_map", CALLED)
 def m15(f: Facts) -> DataFrame:
-    return java.invocations(java_lines(f)).select("path", "caller", "callee_class", "method_name", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
+    return java_lines(f).invocations.select("path", "caller", "callee_class", "method_name", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
 
-def nested_lines(f: Facts) -> DataFrame:
+def nested_lines(f: Facts) -> java.Source:
     """A second layout: nested types, enums, several declarations on a line, overloads, chained calls, a block comment with code in it."""
     text = F.concat(
         F.lit("package "), "package_name", F.lit(";\nimport com.base.Store;\nimport com.base.*;\n/* a comment\n   class Fake { int no; }\n*/\n@Data\npublic class "), "class_name",
@@ -132,7 +132,7 @@ def nested_lines(f: Facts) -> DataFrame:
         F.lit("        int n = item.helper.size + store.total;\n        Store.reset(1);\n        Color.valueOf(text);\n        tidy(new Item(), x -> x, n + 1);\n        return item.pick(3 + n).open(text, false);\n    }\n"),
         F.lit("    void tidy(Item a, Object b, int c) { }\n    String getName() { return name; }\n}\nclass Helper {\n    int size;\n    Helper open(String s, boolean b) { return this; }\n    Helper trim() { return null; }\n}\n"),
     )
-    return written(java.numbered_lines(f.class_f.select(F.col("filepath").alias("path"), text.alias("text"))))
+    return java.Source(f.class_f.select(F.col("filepath").alias("path"), text.alias("text")))
 
 
 def answers(columns: str, rows: str) -> str:
@@ -142,78 +142,78 @@ def answers(columns: str, rows: str) -> str:
 @query("M01_top_types", "SELECT filepath AS path, package_name, class_name FROM {class_f}")
 def m01(f: Facts) -> DataFrame:
     """The first top-level type of each file; nested and later ones are not it."""
-    return java.classes(nested_lines(f)).filter("is_first").select("path", "package_name", "class_name")
+    return nested_lines(f).classes.filter("is_first").select("path", "package_name", "class_name")
 
 
 @query("M05_enum_constants", answers("class_name, line_no, field_name", "('Color', 11, 'RED'), ('Color', 11, 'GREEN'), ('Color', 11, 'BLUE'), ('Size', 13, 'SMALL'), ('Size', 14, 'LARGE')"))
 def m05(f: Facts) -> DataFrame:
-    return java.enum_constants(nested_lines(f)).select("path", "class_name", "line_no", "field_name")
+    return nested_lines(f).enum_constants.select("path", "class_name", "line_no", "field_name")
 
 
 @query("M06_constructors", "SELECT filepath AS path, class_name AS method_name, class_name AS return_type, 'String' AS parameters, 23 AS start_line FROM {class_f}")
 def m06(f: Facts) -> DataFrame:
-    return java.methods(nested_lines(f)).filter("is_constructor").select("path", "method_name", "return_type", "parameters", "start_line")
+    return nested_lines(f).methods.filter("is_constructor").select("path", "method_name", "return_type", "parameters", "start_line")
 
 
 @query("C34_end_lines", """SELECT filepath AS path, coalesce(name, class_name) AS method_name, start_line, end_line FROM {class_f}, (VALUES ('pick', 19, 19), ('label', 20, 20), ('label', 21, 21), (NULL, 23, 23), ('run', 24, 33), ('tidy', 34, 34), ('getName', 35, 35),
   ('open', 39, 39), ('trim', 40, 40)) v(name, start_line, end_line)""")
 def c34(f: Facts) -> DataFrame:
     """Ends by the last brace that a method's body reaches."""
-    return java.methods(nested_lines(f)).select("path", "method_name", "start_line", "end_line")
+    return nested_lines(f).methods.select("path", "method_name", "start_line", "end_line")
 
 
 @query("M08_local_types", "SELECT filepath AS path, coalesce(scope, class_name) AS class_name, name, type, rank FROM {class_f}, (VALUES (NULL, 'item', 'Item', 1), (NULL, 'count', 'int', 1), (NULL, 'text', 'String', 2), (NULL, 'n', 'int', 2), (NULL, 'name', 'String', 1), (NULL, 'a', 'Item', 1), (NULL, 'b', 'Object', 1), (NULL, 'c', 'int', 1), ('Item', 'i', 'int', 1), ('Item', 's', 'String', 1), ('Item', 's', 'String', 1), ('Item', 'n', 'Long', 1), ('Helper', 's', 'String', 1), ('Helper', 'b', 'boolean', 1)) v(scope, name, type, rank)")
 def m08(f: Facts) -> DataFrame:
     """Parameters and local variables of each method, with their types."""
-    return java.symbols(nested_lines(f)).filter("rank < 3").select("path", "class_name", "name", "type", "rank")
+    return nested_lines(f).symbols.filter("rank < 3").select("path", "class_name", "name", "type", "rank")
 
 
 @query("M10_invocations", """SELECT filepath AS path, line_no, method_name, coalesce(full_name, package_name || '.' || coalesce(simple, class_name)) AS callee_class FROM {class_f},
   (VALUES (25, 'pick', NULL, 'Item'), (26, 'label', NULL, 'Item'), (27, 'label', NULL, 'Item'), (29, 'reset', 'com.base.Store', NULL), (30, 'valueOf', NULL, 'Color'), (31, 'tidy', NULL, NULL), (32, 'pick', NULL, 'Item')) v(line_no, method_name, full_name, simple)""")
 def m10(f: Facts) -> DataFrame:
     """Qualified, static and same-class calls by the class that they go to."""
-    return java.resolved_calls(nested_lines(f)).select("path", "line_no", "method_name", "callee_class")
+    return nested_lines(f).resolved_calls.select("path", "line_no", "method_name", "callee_class")
 
 
 @query("M13_name_resolution", "SELECT filepath AS path, line_no, target, how FROM {class_f}, (VALUES (25, 'item', 'PARAMETER'), (26, 'item', 'PARAMETER'), (27, 'item', 'PARAMETER'), (29, 'Store', 'IMPORT'), (30, 'Color', 'FILE'), (31, NULL, 'OWN'), (32, 'item', 'PARAMETER')) v(line_no, target, how)")
 def m13(f: Facts) -> DataFrame:
     """How the name before each call was found."""
-    return java.resolved_calls(nested_lines(f)).select("path", "line_no", "target", "how")
+    return nested_lines(f).resolved_calls.select("path", "line_no", "target", "how")
 
 
 @query("M11_chained_selectors", answers("line_no, position, owner, method_name", "(25, 0, 'Item', 'pick'), (25, 1, 'Helper', 'open'), (25, 2, 'Helper', 'trim'), (32, 0, 'Item', 'pick'), (32, 1, 'Helper', 'open')"))
 def m11(f: Facts) -> DataFrame:
-    return java.chains(nested_lines(f)).select("path", "line_no", "position", "owner", "method_name")
+    return nested_lines(f).chains.select("path", "line_no", "position", "owner", "method_name")
 
 
 @query("M12_member_uses", "SELECT filepath AS path, line_no, coalesce(own, class_name) AS owner, field_name FROM {class_f}, (VALUES (28, 'Item', 'helper'), (28, 'Store', 'total'), (23, NULL, 'name')) v(line_no, own, field_name)")
 def m12(f: Facts) -> DataFrame:
-    return java.member_uses(nested_lines(f)).select("path", "line_no", "owner", "field_name")
+    return nested_lines(f).member_uses.select("path", "line_no", "owner", "field_name")
 
 
 @query("M14_argument_types", answers("line_no, method_name, types", "(25, 'pick', 'int'), (25, 'open', 'String,Boolean'), (26, 'label', 'String,Long'), (27, 'label', 'String'), (29, 'reset', 'Int'), (30, 'valueOf', 'String'), (31, 'tidy', 'Item,unknown,String'), (32, 'pick', 'String'), (32, 'open', 'String,Boolean')"))
 def m14(f: Facts) -> DataFrame:
-    return java.argument_types(nested_lines(f)).select("path", "line_no", "method_name", "types")
+    return nested_lines(f).argument_types.select("path", "line_no", "method_name", "types")
 
 
 @query("M16_accessor_find", "SELECT filepath AS path, class_name, method_name, field_name, field_type FROM {class_f}, (VALUES ('setName', 'name', 'String'), ('getSize', 'size', 'int'), ('setSize', 'size', 'int'), ('getStore', 'store', 'Store'), ('setStore', 'store', 'Store')) v(method_name, field_name, field_type)")
 def m16(f: Facts) -> DataFrame:
     """Accessors that annotations generate, by the field that they stand for."""
-    return java.accessors(nested_lines(f))
+    return nested_lines(f).accessors
 
 
-def importing_lines(f: Facts) -> DataFrame:
+def importing_lines(f: Facts) -> java.Source:
     """Files that import each other as the facts say: named, static (of a member) and by wildcard."""
     own = f.import_f.groupBy("class_id").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("is_wildcard"), F.concat(F.lit("import "), "import_path", F.lit(".*;"))).when(F.col("class_id") % 3 == 0, F.concat(F.lit("import static "), "import_path", F.lit(".help;"))).otherwise(F.concat(F.lit("import "), "import_path", F.lit(";"))))), "\n").alias("imports"))
     text = F.concat(F.lit("package "), "package_name", F.lit(";\n"), "imports", F.lit("\npublic class "), "class_name", F.lit(" {\n}\n"))
-    return written(java.numbered_lines(f.class_f.join(own, "class_id").select(F.col("filepath").alias("path"), text.alias("text"))))
+    return java.Source(f.class_f.join(own, "class_id").select(F.col("filepath").alias("path"), text.alias("text")))
 
 
 @query("S06_import_closure", """WITH RECURSIVE d AS (SELECT DISTINCT c.filepath AS path, t.filepath AS needed FROM {import_f} i JOIN {class_f} c ON c.class_id = i.class_id JOIN {class_f} t ON CASE WHEN i.is_wildcard THEN t.package_name = i.import_path ELSE t.package_name || '.' || t.class_name = i.import_path END),
   r AS (SELECT path, needed FROM d UNION SELECT r.path, d.needed FROM r JOIN d ON d.path = r.needed) SELECT path, count(*) AS files FROM r WHERE path <> needed GROUP BY path""")
 def s06(f: Facts) -> DataFrame:
     """The files that each file's imports lead to."""
-    return java.import_closure(importing_lines(f)).groupBy("path").agg(F.count("*").alias("files"))
+    return importing_lines(f).import_closure.groupBy("path").agg(F.count("*").alias("files"))
 
 
 def project_folder(f: Facts) -> str:

@@ -1,37 +1,34 @@
-"""Facts of Java sources by patterns over numbered lines.
+"""Facts of Java sources: declarations as spans of tokens between matched brackets, names resolved by joins.
 
-Sources are cut into pieces, which end at a semicolon, a brace or the end of the line, so that a
-line may hold several declarations; comments of any form and string contents are blanked first.
-Declarations are found piece by piece with regular expressions and running brace depths, all in
-Spark SQL functions; names are resolved by joins afterwards. It is no compiler.
+Members of a type are the segments whose innermost brace is the type's own, so it does not matter
+how a declaration is laid out: annotations with values, signatures over several lines, braces on
+lines of their own, arrays and anonymous classes as initial values, brackets in characters, strings
+and comments. Local and anonymous types are part of the code around them. It is no compiler: types
+of expressions are known for names, literals, casts, new objects and chains of calls.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
+from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The shapes of declarations.
-TYPE = "[A-Za-z_][\\w.]*(?:<[^=;(){}]*>)?(?:\\[\\])*"
-MODIFIERS = "((?:public |protected |private |static |final |abstract |synchronized |default )*)"
-CLASS = f"^\\s*{MODIFIERS}(class|interface|enum|@interface)\\s+(\\w+)(?:<[^{{]*?>)?(?:\\s+extends\\s+([\\w.<>, ]+?))?(?:\\s+implements\\s+([\\w.<>, ]+?))?\\s*\\{{"
-FIELD = f"^\\s*{MODIFIERS}({TYPE})\\s+(\\w+)\\s*(?:=.*)?;"
-METHOD = f"^\\s*{MODIFIERS}(?:<[^(]*?>\\s+)?({TYPE})\\s+(\\w+)\\s*\\(([^()]*)\\)\\s*(?:throws [\\w., ]+)?\\s*[{{;]"
-CONSTRUCTOR = "^\\s*(?:public |protected |private )?([A-Z]\\w*)\\s*\\(([^()]*)\\)\\s*(?:throws [\\w., ]+)?\\s*\\{"
-IMPORT = "^import\\s+(static\\s+)?([\\w.]+)(\\.\\*)?\\s*;"
-LOCAL = f"^\\s+(?:final )?({TYPE})\\s+(\\w+)\\s*[=:;]"
-CALL = "(?:(\\b[\\w.]+)\\.)?(\\b\\w+)\\s*\\("
-NEW = "new\\s+([A-Z]\\w*)"
-BLOCK_COMMENT = "(?s)/\\*.*?\\*/"
-PIECE_END = "(?<=[{};])(?![^()]*\\))"
-CONSTANT = "\\b([A-Z][A-Z0-9_]*)\\s*(?:\\([^()]*\\))?\\s*(?=[,;}]|$)"
-MEMBER = "\\b([a-z]\\w*)\\.([a-z]\\w*)\\b(?!\\s*\\()"
-PLAIN_CALL = "(?:(\\b[\\w.]+)\\.)?(\\b\\w+)\\s*\\(([^()]*)\\)"
+from ..operators import graph
+from ..operators.lookup import first_per_key
+from ..session import written
+from .javatokens import WORD, angles, brace_pairs, cut, lexed, plain, segment_ends, simple
+
+# Words of the language and annotations with a meaning.
+TYPE_KINDS = ["class", "interface", "enum", "record", "@interface"]
+MODIFIERS = ["public", "protected", "private", "static", "final", "abstract", "synchronized", "native", "strictfp", "default", "transient", "volatile", "sealed"]
+NOT_CALLS = ["if", "for", "while", "switch", "catch", "return", "synchronized", "super", "this", "new", "try", "assert", "throw"]
+NOT_TYPES = ["public", "private", "protected", "return", "new", "throw", "else", "package", "import", "case", "goto", "assert", "yield", "do", "break", "continue", "instanceof"]
+BEFORE_CALLS = ["return", "else", "throw", "assert", "do", "case", "yield", "instanceof"]
+BASIC_TYPES = ["string", "int", "integer", "boolean", "long", "byte", "short", "float", "double", "char"]
 ACCESSOR_NOTES = ["Data", "Getter", "Setter"]
-NOT_CALLS = ["if", "for", "while", "switch", "catch", "return", "synchronized", "super", "this", "new"]
-NOT_TYPES = ["public", "private", "protected", "return", "new", "throw", "else", "package", "import", "case", "goto", "assert"]
+LOCAL = rf"^(?:final |@\S+ )*({WORD}(?: \. {WORD})*(?: < [^=;(){{}}]*>)?(?: \[ \])*) ({WORD})(?: \[ \])* (?:=(?! =)|:(?! :)|;)"
 
 
 def read_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,240 +37,384 @@ def read_sources(spark: SparkSession, folder: str) -> DataFrame:
     return files.filter(~F.col("path").contains("src/test") & ~F.col("path").contains(".git/")).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def numbered_lines(files: DataFrame) -> DataFrame:
-    """(path, seq, line_no, line, depth, opened): pieces in order, with the depth of braces before each; comments and string contents blanked."""
-    text = F.regexp_replace("text", '"(?:[^"\\\\\\n]|\\\\.)*"', '""')
-    # block comments leave their line ends
-    between, comments = F.split(text, BLOCK_COMMENT, -1), F.regexp_extract_all(text, F.lit(BLOCK_COMMENT), F.lit(0))
-    kept = F.transform(F.arrays_zip(between.alias("b"), comments.alias("c")), lambda x: F.concat(x["b"], F.coalesce(F.regexp_replace(x["c"], "[^\\n]", ""), F.lit(""))))
-    blank = F.regexp_replace(F.array_join(kept, ""), "//[^\\n]*", "")
-    lines = files.select("path", F.posexplode(F.split(blank, "\n")).alias("pos", "whole"))
-    pieces = lines.select("path", (F.col("pos") + 1).alias("line_no"), F.posexplode(F.split("whole", PIECE_END, -1)).alias("nth", "line")).filter("nth = 0 OR trim(line) <> ''")
-    rows = pieces.withColumn("seq", F.col("line_no").cast("long") * 100_000 + F.col("nth"))
-    w = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.length(F.regexp_replace("line", "[^{]", "")) - F.length(F.regexp_replace("line", "[^}]", ""))
-    return rows.select("path", "seq", "line_no", "line", (F.sum(opened).over(w) - opened).alias("depth"), opened.alias("opened"))
-
-
-def packages(lines: DataFrame) -> DataFrame:
-    found = F.regexp_extract("line", "^package\\s+([\\w.]+)\\s*;", 1)
-    return lines.groupBy("path").agg(F.coalesce(F.max(F.when(found != "", found)), F.lit("unknown")).alias("package_name"))
-
-
-def imports(lines: DataFrame) -> DataFrame:
-    """(path, line_no, import_path, is_static, is_wildcard)"""
-    rows = lines.filter(F.col("line").rlike(IMPORT))
-    part = lambda i: F.regexp_extract("line", IMPORT, i)
-    return rows.select("path", "line_no", part(2).alias("import_path"), (part(1) != "").alias("is_static"), (part(3) != "").alias("is_wildcard"))
-
-
-def classes(lines: DataFrame) -> DataFrame:
-    """(path, package_name, class_name, class_type, extends_class, implements, start_line, depth); a nested class's package is its file's."""
-    part = lambda i: F.regexp_extract("line", CLASS, i)
-    rows = lines.filter(F.col("line").rlike(CLASS)).select(
-        "path", "line_no", "depth", (F.row_number().over(Window.partitionBy("path").orderBy("seq")) == 1).alias("is_first"), part(3).alias("class_name"), F.initcap(part(2)).alias("class_type"), F.nullif(F.trim(part(4)), F.lit("")).alias("extends_class"),
-        F.when(part(5) != "", F.transform(F.split(part(5), ","), lambda x: F.regexp_replace(F.trim(x), "<.*", ""))).alias("implements"),
-    )
-    return rows.join(packages(lines), "path").withColumnRenamed("line_no", "start_line")
-
-
-def in_class(lines: DataFrame) -> DataFrame:
-    """lines with the innermost class around each piece, its own declaration included: class_name, class_depth, class_kind, class_seq."""
-    part = lambda k: F.regexp_extract("line", CLASS, k)
-    opened = lines.filter(F.col("line").rlike(CLASS)).select("path", F.struct(F.col("seq").alias("seq"), part(3).alias("name"), F.col("depth").alias("depth"), part(2).alias("kind")).alias("c"))
-    falls = lines.select("path", "seq", (F.col("depth") + F.col("opened")).alias("after")).filter("after >= 0")
-    ends = opened.join(falls, "path").filter("seq > c.seq AND after <= c.depth").groupBy("path", "c").agg(F.min("seq").alias("end"))
-    ranges = opened.join(ends, ["path", "c"], "left").select("path", "c", "end")
-    around = lines.select("path", "seq").join(ranges, "path").filter("seq >= c.seq AND (end IS NULL OR seq <= end)").groupBy("path", "seq").agg(F.max("c").alias("c"))
-    return lines.join(around, ["path", "seq"], "left").select(*lines.columns, F.col("c.name").alias("class_name"), F.col("c.depth").alias("class_depth"), F.col("c.kind").alias("class_kind"), F.col("c.seq").alias("class_seq"))
-
-
-def fields(lines: DataFrame) -> DataFrame:
-    """(path, class_name, line_no, field_type, field_name, is_static)"""
-    part = lambda i: F.regexp_extract("line", FIELD, i)
-    rows = in_class(lines).filter((F.col("depth") == F.col("class_depth") + 1) & F.col("line").rlike(FIELD) & ~part(2).isin(NOT_TYPES))
-    return rows.select("path", "class_name", "line_no", part(2).alias("field_type"), part(3).alias("field_name"), part(1).contains("static").alias("is_static"))
-
-
-def methods(lines: DataFrame) -> DataFrame:
-    """(path, class_name, method_name, return_type, parameters, start_line, end_line, annotations, is_static, is_constructor, start_seq, end_seq, parameter_list).
-
-    A method ends at the first line after which the depth is back at its own. Constructors are
-    methods that return their class. Annotations are those on the lines right above.
-    """
-    member = in_class(lines)
-    part = lambda i: F.regexp_extract("line", METHOD, i)
-    is_method = (F.col("depth") == F.col("class_depth") + 1) & F.col("line").rlike(METHOD) & ~part(2).isin(NOT_TYPES)
-    is_constructor = (F.col("depth") == F.col("class_depth") + 1) & F.col("line").rlike(CONSTRUCTOR) & (F.regexp_extract("line", CONSTRUCTOR, 1) == F.col("class_name"))
-    note = F.regexp_extract("line", "^\\s*@(\\w+)", 1)
-    in_file = Window.partitionBy("path").orderBy("seq")
-    no_note = F.sum(F.when(note == "", 1).otherwise(0)).over(in_file.rowsBetween(Window.unboundedPreceding, -1))
-    member = member.withColumn("block", F.coalesce(no_note, F.lit(0))).withColumn("note", note)
-    member = member.withColumn("annotations", F.collect_list(F.when(F.col("note") != "", F.col("note"))).over(Window.partitionBy("path", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)))
-    # the next line at which the depth falls back to a class member's
-    closes = F.when((F.col("depth") + F.col("opened") == F.col("class_depth") + 1) & ((F.col("opened") < 0) | F.col("line").rlike("[;}]\\s*$")), F.struct("line_no", "seq"))
-    member = member.withColumn("end", F.first(closes, True).over(in_file.rowsBetween(0, Window.unboundedFollowing)))
-    found = member.filter(is_method | is_constructor)
-    constructor = F.col("line").rlike(CONSTRUCTOR) & ~is_method
-    pick = lambda a, b: F.when(constructor, a).otherwise(b)
-    parameters = pick(F.regexp_extract("line", CONSTRUCTOR, 2), part(4))
-    types = F.transform(F.filter(F.split(F.trim(parameters), ",(?![^<]*>)"), lambda p: F.trim(p) != ""), lambda p: F.regexp_replace(F.regexp_replace(F.trim(p), "^(?:@\\w+(?:\\([^)]*\\))?\\s+|final\\s+)*", ""), "\\s+\\w+$", ""))
-    return found.select(
-        "path", "class_name", pick(F.col("class_name"), part(3)).alias("method_name"), pick(F.col("class_name"), part(2)).alias("return_type"), F.array_join(types, ",").alias("parameters"),
-        F.col("line_no").alias("start_line"), F.col("end.line_no").alias("end_line"), "annotations", part(1).contains("static").alias("is_static"),
-        constructor.alias("is_constructor"), F.col("seq").alias("start_seq"), F.col("end.seq").alias("end_seq"), parameters.alias("parameter_list"),
-    )
-
-
-def in_method(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """rows (with path and seq) inside a method's body, with class_name, caller and the method's start_seq."""
-    own = methods(lines).select("path", "class_name", F.col("method_name").alias("caller"), "start_seq", "end_seq")
-    return rows.join(own, "path").filter("seq > start_seq AND seq <= end_seq")
-
-
-def calls(lines: DataFrame) -> DataFrame:
-    """(path, class_name, caller, start_seq, line_no, target, method_name): target is the name before the dot, if any; calls on a call's result are chains'."""
-    plain = F.regexp_replace("line", "\\)\\s*\\.\\s*\\w+\\s*\\(", ")(")
-    found = F.arrays_zip(F.regexp_extract_all(plain, F.lit(CALL), F.lit(1)).alias("target"), F.regexp_extract_all(plain, F.lit(CALL), F.lit(2)).alias("method_name"))
-    sites = lines.filter(F.col("line").rlike(CALL)).select("path", "line_no", "seq", F.explode(found).alias("c"))
-    rows = in_method(sites, lines).select("path", "class_name", "caller", "start_seq", "line_no", F.nullif(F.col("c.target"), F.lit("")).alias("target"), "c.method_name")
-    return rows.filter(~F.col("method_name").isin(NOT_CALLS) & ~F.col("method_name").rlike("^[A-Z]"))
-
-
-def enum_constants(lines: DataFrame) -> DataFrame:
-    """(path, class_name, line_no, field_name): public static fields of type ENUM, up to the first semicolon of an enum."""
-    members = in_class(lines).filter((F.col("class_kind") == "enum") & (F.col("depth") == F.col("class_depth") + 1) & (F.col("seq") > F.col("class_seq")))
-    before = Window.partitionBy("path", "class_seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    ended = F.coalesce(F.sum(F.col("line").contains(";").cast("int")).over(before), F.lit(0)) > 0
-    rows = members.withColumn("ended", ended).filter("NOT ended")
-    return rows.select("path", "class_name", "line_no", F.explode(F.regexp_extract_all("line", F.lit(CONSTANT), F.lit(1))).alias("field_name"))
-
-
-def symbols(lines: DataFrame) -> DataFrame:
-    """(path, start_seq, class_name, name, type, rank): parameters (1), locals (2) by method, fields (3) by class."""
-    own = methods(lines)
-    parameter = F.explode(F.filter(F.split(F.col("parameter_list"), ",(?![^<]*>)"), lambda p: F.trim(p) != ""))
-    each = own.select("path", "start_seq", "class_name", parameter.alias("raw"))
-    named = each.select("path", "start_seq", "class_name", F.trim(F.regexp_replace("raw", "^\\s*(?:@\\w+(?:\\([^)]*\\))?\\s+|final\\s+)*", "")).alias("p"))
-    parameters = named.select("path", "start_seq", "class_name", F.regexp_extract("p", "(\\w+)$", 1).alias("name"), F.regexp_replace("p", "\\s+\\w+$", "").alias("type"), F.lit(1).alias("rank"))
-    part = lambda i: F.regexp_extract("line", LOCAL, i)
-    local = in_method(lines.filter(F.col("line").rlike(LOCAL) & ~part(1).isin(NOT_TYPES)), lines).select("path", "start_seq", "class_name", part(2).alias("name"), part(1).alias("type"), F.lit(2).alias("rank"))
-    none = F.lit(None).cast("long")
-    return parameters.union(local).union(fields(lines).select("path", none, "class_name", "field_name", "field_type", F.lit(3)))
-
-
-def typed(rows: DataFrame, lines: DataFrame, name: str) -> DataFrame:
-    """rows (with path, start_seq, class_name) with the type and rank of the column `name`: a parameter, else a local of
-    the method, else a field of the class; null where there is none."""
-    from ..operators.lookup import first_per_key
-
-    own = symbols(lines)
-    here = own.filter("rank < 3").select("path", "start_seq", F.col("name").alias(name), "type", "rank")
-    field = own.filter("rank = 3").select("path", "class_name", F.col("name").alias(name), F.col("type").alias("field_type"))
-    first = first_per_key(here, ["path", "start_seq", name], [F.asc("rank"), F.asc("type")])
-    found = rows.join(first, ["path", "start_seq", name], "left").join(field.dropDuplicates(["path", "class_name", name]), ["path", "class_name", name], "left")
-    return found.withColumn("rank", F.when(F.col("type").isNull() & F.col("field_type").isNotNull(), 3).otherwise(F.col("rank"))).withColumn("type", F.coalesce("type", "field_type")).drop("field_type")
-
-
-def resolved_calls(lines: DataFrame) -> DataFrame:
-    """calls with callee_class and `how` the target was found: PARAMETER, LOCAL or FIELD by its type, OWN class without a
-    target or on `this`, else a class by name: of an IMPORT, of this FILE, or of the same PACKAGE. Simple names are
-    qualified by the file's imports, else by its package."""
-    rows = typed(calls(lines), lines, "target")
-    own = F.col("target").isNull() | (F.col("target") == "this")
-    simple = F.regexp_replace(F.coalesce("type", F.when(~own, F.col("target")), "class_name"), "<.*", "")
-    named = imports(lines).filter("NOT is_wildcard").select("path", F.substring_index("import_path", ".", -1).alias("simple"), "import_path").dropDuplicates(["path", "simple"])
-    inside = classes(lines).select("path", F.col("class_name").alias("simple"), F.lit(True).alias("in_file")).distinct()
-    rows = rows.withColumn("simple", simple).join(named, ["path", "simple"], "left").join(inside, ["path", "simple"], "left").join(packages(lines), "path")
-    how = F.when(F.col("rank") == 1, "PARAMETER").when(F.col("rank") == 2, "LOCAL").when(F.col("rank") == 3, "FIELD").when(own, "OWN").when(F.col("import_path").isNotNull(), "IMPORT").when(F.col("in_file"), "FILE").otherwise("PACKAGE")
-    return rows.select("path", "class_name", "caller", "line_no", "target", "method_name", how.alias("how"), F.coalesce("import_path", F.concat_ws(".", "package_name", "simple")).alias("callee_class"))
-
-
-def invocations(lines: DataFrame) -> DataFrame:
-    """(path, class_name, caller, callee_class, method_name, lines): call sites merged."""
-    return resolved_calls(lines).groupBy("path", "class_name", "caller", "callee_class", "method_name").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
-
-
-def chains(lines: DataFrame) -> DataFrame:
-    """(path, caller, line_no, position, owner, method_name): calls on results of calls; owner is the class that the call
-    before returns, null where that method is not known. Position 0 is the first call of the chain."""
-    flat = F.col("line")
-    for _ in range(4):  # arguments, from the inside out
-        flat = F.regexp_replace(flat, "\\([^()]*\\)", "\u0001")
-    found = F.explode(F.regexp_extract_all(flat, F.lit("([\\w.]*\\w\u0001(?:\\.\\w+\u0001)+)"), F.lit(1)))
-    sites = in_method(lines.select("path", "seq", "line_no", found.alias("chain")), lines)
-    steps = sites.withColumn("names", F.transform(F.filter(F.split("chain", "\u0001"), lambda x: x != ""), lambda x: F.regexp_replace(x, "^\\.", "")))
-    first = F.element_at("names", 1)
-    steps = steps.withColumn("target", F.nullif(F.regexp_replace(first, "\\.?\\w+$", ""), F.lit(""))).withColumn("names", F.concat(F.array(F.regexp_extract(first, "(\\w+)$", 1)), F.slice("names", 2, 1000)))
-    now = typed(steps, lines, "target").withColumn("owner", F.regexp_replace(F.coalesce("type", "target", "class_name"), "<.*", ""))
-    now = now.select("path", "seq", "caller", "line_no", "chain", "names", F.lit(0).alias("position"), "owner")
-    returns = methods(lines).groupBy(F.col("class_name").alias("owner"), F.col("method_name").alias("name")).agg(F.min("return_type").alias("returned"))
-    out = []
-    longest = steps.agg(F.max(F.size("names"))).first()[0] or 0
-    for position in range(longest):
-        now = now.filter(F.size("names") > position).withColumn("name", F.element_at("names", position + 1))
-        out.append(now.select("path", "caller", "line_no", F.lit(position).alias("position"), "owner", F.col("name").alias("method_name")))
-        now = now.join(returns, ["owner", "name"], "left").withColumn("owner", F.regexp_replace("returned", "<.*", "")).drop("returned", "name")
-    return reduce(DataFrame.union, out) if out else lines.sparkSession.createDataFrame([], "path string, caller string, line_no int, position int, owner string, method_name string")
-
-
-def member_uses(lines: DataFrame) -> DataFrame:
-    """(path, caller, line_no, owner, field_name): references `name.field` to members of a typed name's class."""
-    found = F.arrays_zip(F.regexp_extract_all("line", F.lit(MEMBER), F.lit(1)).alias("target"), F.regexp_extract_all("line", F.lit(MEMBER), F.lit(2)).alias("field_name"))
-    sites = in_method(lines.select("path", "seq", "line_no", F.explode(found).alias("m")), lines).select("*", "m.target", "m.field_name")
-    rows = typed(sites, lines, "target")
-    owner = F.when(F.col("target") == "this", F.col("class_name")).otherwise(F.regexp_replace("type", "<.*", ""))
-    return rows.select("path", "caller", "line_no", owner.alias("owner"), "field_name").filter("owner IS NOT NULL")
-
-
-def argument_types(lines: DataFrame) -> DataFrame:
-    """(path, caller, line_no, nth, method_name, types): of calls without calls in their arguments. Literals, casts, new
-    objects and typed names have types; a binary operation counts as String; the rest is unknown."""
-    flat = F.regexp_replace("line", "\\(\\s*([A-Z]\\w*)\\s*\\)\\s*(?=\\w)", "cast $1 ")
-    flat = F.regexp_replace(flat, "new\\s+([A-Z]\\w*)\\s*\\([^()]*\\)", "new $1")
-    flat = F.replace(flat, F.lit("->"), F.lit("::"))  # an arrow is no end of type arguments
-    part = lambda i: F.regexp_extract_all(flat, F.lit(PLAIN_CALL), F.lit(i))
-    found = F.posexplode(F.arrays_zip(part(2).alias("method_name"), part(3).alias("arguments")))
-    sites = in_method(lines.select("path", "seq", "line_no", found.alias("nth", "c")), lines).select("path", "class_name", "caller", "start_seq", "seq", "line_no", "nth", "c.*")
-    sites = sites.filter(~F.col("method_name").isin(NOT_CALLS) & (F.trim("arguments") != ""))
-    each = sites.select("*", F.posexplode(F.split("arguments", ",(?![^<]*>)")).alias("place", "raw")).withColumn("argument", F.trim("raw"))
-    a = F.col("argument")
-    known = typed(each, lines, "argument")
-    kind = (
-        F.when(a.isin("true", "false"), "Boolean").when(a.rlike("^\\d+$"), "Int").when(a.rlike("->|::|\\?"), "unknown").when(a.rlike("^(?:cast|new) [A-Z]\\w*"), F.regexp_extract(a, "^(?:cast|new) (\\w+)", 1))
-        .when(a == '""', "String").when(a.rlike("[-+*/%<>=&|]"), "String").otherwise(F.coalesce(F.regexp_replace("type", "<.*", ""), F.lit("unknown")))
-    )
-    types = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", kind.alias("t")))), lambda x: x["t"]), ",")
-    return known.groupBy("path", "caller", "seq", "line_no", "nth", "method_name").agg(types.alias("types"))
-
-
-def accessors(lines: DataFrame) -> DataFrame:
-    """(path, class_name, method_name, field_name, field_type): getters and setters that a class's annotations generate and it does not declare."""
-    note = F.regexp_extract("line", "^\\s*@(\\w+)", 1)
-    block = F.sum(F.when(note == "", 1).otherwise(0)).over(Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    noted = lines.withColumn("note", note).withColumn("block", F.coalesce(block, F.lit(0)))
-    above = noted.filter(F.col("note") != "").groupBy("path", "block").agg(F.collect_set("note").alias("notes"))
-    owners = noted.filter(F.col("line").rlike(CLASS)).join(above, ["path", "block"]).select("path", F.regexp_extract("line", CLASS, 3).alias("class_name"), "notes")
-    own = fields(lines).join(owners, ["path", "class_name"])
-    has = lambda *names: F.arrays_overlap("notes", F.array(*map(F.lit, names)))
-    name = F.concat(F.upper(F.substring("field_name", 1, 1)), F.expr("substring(field_name, 2)"))
-    made = F.explode(F.array_compact(F.array(F.when(has("Data", "Getter"), F.concat(F.lit("get"), name)), F.when(has("Data", "Setter"), F.concat(F.lit("set"), name)))))
-    rows = own.select("path", "class_name", made.alias("method_name"), "field_name", "field_type")
-    return rows.join(methods(lines).select("path", "class_name", "method_name"), ["path", "class_name", "method_name"], "left_anti")
-
-
-def import_closure(lines: DataFrame) -> DataFrame:
-    """(path, needed, distance): files that a file's imports lead to, named, static and by wildcard, step by step."""
-    from ..operators import graph
-
-    types = classes(lines).filter("depth = 0").select(F.col("path").alias("needed"), "package_name", F.concat_ws(".", "package_name", "class_name").alias("full_name"))
-    own = imports(lines)
-    # a static import names a member of the type
-    named = own.filter("NOT is_wildcard").select("path", F.when(F.col("is_static"), F.regexp_replace("import_path", "\\.\\w+$", "")).otherwise(F.col("import_path")).alias("full_name"))
-    direct = named.join(types, "full_name").select("path", "needed").union(own.filter("is_wildcard").select("path", F.col("import_path").alias("package_name")).join(types, "package_name").select("path", "needed"))
-    return graph.closure(direct.distinct().toDF("src", "dst")).toDF("path", "needed", "distance")
-
-
-def created(lines: DataFrame) -> DataFrame:
-    """(path, line_no, class_name) of each `new X(...)`."""
-    return lines.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(NEW), F.lit(1))).alias("class_name"))
+def _texts(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: x["t"])
+
+
+def _first(texts: Column, value: str) -> Column:
+    """Place of a value, from 1; 0 where it does not occur."""
+    return F.array_position(texts, value).cast("int")
+
+
+def _noted(tokens: Column) -> Column:
+    """Annotations of a declaration's tokens as (name, value), the value as written, null without one."""
+    outside = lambda x: x["round"] == 0
+
+    def value(note: Column) -> Column:
+        close = F.array_min(F.transform(F.filter(tokens, lambda x: outside(x) & (x["t"] == ")") & (x["pos"] > note["pos"])), lambda x: x["pos"]))
+        inner = F.filter(tokens, lambda x: (x["pos"] > note["pos"]) & (x["pos"] < close) & ~(outside(x) & (x["t"] == "(")))
+        return F.when(note["next"] == "(", F.array_join(_texts(inner), " "))
+
+    return F.transform(F.filter(tokens, lambda x: outside(x) & (x["kind"] == "note")), lambda n: F.struct(F.substring(n["t"], 2, 1000).alias("name"), value(n).alias("value")))
+
+
+def _words(tokens: Column) -> Column:
+    """A declaration's tokens outside of parentheses, without annotations and their parentheses."""
+    flat = F.filter(tokens, lambda x: x["round"] == 0)
+    return F.filter(flat, lambda x, i: ~((x["kind"] == "note") | ((x["t"] == "(") & x["noted"]) | ((x["t"] == ")") & (i > 0) & F.get(flat, i - 1)["noted"])))
+
+
+def _types_of(names: Column) -> Column:
+    return F.transform(names, lambda p: p["type"])
+
+
+class Source:
+    """Facts of sources (path, text). Tokens and declarations are computed once and written to the shared folder."""
+
+    def __init__(self, files: DataFrame):
+        self.files = files
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return written(lexed(self.files))
+
+    @cached_property
+    def types(self) -> DataFrame:
+        """(path, seg, open, close, type_kind, class_name, outer, package_name, extends_class, implements, modifiers, annotations, start_line, end_line, is_first); outer
+        is the type around, null for top-level ones; package_name is the file's."""
+        t = self.tokens
+        heads = t.filter(F.col("t").isin(TYPE_KINDS) & (F.col("round") == 0) & (F.coalesce("prev", F.lit("")) != ".") & F.col("next").rlike(f"^{WORD}$"))
+        heads = heads.groupBy("path", "seg").agg(F.min(F.struct("pos", F.col("t").alias("type_kind"), "curly")).alias("h")).select("path", "seg", "h.*")
+        spans = heads.join(segment_ends(t).filter("end_t = '{'"), ["path", "seg"]).join(brace_pairs(t).withColumnRenamed("open", "end_pos"), ["path", "end_pos"])
+        spans = spans.select("path", "seg", "pos", "type_kind", "curly", F.col("end_pos").alias("open"), F.coalesce("close", F.lit(2**31 - 1)).alias("close"), F.col("close_line").alias("end_line"))
+        header = t.join(spans.select("path", "seg"), ["path", "seg"]).groupBy("path", "seg").agg(self._tokens().alias("tokens"))
+        named = spans.join(header, ["path", "seg"]).withColumn("words", _texts(_words(F.col("tokens")))).withColumn("levels", angles(F.col("words")))
+        at = F.array_position("words", F.col("type_kind")).cast("int")
+        # places of the clauses that follow, outside of type arguments; the end where there is none
+        clause = lambda w: F.coalesce(F.array_min(F.transform(F.filter(F.transform("words", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: (s["x"] == w) & (F.get("levels", s["i"]) == 0)), lambda s: s["i"])) + 1, F.size("words") + 1)
+        named = named.withColumns({"name_at": at + 1, "extends_at": clause("extends"), "implements_at": clause("implements"), "end_at": F.least(clause("permits"), clause("{"))})
+        part = lambda a, b: F.slice("words", a + 1, F.greatest(b - a - 1, F.lit(0)))
+        extends = part(F.col("extends_at"), F.least("implements_at", "end_at"))
+        implements = part(F.col("implements_at"), F.col("end_at"))
+        own = named.select(
+            "path", "seg", "pos", "open", "close", "type_kind", "curly", "end_line", F.element_at("words", F.col("name_at")).alias("class_name"),
+            F.nullif(plain(F.array_join(extends, " ")), F.lit("")).alias("extends_class"), F.when(F.size(implements) > 0, F.transform(cut(implements), lambda x: F.trim(F.regexp_replace(x, "<.*", "")))).alias("implements"),
+            F.array_intersect(F.col("words"), F.array(*map(F.lit, MODIFIERS))).alias("modifiers"), _noted(F.col("tokens")).alias("notes"), F.get(_words(F.col("tokens")), 0)["line_no"].alias("start_line"),
+        )
+        around = own.alias("a").join(own.select("path", F.col("open").alias("o_open"), F.col("close").alias("o_close"), F.col("class_name").alias("o_name")).alias("b"), "path", "left").filter("o_open IS NULL OR (o_open < pos AND pos < o_close) OR o_open = open")
+        around = around.groupBy("path", "open").agg(F.count_if(F.col("o_open") != F.col("open")).cast("int").alias("depth"), F.max(F.when(F.col("o_open") != F.col("open"), F.struct("o_open", "o_name"))).alias("o"))
+        kept = own.join(around, ["path", "open"]).filter("depth = curly").withColumn("outer", F.col("o.o_name")).join(self.packages, "path")
+        first = kept.groupBy("path").agg(F.min("pos").alias("first_pos"))
+        return written(kept.join(first, "path").withColumn("is_first", F.col("pos") == F.col("first_pos")).withColumn("annotations", F.transform("notes", lambda n: n["name"])).drop("o", "first_pos", "curly"))
+
+    @staticmethod
+    def _tokens() -> Column:
+        one = F.struct("pos", "t", "kind", "line_no", "round", F.coalesce((F.col("t") == "(") & (F.col("prev_kind") == "note"), F.lit(False)).alias("noted"), "next")
+        return F.array_sort(F.collect_list(one))
+
+    @cached_property
+    def _top(self) -> DataFrame:
+        """Texts of the segments outside of any brace."""
+        top = self.tokens.filter(F.col("enc").isNull() & F.col("t").rlike(r"^(?!;).")).groupBy("path", "seg")
+        return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), " ").alias("line"), F.min("line_no").alias("line_no"))
+
+    @cached_property
+    def packages(self) -> DataFrame:
+        """(path, package_name); unknown without a declaration."""
+        found = F.regexp_extract("line", r"^(?:@.* )?package ([^@]+)$", 1)
+        named = self._top.groupBy("path").agg(F.max(F.when(found != "", F.replace(found, F.lit(" "), F.lit("")))).alias("package_name"))
+        return self.files.select("path").join(named, "path", "left").select("path", F.coalesce("package_name", F.lit("unknown")).alias("package_name"))
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        """(path, line_no, import_path, is_static, is_wildcard)"""
+        pattern = r"^import (static )?([^*]+?)( \. \*)?$"
+        part = lambda i: F.regexp_extract("line", pattern, i)
+        return self._top.filter(F.col("line").rlike(pattern)).select("path", "line_no", F.replace(part(2), F.lit(" "), F.lit("")).alias("import_path"), (part(1) != "").alias("is_static"), (part(3) != "").alias("is_wildcard"))
+
+    @property
+    def classes(self) -> DataFrame:
+        """types with class_type, the kind as a capitalised word."""
+        return self.types.withColumn("class_type", F.initcap("type_kind"))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """Segments right inside a type: (path, open, seg, class_name, type_kind, tokens, words, texts, end_t, end_pos, end_line)."""
+        types = self.types.select("path", F.col("open").alias("enc"), "class_name", "type_kind")
+        heads = self.types.select("path", "seg")
+        own = self.tokens.filter(~F.col("t").isin("{", "}", ";") | (F.col("round") > 0)).join(types, ["path", "enc"]).join(heads, ["path", "seg"], "left_anti")
+        rows = own.groupBy("path", F.col("enc").alias("open"), "seg", "class_name", "type_kind").agg(self._tokens().alias("tokens"))
+        rows = rows.withColumn("words", _words(F.col("tokens"))).withColumn("texts", _texts(F.col("words")))
+        return written(rows.join(segment_ends(self.tokens), ["path", "seg"], "left"))
+
+    @cached_property
+    def methods(self) -> DataFrame:
+        """(path, class_name, method_name, return_type, parameters, names, type_parameters, modifiers, start_line, first_line, end_line, annotations, notes, is_static,
+        is_abstract, is_constructor, body_open, body_close); names are the parameters as (name, type).
+
+        start_line is the declaration's first word, first_line counts its annotations in. Without a body, as in
+        interfaces, a method ends at its semicolon. Constructors are methods that return their class.
+        """
+        texts, paren, equals = F.col("texts"), _first(F.col("texts"), "("), _first(F.col("texts"), "=")
+        rows = self.members.withColumns({"paren": paren, "equals": equals}).filter("paren > 1 AND (equals = 0 OR paren < equals) AND end_t <> '}'")
+        rows = rows.filter(F.element_at("words", F.col("paren") - 1)["kind"] == "word").withColumn("method_name", F.element_at(texts, F.col("paren") - 1))
+        before = F.slice(texts, 1, F.greatest(F.col("paren") - 2, F.lit(0)))
+        rows = rows.withColumn("modifiers", F.array_intersect(before, F.array(*map(F.lit, MODIFIERS)))).withColumn("rest", F.filter(before, lambda x: ~x.isin(MODIFIERS)))
+        levels = angles(F.col("rest"))
+        # a method's own type parameters come first
+        close = F.array_position(F.transform("rest", lambda x, i: (x == ">") & (F.get(levels, i) == 0)), True).cast("int")
+        generic = F.element_at("rest", 1) == "<"
+        rows = rows.withColumn("own_at", F.when(F.size("rest") == 0, 0).when(generic, close).otherwise(0))
+        rows = rows.withColumn("type_parameters", F.when(F.col("own_at") > 2, plain(F.array_join(F.slice("rest", 2, F.col("own_at") - 2), " ")))).withColumn("returned", F.slice("rest", F.col("own_at") + 1, F.size("rest")))
+        rows = rows.withColumn("is_constructor", (F.size("returned") == 0) & (F.col("method_name") == F.col("class_name")))
+        typed = (F.size("returned") > 0) & (F.size(cut(F.col("returned"))) == 1) & (F.element_at("returned", -1) != ",") & ~F.get("returned", 0).isin([*NOT_TYPES, ",", "."])
+        rows = rows.filter(F.col("is_constructor") | typed)
+        first, last = F.element_at("words", F.col("paren"))["pos"], F.element_at("words", F.col("paren") + 1)["pos"]
+        inner = F.filter("tokens", lambda x: (x["pos"] > first) & (x["pos"] < last) & (x["round"] == 1) & (x["kind"] != "note") & ~x["t"].isin("(", ")", "final"))
+        pattern = rf"^(.+?)((?: \.\.\.)?) ({WORD}(?: \. this)?)((?: \[ \])*)$"
+        one = lambda p: F.struct(F.regexp_extract(p, pattern, 3).alias("name"), plain(F.concat(F.regexp_extract(p, pattern, 1), F.regexp_extract(p, pattern, 4))).alias("type"))
+        rows = rows.withColumn("names", F.filter(F.transform(cut(_texts(inner)), one), lambda p: (p["name"] != "") & (p["name"] != "this")))
+        rows = rows.join(brace_pairs(self.tokens).withColumnRenamed("open", "end_pos"), ["path", "end_pos"], "left").withColumn("has_body", F.col("end_t") == "{")
+        return written(
+            rows.select(
+                "path", "class_name", F.col("open").alias("type_open"), "method_name", F.when(F.col("is_constructor"), F.col("class_name")).otherwise(plain(F.array_join("returned", " "))).alias("return_type"),
+                F.array_join(_types_of(F.col("names")), ",").alias("parameters"), "names", "type_parameters", "modifiers", F.get("words", 0)["line_no"].alias("start_line"), F.get("tokens", 0)["line_no"].alias("first_line"),
+                F.when(F.col("has_body"), F.col("close_line")).otherwise(F.col("end_line")).alias("end_line"), F.transform(_noted(F.col("tokens")), lambda n: n["name"]).alias("annotations"), _noted(F.col("tokens")).alias("notes"),
+                F.array_contains("modifiers", "static").alias("is_static"), (F.array_contains("modifiers", "abstract") | ((F.col("type_kind") == "interface") & ~F.col("has_body"))).alias("is_abstract"), "is_constructor",
+                F.col("end_pos").alias("body_open"), F.when(F.col("has_body"), F.col("close")).otherwise(F.col("end_pos")).alias("body_close"),
+            )
+        )
+
+    @cached_property
+    def enum_constants(self) -> DataFrame:
+        """(path, class_name, line_no, field_name): public static fields of type ENUM, up to the first semicolon of an enum."""
+        enums = self.types.filter("type_kind = 'enum'").select("path", F.col("open").alias("enc"), "class_name")
+        own = self.tokens.join(enums, ["path", "enc"]).filter("round = 0")
+        ended = own.filter("t = ';'").groupBy("path", "enc").agg(F.min("pos").alias("stop"))
+        named = own.filter((F.col("kind") == "word") & (F.col("prev").isin("{", ",", ")") | (F.col("prev_kind") == "note"))).join(ended, ["path", "enc"], "left").filter("stop IS NULL OR pos < stop")
+        return named.select("path", "class_name", "line_no", F.col("t").alias("field_name"))
+
+    @cached_property
+    def fields(self) -> DataFrame:
+        """(path, class_name, line_no, field_type, field_name, is_static, modifiers, annotations): the first name of each declaration."""
+        texts = F.col("texts")
+        levels = angles(texts)
+        stop = F.array_position(F.transform(texts, lambda x, i: (x == "=") | ((x == ",") & (F.get(levels, i) == 0))), True).cast("int")
+        head = F.filter(F.slice(texts, 1, F.when(stop > 0, stop - 1).otherwise(F.size(texts))), lambda x: ~x.isin(MODIFIERS))
+        rows = self.members.withColumn("paren", _first(texts, "(")).withColumn("equals", _first(texts, "=")).filter("(paren = 0 OR (equals > 0 AND equals < paren)) AND (end_t = ';' OR (end_t = '{' AND equals > 0))")
+        pattern = rf"^({WORD}.*?) ({WORD})((?: \[ \])*)$"
+        rows = rows.withColumn("head", F.array_join(head, " ")).filter(F.col("head").rlike(pattern) & ~F.get(head, 0).isin(NOT_TYPES))
+        part = lambda i: F.regexp_extract("head", pattern, i)
+        ended = self.tokens.filter("t = ';' AND round = 0").groupBy("path", F.col("enc").alias("open")).agg(F.min("seg").alias("constants_end"))
+        rows = rows.join(ended, ["path", "open"], "left").filter("type_kind <> 'enum' OR seg > constants_end")
+        rows = rows.select("path", "class_name", F.get("words", 0)["line_no"].alias("line_no"), plain(F.concat(part(1), part(3))).alias("field_type"), part(2).alias("field_name"), F.array_contains("texts", "static").alias("is_static"),
+                           F.array_intersect("texts", F.array(*map(F.lit, MODIFIERS))).alias("modifiers"), F.transform(_noted(F.col("tokens")), lambda n: n["name"]).alias("annotations"))
+        return written(rows)
+
+    def in_method(self, rows: DataFrame) -> DataFrame:
+        """rows (with path and pos) inside a method's body, with its class_name, caller and body_open."""
+        own = self.methods.select("path", "class_name", F.col("method_name").alias("caller"), "body_open", "body_close")
+        return rows.join(own, "path").filter("pos > body_open AND pos < body_close").drop("body_close")
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """Dotted names: (path, pos, names, text, line_no, next, next_pos, prev, prev_kind, paren), of the last word where both ends differ."""
+        parts = self.tokens.filter("kind = 'word' OR t = '.'").groupBy("path", "run").agg(
+            F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("r"), F.max(F.struct("pos", "line_no", "next", "next_pos")).alias("last"), F.min(F.struct("pos", "prev", "prev_kind", "paren")).alias("first")
+        )
+        rows = parts.select("path", F.array_join(_texts(F.col("r")), "").alias("text"), F.filter(_texts(F.col("r")), lambda x: x != ".").alias("names"), "last.*", F.col("first.prev").alias("prev"), F.col("first.prev_kind").alias("prev_kind"))
+        return written(self.in_method(rows.filter("next = '(' OR size(names) > 1 OR prev = 'new'")))
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        """(path, class_name, caller, body_open, pos, line_no, target, method_name, at): target is what stands before the last dot, if any; at is the call's parenthesis."""
+        declared = (F.col("prev_kind") == "word") & ~F.col("prev").isin(BEFORE_CALLS)
+        rows = self.runs.filter((F.col("next") == "(") & ~F.col("text").startswith(".") & (F.coalesce("prev", F.lit("")) != "new") & ~F.coalesce(declared, F.lit(False)))
+        name = F.element_at("names", -1)
+        rows = rows.select("path", "class_name", "caller", "body_open", "pos", "line_no", F.nullif(F.array_join(F.slice("names", 1, F.size("names") - 1), "."), F.lit("")).alias("target"), name.alias("method_name"), F.col("next_pos").alias("at"))
+        return rows.filter(~F.col("method_name").isin(NOT_CALLS) & ~F.col("method_name").rlike("^[A-Z]"))
+
+    @property
+    def created(self) -> DataFrame:
+        """(path, line_no, class_name) of each `new X`."""
+        rows = self.tokens.filter("prev = 'new' AND kind = 'word'").select("path", "run", "line_no")
+        names = self.tokens.join(rows.select("path", "run"), ["path", "run"]).filter("kind = 'word'").groupBy("path", "run").agg(_texts(F.array_sort(F.collect_list(F.struct("pos", "t")))).alias("names"))
+        first = F.element_at(F.filter("names", lambda x: x.rlike("^[A-Z]")), 1)
+        return rows.join(names, ["path", "run"]).select("path", "line_no", first.alias("class_name")).filter("class_name IS NOT NULL")
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        """(path, body_open, class_name, name, type, rank): parameters (1), locals (2) by method, fields (3) by class."""
+        parameters = self.methods.select("path", "body_open", "class_name", F.explode("names").alias("p")).select("path", "body_open", "class_name", "p.name", "p.type", F.lit(1).alias("rank"))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), " ")
+        lines = self.tokens.groupBy("path", "stmt").agg(F.min("pos").alias("pos"), text.alias("line")).filter(F.col("line").rlike(LOCAL))
+        part = lambda i: F.regexp_extract("line", LOCAL, i)
+        local = self.in_method(lines).filter(~F.substring_index(part(1), " ", 1).isin(NOT_TYPES)).select("path", "body_open", "class_name", part(2).alias("name"), plain(part(1)).alias("type"), F.lit(2).alias("rank"))
+        none = F.lit(None).cast("int")
+        return written(parameters.union(local).union(self.fields.select("path", none, "class_name", "field_name", "field_type", F.lit(3))))
+
+    def typed(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows (with path, body_open, class_name) with the type and rank of the column `name`: a parameter, else a local of
+        the method, else a field of the class; null where there is none."""
+        here = self.symbols.filter("rank < 3").select("path", "body_open", F.col("name").alias(name), "type", "rank")
+        field = self.symbols.filter("rank = 3").select("path", "class_name", F.col("name").alias(name), F.col("type").alias("field_type"))
+        first = first_per_key(here, ["path", "body_open", name], [F.asc("rank"), F.asc("type")])
+        found = rows.join(first, ["path", "body_open", name], "left").join(field.dropDuplicates(["path", "class_name", name]), ["path", "class_name", name], "left")
+        return found.withColumn("rank", F.when(F.col("type").isNull() & F.col("field_type").isNotNull(), 3).otherwise(F.col("rank"))).withColumn("type", F.coalesce("type", "field_type")).drop("field_type")
+
+    def named(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows (with path) with full_name and how, for the simple class name in the column `name`, by the first step that
+        knows it: an IMPORT, a type of the FILE, a SIBLING in the package, the UNIQUE type of that name, one whose package
+        is IMPORTED as a whole, a type NESTED in the one before the dot; null and UNKNOWN where several types have the name
+        and none of the steps chooses; else EXTERNAL, as no source declares it."""
+        types = self.types.select("class_name", "package_name", F.coalesce("outer", F.lit("")).alias("outer"), "path")
+        asked = rows.select("path", F.col(name).alias("asked")).filter("asked IS NOT NULL").distinct().withColumn("simple", F.element_at(F.split("asked", r"\."), -1)).withColumn("before", F.try_element_at(F.split("asked", r"\."), F.lit(-2)))
+        asked = asked.join(self.packages, "path")
+        full = F.concat_ws(".", "package_name", "class_name")
+        imported = self.imports.filter("NOT is_wildcard AND NOT is_static").select("path", F.substring_index("import_path", ".", -1).alias("simple"), "import_path").groupBy("path", "simple").agg(F.min("import_path").alias("import_path"))
+        in_file = types.groupBy("path", F.col("class_name").alias("simple")).agg(F.min(full).alias("in_file"))
+        sibling = types.filter("outer = ''").groupBy("package_name", F.col("class_name").alias("simple")).agg(F.min(full).alias("sibling"))
+        known = types.groupBy(F.col("class_name").alias("simple")).agg(F.count("*").alias("n_known"), F.min(full).alias("only"))
+        whole = self.imports.filter("is_wildcard AND NOT is_static").select("path", F.col("import_path").alias("package_name")).join(types.drop("path"), "package_name").groupBy("path", F.col("class_name").alias("simple")).agg(F.min(full).alias("whole"))
+        nested = types.filter("outer <> ''").groupBy(F.col("class_name").alias("simple"), F.col("outer").alias("before")).agg(F.min(full).alias("nested"))
+        found = (
+            asked.join(imported, ["path", "simple"], "left").join(in_file, ["path", "simple"], "left").join(sibling, ["package_name", "simple"], "left").join(known, "simple", "left")
+            .join(whole, ["path", "simple"], "left").join(nested, ["simple", "before"], "left")
+        )
+        direct = F.col("before").isNull()
+        steps = [("IMPORT", F.when(direct, F.col("import_path"))), ("NESTED", F.col("nested")), ("FILE", F.when(direct, F.col("in_file"))), ("SIBLING", F.when(direct, F.col("sibling"))),
+                 ("UNIQUE", F.when(F.col("n_known") == 1, F.col("only"))), ("IMPORTED", F.col("whole"))]
+        how = reduce(lambda c, s: c.when(s[1].isNotNull(), s[0]), steps[1:], F.when(steps[0][1].isNotNull(), steps[0][0])).when(F.col("n_known") > 1, "UNKNOWN").otherwise("EXTERNAL")
+        outside = F.when(F.col("n_known").isNull(), F.when(direct, F.concat_ws(".", "package_name", "asked")).otherwise(F.col("asked")))
+        answers = found.select("path", F.col("asked").alias(name), how.alias("named_how"), F.coalesce(*[s[1] for s in steps], outside).alias("full_name"))
+        return rows.join(answers, ["path", name], "left")
+
+    @cached_property
+    def hierarchy(self) -> DataFrame:
+        """(full_name, ancestor, distance): each type's super classes by full name, itself at 0."""
+        own = self.types.select("path", F.concat_ws(".", "package_name", "class_name").alias("class_full"), simple(F.col("extends_class")).alias("parent")).filter("parent IS NOT NULL")
+        edges = self.named(own, "parent").filter("full_name IS NOT NULL").select(F.col("class_full").alias("src"), F.col("full_name").alias("dst")).distinct()
+        all_ = self.types.select(F.concat_ws(".", "package_name", "class_name").alias("full_name")).distinct()
+        return written(all_.select("full_name", F.col("full_name").alias("ancestor"), F.lit(0).alias("distance")).union(graph.closure(edges).toDF("full_name", "ancestor", "distance")))
+
+    @cached_property
+    def argument_texts(self) -> DataFrame:
+        """(path, at, arguments): of each parenthesis, the texts between its commas, tokens joined by spaces; inner parentheses
+        show what is right inside them."""
+        shown = F.when(F.col("t").startswith("'"), "''").when(F.col("kind") == "text", '""').otherwise(F.col("t"))
+        direct = self.tokens.filter(F.col("paren").isNotNull() & ~F.col("t").isin("(", ")") & (F.col("curly") == F.col("paren_curly"))).select("path", F.col("paren").alias("at"), "pos", shown.alias("t"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), " ")
+        inner = direct.groupBy("path", "at").agg(joined.alias("text"))
+        last = self.tokens.filter("t = '('").join(self.tokens.select("path", F.col("next_pos").alias("pos"), F.col("paren").alias("around"), F.col("t").alias("before")), ["path", "pos"]).filter("around IS NOT NULL AND before <> ')'")
+        opened = last.select("path", "around", "pos").join(inner.withColumnRenamed("at", "pos"), ["path", "pos"], "left").select("path", F.col("around").alias("at"), "pos", F.concat(F.lit("("), F.coalesce("text", F.lit("")), F.lit(")")).alias("t"))
+        texts = direct.union(opened).groupBy("path", "at").agg(joined.alias("text"))
+        safe = F.replace(F.col("text"), F.lit("->"), F.lit("::"))  # an arrow is no end of type arguments
+        return texts.select("path", "at", F.transform(F.split(safe, r",(?![^<(]*>)(?![^()]*\))"), lambda x: F.trim(x)).alias("arguments"))
+
+    @cached_property
+    def arguments(self) -> DataFrame:
+        """(path, at, types): argument types of the calls of methods; those of calls whose arguments are not known are unknown."""
+        sites = self.runs.filter("next = '('").select("path", "class_name", "body_open", F.col("next_pos").alias("at"))
+        each = sites.join(self.argument_texts, ["path", "at"]).select("path", "class_name", "body_open", "at", F.posexplode("arguments").alias("place", "argument"))
+        known, a = self.typed(each, "argument"), F.col("argument")
+        cast, made = r"^\(([A-Z]\w*)(?: <.*)?\) ?[\w(\"]", r"^new ([A-Z]\w*)"
+        kind = (
+            F.when(a.isin("true", "false"), "Boolean").when(a.rlike(r"^\d+$"), "Int").when(a.rlike(r"::|\?"), "unknown").when(a.rlike(cast), F.regexp_extract(a, cast, 1)).when(a.rlike(made), F.regexp_extract(a, made, 1))
+            .when(a == '""', "String").when(a == "''", "char").when(a.rlike(r"[-+*/%<>=&|]"), "String").otherwise(F.coalesce(simple(F.col("type")), F.lit("unknown")))
+        )
+        types = F.transform(F.array_sort(F.collect_list(F.struct("place", kind.alias("t")))), lambda x: x["t"])
+        return known.groupBy("path", "at").agg(types.alias("types"))
+
+    @cached_property
+    def resolved_calls(self) -> DataFrame:
+        """calls with callee_class, how, declared_in, parameters (of the method chosen) and distance.
+
+        The target's type is that of a PARAMETER, LOCAL or FIELD, or of a class by name (see `named`). Calls without a
+        target, on `this` and on `super` go to the nearest super class that declares a method of that name and number of
+        parameters, OWN at distance 0, else INHERITED; of several there, the one whose parameter types fit best. Where none
+        does, the callee is unknown.
+        """
+        rows = self.typed(self.calls, "target").join(self.arguments, ["path", "at"], "left").join(self.packages, "path")
+        rows = rows.withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
+        own = F.col("target").isNull() | F.col("target").isin("this", "super")
+        rows = rows.withColumn("own", own).withColumn("asked", F.when(own, F.lit(None).cast("string")).otherwise(simple(F.coalesce("type", "target"))))
+        rows = self.named(rows, "asked").withColumn("start", F.when(F.col("own"), F.concat_ws(".", "package_name", "class_name")).otherwise(F.col("full_name")))
+        declared = self.methods.join(self.packages, "path").select(F.concat_ws(".", "package_name", "class_name").alias("ancestor"), "method_name", F.size("names").alias("arity"), "parameters", _types_of(F.col("names")).alias("takes"), F.col("start_line").alias("at_line"))
+        above = rows.select("path", "at", "body_open", F.col("start").alias("full_name"), "method_name", "types", "target").join(self.hierarchy, "full_name").filter("distance > 0 OR target IS NULL OR target <> 'super'").withColumn("arity", F.size("types"))
+        fits = above.join(declared, ["ancestor", "method_name", "arity"]).withColumn("score", fit(F.col("types"), F.col("takes")))
+        best = first_per_key(fits, ["path", "at", "body_open"], [F.asc("distance"), F.desc("score"), F.asc("at_line"), F.asc("parameters"), F.asc("ancestor")]).select("path", "at", "body_open", "ancestor", "distance", "parameters")
+        rows = rows.join(best, ["path", "at", "body_open"], "left")
+        how = (
+            F.when(F.col("rank") == 1, "PARAMETER").when(F.col("rank") == 2, "LOCAL").when(F.col("rank") == 3, "FIELD").when(F.col("own") & (F.col("distance") == 0), "OWN").when(F.col("own") & (F.col("distance") > 0), "INHERITED")
+            .when(F.col("own"), "UNKNOWN").otherwise(F.col("named_how"))
+        )
+        callee = F.when(F.col("own"), F.col("ancestor")).otherwise(F.col("full_name"))
+        return written(rows.select("path", "class_name", "caller", "body_open", "pos", "line_no", "target", "method_name", how.alias("how"), callee.alias("callee_class"), F.col("ancestor").alias("declared_in"), "parameters", "distance", "types"))
+
+    @property
+    def invocations(self) -> DataFrame:
+        """(path, class_name, caller, callee_class, method_name, lines): call sites merged."""
+        return self.resolved_calls.groupBy("path", "class_name", "caller", "callee_class", "method_name").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+
+    @property
+    def chains(self) -> DataFrame:
+        """(path, caller, line_no, position, owner, method_name): calls on results of calls; owner is the class that the call
+        before returns, null where that method is not known. Position 0 is the first call of the chain."""
+        later = self.runs.filter((F.col("next") == "(") & F.col("text").startswith(".") & (F.col("prev") == ")") & (F.size("names") == 1))
+        # the closing parenthesis before the dot knows where it was opened
+        closed = self.tokens.filter("t = ')'").select("path", F.col("paren").alias("at"), F.col("next_pos").alias("dot"))
+        dots = self.tokens.filter("t = '.'").select("path", F.col("pos").alias("dot"), F.col("next_pos").alias("pos"))
+        links = written(later.join(dots, ["path", "pos"]).join(closed, ["path", "dot"]).select("path", "at", F.col("next_pos").alias("then"), F.element_at("names", 1).alias("next_name"), F.col("line_no").alias("next_line")).distinct())
+        sites = self.typed(self.calls.join(links.select("path", "at").distinct(), ["path", "at"], "left_semi"), "target")
+        now = sites.select("path", "caller", "body_open", "at", "line_no", F.lit(0).alias("position"), simple(F.coalesce("type", "target", "class_name")).alias("owner"), "method_name")
+        returns = self.methods.groupBy(F.col("class_name").alias("owner"), "method_name").agg(F.min("return_type").alias("returned"))
+        out = []
+        for position in count(1):
+            out.append(now := written(now))
+            if now.isEmpty():
+                break
+            step = now.join(returns, ["owner", "method_name"], "left").join(links, ["path", "at"])
+            now = step.select("path", "caller", "body_open", F.col("then").alias("at"), F.col("next_line").alias("line_no"), F.lit(position).alias("position"), simple(F.col("returned")).alias("owner"), F.col("next_name").alias("method_name"))
+        return reduce(DataFrame.union, out).select("path", "caller", "line_no", "position", "owner", "method_name")
+
+    @property
+    def member_uses(self) -> DataFrame:
+        """(path, caller, line_no, owner, field_name): references `name.field` to members of a typed name's class."""
+        names = F.when(F.col("next") == "(", F.slice("names", 1, F.size("names") - 1)).otherwise(F.col("names"))
+        rows = self.runs.filter(~F.col("text").startswith(".") & (F.coalesce("prev", F.lit("")) != "new")).withColumn("names", names).filter("size(names) > 1")
+        rows = rows.select("*", F.get("names", 0).alias("target"), F.get("names", 1).alias("field_name")).filter(F.col("target").rlike("^[a-z]") & F.col("field_name").rlike("^[a-z]"))
+        owner = F.when(F.col("target") == "this", F.col("class_name")).otherwise(simple(F.col("type")))
+        return self.typed(rows, "target").select("path", "caller", "line_no", owner.alias("owner"), "field_name").filter("owner IS NOT NULL")
+
+    @property
+    def argument_types(self) -> DataFrame:
+        """(path, caller, line_no, pos, method_name, types): of calls with arguments. Literals, casts, new objects and typed names have
+        types; a binary operation counts as String; the rest is unknown."""
+        rows = self.runs.filter((F.col("next") == "(") & (F.coalesce("prev", F.lit("")) != "new")).withColumn("method_name", F.element_at("names", -1)).filter(~F.col("method_name").isin(NOT_CALLS))
+        return rows.withColumn("at", F.col("next_pos")).join(self.arguments, ["path", "at"]).select("path", "caller", "line_no", "pos", "method_name", F.array_join("types", ",").alias("types"))
+
+    @property
+    def accessors(self) -> DataFrame:
+        """(path, class_name, method_name, field_name, field_type): getters and setters that a class's annotations generate and it does not declare."""
+        own = self.fields.select("path", "class_name", "field_name", "field_type").join(self.types.select("path", "class_name", F.col("annotations").alias("notes")), ["path", "class_name"])
+        has = lambda *names: F.arrays_overlap("notes", F.array(*map(F.lit, names)))
+        name = F.concat(F.upper(F.substring("field_name", 1, 1)), F.expr("substring(field_name, 2)"))
+        made = F.explode(F.array_compact(F.array(F.when(has("Data", "Getter"), F.concat(F.lit("get"), name)), F.when(has("Data", "Setter"), F.concat(F.lit("set"), name)))))
+        rows = own.select("path", "class_name", made.alias("method_name"), "field_name", "field_type")
+        return rows.join(self.methods.select("path", "class_name", "method_name"), ["path", "class_name", "method_name"], "left_anti")
+
+    @property
+    def import_closure(self) -> DataFrame:
+        """(path, needed, distance): files that a file's imports lead to, named, static and by wildcard, step by step."""
+        types = self.types.filter("outer IS NULL").select(F.col("path").alias("needed"), "package_name", F.concat_ws(".", "package_name", "class_name").alias("full_name"))
+        # a static import names a member of the type
+        named = self.imports.filter("NOT is_wildcard").select("path", F.when(F.col("is_static"), F.regexp_replace("import_path", "\\.\\w+$", "")).otherwise(F.col("import_path")).alias("full_name"))
+        direct = named.join(types, "full_name").select("path", "needed").union(self.imports.filter("is_wildcard").select("path", F.col("import_path").alias("package_name")).join(types, "package_name").select("path", "needed"))
+        return graph.closure(direct.distinct().toDF("src", "dst")).toDF("path", "needed", "distance")
+
+
+def fit(given: Column, takes: Column) -> Column:
+    """How well argument types fit parameter types: one for each that occurs, less its distance; the last place of equal ones counts."""
+    last = lambda x: F.size(given) - F.array_position(F.reverse(given), x).cast("int")
+    each = F.transform(takes, lambda x, i: F.when(F.array_contains(given, simple(x)), 1 - F.abs(i - last(simple(x)))).otherwise(0))
+    return F.aggregate(each, F.lit(0), lambda a, x: a + x)

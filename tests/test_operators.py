@@ -98,7 +98,7 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "A.java").write_text("package p;\npublic class A {\n  int x;\n}\n")
     files = mappers.read_mappers(spark, str(tmp_path))
     assert [(r.full_method, r.sql_content) for r in mappers.statements(files).collect()] == [("n.u", "UPDATE t SET a = 1")]
-    assert [r.class_name for r in java.classes(java.numbered_lines(java.read_sources(spark, str(tmp_path)))).collect()] == ["A"]
+    assert [r.class_name for r in java.Source(java.read_sources(spark, str(tmp_path))).classes.collect()] == ["A"]
     rows = spark.createDataFrame([(1, "a", "UNCHANGED"), (2, "b", "ADDED")], "id int, m string, c string")
     documents.write_documents(rows.withColumn("c", F.nullif("c", F.lit("UNCHANGED"))), str(tmp_path / "out"), ["id"])
     back = documents.read_documents(spark, str(tmp_path / "out"), "id int, m string, c string", {"c": "UNCHANGED"})
