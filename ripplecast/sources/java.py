@@ -9,19 +9,19 @@ of expressions are known for names, literals, casts, new objects and chains of c
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.lookup import first_per_key
 from ..session import written
-from .javatokens import WORD, angles, brace_pairs, cut, lexed, plain, segment_ends, simple
+from .javatokens import WORD, angles, cut, lexed, plain, simple
 
 # Words of the language and annotations with a meaning.
-TYPE_KINDS = ["class", "interface", "enum", "record", "@interface"]
 MODIFIERS = ["public", "protected", "private", "static", "final", "abstract", "synchronized", "native", "strictfp", "default", "transient", "volatile", "sealed"]
 NOT_CALLS = ["if", "for", "while", "switch", "catch", "return", "synchronized", "super", "this", "new", "try", "assert", "throw"]
 NOT_TYPES = ["public", "private", "protected", "return", "new", "throw", "else", "package", "import", "case", "goto", "assert", "yield", "do", "break", "continue", "instanceof"]
@@ -37,35 +37,18 @@ def read_sources(spark: SparkSession, folder: str) -> DataFrame:
     return files.filter(~F.col("path").contains("src/test") & ~F.col("path").contains(".git/")).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def _texts(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: x["t"])
+#: SQL over an array `tokens` of a declaration: those outside of parentheses, and of these all but annotations and their parentheses.
+FLAT = "filter(tokens, x -> x.round = 0)"
+WORDS = "filter(flat, (x, i) -> NOT (x.kind = 'note' OR (x.t = '(' AND x.noted) OR (x.t = ')' AND i > 0 AND get(flat, i - 1).noted)))"
+#: Annotations as (name, value), the value as written, null without one.
+NOTES = """transform(filter(flat, x -> x.kind = 'note'), n -> struct(substring(n.t, 2) AS name, CASE WHEN n.next = '(' THEN array_join(transform(filter(tokens, x -> x.pos > n.pos
+  AND x.pos < array_min(transform(filter(flat, y -> y.t = ')' AND y.pos > n.pos), y -> y.pos)) AND NOT (x.round = 0 AND x.t = '(')), x -> x.t), ' ') END AS value))"""
+IS_MODIFIER = f"array_contains(array({', '.join(repr(m) for m in MODIFIERS)}), x)"
 
 
-def _first(texts: Column, value: str) -> Column:
-    """Place of a value, from 1; 0 where it does not occur."""
-    return F.array_position(texts, value).cast("int")
-
-
-def _noted(tokens: Column) -> Column:
-    """Annotations of a declaration's tokens as (name, value), the value as written, null without one."""
-    outside = lambda x: x["round"] == 0
-
-    def value(note: Column) -> Column:
-        close = F.array_min(F.transform(F.filter(tokens, lambda x: outside(x) & (x["t"] == ")") & (x["pos"] > note["pos"])), lambda x: x["pos"]))
-        inner = F.filter(tokens, lambda x: (x["pos"] > note["pos"]) & (x["pos"] < close) & ~(outside(x) & (x["t"] == "(")))
-        return F.when(note["next"] == "(", F.array_join(_texts(inner), " "))
-
-    return F.transform(F.filter(tokens, lambda x: outside(x) & (x["kind"] == "note")), lambda n: F.struct(F.substring(n["t"], 2, 1000).alias("name"), value(n).alias("value")))
-
-
-def _words(tokens: Column) -> Column:
-    """A declaration's tokens outside of parentheses, without annotations and their parentheses."""
-    flat = F.filter(tokens, lambda x: x["round"] == 0)
-    return F.filter(flat, lambda x, i: ~((x["kind"] == "note") | ((x["t"] == "(") & x["noted"]) | ((x["t"] == ")") & (i > 0) & F.get(flat, i - 1)["noted"])))
-
-
-def _types_of(names: Column) -> Column:
-    return F.transform(names, lambda p: p["type"])
+def _joined(*, by: str = " ") -> Column:
+    """The group's tokens in order."""
+    return F.expr(f"array_join(transform(array_sort(collect_list(struct(pos, t))), x -> x.t), '{by}')")
 
 
 class Source:
@@ -78,34 +61,32 @@ class Source:
     def tokens(self) -> DataFrame:
         return written(lexed(self.files))
 
+    def _together(self, *names: str) -> None:
+        """Computes tables that do not need each other at the same time, as their jobs are small."""
+        _ = self.tokens  # which all of them need
+        with ThreadPoolExecutor(len(names)) as pool:
+            list(pool.map(lambda n: getattr(self, n), names))
+
     @cached_property
     def types(self) -> DataFrame:
-        """(path, seg, open, close, type_kind, class_name, outer, package_name, extends_class, implements, modifiers, annotations, start_line, end_line, is_first); outer
-        is the type around, null for top-level ones; package_name is the file's."""
-        t = self.tokens
-        heads = t.filter(F.col("t").isin(TYPE_KINDS) & (F.col("round") == 0) & (F.coalesce("prev", F.lit("")) != ".") & F.col("next").rlike(f"^{WORD}$"))
-        heads = heads.groupBy("path", "seg").agg(F.min(F.struct("pos", F.col("t").alias("type_kind"), "curly")).alias("h")).select("path", "seg", "h.*")
-        spans = heads.join(segment_ends(t).filter("end_t = '{'"), ["path", "seg"]).join(brace_pairs(t).withColumnRenamed("open", "end_pos"), ["path", "end_pos"])
-        spans = spans.select("path", "seg", "pos", "type_kind", "curly", F.col("end_pos").alias("open"), F.coalesce("close", F.lit(2**31 - 1)).alias("close"), F.col("close_line").alias("end_line"))
-        header = t.join(spans.select("path", "seg"), ["path", "seg"]).groupBy("path", "seg").agg(self._tokens().alias("tokens"))
-        named = spans.join(header, ["path", "seg"]).withColumn("words", _texts(_words(F.col("tokens")))).withColumn("levels", angles(F.col("words")))
-        at = F.array_position("words", F.col("type_kind")).cast("int")
+        """(path, open, type_kind, class_name, outer, package_name, extends_class, implements, modifiers, annotations, notes, start_line,
+        end_line, is_first); open is the type's brace, outer the type around, null for top-level ones; package_name is the file's."""
+        # the brace itself is inside of the type, all before it is outside
+        first = F.min(F.when(F.col("t") != "{", F.struct("pos", "enc.type.name"))).alias("first")
+        rows = self.tokens.filter("in_head").groupBy("path", "seg").agg(self._tokens().alias("tokens"), first, F.max(F.when(F.col("t") == "{", F.col("enc"))).alias("own"), F.first("end").alias("end"), F.first("head").alias("head")).filter("own.type IS NOT NULL AND own.pos = end.pos")
+        rows = rows.withColumn("flat", F.expr(FLAT)).withColumn("shown", F.expr(WORDS)).withColumn("words", F.expr("shown.t")).withColumn("levels", F.expr(angles("words")))
         # places of the clauses that follow, outside of type arguments; the end where there is none
-        clause = lambda w: F.coalesce(F.array_min(F.transform(F.filter(F.transform("words", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: (s["x"] == w) & (F.get("levels", s["i"]) == 0)), lambda s: s["i"])) + 1, F.size("words") + 1)
-        named = named.withColumns({"name_at": at + 1, "extends_at": clause("extends"), "implements_at": clause("implements"), "end_at": F.least(clause("permits"), clause("{"))})
-        part = lambda a, b: F.slice("words", a + 1, F.greatest(b - a - 1, F.lit(0)))
-        extends = part(F.col("extends_at"), F.least("implements_at", "end_at"))
-        implements = part(F.col("implements_at"), F.col("end_at"))
-        own = named.select(
-            "path", "seg", "pos", "open", "close", "type_kind", "curly", "end_line", F.element_at("words", F.col("name_at")).alias("class_name"),
-            F.nullif(plain(F.array_join(extends, " ")), F.lit("")).alias("extends_class"), F.when(F.size(implements) > 0, F.transform(cut(implements), lambda x: F.trim(F.regexp_replace(x, "<.*", "")))).alias("implements"),
-            F.array_intersect(F.col("words"), F.array(*map(F.lit, MODIFIERS))).alias("modifiers"), _noted(F.col("tokens")).alias("notes"), F.get(_words(F.col("tokens")), 0)["line_no"].alias("start_line"),
+        clause = lambda w: F.expr(f"coalesce(array_min(filter(transform(words, (x, i) -> CASE WHEN x = '{w}' AND levels[i] = 0 THEN i + 1 END), p -> p IS NOT NULL)), size(words) + 1)")
+        rows = rows.withColumns({"extends_at": clause("extends"), "implements_at": clause("implements"), "end_at": F.least(clause("permits"), clause("{"))})
+        part = lambda a, b: F.expr(f"slice(words, {a} + 1, greatest({b} - {a} - 1, 0))")
+        rows = rows.withColumns({"extended": part("extends_at", "least(implements_at, end_at)"), "implemented": part("implements_at", "end_at")})
+        rows = rows.select(
+            "path", F.col("end.pos").alias("open"), F.col("head.t").alias("type_kind"), F.col("head.name").alias("class_name"), F.col("first.name").alias("outer"), F.expr("get(shown, 0).line_no").alias("start_line"), F.col("end.close_line").alias("end_line"),
+            F.nullif(plain(F.array_join("extended", " ")), F.lit("")).alias("extends_class"), F.expr(f"CASE WHEN size(implemented) > 0 THEN transform({cut('implemented')}, x -> trim(regexp_replace(x, '<.*', ''))) END").alias("implements"),
+            F.expr(f"filter(words, x -> {IS_MODIFIER})").alias("modifiers"), F.expr(NOTES).alias("notes"),
+            (F.row_number().over(Window.partitionBy("path").orderBy("seg")) == 1).alias("is_first"),
         )
-        around = own.alias("a").join(own.select("path", F.col("open").alias("o_open"), F.col("close").alias("o_close"), F.col("class_name").alias("o_name")).alias("b"), "path", "left").filter("o_open IS NULL OR (o_open < pos AND pos < o_close) OR o_open = open")
-        around = around.groupBy("path", "open").agg(F.count_if(F.col("o_open") != F.col("open")).cast("int").alias("depth"), F.max(F.when(F.col("o_open") != F.col("open"), F.struct("o_open", "o_name"))).alias("o"))
-        kept = own.join(around, ["path", "open"]).filter("depth = curly").withColumn("outer", F.col("o.o_name")).join(self.packages, "path")
-        first = kept.groupBy("path").agg(F.min("pos").alias("first_pos"))
-        return written(kept.join(first, "path").withColumn("is_first", F.col("pos") == F.col("first_pos")).withColumn("annotations", F.transform("notes", lambda n: n["name"])).drop("o", "first_pos", "curly"))
+        return written(rows.join(self.packages, "path").withColumn("annotations", F.col("notes.name")))
 
     @staticmethod
     def _tokens() -> Column:
@@ -115,8 +96,8 @@ class Source:
     @cached_property
     def _top(self) -> DataFrame:
         """Texts of the segments outside of any brace."""
-        top = self.tokens.filter(F.col("enc").isNull() & F.col("t").rlike(r"^(?!;).")).groupBy("path", "seg")
-        return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), " ").alias("line"), F.min("line_no").alias("line_no"))
+        top = self.tokens.filter(F.col("enc").isNull() & ~F.col("in_head") & (F.col("t") != ";")).groupBy("path", "seg")
+        return top.agg(_joined().alias("line"), F.min("line_no").alias("line_no"))
 
     @cached_property
     def packages(self) -> DataFrame:
@@ -139,13 +120,10 @@ class Source:
 
     @cached_property
     def members(self) -> DataFrame:
-        """Segments right inside a type: (path, open, seg, class_name, type_kind, tokens, words, texts, end_t, end_pos, end_line)."""
-        types = self.types.select("path", F.col("open").alias("enc"), "class_name", "type_kind")
-        heads = self.types.select("path", "seg")
-        own = self.tokens.filter(~F.col("t").isin("{", "}", ";") | (F.col("round") > 0)).join(types, ["path", "enc"]).join(heads, ["path", "seg"], "left_anti")
-        rows = own.groupBy("path", F.col("enc").alias("open"), "seg", "class_name", "type_kind").agg(self._tokens().alias("tokens"))
-        rows = rows.withColumn("words", _words(F.col("tokens"))).withColumn("texts", _texts(F.col("words")))
-        return written(rows.join(segment_ends(self.tokens), ["path", "seg"], "left"))
+        """Segments right inside a type: (path, seg, type, open, tokens, words, texts, notes, end); type is its kind and name, open its brace."""
+        own = self.tokens.filter(F.col("enc.type").isNotNull() & ~F.col("in_head") & (~F.col("t").isin("{", "}", ";") | (F.col("round") > 0)))
+        rows = own.groupBy("path", "seg", F.col("enc.type").alias("type"), F.col("enc.pos").alias("open")).agg(self._tokens().alias("tokens"), F.first("end").alias("end"))
+        return written(rows.withColumn("flat", F.expr(FLAT)).withColumn("words", F.expr(WORDS)).withColumn("texts", F.expr("words.t")).withColumn("notes", F.expr(NOTES)).drop("flat"))
 
     @cached_property
     def methods(self) -> DataFrame:
@@ -155,60 +133,55 @@ class Source:
         start_line is the declaration's first word, first_line counts its annotations in. Without a body, as in
         interfaces, a method ends at its semicolon. Constructors are methods that return their class.
         """
-        texts, paren, equals = F.col("texts"), _first(F.col("texts"), "("), _first(F.col("texts"), "=")
-        rows = self.members.withColumns({"paren": paren, "equals": equals}).filter("paren > 1 AND (equals = 0 OR paren < equals) AND end_t <> '}'")
-        rows = rows.filter(F.element_at("words", F.col("paren") - 1)["kind"] == "word").withColumn("method_name", F.element_at(texts, F.col("paren") - 1))
-        before = F.slice(texts, 1, F.greatest(F.col("paren") - 2, F.lit(0)))
-        rows = rows.withColumn("modifiers", F.array_intersect(before, F.array(*map(F.lit, MODIFIERS)))).withColumn("rest", F.filter(before, lambda x: ~x.isin(MODIFIERS)))
-        levels = angles(F.col("rest"))
+        rows = self.members.selectExpr("*", "array_position(texts, '(') AS paren", "array_position(texts, '=') AS equals", "type.name AS class_name").filter("paren > 1 AND (equals = 0 OR paren < equals) AND end.t <> '}' AND get(words, int(paren) - 2).kind = 'word'")
+        rows = rows.selectExpr("*", "get(texts, int(paren) - 2) AS method_name", "slice(texts, 1, greatest(int(paren) - 2, 0)) AS before")
+        rows = rows.selectExpr("*", f"filter(before, x -> {IS_MODIFIER}) AS modifiers", f"filter(before, x -> NOT {IS_MODIFIER}) AS rest")
         # a method's own type parameters come first
-        close = F.array_position(F.transform("rest", lambda x, i: (x == ">") & (F.get(levels, i) == 0)), True).cast("int")
-        generic = F.element_at("rest", 1) == "<"
-        rows = rows.withColumn("own_at", F.when(F.size("rest") == 0, 0).when(generic, close).otherwise(0))
-        rows = rows.withColumn("type_parameters", F.when(F.col("own_at") > 2, plain(F.array_join(F.slice("rest", 2, F.col("own_at") - 2), " ")))).withColumn("returned", F.slice("rest", F.col("own_at") + 1, F.size("rest")))
-        rows = rows.withColumn("is_constructor", (F.size("returned") == 0) & (F.col("method_name") == F.col("class_name")))
-        typed = (F.size("returned") > 0) & (F.size(cut(F.col("returned"))) == 1) & (F.element_at("returned", -1) != ",") & ~F.get("returned", 0).isin([*NOT_TYPES, ",", "."])
+        close = f"array_position(transform(rest, (x, i) -> x = '>' AND get({angles('rest')}, i) = 0), true)"
+        rows = rows.selectExpr("*", f"CASE WHEN get(rest, 0) = '<' THEN int({close}) ELSE 0 END AS own_at").selectExpr("*", "slice(rest, own_at + 1, size(rest)) AS returned")
+        rows = rows.withColumn("type_parameters", F.when(F.col("own_at") > 2, plain(F.expr("array_join(slice(rest, 2, greatest(own_at - 2, 0)), ' ')")))).withColumn("is_constructor", (F.size("returned") == 0) & (F.col("method_name") == F.col("class_name")))
+        typed = F.expr(f"size(returned) > 0 AND get(returned, size(returned) - 1) <> ',' AND size({cut('returned')}) = 1") & ~F.get("returned", 0).isin([*NOT_TYPES, ",", "."])
         rows = rows.filter(F.col("is_constructor") | typed)
-        first, last = F.element_at("words", F.col("paren"))["pos"], F.element_at("words", F.col("paren") + 1)["pos"]
-        inner = F.filter("tokens", lambda x: (x["pos"] > first) & (x["pos"] < last) & (x["round"] == 1) & (x["kind"] != "note") & ~x["t"].isin("(", ")", "final"))
+        inner = "transform(filter(tokens, x -> x.pos > get(words, int(paren) - 1).pos AND x.pos < get(words, int(paren)).pos AND x.round = 1 AND x.kind <> 'note' AND x.t NOT IN ('(', ')', 'final')), x -> x.t)"
+        rows = rows.selectExpr("*", f"{inner} AS taken").selectExpr("*", f"{cut('taken')} AS each")
+        # a dimension may follow the name
         pattern = rf"^(.+?)((?: \.\.\.)?) ({WORD}(?: \. this)?)((?: \[ \])*)$"
         one = lambda p: F.struct(F.regexp_extract(p, pattern, 3).alias("name"), plain(F.concat(F.regexp_extract(p, pattern, 1), F.regexp_extract(p, pattern, 4))).alias("type"))
-        rows = rows.withColumn("names", F.filter(F.transform(cut(_texts(inner)), one), lambda p: (p["name"] != "") & (p["name"] != "this")))
-        rows = rows.join(brace_pairs(self.tokens).withColumnRenamed("open", "end_pos"), ["path", "end_pos"], "left").withColumn("has_body", F.col("end_t") == "{")
+        rows = rows.withColumn("names", F.filter(F.transform("each", one), lambda p: ~p["name"].isin("", "this")))
+        rows = rows.withColumn("has_body", F.col("end.t") == "{")
         return written(
             rows.select(
                 "path", "class_name", F.col("open").alias("type_open"), "method_name", F.when(F.col("is_constructor"), F.col("class_name")).otherwise(plain(F.array_join("returned", " "))).alias("return_type"),
-                F.array_join(_types_of(F.col("names")), ",").alias("parameters"), "names", "type_parameters", "modifiers", F.get("words", 0)["line_no"].alias("start_line"), F.get("tokens", 0)["line_no"].alias("first_line"),
-                F.when(F.col("has_body"), F.col("close_line")).otherwise(F.col("end_line")).alias("end_line"), F.transform(_noted(F.col("tokens")), lambda n: n["name"]).alias("annotations"), _noted(F.col("tokens")).alias("notes"),
-                F.array_contains("modifiers", "static").alias("is_static"), (F.array_contains("modifiers", "abstract") | ((F.col("type_kind") == "interface") & ~F.col("has_body"))).alias("is_abstract"), "is_constructor",
-                F.col("end_pos").alias("body_open"), F.when(F.col("has_body"), F.col("close")).otherwise(F.col("end_pos")).alias("body_close"),
+                F.array_join("names.type", ",").alias("parameters"), "names", "type_parameters", "modifiers", F.expr("get(words, 0).line_no").alias("start_line"), F.expr("get(tokens, 0).line_no").alias("first_line"),
+                F.when(F.col("has_body"), F.coalesce("end.close_line", F.lit(2**31 - 1))).otherwise(F.col("end.line_no")).alias("end_line"), F.col("notes.name").alias("annotations"), "notes",
+                F.array_contains("modifiers", "static").alias("is_static"), (F.array_contains("modifiers", "abstract") | ((F.col("type.kind") == "interface") & ~F.col("has_body"))).alias("is_abstract"), "is_constructor",
+                F.col("end.pos").alias("body_open"), F.when(F.col("has_body"), F.coalesce("end.close", F.lit(2**31 - 1))).otherwise(F.col("end.pos")).alias("body_close"),
             )
         )
 
     @cached_property
     def enum_constants(self) -> DataFrame:
         """(path, class_name, line_no, field_name): public static fields of type ENUM, up to the first semicolon of an enum."""
-        enums = self.types.filter("type_kind = 'enum'").select("path", F.col("open").alias("enc"), "class_name")
-        own = self.tokens.join(enums, ["path", "enc"]).filter("round = 0")
-        ended = own.filter("t = ';'").groupBy("path", "enc").agg(F.min("pos").alias("stop"))
-        named = own.filter((F.col("kind") == "word") & (F.col("prev").isin("{", ",", ")") | (F.col("prev_kind") == "note"))).join(ended, ["path", "enc"], "left").filter("stop IS NULL OR pos < stop")
+        own = self.tokens.filter("enc.type.kind = 'enum' AND round = 0 AND NOT in_head").withColumn("class_name", F.col("enc.type.name"))
+        before = Window.partitionBy("path", "enc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        own = own.withColumn("ended", F.coalesce(F.max(F.col("t") == ";").over(before), F.lit(False)))
+        named = own.filter(~F.col("ended") & (F.col("kind") == "word") & (F.col("prev").isin("{", ",", ")") | (F.col("prev_kind") == "note")))
         return named.select("path", "class_name", "line_no", F.col("t").alias("field_name"))
 
     @cached_property
     def fields(self) -> DataFrame:
         """(path, class_name, line_no, field_type, field_name, is_static, modifiers, annotations): the first name of each declaration."""
-        texts = F.col("texts")
-        levels = angles(texts)
-        stop = F.array_position(F.transform(texts, lambda x, i: (x == "=") | ((x == ",") & (F.get(levels, i) == 0))), True).cast("int")
-        head = F.filter(F.slice(texts, 1, F.when(stop > 0, stop - 1).otherwise(F.size(texts))), lambda x: ~x.isin(MODIFIERS))
-        rows = self.members.withColumn("paren", _first(texts, "(")).withColumn("equals", _first(texts, "=")).filter("(paren = 0 OR (equals > 0 AND equals < paren)) AND (end_t = ';' OR (end_t = '{' AND equals > 0))")
+        stop = f"array_position(transform(texts, (x, i) -> x = '=' OR (x = ',' AND get({angles('texts')}, i) = 0)), true)"
+        rows = self.members.selectExpr("*", "array_position(texts, '(') AS paren", "array_position(texts, '=') AS equals", "type.name AS class_name")
+        rows = rows.filter("(paren = 0 OR (equals > 0 AND equals < paren)) AND (end.t = ';' OR (end.t = '{' AND equals > 0))").selectExpr("*", f"int({stop}) AS stop")
+        rows = rows.selectExpr("*", f"filter(slice(texts, 1, CASE WHEN stop > 0 THEN stop - 1 ELSE size(texts) END), x -> NOT {IS_MODIFIER}) AS named")
         pattern = rf"^({WORD}.*?) ({WORD})((?: \[ \])*)$"
-        rows = rows.withColumn("head", F.array_join(head, " ")).filter(F.col("head").rlike(pattern) & ~F.get(head, 0).isin(NOT_TYPES))
+        rows = rows.withColumn("head", F.array_join("named", " ")).filter(F.col("head").rlike(pattern) & ~F.get("named", 0).isin(NOT_TYPES))
         part = lambda i: F.regexp_extract("head", pattern, i)
-        ended = self.tokens.filter("t = ';' AND round = 0").groupBy("path", F.col("enc").alias("open")).agg(F.min("seg").alias("constants_end"))
-        rows = rows.join(ended, ["path", "open"], "left").filter("type_kind <> 'enum' OR seg > constants_end")
+        ended = self.tokens.filter("enc.type.kind = 'enum' AND t = ';' AND round = 0").groupBy("path", F.col("enc.pos").alias("open")).agg(F.min("seg").alias("constants_end"))
+        rows = rows.join(ended, ["path", "open"], "left").filter("type.kind <> 'enum' OR seg > constants_end")
         rows = rows.select("path", "class_name", F.get("words", 0)["line_no"].alias("line_no"), plain(F.concat(part(1), part(3))).alias("field_type"), part(2).alias("field_name"), F.array_contains("texts", "static").alias("is_static"),
-                           F.array_intersect("texts", F.array(*map(F.lit, MODIFIERS))).alias("modifiers"), F.transform(_noted(F.col("tokens")), lambda n: n["name"]).alias("annotations"))
+                           F.expr(f"filter(texts, x -> {IS_MODIFIER})").alias("modifiers"), F.col("notes.name").alias("annotations"))
         return written(rows)
 
     def in_method(self, rows: DataFrame) -> DataFrame:
@@ -218,11 +191,11 @@ class Source:
 
     @cached_property
     def runs(self) -> DataFrame:
-        """Dotted names: (path, pos, names, text, line_no, next, next_pos, prev, prev_kind, paren), of the last word where both ends differ."""
+        """Dotted names: (path, pos, names, text, line_no, next, next_pos, prev, prev_kind), of the last word where both ends differ."""
         parts = self.tokens.filter("kind = 'word' OR t = '.'").groupBy("path", "run").agg(
-            F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("r"), F.max(F.struct("pos", "line_no", "next", "next_pos")).alias("last"), F.min(F.struct("pos", "prev", "prev_kind", "paren")).alias("first")
+            F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("r"), F.max(F.struct("pos", "line_no", "next", "next_pos")).alias("last"), F.min(F.struct("pos", "prev", "prev_kind")).alias("first")
         )
-        rows = parts.select("path", F.array_join(_texts(F.col("r")), "").alias("text"), F.filter(_texts(F.col("r")), lambda x: x != ".").alias("names"), "last.*", F.col("first.prev").alias("prev"), F.col("first.prev_kind").alias("prev_kind"))
+        rows = parts.select("path", F.array_join("r.t", "").alias("text"), F.expr("filter(r.t, x -> x <> '.')").alias("names"), "last.*", F.col("first.prev").alias("prev"), F.col("first.prev_kind").alias("prev_kind"))
         return written(self.in_method(rows.filter("next = '(' OR size(names) > 1 OR prev = 'new'")))
 
     @cached_property
@@ -238,16 +211,15 @@ class Source:
     def created(self) -> DataFrame:
         """(path, line_no, class_name) of each `new X`."""
         rows = self.tokens.filter("prev = 'new' AND kind = 'word'").select("path", "run", "line_no")
-        names = self.tokens.join(rows.select("path", "run"), ["path", "run"]).filter("kind = 'word'").groupBy("path", "run").agg(_texts(F.array_sort(F.collect_list(F.struct("pos", "t")))).alias("names"))
-        first = F.element_at(F.filter("names", lambda x: x.rlike("^[A-Z]")), 1)
+        names = self.tokens.join(rows.select("path", "run"), ["path", "run"]).filter("kind = 'word'").groupBy("path", "run").agg(F.expr("filter(transform(array_sort(collect_list(struct(pos, t))), x -> x.t), x -> x RLIKE '^[A-Z]')").alias("names"))
+        first = F.get("names", 0)
         return rows.join(names, ["path", "run"]).select("path", "line_no", first.alias("class_name")).filter("class_name IS NOT NULL")
 
     @cached_property
     def symbols(self) -> DataFrame:
         """(path, body_open, class_name, name, type, rank): parameters (1), locals (2) by method, fields (3) by class."""
         parameters = self.methods.select("path", "body_open", "class_name", F.explode("names").alias("p")).select("path", "body_open", "class_name", "p.name", "p.type", F.lit(1).alias("rank"))
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), " ")
-        lines = self.tokens.groupBy("path", "stmt").agg(F.min("pos").alias("pos"), text.alias("line")).filter(F.col("line").rlike(LOCAL))
+        lines = self.tokens.groupBy("path", "stmt").agg(F.min("pos").alias("pos"), _joined().alias("line")).filter(F.col("line").rlike(LOCAL))
         part = lambda i: F.regexp_extract("line", LOCAL, i)
         local = self.in_method(lines).filter(~F.substring_index(part(1), " ", 1).isin(NOT_TYPES)).select("path", "body_open", "class_name", part(2).alias("name"), plain(part(1)).alias("type"), F.lit(2).alias("rank"))
         none = F.lit(None).cast("int")
@@ -267,49 +239,71 @@ class Source:
         knows it: an IMPORT, a type of the FILE, a SIBLING in the package, the UNIQUE type of that name, one whose package
         is IMPORTED as a whole, a type NESTED in the one before the dot; null and UNKNOWN where several types have the name
         and none of the steps chooses; else EXTERNAL, as no source declares it."""
-        types = self.types.select("class_name", "package_name", F.coalesce("outer", F.lit("")).alias("outer"), "path")
-        asked = rows.select("path", F.col(name).alias("asked")).filter("asked IS NOT NULL").distinct().withColumn("simple", F.element_at(F.split("asked", r"\."), -1)).withColumn("before", F.try_element_at(F.split("asked", r"\."), F.lit(-2)))
-        asked = asked.join(self.packages, "path")
         full = F.concat_ws(".", "package_name", "class_name")
-        imported = self.imports.filter("NOT is_wildcard AND NOT is_static").select("path", F.substring_index("import_path", ".", -1).alias("simple"), "import_path").groupBy("path", "simple").agg(F.min("import_path").alias("import_path"))
-        in_file = types.groupBy("path", F.col("class_name").alias("simple")).agg(F.min(full).alias("in_file"))
-        sibling = types.filter("outer = ''").groupBy("package_name", F.col("class_name").alias("simple")).agg(F.min(full).alias("sibling"))
-        known = types.groupBy(F.col("class_name").alias("simple")).agg(F.count("*").alias("n_known"), F.min(full).alias("only"))
-        whole = self.imports.filter("is_wildcard AND NOT is_static").select("path", F.col("import_path").alias("package_name")).join(types.drop("path"), "package_name").groupBy("path", F.col("class_name").alias("simple")).agg(F.min(full).alias("whole"))
-        nested = types.filter("outer <> ''").groupBy(F.col("class_name").alias("simple"), F.col("outer").alias("before")).agg(F.min(full).alias("nested"))
-        found = (
-            asked.join(imported, ["path", "simple"], "left").join(in_file, ["path", "simple"], "left").join(sibling, ["package_name", "simple"], "left").join(known, "simple", "left")
-            .join(whole, ["path", "simple"], "left").join(nested, ["simple", "before"], "left")
-        )
-        direct = F.col("before").isNull()
-        steps = [("IMPORT", F.when(direct, F.col("import_path"))), ("NESTED", F.col("nested")), ("FILE", F.when(direct, F.col("in_file"))), ("SIBLING", F.when(direct, F.col("sibling"))),
-                 ("UNIQUE", F.when(F.col("n_known") == 1, F.col("only"))), ("IMPORTED", F.col("whole"))]
-        how = reduce(lambda c, s: c.when(s[1].isNotNull(), s[0]), steps[1:], F.when(steps[0][1].isNotNull(), steps[0][0])).when(F.col("n_known") > 1, "UNKNOWN").otherwise("EXTERNAL")
-        outside = F.when(F.col("n_known").isNull(), F.when(direct, F.concat_ws(".", "package_name", "asked")).otherwise(F.col("asked")))
-        answers = found.select("path", F.col("asked").alias(name), how.alias("named_how"), F.coalesce(*[s[1] for s in steps], outside).alias("full_name"))
-        return rows.join(answers, ["path", name], "left")
+        scope = lambda kind, of: F.concat(F.lit(f"{kind} "), of)
+        places = F.array(scope("file", F.col("path")), F.when(F.col("outer").isNull(), scope("package", F.col("package_name"))), scope("type", F.col("outer")), F.lit("any"))
+        declared = self.types.select(F.explode(F.array_compact(places)).alias("scope"), F.col("class_name").alias("simple"), full.alias("full_name"))
+        imports = self.imports.filter("NOT is_static")
+        imported = imports.filter("NOT is_wildcard").select(scope("import", F.col("path")).alias("scope"), F.substring_index("import_path", ".", -1).alias("simple"), F.col("import_path").alias("full_name"))
+        known = declared.union(imported).groupBy("scope", "simple").agg(F.min("full_name").alias("found"), F.count("*").alias("n"))
+        whole = imports.filter("is_wildcard").groupBy("path").agg(F.collect_set(scope("package", F.col("import_path"))).alias("whole"))
+        asked = rows.select("path", F.col(name).alias("asked")).filter("asked IS NOT NULL").distinct().join(self.packages, "path").join(whole, "path", "left")
+        asked = asked.withColumn("simple", F.substring_index("asked", ".", -1)).withColumn("before", F.try_element_at(F.split("asked", r"\."), F.lit(-2)))
+        one = lambda rank, how, of, when=True: F.when(F.lit(when), F.struct(F.lit(rank).alias("rank"), F.lit(how).alias("how"), of.alias("scope")))
+        direct = lambda c: F.when(F.col("before").isNull(), c)
+        steps = F.array(direct(one(1, "IMPORT", scope("import", F.col("path")))), F.when(F.col("before").isNotNull(), one(2, "NESTED", scope("type", F.col("before")))), direct(one(3, "FILE", scope("file", F.col("path")))),
+                        direct(one(4, "SIBLING", scope("package", F.col("package_name")))), one(5, "UNIQUE", F.lit("any")))
+        wild = F.transform(F.coalesce("whole", F.array().cast("array<string>")), lambda x: one(6, "IMPORTED", x))
+        tried = asked.select("path", "asked", "simple", F.explode(F.concat(F.array_compact(steps), wild)).alias("s")).select("path", "asked", "simple", "s.*")
+        hits = tried.join(known, ["scope", "simple"])
+        best = F.min(F.when((F.col("how") != "UNIQUE") | (F.col("n") == 1), F.struct("rank", "how", "found")))
+        hits = hits.groupBy("path", "asked").agg(best.alias("best"), F.max(F.when(F.col("scope") == "any", F.col("n"))).alias("n_known"))
+        answers = asked.join(hits, ["path", "asked"], "left")
+        outside = F.when(F.col("n_known").isNull(), F.when(F.col("before").isNull(), F.concat_ws(".", "package_name", "asked")).otherwise(F.col("asked")))
+        how = F.coalesce("best.how", F.when(F.col("n_known") > 1, F.lit("UNKNOWN")).otherwise(F.lit("EXTERNAL")))
+        return rows.join(answers.select("path", F.col("asked").alias(name), how.alias("named_how"), F.coalesce("best.found", outside).alias("full_name")), ["path", name], "left")
 
     @cached_property
-    def hierarchy(self) -> DataFrame:
-        """(full_name, ancestor, distance): each type's super classes by full name, itself at 0."""
-        own = self.types.select("path", F.concat_ws(".", "package_name", "class_name").alias("class_full"), simple(F.col("extends_class")).alias("parent")).filter("parent IS NOT NULL")
-        edges = self.named(own, "parent").filter("full_name IS NOT NULL").select(F.col("class_full").alias("src"), F.col("full_name").alias("dst")).distinct()
-        all_ = self.types.select(F.concat_ws(".", "package_name", "class_name").alias("full_name")).distinct()
-        return written(all_.select("full_name", F.col("full_name").alias("ancestor"), F.lit(0).alias("distance")).union(graph.closure(edges).toDF("full_name", "ancestor", "distance")))
+    def parents(self) -> DataFrame:
+        """(src, dst): types and their super classes by full name."""
+        own = self.types.select("path", F.concat_ws(".", "package_name", "class_name").alias("src"), simple(F.col("extends_class")).alias("parent")).filter("parent IS NOT NULL")
+        return self.named(own, "parent").filter("full_name IS NOT NULL").select("src", F.col("full_name").alias("dst")).distinct()
+
+    def found_above(self, calls: DataFrame) -> DataFrame:
+        """(path, at, body_open, declared_in, distance, parameters) of calls with full_name: the nearest class from full_name (at distance
+        0) upwards that declares a method of that name and number of parameters; of several there, the one whose parameter types
+        fit best. Calls on `super` begin one class higher. Each round takes what is left one class up."""
+        declared = self.methods.join(self.packages, "path").select(F.concat_ws(".", "package_name", "class_name").alias("full_name"), "method_name", F.size("names").alias("arity"), "parameters", F.col("names.type").alias("takes"), F.col("start_line").alias("at_line"))
+        key, out = ["path", "at", "body_open"], []
+        left = calls.select(*key, "full_name", "method_name", (F.coalesce("target", F.lit("")) == "super").alias("skip"), F.array("full_name").alias("seen"))
+        left = left.join(self.arguments, ["path", "at"], "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>"))).withColumn("arity", F.size("types"))
+        for distance in count():
+            fits = left.filter("NOT skip").join(declared, ["full_name", "method_name", "arity"]).withColumn("score", fit(F.col("types"), F.col("takes")))
+            best = first_per_key(fits, key, [F.desc("score"), F.asc("at_line"), F.asc("parameters")])
+            best = best.select(*key, F.col("full_name").alias("declared_in"), F.lit(distance).alias("distance"), "parameters")
+            tried = written(left.join(best, key, "left"))
+            out.append(tried.filter("declared_in IS NOT NULL").select(*best.columns))
+            left = tried.filter("declared_in IS NULL").drop("declared_in", "distance", "parameters")
+            if left.isEmpty():
+                return reduce(DataFrame.union, out)
+            # a cycle of classes ends where a call is back at a class
+            up = left.withColumnRenamed("full_name", "src").join(self.parents, "src").filter(~F.array_contains("seen", F.col("dst")))
+            left = written(up.select(*key, F.col("dst").alias("full_name"), "method_name", "types", "arity", F.lit(False).alias("skip"), F.array_append("seen", F.col("dst")).alias("seen")))
 
     @cached_property
     def argument_texts(self) -> DataFrame:
         """(path, at, arguments): of each parenthesis, the texts between its commas, tokens joined by spaces; inner parentheses
         show what is right inside them."""
         shown = F.when(F.col("t").startswith("'"), "''").when(F.col("kind") == "text", '""').otherwise(F.col("t"))
-        direct = self.tokens.filter(F.col("paren").isNotNull() & ~F.col("t").isin("(", ")") & (F.col("curly") == F.col("paren_curly"))).select("path", F.col("paren").alias("at"), "pos", shown.alias("t"))
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), " ")
+        direct = self.tokens.filter(F.col("paren").isNotNull() & ~F.col("t").isin("(", ")") & (F.col("curly") == F.col("paren.curly"))).select("path", F.col("paren.pos").alias("at"), "pos", shown.alias("t"))
+        joined = _joined()
         inner = direct.groupBy("path", "at").agg(joined.alias("text"))
-        last = self.tokens.filter("t = '('").join(self.tokens.select("path", F.col("next_pos").alias("pos"), F.col("paren").alias("around"), F.col("t").alias("before")), ["path", "pos"]).filter("around IS NOT NULL AND before <> ')'")
-        opened = last.select("path", "around", "pos").join(inner.withColumnRenamed("at", "pos"), ["path", "pos"], "left").select("path", F.col("around").alias("at"), "pos", F.concat(F.lit("("), F.coalesce("text", F.lit("")), F.lit(")")).alias("t"))
+        # a parenthesis stands in the one around the token before it
+        opened = self.tokens.filter("next = '(' AND t <> ')' AND paren IS NOT NULL").select("path", F.col("paren.pos").alias("around"), F.col("next_pos").alias("pos"))
+        opened = opened.join(inner.withColumnRenamed("at", "pos"), ["path", "pos"], "left").select("path", F.col("around").alias("at"), "pos", F.concat(F.lit("("), F.coalesce("text", F.lit("")), F.lit(")")).alias("t"))
         texts = direct.union(opened).groupBy("path", "at").agg(joined.alias("text"))
         safe = F.replace(F.col("text"), F.lit("->"), F.lit("::"))  # an arrow is no end of type arguments
-        return texts.select("path", "at", F.transform(F.split(safe, r",(?![^<(]*>)(?![^()]*\))"), lambda x: F.trim(x)).alias("arguments"))
+        return texts.select("path", "at", F.split(safe, r" ?,(?![^<(]*>)(?![^()]*\)) ?").alias("arguments"))
 
     @cached_property
     def arguments(self) -> DataFrame:
@@ -322,34 +316,39 @@ class Source:
             F.when(a.isin("true", "false"), "Boolean").when(a.rlike(r"^\d+$"), "Int").when(a.rlike(r"::|\?"), "unknown").when(a.rlike(cast), F.regexp_extract(a, cast, 1)).when(a.rlike(made), F.regexp_extract(a, made, 1))
             .when(a == '""', "String").when(a == "''", "char").when(a.rlike(r"[-+*/%<>=&|]"), "String").otherwise(F.coalesce(simple(F.col("type")), F.lit("unknown")))
         )
-        types = F.transform(F.array_sort(F.collect_list(F.struct("place", kind.alias("t")))), lambda x: x["t"])
-        return known.groupBy("path", "at").agg(types.alias("types"))
+        return known.withColumn("kind", kind).groupBy("path", "at").agg(F.expr("transform(array_sort(collect_list(struct(place, kind))), x -> x.kind)").alias("types"))
 
     @cached_property
     def resolved_calls(self) -> DataFrame:
-        """calls with callee_class, how, declared_in, parameters (of the method chosen) and distance.
+        """calls with callee_class, how, parameters (of the method chosen, for calls within the class) and distance.
 
         The target's type is that of a PARAMETER, LOCAL or FIELD, or of a class by name (see `named`). Calls without a
         target, on `this` and on `super` go to the nearest super class that declares a method of that name and number of
         parameters, OWN at distance 0, else INHERITED; of several there, the one whose parameter types fit best. Where none
         does, the callee is unknown.
         """
-        rows = self.typed(self.calls, "target").join(self.arguments, ["path", "at"], "left").join(self.packages, "path")
-        rows = rows.withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
+        self._together("types", "members", "packages")
+        self._together("methods", "fields")
+        self._together("runs", "symbols")
+        rows = self.typed(self.calls, "target").join(self.packages, "path")
         own = F.col("target").isNull() | F.col("target").isin("this", "super")
-        rows = rows.withColumn("own", own).withColumn("asked", F.when(own, F.lit(None).cast("string")).otherwise(simple(F.coalesce("type", "target"))))
-        rows = self.named(rows, "asked").withColumn("start", F.when(F.col("own"), F.concat_ws(".", "package_name", "class_name")).otherwise(F.col("full_name")))
-        declared = self.methods.join(self.packages, "path").select(F.concat_ws(".", "package_name", "class_name").alias("ancestor"), "method_name", F.size("names").alias("arity"), "parameters", _types_of(F.col("names")).alias("takes"), F.col("start_line").alias("at_line"))
-        above = rows.select("path", "at", "body_open", F.col("start").alias("full_name"), "method_name", "types", "target").join(self.hierarchy, "full_name").filter("distance > 0 OR target IS NULL OR target <> 'super'").withColumn("arity", F.size("types"))
-        fits = above.join(declared, ["ancestor", "method_name", "arity"]).withColumn("score", fit(F.col("types"), F.col("takes")))
-        best = first_per_key(fits, ["path", "at", "body_open"], [F.asc("distance"), F.desc("score"), F.asc("at_line"), F.asc("parameters"), F.asc("ancestor")]).select("path", "at", "body_open", "ancestor", "distance", "parameters")
-        rows = rows.join(best, ["path", "at", "body_open"], "left")
+        rows = rows.withColumn("own", own).withColumn("asked", F.when(~own, simple(F.coalesce("type", "target"))))
+        rows = self.named(rows, "asked").withColumn("full_name", F.when(F.col("own"), F.concat_ws(".", "package_name", "class_name")).otherwise(F.col("full_name"))).drop("type", "package_name")
+        rows = written(rows)
+        rows = rows.join(self.found_above(rows.filter("own")), ["path", "at", "body_open"], "left")
         how = (
             F.when(F.col("rank") == 1, "PARAMETER").when(F.col("rank") == 2, "LOCAL").when(F.col("rank") == 3, "FIELD").when(F.col("own") & (F.col("distance") == 0), "OWN").when(F.col("own") & (F.col("distance") > 0), "INHERITED")
             .when(F.col("own"), "UNKNOWN").otherwise(F.col("named_how"))
         )
-        callee = F.when(F.col("own"), F.col("ancestor")).otherwise(F.col("full_name"))
-        return written(rows.select("path", "class_name", "caller", "body_open", "pos", "line_no", "target", "method_name", how.alias("how"), callee.alias("callee_class"), F.col("ancestor").alias("declared_in"), "parameters", "distance", "types"))
+        callee = F.when(F.col("own"), F.col("declared_in")).otherwise(F.col("full_name"))
+        return rows.select("path", "class_name", "caller", "body_open", "at", "pos", "line_no", "target", "method_name", how.alias("how"), callee.alias("callee_class"), "parameters", "distance", "full_name")
+
+    @property
+    def declarations(self) -> DataFrame:
+        """resolved_calls with declared_in, the class at or above the callee's that declares the method, its distance and the
+        parameters of the overload that fits best, also for calls on other classes; null where no source declares it."""
+        calls = self.resolved_calls.drop("parameters", "distance")
+        return calls.join(self.found_above(calls.filter("full_name IS NOT NULL")), ["path", "at", "body_open"], "left")
 
     @property
     def invocations(self) -> DataFrame:
@@ -362,7 +361,7 @@ class Source:
         before returns, null where that method is not known. Position 0 is the first call of the chain."""
         later = self.runs.filter((F.col("next") == "(") & F.col("text").startswith(".") & (F.col("prev") == ")") & (F.size("names") == 1))
         # the closing parenthesis before the dot knows where it was opened
-        closed = self.tokens.filter("t = ')'").select("path", F.col("paren").alias("at"), F.col("next_pos").alias("dot"))
+        closed = self.tokens.filter("t = ')'").select("path", F.col("paren.pos").alias("at"), F.col("next_pos").alias("dot"))
         dots = self.tokens.filter("t = '.'").select("path", F.col("pos").alias("dot"), F.col("next_pos").alias("pos"))
         links = written(later.join(dots, ["path", "pos"]).join(closed, ["path", "dot"]).select("path", "at", F.col("next_pos").alias("then"), F.element_at("names", 1).alias("next_name"), F.col("line_no").alias("next_line")).distinct())
         sites = self.typed(self.calls.join(links.select("path", "at").distinct(), ["path", "at"], "left_semi"), "target")

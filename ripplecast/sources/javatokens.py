@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Words of the language.
+TYPE_KINDS = ["class", "interface", "enum", "record", "@interface"]
 WORD = r"[\p{L}_$][\p{L}\p{N}_$]*"
 LEXEME = "|".join(
     [
@@ -22,16 +24,22 @@ LEXEME = "|".join(
 
 
 def lexed(files: DataFrame) -> DataFrame:
-    """(path, pos, line_no, t, kind, curly, round, prev, prev_kind, next, next_pos, seg, stmt, run, enc, paren, paren_curly) of (path, text).
+    """(path, pos, line_no, t, kind, curly, round, prev, prev_kind, next, next_pos, seg, stmt, run, end, in_head, enc, paren) of (path, text).
 
     kind is word, note (an annotation's name), number, text or mark. curly and round count the open
-    brackets before a token; a closing bracket has the level of its opening one. enc and paren are the
-    places of the innermost brace and parenthesis, for brackets their own opening.
+    brackets before a token; a closing bracket has the level of its opening one. end is the segment's
+    last token (t, pos, line_no) with the place and line of its closing brace; in_head tells the segments
+    that declare a type. enc is the innermost brace (pos, type: kind and name of the type that it opens),
+    paren the innermost parenthesis (pos, curly); for brackets both are their own opening. Types in the
+    code of methods open none.
+
+    A file's text goes to one task before it is cut, and all windows are within files.
     """
     w = Window.partitionBy("path").orderBy("pos")
     t, before = F.col("t"), w.rowsBetween(Window.unboundedPreceding, -1)
     total = lambda c: F.coalesce(F.sum(c.cast("int")).over(before), F.lit(0)).cast("int")
-    rows = files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(LEXEME), F.lit(0))).alias("pos", "t"))
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = files.repartition(tasks, "path").select("path", F.posexplode(F.regexp_extract_all("text", F.lit(LEXEME), F.lit(0))).alias("pos", "t"))
     breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
     rows = rows.withColumn("line_no", total(breaks) + 1).filter(~(t.startswith("//") | t.startswith("/*") | (t == "\n")))
     kind = (
@@ -43,44 +51,38 @@ def lexed(files: DataFrame) -> DataFrame:
     ends = t.isin(";", "{", "}")
     splits = ends | ((t == "(") & F.col("prev").isin("for", "try")) | (t == "->")
     dotted = ((F.col("kind") == "word") & (F.col("prev") == ".")) | ((t == ".") & (F.col("prev_kind") == "word"))
-    rows = rows.withColumns({"seg": total(ends & (F.col("round") == 0)), "stmt": total(splits), "run": F.sum(F.when(F.coalesce(dotted, F.lit(False)), 0).otherwise(1)).over(w)})
-
-    def innermost(opening: str, closing: str, depth: str, value: str) -> Column:
-        inside = F.col(depth) + t.isin(opening, closing).cast("int")
-        last = F.last(F.when(t == opening, F.col(value)), True).over(Window.partitionBy("path", inside).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-        return F.when(inside > 0, last)
-
-    return rows.withColumns({"enc": innermost("{", "}", "curly", "pos"), "paren": innermost("(", ")", "round", "pos"), "paren_curly": innermost("(", ")", "round", "curly")})
-
-
-def segment_ends(tokens: DataFrame) -> DataFrame:
-    """(path, seg, end_t, end_pos, end_line): what ends each segment."""
-    return tokens.filter(F.col("t").isin(";", "{", "}") & (F.col("round") == 0)).select("path", "seg", F.col("t").alias("end_t"), F.col("pos").alias("end_pos"), F.col("line_no").alias("end_line"))
-
-
-def brace_pairs(tokens: DataFrame) -> DataFrame:
-    """(path, open, close, close_line): on one level, opening and closing braces take turns."""
-    w = Window.partitionBy("path", "curly").orderBy("pos")
-    rows = tokens.filter(F.col("t").isin("{", "}")).select("path", "t", F.col("pos").alias("open"), F.lead("pos").over(w).alias("close"), F.lead("line_no").over(w).alias("close_line"))
-    return rows.filter("t = '{'").drop("t")
-
-
-def angles(texts: Column) -> Column:
-    """For each of an array of tokens, the open angle brackets before it; a closing one has the level of its opening one."""
-    none = F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("levels"))
-
-    def step(acc: Column, x: Column) -> Column:
-        closing = (x == ">").cast("int")
-        return F.struct((acc["d"] + (x == "<").cast("int") - closing).alias("d"), F.array_append(acc["levels"], acc["d"] - closing).alias("levels"))
-
-    return F.aggregate(texts, none, step, lambda acc: acc["levels"])
-
-
-def cut(texts: Column) -> Column:
-    """Texts of the parts of an array of tokens between its commas outside of angle brackets, tokens joined by spaces."""
-    levels = angles(texts)
-    marked = F.transform(texts, lambda x, i: F.when((x == ",") & (F.get(levels, i) == 0), F.lit("\u0001")).otherwise(x))
-    return F.filter(F.transform(F.split(F.array_join(marked, " "), "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
+    brace = Window.partitionBy("path", "curly", t.isin("{", "}")).orderBy("pos")
+    rows = rows.withColumns({"seg": total(ends & (F.col("round") == 0)), "stmt": total(splits), "run": F.sum(F.when(F.coalesce(dotted, F.lit(False)), 0).otherwise(1)).over(w), "close": F.lead("pos").over(brace), "close_line": F.lead("line_no").over(brace)})
+    head = t.isin(TYPE_KINDS) & (F.col("round") == 0) & (F.coalesce("prev", F.lit("")) != ".") & F.col("next").rlike(f"^{WORD}$")
+    segment = Window.partitionBy("path", "seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.last(F.when(ends & (F.col("round") == 0), F.struct("t", "pos", "line_no", F.when(t == "{", F.col("close")).alias("close"), F.when(t == "{", F.col("close_line")).alias("close_line")))).over(segment)
+    rows = rows.withColumns({"end": last, "head": F.first(F.when(head, F.struct("t", F.col("next").alias("name"))), True).over(segment)}).drop("close", "close_line")
+    # types right inside of types only: as many of them are open as there are braces
+    opens = (t == "{") & (F.col("round") == 0) & F.col("head").isNotNull()
+    around = F.col("curly") + ends.cast("int") * (t != ";").cast("int")
+    rows = rows.withColumn("opens", opens)
+    closes = F.lag("opens").over(Window.partitionBy("path", "curly", t.isin("{", "}")).orderBy("pos"))
+    rows = rows.withColumn("types", total(opens) - total((t == "}") & F.coalesce(closes, F.lit(False))))
+    proper = opens & (F.col("types") == F.col("curly"))
+    opening = F.struct("pos", F.when(proper, F.struct(F.col("head.t").alias("kind"), F.col("head.name").alias("name"))).alias("type"))
+    enc = F.last(F.when(t == "{", opening), True).over(Window.partitionBy("path", around).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.col("round") + t.isin("(", ")").cast("int")
+    paren = F.last(F.when(t == "(", F.struct("pos", "curly")), True).over(Window.partitionBy("path", inside).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"enc": F.when(around > 0, enc), "paren": F.when(inside > 0, paren), "in_head": F.col("head").isNotNull() & (F.col("end.t") == "{")})
+    return rows.drop("types", "opens")
+
+
+def angles(texts: str) -> str:
+    """SQL: for each of an array of tokens, the open angle brackets before it; a closing one has the level of its opening one."""
+    closing = "CAST(x = '>' AS INT)"
+    step = f"struct(a.d + CAST(x = '<' AS INT) - {closing} AS d, array_append(a.levels, a.d - {closing}) AS levels)"
+    return f"aggregate({texts}, struct(0 AS d, CAST(array() AS array<int>) AS levels), (a, x) -> {step}, a -> a.levels)"
+
+
+def cut(texts: str) -> str:
+    """SQL: the parts of an array of tokens between its commas outside of angle brackets, tokens joined by spaces."""
+    marked = f"transform({texts}, (x, i) -> CASE WHEN x = ',' AND get({angles(texts)}, i) = 0 THEN '\\u0001' ELSE x END)"
+    return f"filter(transform(split(array_join({marked}, ' '), '\\u0001'), x -> trim(x)), x -> x <> '')"
 
 
 def plain(text: Column) -> Column:
