@@ -98,6 +98,12 @@ SELECT CAST(p_partkey AS BIGINT) AS field_id, CAST(p_partkey % (SELECT count(*)
 FROM {part} LEFT JOIN {class_f} c ON c.class_id = p_partkey % 97
 """
 
+# which methods use which fields: by name, or by an accessor's name where via_accessor
+FACTS["field_use_f"] = """
+SELECT DISTINCT CAST(l_partkey AS BIGINT) AS method_id, CAST((l_partkey * 13 + (l_suppkey % 3) * 7 + 5) % (SELECT count(*) FROM {part}) AS BIGINT) AS field_id, l_suppkey % 2 = 0 AS via_accessor
+FROM {lineitem}
+"""
+
 FACTS["cache_f"] = """
 SELECT conv_id * 1000 + turn AS id, CASE turn % 2 WHEN 0 THEN 'single' ELSE 'chain' END AS analysis_type, role AS direction, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE 'v' || CAST(conv_id % 2 AS STRING) END AS baseline,
   CASE WHEN conv_id % 5 = 0 THEN '' ELSE 'v9' END AS version, 'C' || CAST(conv_id % 4 AS STRING) AS class_name, 'm' || CAST(turn % 3 AS STRING) AS method_name, CASE conv_id % 2 WHEN 0 THEN 'ADDED' ELSE 'MODIFIED' END AS change_type,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..facts import Facts
-from ..operators import entries, graph, lookup
+from ..operators import entries, graph, impact, lookup
 from ..operators.hierarchy import implementing_methods
 from ..operators.ranks import id_block, ranked
 from ..registry import query
@@ -195,6 +195,43 @@ def p07(f: Facts) -> DataFrame:
     return reduce(DataFrame.union, map(as_long, parts)).distinct()
 
 
+STEPS = """up AS (SELECT class_id, extends_id AS above FROM {class_f} WHERE extends_id IS NOT NULL UNION SELECT class_id, implements_id FROM {class_f} WHERE implements_id IS NOT NULL),
+  tops AS (SELECT class_id, above FROM up UNION SELECT t.class_id, u.above FROM tops t JOIN up u ON u.class_id = t.above),
+  over AS (SELECT DISTINCT m.method_id, a.method_id AS above_id FROM {method_f} m JOIN tops t ON t.class_id = m.class_id JOIN {method_f} a ON a.class_id = t.above AND a.method_name = m.method_name AND a.parameters = m.parameters WHERE m.annotation = 'Override'),
+  steps AS (SELECT 'statement' AS src_kind, stmt_id AS src, 'method' AS dst_kind, linked_method_id AS dst FROM {stmt_f} WHERE linked_method_id IS NOT NULL
+    UNION SELECT 'class', CAST(m.class_id AS BIGINT), 'method', e.caller_id FROM {method_f} m JOIN {edge_f} e ON e.callee_id = m.method_id
+    UNION SELECT 'class', CAST(k.class_id AS BIGINT), 'field', x.field_id FROM {class_f} k JOIN {field_f} x ON x.field_type = k.class_name
+    UNION SELECT 'field', x.field_id, 'method', u.method_id FROM {field_f} x JOIN {class_f} k ON k.class_id = x.class_id JOIN {field_use_f} u ON u.field_id = x.field_id WHERE NOT u.via_accessor OR contains(k.annotations, '"Data"')
+    UNION SELECT 'method', callee_id, 'method', caller_id FROM {edge_f}
+    UNION SELECT 'method', o.method_id, 'method', e.caller_id FROM over o JOIN {edge_f} e ON e.callee_id = o.above_id)"""
+CHANGED = """SELECT 'statement' AS kind, stmt_id AS id FROM {stmt_f} WHERE sql_type = 'DELETE' UNION ALL SELECT 'field', field_id FROM {field_f} WHERE field_type = 'String'
+  UNION ALL SELECT 'class', CAST(class_id AS BIGINT) FROM {class_f} WHERE change_type = 'DELETED' UNION ALL SELECT 'method', method_id FROM {method_f} WHERE change_type = 'ADDED'"""
+
+
+def impact_steps(f: Facts) -> DataFrame:
+    return impact.relations(f.method_f, f.class_f, f.field_f, f.stmt_f, f.edge_f, f.field_use_f)
+
+
+def changed_objects(f: Facts) -> DataFrame:
+    """Deleting statements, fields of an unknown type, deleted classes and added methods."""
+    parts = [("statement", f.stmt_f.filter("sql_type = 'DELETE'"), "stmt_id"), ("field", f.field_f.filter("field_type = 'String'"), "field_id"), ("class", f.class_f.filter("change_type = 'DELETED'"), "class_id"), ("method", f.method_f.filter("change_type = 'ADDED'"), "method_id")]
+    return reduce(DataFrame.union, [rows.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id")) for kind, rows, key in parts])
+
+
+@query("G08_typed_fixpoint", f"""WITH RECURSIVE {STEPS}, met AS (SELECT kind, id, 0 AS round FROM ({CHANGED}) c UNION SELECT s.dst_kind, s.dst, m.round + 1 FROM met m JOIN steps s ON s.src_kind = m.kind AND s.src = m.id WHERE m.round < 24)
+  SELECT kind, id, min(round) AS round FROM met GROUP BY kind, id""")
+def g08_typed(f: Facts) -> DataFrame:
+    """What changed statements, fields, classes and methods reach, each with the round in which it was first met."""
+    return impact.reached(changed_objects(f), impact_steps(f))
+
+
+@query("P07_typed_impact", f"WITH RECURSIVE {STEPS} SELECT c.kind, c.id, s.dst_kind AS impacted_kind, s.dst AS impacted FROM ({CHANGED}) c JOIN steps s ON s.src_kind = c.kind AND s.src = c.id")
+def p07_typed(f: Facts) -> DataFrame:
+    """One step of impact of each changed object: fields by their uses, overriding methods also through all types above."""
+    c = changed_objects(f)
+    return c.join(impact_steps(f), (F.col("kind") == F.col("src_kind")) & (F.col("id") == F.col("src"))).select("kind", "id", F.col("dst_kind").alias("impacted_kind"), F.col("dst").alias("impacted"))
+
+
 LEVELS = """WITH RECURSIVE e AS (SELECT extends_id AS src, class_id AS dst FROM {class_f} WHERE extends_id IS NOT NULL UNION SELECT implements_id, class_id FROM {class_f} WHERE implements_id IS NOT NULL),
   l AS (SELECT src AS node, 0 AS level FROM e UNION SELECT e.dst, l.level + 1 FROM l JOIN e ON e.src = l.node) """
 
