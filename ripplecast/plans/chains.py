@@ -39,6 +39,11 @@ def down(f: Facts) -> DataFrame:
     return graph.chains(roots(f), forward(f), DEPTH)
 
 
+def nodes_above(f: Facts, depth: int = DEPTH) -> DataFrame:
+    """(root_id, node_id, depth): the distinct nodes of each root's reverse chains."""
+    return graph.nearest(roots(f), reverse(f), depth)
+
+
 def chain_sql(src: str, dst: str, name: str) -> str:
     return f"""WITH RECURSIVE {name} AS (
   SELECT method_id AS root_id, 0 AS depth, method_id AS node_id, CAST(NULL AS BIGINT) AS parent_id, CAST(NULL AS INT) AS line, CAST(method_id AS STRING) AS path, [method_id] AS seen, false AS is_cyclic FROM {{method_f}} WHERE change_type <> 'UNCHANGED'
@@ -264,6 +269,10 @@ ENTRY = """SELECT m.method_id, CASE WHEN annotation IN ('GetMapping', 'PostMappi
     WHEN annotation IN ('KafkaListener', 'RabbitListener') THEN 'MESSAGE_CONSUMER' WHEN lower(class_name) LIKE '%controller' THEN 'CONTROLLER_BY_CONVENTION' END AS entry_type FROM {method_f} m JOIN {class_f} c ON m.class_id = c.class_id"""
 
 
+def entry_types(f: Facts) -> DataFrame:
+    return entries.entry_methods(f.method_f, f.class_f).select(F.col("method_id").alias("node_id"), "entry_type").filter("entry_type IS NOT NULL")
+
+
 def entry_nodes(f: Facts) -> DataFrame:
     entry = entries.entry_methods(f.method_f, f.class_f).select(F.col("method_id").alias("node_id"), "entry_type")
     return up(f).join(entry, "node_id")
@@ -272,7 +281,32 @@ def entry_nodes(f: Facts) -> DataFrame:
 @query("G11_entry_points", UP + f"SELECT DISTINCT root_id, node_id, entry_type FROM up JOIN ({ENTRY}) e ON e.method_id = node_id WHERE entry_type IS NOT NULL")
 @query("J20_chains_by_entry", UP + f"SELECT DISTINCT root_id, node_id, entry_type FROM up JOIN ({ENTRY}) e ON e.method_id = node_id WHERE entry_type IS NOT NULL")
 def g11(f: Facts) -> DataFrame:
-    return entry_nodes(f).select("root_id", "node_id", "entry_type").distinct()
+    return nodes_above(f).join(entry_types(f), "node_id").select("root_id", "node_id", "entry_type")
+
+
+# a node met within a depth is met by a walk of that length
+NEAR = """WITH RECURSIVE walk AS (SELECT method_id AS root_id, method_id AS node_id, 0 AS depth FROM {method_f} WHERE change_type <> 'UNCHANGED' UNION SELECT w.root_id, e.caller_id, w.depth + 1 FROM walk w JOIN {edge_f} e ON e.callee_id = w.node_id WHERE w.depth < 10),
+  near AS (SELECT root_id, node_id, min(depth) AS depth FROM walk GROUP BY root_id, node_id) """
+
+
+@query("G14_chain_methods_deep", NEAR + "SELECT root_id, node_id, depth FROM near")
+def g14_deep(f: Facts) -> DataFrame:
+    """The distinct methods of the chains of all changed methods, ten deep."""
+    return nodes_above(f, 10)
+
+
+@query("G16_batch_nodes", NEAR + "SELECT c.class_name, m.method_name, min(depth) AS depth, count(DISTINCT root_id) AS chains, min(method_id) AS method_id FROM near JOIN {method_f} m ON m.method_id = node_id JOIN {class_f} c ON c.class_id = m.class_id GROUP BY c.class_name, m.method_name")
+def g16_batch(f: Facts) -> DataFrame:
+    """The methods of all chains by class and name, each once for a batch analysis, with the number of chains that need it."""
+    names = f.method_f.join(f.class_f.select("class_id", "class_name"), "class_id").select(F.col("method_id").alias("node_id"), "class_name", "method_name")
+    return nodes_above(f, 10).join(names, "node_id").groupBy("class_name", "method_name").agg(F.min("depth").alias("depth"), F.count_distinct("root_id").alias("chains"), F.min("node_id").alias("method_id"))
+
+
+@query("J20_chains_of_entries", NEAR + f"SELECT node_id AS entry_id, entry_type, count(*) AS chains, min(depth) AS depth, arg_min(root_id, CAST(depth AS BIGINT) * 1000000000 + root_id) AS nearest_root FROM near JOIN ({ENTRY}) e ON e.method_id = node_id WHERE entry_type IS NOT NULL GROUP BY node_id, entry_type")
+def j20_entries(f: Facts) -> DataFrame:
+    """Each entry point with the chains that contain it: how many, and the nearest changed method."""
+    rows = nodes_above(f, 10).join(entry_types(f), "node_id")
+    return rows.groupBy(F.col("node_id").alias("entry_id"), "entry_type").agg(F.count("*").alias("chains"), F.min("depth").alias("depth"), F.min_by("root_id", F.struct("depth", "root_id")).alias("nearest_root"))
 
 
 UP_DOC = f"""SELECT root_id, count(*) AS nodes, count(DISTINCT CASE WHEN entry_type IS NOT NULL THEN node_id END) AS entry_points, max(depth) AS depth, count(*) FILTER (is_cyclic) AS cycles,
@@ -326,7 +360,7 @@ def g13(f: Facts) -> DataFrame:
 @query("G14_chain_methods", UP + "SELECT root_id, node_id, min(depth) AS depth FROM up GROUP BY root_id, node_id")
 @query("G16_tree_nodes", UP + "SELECT root_id, node_id, min(depth) AS depth FROM up GROUP BY root_id, node_id")
 def g14(f: Facts) -> DataFrame:
-    return up(f).groupBy("root_id", "node_id").agg(F.min("depth").alias("depth"))
+    return nodes_above(f)
 
 
 @query("V16_chain_methods", UP + f"""SELECT d.root_id, d.node_id, d.depth, e.entry_type IS NOT NULL AS is_end, l.task_id AS latest_task, (row_number() OVER (PARTITION BY d.root_id ORDER BY d.depth, d.node_id) - 1) // 20 AS page
@@ -338,7 +372,7 @@ def v16(f: Facts) -> DataFrame:
 
     entry = entries.entry_methods(f.method_f, f.class_f).select(F.col("method_id").alias("node_id"), F.lit(True).alias("is_end"))
     latest = f.llm_f.groupBy("method_name").agg(F.max_by("task_id", F.struct("created_at", "task_id")).alias("latest_task"))
-    rows = up(f).groupBy("root_id", "node_id").agg(F.min("depth").alias("depth")).withColumn("method_name", F.concat(F.lit("m"), (F.col("node_id") % 7).cast("string")))
+    rows = nodes_above(f).withColumn("method_name", F.concat(F.lit("m"), (F.col("node_id") % 7).cast("string")))
     rows = rows.join(entry, "node_id", "left").join(latest, "method_name", "left")
     place = F.row_number().over(Window.partitionBy("root_id").orderBy("depth", "node_id"))
     return rows.select("root_id", "node_id", "depth", F.coalesce("is_end", F.lit(False)).alias("is_end"), "latest_task", F.floor((place - 1) / 20).alias("page"))
@@ -407,7 +441,7 @@ def a11(f: Facts) -> DataFrame:
 
 @query("A19_entries_by_type", UP + f"SELECT entry_type, count(DISTINCT node_id) AS n FROM up JOIN ({ENTRY}) e ON e.method_id = node_id WHERE entry_type IS NOT NULL GROUP BY entry_type")
 def a19(f: Facts) -> DataFrame:
-    return entry_nodes(f).groupBy("entry_type").agg(F.count_distinct("node_id").alias("n"))
+    return nodes_above(f).join(entry_types(f), "node_id").groupBy("entry_type").agg(F.count_distinct("node_id").alias("n"))
 
 
 @query("P10_namespace_statements", "SELECT class_id, method_id, min(stmt_id) AS first_id, count(*) AS n FROM {stmt_f} GROUP BY class_id, method_id")
