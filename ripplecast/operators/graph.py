@@ -45,17 +45,15 @@ def nearest(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(root_id, node_id, depth): the nodes that chains from each root hold, with their least depth, by breadth-first search.
 
     A node that a walk of some length reaches is also reached by a path that holds no node twice and is no longer, so the
-    paths need not be kept: a round has a row for each root and node at most, however many ways there are.
+    paths need not be kept: a round has a row for each root and node at most, however many ways there are. edges are
+    read once a round.
     """
     kind = edges.schema["dst"].dataType
-    steps = written(edges.select("src", "dst").distinct())
-    found = fresh = written(roots.select("root_id", F.col("root_id").cast(kind).alias("node_id"), F.lit(0).alias("depth")).distinct())
+    found = fresh = roots.select("root_id", F.col("root_id").cast(kind).alias("node_id"), F.lit(0).alias("depth")).distinct()
     for depth in range(1, max_depth + 1):
-        met = fresh.select("root_id", F.col("node_id").alias("src")).join(steps, "src").select("root_id", F.col("dst").alias("node_id")).distinct()
+        met = fresh.select("root_id", F.col("node_id").alias("src")).join(edges, "src").select("root_id", F.col("dst").alias("node_id")).distinct()
         fresh = written(met.join(found, ["root_id", "node_id"], "left_anti").withColumn("depth", F.lit(depth)))
         found = found.union(fresh)
-        if fresh.isEmpty():
-            break
     return found
 
 

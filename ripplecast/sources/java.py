@@ -330,18 +330,23 @@ class Source:
         self._together("types", "members", "packages")
         self._together("methods", "fields")
         self._together("runs", "symbols")
-        rows = self.typed(self.calls, "target").join(self.packages, "path")
-        own = F.col("target").isNull() | F.col("target").isin("this", "super")
-        rows = rows.withColumn("own", own).withColumn("asked", F.when(~own, simple(F.coalesce("type", "target"))))
-        rows = self.named(rows, "asked").withColumn("full_name", F.when(F.col("own"), F.concat_ws(".", "package_name", "class_name")).otherwise(F.col("full_name"))).drop("type", "package_name")
-        rows = written(rows)
-        rows = rows.join(self.found_above(rows.filter("own")), ["path", "at", "body_open"], "left")
-        how = (
-            F.when(F.col("rank") == 1, "PARAMETER").when(F.col("rank") == 2, "LOCAL").when(F.col("rank") == 3, "FIELD").when(F.col("own") & (F.col("distance") == 0), "OWN").when(F.col("own") & (F.col("distance") > 0), "INHERITED")
-            .when(F.col("own"), "UNKNOWN").otherwise(F.col("named_how"))
-        )
-        callee = F.when(F.col("own"), F.col("declared_in")).otherwise(F.col("full_name"))
-        return rows.select("path", "class_name", "caller", "body_open", "at", "pos", "line_no", "target", "method_name", how.alias("how"), callee.alias("callee_class"), "parameters", "distance", "full_name")
+        within = F.col("target").isNull() | F.col("target").isin("this", "super")
+        columns = ["path", "class_name", "caller", "body_open", "at", "pos", "line_no", "target", "method_name", "how", "callee_class", "parameters", "distance", "full_name"]
+
+        def own() -> DataFrame:
+            rows = self.calls.filter(within).join(self.packages, "path").withColumn("full_name", F.concat_ws(".", "package_name", "class_name"))
+            rows = rows.join(self.found_above(rows), ["path", "at", "body_open"], "left").withColumnRenamed("declared_in", "callee_class")
+            how = F.when(F.col("distance") == 0, "OWN").when(F.col("distance") > 0, "INHERITED").otherwise("UNKNOWN")
+            return rows.withColumn("how", how).select(*columns)
+
+        def others() -> DataFrame:
+            rows = self.typed(self.calls.filter(~within), "target").withColumn("asked", simple(F.coalesce("type", "target")))
+            how = F.when(F.col("rank") == 1, "PARAMETER").when(F.col("rank") == 2, "LOCAL").when(F.col("rank") == 3, "FIELD").otherwise(F.col("named_how"))
+            none = {"parameters": F.lit(None).cast("string"), "distance": F.lit(None).cast("int")}
+            return written(self.named(rows, "asked").withColumns({"how": how, "callee_class": F.col("full_name"), **none}).select(*columns))
+
+        with ThreadPoolExecutor(2) as pool:
+            return reduce(DataFrame.union, [part.result() for part in [pool.submit(own), pool.submit(others)]])
 
     @property
     def declarations(self) -> DataFrame:
