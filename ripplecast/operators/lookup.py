@@ -51,3 +51,25 @@ def insert_absent(rows: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> Dat
     """The rows of fresh whose key rows lacks, one a key."""
     one = first_per_key(fresh, keys, [F.col(c) for c in fresh.columns])
     return one.join(rows.select(*keys), list(keys), "left_anti").select(*fresh.columns)
+
+
+def prefix_join(asked: DataFrame, entries: DataFrame, scope: str, prefix: str, value: str) -> DataFrame:
+    """asked and entries of one scope where the entry's value starts with the asked prefix, by equi joins.
+
+    An entry is listed under its prefixes of those lengths that are asked for in its scope, so it has as many rows
+    as there are different lengths, and no pair is compared that does not match. Empty prefixes match nothing.
+    """
+    lengths = asked.filter(F.length(prefix) > 0).groupBy(scope).agg(F.collect_set(F.length(prefix)).alias("_lengths"))
+    listed = entries.join(lengths, scope).withColumn("_n", F.explode("_lengths")).filter(F.length(value) >= F.col("_n")).withColumn(prefix, F.substring(F.col(value), F.lit(1), F.col("_n")))
+    return asked.join(listed.drop("_lengths", "_n"), [scope, prefix])
+
+
+def suffix_join(paths: DataFrame, files: DataFrame, path: str, file: str) -> DataFrame:
+    """paths and files where the file's name ends in the path, at a slash, by an equi join.
+
+    Both sides are cut at slashes; a file is listed under its last segments for those numbers of segments that some
+    path has, of which there are few, whatever their lengths.
+    """
+    counts = [r[0] for r in paths.select(F.size(F.split(path, "/"))).distinct().collect()]
+    ending = F.explode(F.expr(f"transform(filter(array({', '.join(map(str, counts))}), n -> n <= size(split({file}, '/'))), n -> array_join(slice(split({file}, '/'), -n, n), '/'))"))
+    return paths.join(files.withColumn(path, ending), path) if counts else paths.join(files.withColumn(path, F.col(file)).limit(0), path)

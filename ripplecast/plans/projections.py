@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..facts import Facts
+from ..operators import lookup
 from ..registry import query
 
 
@@ -23,6 +24,35 @@ def s14(f: Facts) -> DataFrame:
     return rows.select("task_id", F.when(F.col("is_tag"), "tag").when(F.col("is_commit"), "commit").otherwise("unknown").alias("ref"))
 
 
+@query("S14_ref_prefixes", """WITH asked AS (SELECT task_id, git_url, CASE WHEN task_id % 3 = 0 THEN tag_new ELSE left(sha256(CAST(task_id + task_id % 3 - 1 AS STRING)), CAST(2 + task_id % 5 AS INT)) END AS ref FROM {task_f}),
+  tags AS (SELECT DISTINCT git_url, tag_old AS ref FROM {task_f}), commits AS (SELECT DISTINCT git_url, sha256(CAST(task_id AS STRING)) AS hash FROM {task_f} WHERE status = 'completed'),
+  hits AS (SELECT a.task_id, count(*) AS n, min(hash) AS hash FROM asked a JOIN commits c ON c.git_url = a.git_url AND starts_with(c.hash, a.ref) GROUP BY a.task_id)
+  SELECT a.task_id, CASE WHEN t.ref IS NOT NULL THEN 'tag' WHEN h.n = 1 THEN 'commit' WHEN h.n > 1 THEN 'ambiguous' ELSE 'unknown' END AS kind, CASE WHEN t.ref IS NULL AND h.n = 1 THEN h.hash END AS hash, coalesce(h.n, 0) AS hits
+  FROM asked a LEFT JOIN tags t ON t.git_url = a.git_url AND t.ref = a.ref LEFT JOIN hits h ON h.task_id = a.task_id""")
+def s14_prefixes(f: Facts) -> DataFrame:
+    """A version against the refs of its repository: a tag of that name, else the one commit whose hash begins with it; of several
+    commits none is chosen."""
+    digest = lambda x: F.sha2(x.cast("string"), 256)
+    n = F.col("task_id")
+    asked = f.task_f.select("task_id", "git_url", F.when(n % 3 == 0, F.col("tag_new")).otherwise(F.substring(digest(n + n % 3 - 1), F.lit(1), (2 + n % 5).cast("int"))).alias("ref"))
+    tags = f.task_f.select("git_url", F.col("tag_old").alias("ref")).distinct().withColumn("is_tag", F.lit(True))
+    commits = f.task_f.filter("status = 'completed'").select("git_url", digest(n).alias("hash")).distinct()
+    hits = lookup.prefix_join(asked, commits, "git_url", "ref", "hash").groupBy("task_id").agg(F.count("*").alias("n"), F.min("hash").alias("hash"))
+    rows = asked.join(tags, ["git_url", "ref"], "left").join(hits, "task_id", "left")
+    kind = F.when(F.col("is_tag"), "tag").when(F.col("n") == 1, "commit").when(F.col("n") > 1, "ambiguous").otherwise("unknown")
+    return rows.select("task_id", kind.alias("kind"), F.when(kind == "commit", F.col("hash")).alias("hash"), F.coalesce("n", F.lit(0)).alias("hits"))
+
+
+ENDINGS = "CASE class_id % 4 WHEN 0 THEN filepath WHEN 1 THEN replace(filepath, 'src/main/', '') WHEN 2 THEN replace(filepath, 'src/main/java/', '') ELSE replace(filepath, 'src/main/java/c', '') END"
+
+
+@query("F02_suffix_join", f"SELECT p.path, c.class_id FROM (SELECT DISTINCT {ENDINGS} AS path FROM {{class_f}}) p JOIN {{class_f}} c ON c.filepath = p.path OR ends_with(c.filepath, '/' || p.path)")
+def f02_join(f: Facts) -> DataFrame:
+    """Files by the ends of their paths, at slashes, without comparing each pair."""
+    paths = f.class_f.select(F.expr(ENDINGS).alias("path")).distinct()
+    return lookup.suffix_join(paths, f.class_f.select("class_id", "filepath"), "path", "filepath").select("path", "class_id")
+
+
 @query("F01_equality", "SELECT method_id FROM {method_v} WHERE project_id = 1 AND method_name = 'getItem0'")
 def f01(f: Facts) -> DataFrame:
     return f.method_v.filter("project_id = 1 AND method_name = 'getItem0'").select("method_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplecast.functions import names as N
 from ripplecast.functions import sqltext as S
-from ripplecast.operators import graph, lookup
+from ripplecast.operators import graph, impact, lookup
 from ripplecast.sources import diffs, documents, java, mappers
 from ripplecast.operators.ranks import ranked
 from ripplecast.streaming import health
@@ -173,3 +173,43 @@ def test_saved_json_is_loaded_where_it_is(spark, tmp_path):
     assert documents.load_json(spark, str(tmp_path / "none"), "a long").count() == 0
     spark.range(3).select(F.col("id").alias("a")).write.json(str(tmp_path / "some"))
     assert sorted(r.a for r in documents.load_json(spark, str(tmp_path / "some"), "a long").collect()) == [0, 1, 2]
+
+
+def test_prefix_and_suffix_joins_are_equi_joins(spark):
+    asked = spark.createDataFrame([(1, "r", "ab"), (2, "r", "abc"), (3, "s", "ab"), (4, "r", ""), (5, "r", None), (6, "r", "abcdefgh")], "id int, repo string, ref string")
+    entries = spark.createDataFrame([("r", "abcd"), ("r", "abxx"), ("s", "zz"), (None, "ab")], "repo string, hash string")
+    got = lookup.prefix_join(asked, entries, "repo", "ref", "hash")
+    assert sorted((r.id, r.hash) for r in got.collect()) == [(1, "abcd"), (1, "abxx"), (2, "abcd")]
+    paths = spark.createDataFrame([("b.java",), ("a/b.java",), ("x/a/b.java",), ("java",)], "path string")
+    files = spark.createDataFrame([("x/a/b.java",), ("a/b.java",), ("xa/b.java",), ("b.java",)], "file string")
+    ends = lookup.suffix_join(paths, files, "path", "file")
+    assert sorted(tuple(r) for r in ends.select("path", "file").collect()) == sorted((p, x) for (p,) in paths.collect() for (x,) in files.collect() if x == p or x.endswith("/" + p))
+    assert lookup.suffix_join(paths.limit(0), files, "path", "file").count() == 0
+    for plan in (got, ends):
+        assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_odd_java_sources(spark):
+    """Null and empty files, unbalanced brackets, unended comments, records, nested and local types."""
+    texts = [
+        None, "", "}}} ) class", "package p; class A { void a( { } /* no end", 'class B { String s = "{"; char c = \'\\\'\'; void b() { } }', "record R(int a, String b) { R { } int sum() { return a; } }",
+        "enum E { X(1) { void in() { } }, Y; E(int... n) { } static class N { class M { void m() { class L { void l() { } } } } } }", "@interface T { String value() default \"}\"; }",
+    ]
+    s = java.Source(spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "path string, text string"))
+    assert sorted((r.path, r.class_name, r.outer) for r in s.types.collect()) == [("f3", "A", None), ("f4", "B", None), ("f5", "R", None), ("f6", "E", None), ("f6", "M", "N"), ("f6", "N", "E"), ("f7", "T", None)]
+    found = {(r.path, r.class_name, r.method_name, r.parameters) for r in s.methods.collect()}
+    assert {("f4", "B", "b", ""), ("f5", "R", "sum", ""), ("f6", "E", "E", "int"), ("f6", "M", "m", ""), ("f7", "T", "value", "")} <= found
+    assert not {"l", "in", "X"} & {m[2] for m in found}
+    assert sorted(r.field_name for r in s.enum_constants.collect()) == ["X", "Y"]
+    assert s.resolved_calls.count() == 0
+    assert {r.path for r in s.packages.filter("package_name = 'unknown'").collect()} == {"f0", "f1", "f2", "f4", "f5", "f6", "f7"}
+
+
+def test_nearest_and_typed_reach(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (1, 3), (3, 4), (5, 5)]
+    df = spark.createDataFrame([(a, b, 1) for a, b in edges], "src long, dst long, line int")
+    got = graph.nearest(spark.createDataFrame([(1,), (5,)], "root_id long"), df, 2)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (5, 5, 0)]
+    steps = spark.createDataFrame([("class", 1, "field", 1), ("field", 1, "method", 7), ("method", 7, "method", 8), ("method", 8, "method", 7), ("field", 8, "method", 9)], "src_kind string, src long, dst_kind string, dst long")
+    start = spark.createDataFrame([("class", 1), ("class", 1)], "kind string, id long")
+    assert sorted(tuple(r) for r in impact.reached(start, steps).collect()) == [("class", 1, 0), ("field", 1, 1), ("method", 7, 2), ("method", 8, 3)]
