@@ -124,6 +124,22 @@ def short_label(label: Column) -> Column:
     return F.when(F.length(params) < 30, label).otherwise(F.concat(head, F.lit("("), dashes, F.lit(")")))
 
 
+#: The sign before a label's documentation, and how much of both is shown (the sign counts twice).
+DOC_SIGN, DOC_SHOWN = "  \U0001f4dd", 42
+
+
+def tree_label(label: Column) -> Column:
+    """A node's label for a tree: parameters, from the last opening bracket to the end, as short_label has them, and the
+    documentation behind its sign cut off with dots. What follows the sign is no parameter list."""
+    at = F.instr(label, DOC_SIGN)
+    main, doc = F.when(at > 1, F.left(label, at - 1)).otherwise(label), F.when(at > 1, F.substring(label, at, F.length(label))).otherwise(F.lit(""))
+    inside = F.when(main.contains("("), F.substring_index(main, "(", -1))
+    params = F.when(inside.endswith(")"), F.left(inside, F.length(inside) - 1))
+    dashes = F.array_join(F.transform(F.filter(F.split(params, "\\s*,\\s*"), lambda p: F.trim(p) != ""), lambda _: F.lit("\u2014")), ", ")
+    short = F.when(F.length(params) >= 30, F.concat(F.left(main, F.length(main) - F.length(inside)), dashes, F.lit(")"))).otherwise(main)
+    return F.concat(short, F.when(F.length(doc) > DOC_SHOWN, F.concat(F.left(doc, F.lit(DOC_SHOWN)), F.lit("..."))).otherwise(doc))
+
+
 def cut(text: Column, most: int = 100, mark: str = "...") -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(mark))).otherwise(text)
 

@@ -141,3 +141,9 @@ def consumer_kind(method: Column) -> Column:
         F.when(m.contains("controller") | m.contains("api"), "API").when(m.contains("report") | m.contains("export"), "REPORT")
         .when(m.contains("service"), "SERVICE").otherwise("OTHER_SQL")
     )
+
+
+def attribute(line: Column, name: str) -> Column:
+    """The first value in quotes, of word characters only, behind a name and an equals sign; null without one. The name may
+    end a longer one."""
+    return F.nullif(F.regexp_extract(line, name + r"\s*=\s*['\"](\w+)['\"]", 1), F.lit(""))

@@ -111,6 +111,28 @@ def c26(f: Facts) -> DataFrame:
     return rows.select("method_id", N.short_label(F.concat(F.lit("C.m(Type"), "documentation", F.lit(" a, Other b)"))).alias("label"))
 
 
+SIGN = "'  ' || chr(128221)"
+LABELS = f"""SELECT method_id, c.class_name || '.' || m.method_name AS head, CASE WHEN method_id % 2 = 1 AND parameters <> '' THEN parameters || ', ' || parameters ELSE parameters END AS p,
+  coalesce({SIGN} || documentation || ' (see a, b)', '') AS doc FROM {{method_f}} m JOIN {{class_f}} c ON c.class_id = m.class_id"""
+
+
+@query("C26_tree_labels", f"""SELECT method_id, head || '(' || CASE WHEN length(p) < 30 THEN p ELSE array_to_string(list_transform(list_filter(regexp_split_to_array(p, '\\s*,\\s*'), lambda x: trim(x) <> ''), lambda x: '—'), ', ') END || ')' || CASE WHEN length(doc) > 42 THEN left(doc, 42) || '...' ELSE doc END AS label
+  FROM ({LABELS}) x""")
+def c26_labels(f: Facts) -> DataFrame:
+    """Labels of all methods with their documentation, which holds brackets and commas of its own."""
+    p = F.when((F.col("method_id") % 2 == 1) & (F.col("parameters") != ""), F.concat("parameters", F.lit(", "), "parameters")).otherwise(F.col("parameters"))
+    doc = F.coalesce(F.concat(F.lit(N.DOC_SIGN), "documentation", F.lit(" (see a, b)")), F.lit(""))
+    rows = f.method_f.join(f.class_f.select("class_id", "class_name"), "class_id")
+    return rows.select("method_id", N.tree_label(F.concat("class_name", F.lit("."), "method_name", F.lit("("), p, F.lit(")"), doc)).alias("label"))
+
+
+@query("C28_wide_labels", """SELECT method_id, CAST(length(label) + length(regexp_replace(label, '[^\\x{{1F001}}-\\x{{10FFFF}}]', '', 'g')) AS INT) AS width FROM (SELECT method_id, method_name || repeat(chr(128221), CAST(method_id % 4 AS INT)) || repeat(chr(127881) || 'x', CAST(class_id % 3 AS INT)) || '漢字é' AS label FROM {method_f}) x""")
+def c28_wide(f: Facts) -> DataFrame:
+    """Widths of labels with none, one and several wide characters, and others beyond ASCII that count once."""
+    label = F.concat("method_name", F.repeat(F.lit("\U0001f4dd"), (F.col("method_id") % 4).cast("int")), F.repeat(F.lit("\U0001f389x"), (F.col("class_id") % 3).cast("int")), F.lit("漢字é"))
+    return f.method_f.select("method_id", N.display_width(label).alias("width"))
+
+
 @query("C27_truncate", "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS cut FROM {documents}")
 def c27(f: Facts) -> DataFrame:
     return f.documents.select("doc_id", N.cut(F.col("text")).alias("cut"))

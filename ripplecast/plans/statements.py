@@ -50,6 +50,18 @@ def c15(f: Facts) -> DataFrame:
     return f.stmt_f.select("stmt_id", F.regexp_extract(line, '\\bid\\s*=\\s*"([^"]*)"', 1).alias("id"))
 
 
+# lines of mappers: other attributes before, other quotes, spaces, values that are no words, none at all
+ATTRIBUTE_LINES = """SELECT stmt_id, CASE stmt_id % 5 WHEN 0 THEN '<' || lower(sql_type) || ' id="' || method_id || '" resultMap = "rm' || CAST(class_id AS STRING) || '">' WHEN 1 THEN '<select resultMap=' || chr(39) || 'a.b' || chr(39) || ' parentid="p1" id =  ' || chr(39) || method_id || chr(39) || '>'
+  WHEN 2 THEN '  <include refid="' || method_id || '"/> WHERE id = #' || chr(123) || 'id' || chr(125) WHEN 3 THEN '<sql id="a-b" resultMap="" id="' || method_id || '">' ELSE sql_content END AS line FROM {stmt_f}"""
+
+
+@query("C15_line_attributes", f"SELECT stmt_id, nullif(regexp_extract(line, 'id\\s*=\\s*[''\"](\\w+)[''\"]', 1), '') AS id, nullif(regexp_extract(line, 'resultMap\\s*=\\s*[''\"](\\w+)[''\"]', 1), '') AS result_map FROM ({ATTRIBUTE_LINES}) x")
+def c15_lines(f: Facts) -> DataFrame:
+    """Attributes of whole mapper lines."""
+    rows = f.spark.sql(ATTRIBUTE_LINES, stmt_f=f.stmt_f)
+    return rows.select("stmt_id", S.attribute(F.col("line"), "id").alias("id"), S.attribute(F.col("line"), "resultMap").alias("result_map"))
+
+
 @query("C16_where_limit", f"SELECT stmt_id, sql_type = 'INSERT' OR {WHERE} AS has_where, {LIMIT} AS has_limit FROM {{stmt_f}}")
 def c16(f: Facts) -> DataFrame:
     return f.stmt_f.select("stmt_id", S.has_where(text(), kind()).alias("has_where"), S.has_limit(text()).alias("has_limit"))
