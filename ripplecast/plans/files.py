@@ -252,6 +252,17 @@ def s12(f: Facts) -> DataFrame:
     return folders.catalogue(f.spark, path, "tag_old", "tag_new").toDF("baseline", "version")
 
 
+@query("X06_unlisted_folders", """SELECT DISTINCT baseline, version FROM (SELECT tag_old AS baseline, tag_new AS version FROM {task_f} WHERE status = 'completed' UNION ALL SELECT tag_old, 'lost' || CAST(task_id % 7 AS STRING) FROM {task_f} WHERE status = 'pending') d
+  WHERE NOT EXISTS (SELECT 1 FROM {task_f} t WHERE t.tag_old = d.baseline AND t.tag_new = d.version)""")
+def x06_folders(f: Facts) -> DataFrame:
+    """Versions that have a folder of results but no task."""
+    path = new_folder(f.spark, "results")
+    lost = f.task_f.filter("status = 'pending'").select("tag_old", F.concat(F.lit("lost"), (F.col("task_id") % 7).cast("string")).alias("tag_new"), "task_id")
+    rows = f.task_f.filter("status = 'completed'").select("tag_old", "tag_new", "task_id").union(lost)
+    rows.repartition("tag_old", "tag_new").write.partitionBy("tag_old", "tag_new").parquet(path)
+    return folders.catalogue(f.spark, path, "tag_old", "tag_new").join(f.task_f.select("tag_old", "tag_new").distinct(), ["tag_old", "tag_new"], "left_anti").toDF("baseline", "version")
+
+
 @query("C24_body_lines", """SELECT method_id, CASE WHEN body IS NULL OR body = '' THEN 0 WHEN json_valid(body) THEN json_array_length(body) ELSE 1 END AS lines, CASE WHEN body IS NULL OR body = '' THEN NULL WHEN json_valid(body) THEN body ->> '$[0]' ELSE body END AS first
   FROM (SELECT method_id, CASE method_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '["' || method_name || '() {{","}}"]' ELSE 'plain ' || method_name END AS body FROM {method_f}) x""")
 def c24(f: Facts) -> DataFrame:
