@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..session import written
 
 
-def chains(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """All paths from each root along (src, dst, line) edges, a row for each node of each path.
+def chain_levels(roots: DataFrame, edges: DataFrame, max_depth: int) -> list[DataFrame]:
+    """All paths from each root along (src, dst, line) edges, a row for each node of each path, a table for each depth.
 
     roots: (root_id). A path ends where it meets a node that it already holds (is_cyclic) or at
     max_depth. Rows: root_id, depth, node_id, parent_id, line, path (ids from the root) and
@@ -38,7 +38,12 @@ def chains(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
             )
         )
         levels.append(level)
-    return reduce(DataFrame.union, levels)
+    return levels
+
+
+def chains(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """The rows of chain_levels in one table."""
+    return reduce(DataFrame.union, chain_levels(roots, edges, max_depth))
 
 
 def nearest(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
