@@ -30,4 +30,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from .plans import changes, chains, files, mutations, projections, projects, relational, results, scalars, service, statements, streams  # noqa: F401
+    from .plans import changes, chains, files, mutations, projections, projects, relational, results, scalars, service, statements, stored, streams  # noqa: F401
