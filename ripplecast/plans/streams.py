@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..facts import Facts
+from ..facts import FACTS, Facts
 from ..registry import query
-from ..streaming import health
+from ..session import new_folder
+from ..streaming import health, minutes
 
 MINUTES = "SELECT api_key, date_trunc('minute', ts) AS window_start, count(*) AS total, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed FROM {log_f} GROUP BY api_key, date_trunc('minute', ts)"
 
@@ -76,3 +77,15 @@ def w09(f: Facts) -> DataFrame:
   FROM (SELECT *, sum(CAST(success AS INT)) OVER (PARTITION BY api_key ORDER BY ts, event_id) AS island FROM {log_f}) x""")
 def w10(f: Facts) -> DataFrame:
     return health.failure_runs(f.log_f)
+
+
+@query("T02_streamed_minutes", """WITH r AS (SELECT *, date_trunc('minute', ts) AS window_start, count(*) OVER w AS calls, coalesce(max(CASE WHEN success THEN i END) OVER w, 0) AS last_ok FROM (SELECT *, row_number() OVER (PARTITION BY api_key ORDER BY ts, event_id) AS i FROM {log_f}) x WINDOW w AS (PARTITION BY api_key ORDER BY ts, event_id))
+  SELECT api_key, window_start, count(*) AS total, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed, CAST(arg_max(i - last_ok, i) AS INT) AS failures, max(calls) AS calls FROM r
+  WHERE window_start + INTERVAL 60 SECOND <= (SELECT max(ts) FROM {log_f}) - INTERVAL 120 SECOND GROUP BY api_key, window_start""")
+def t02_streamed(f: Facts) -> DataFrame:
+    """The log as a stream: minutes that the watermark has passed, with the health after each; their rows leave the state."""
+    events = f.spark.readStream.schema(f.events.schema).parquet(f"{f.sf_dir}/events.parque[t]")  # a pattern, as streams take no path of one file
+    log = f.spark.sql(FACTS["log_f"], events=events).withColumn("ts", F.col("ts").cast("timestamp"))
+    out, state = new_folder(f.spark, "minutes"), new_folder(f.spark, "state")
+    rows = minutes.run_to_files(f.spark, minutes.minute_health(log, "120 seconds"), out, state)
+    return rows.select("api_key", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "total", "ok", "failed", "failures", "calls")
