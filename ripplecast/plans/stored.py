@@ -10,6 +10,7 @@ from ..operators import lookup
 from ..registry import query
 from ..session import new_folder
 from ..sources.versions import VersionedTable
+from .results import GRAPH, graphs
 
 
 def stored(f: Facts, rows: DataFrame, keys: list[str]) -> VersionedTable:
@@ -117,3 +118,18 @@ def k16_stored(f: Facts) -> DataFrame:
     table = stored(f, rows.filter("kind = 'user'").drop("kind"), ["task_id"])
     table.append(rows.filter("kind <> 'user'").drop("kind"))
     return both(table)
+
+
+@query("S15_stored_method_index", """SELECT method_id, class_id, method_name, parameters FROM {method_f} WHERE (class_id, method_name) IN (SELECT (class_id, method_name) FROM {method_f} WHERE method_id = (SELECT max(method_id) FROM {method_f}))""")
+def s15_index(f: Facts) -> DataFrame:
+    """A stored index of methods by class and name, asked for one method's overloads: one bucket is read."""
+    rows = f.method_f.select("method_id", "class_id", "method_name", "parameters")
+    asked = rows.agg(F.max_by(F.struct("class_id", "method_name"), "method_id").alias("m")).select("m.*")
+    return stored(f, rows, ["class_id", "method_name"]).lookup(asked)
+
+
+@query("S15_stored_chain", f"SELECT * FROM ({GRAPH}) x WHERE root_id = (SELECT max(method_id) FROM {{method_f}} WHERE change_type = 'MODIFIED')")
+def s15_chain(f: Facts) -> DataFrame:
+    """The stored graphs of all changed methods, asked for one of them."""
+    asked = f.method_f.filter("change_type = 'MODIFIED'").agg(F.max("method_id").alias("root_id"))
+    return stored(f, graphs(f), ["root_id"]).lookup(asked)

@@ -63,6 +63,15 @@ class VersionedTable:
             raise ValueError(f"no version {version if have else ''} at {self.path}")
         return self._rows(*self._manifest(have[-1] if version is None else version))
 
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The last version's rows of keys; only the buckets that can hold them are listed and read."""
+        _, columns, parts = self._latest()
+        if columns is None:
+            raise ValueError(f"no table at {self.path}")
+        touched, asked = self._touched(keys), keys.select(*self.keys).distinct()
+        rows = self._rows(columns, [p for p in parts if p[0] in touched])
+        return rows.join(asked, self._match(rows, asked), "left_semi")
+
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 

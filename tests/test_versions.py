@@ -70,6 +70,15 @@ def test_only_touched_buckets_are_read(spark, tmp_path):
     assert len(part(after - before)) == 1 and part(before) == part(after)
 
 
+def test_lookups_read_the_buckets_of_their_keys(spark, tmp_path):
+    table = made(spark, tmp_path, [(str(i), i) for i in range(50)] + [(None, 99)])
+    one = table.lookup(spark.createDataFrame([("7", 0), ("7", 1)], COLUMNS))
+    assert [tuple(r) for r in one.collect()] == [("7", 7)]
+    assert len({f.split("bucket_of_row=")[1].split("/")[0] for f in one.inputFiles()}) == 1
+    assert [r["v"] for r in table.lookup(spark.createDataFrame([(None, 0), ("no", 0)], COLUMNS)).collect()] == [99]
+    assert table.lookup(spark.createDataFrame([], COLUMNS)).collect() == []
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_changes_are_those_of_a_plain_list(spark, tmp_path, seed):
     rng = random.Random(seed)
