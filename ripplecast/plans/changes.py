@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..facts import Facts
 from ..operators import changes, lookup
 from ..registry import query
+from .projections import ENDINGS
 
 KINDS = """SELECT class_id, added, removed, CASE WHEN added > 0 AND removed = 0 THEN 'ADDED' WHEN added = 0 AND removed > 0 THEN 'DELETED' ELSE 'MODIFIED' END AS kind
   FROM (SELECT class_id, count(*) FILTER (op = '+') AS added, count(*) FILTER (op = '-') AS removed FROM {diff_f} GROUP BY class_id) x WHERE added > 0 OR removed > 0"""
@@ -70,3 +71,16 @@ def d08(f: Facts) -> DataFrame:
 def p06(f: Facts) -> DataFrame:
     found = changes.method_changes(f.diff_f, f.method_f, f.method_v.filter("project_id = 1"))
     return found.union(changes.removed_methods(f.diff_f, f.method_f).withColumn("kind", F.lit("DELETED"))).distinct()
+
+
+VERSION_FILES = f"SELECT m.method_id, m.method_name, m.parameters, {ENDINGS} AS path FROM {{method_v}} m JOIN {{class_f}} c ON c.class_id = m.class_id WHERE m.project_id = 1".replace("class_id %", "c.class_id %")
+
+
+@query("J07_by_file_suffix", f"""SELECT v.method_id, CASE WHEN EXISTS (SELECT 1 FROM {{method_f}} m JOIN {{class_f}} c ON c.class_id = m.class_id WHERE (c.filepath = v.path OR ends_with(c.filepath, '/' || v.path)) AND m.method_name = v.method_name AND m.parameters = v.parameters) THEN 'MODIFIED' ELSE 'ADDED' END AS kind FROM ({VERSION_FILES}) v""")
+def j07_suffix(f: Facts) -> DataFrame:
+    """Methods of the increment, whose files are known by the ends of their paths: modified if the baseline's file has the method."""
+    version = f.spark.sql(VERSION_FILES, method_v=f.method_v, class_f=f.class_f)
+    base_files = lookup.suffix_join(version.select("path").distinct(), f.class_f.select("class_id", "filepath"), "path", "filepath").select("path", "class_id")
+    keys = ["path", "method_name", "parameters"]
+    known = base_files.join(f.method_f, "class_id").select(*keys).distinct().withColumn("known", F.lit(True))
+    return version.join(known, keys, "left").select("method_id", F.when(F.col("known"), "MODIFIED").otherwise("ADDED").alias("kind"))
