@@ -275,3 +275,33 @@ def c24(f: Facts) -> DataFrame:
 @query("C07_overload_variants", "SELECT method_id, CASE parameters WHEN '' THEN 1 WHEN 'Long' THEN 3 WHEN 'java.lang.Long' THEN 2 WHEN 'int,List<String>' THEN 6 ELSE 4 END AS variants FROM {method_f}")
 def c07(f: Facts) -> DataFrame:
     return f.method_f.select("method_id", F.size(N.overload_variants(N.split_types(F.col("parameters")))).alias("variants"))
+
+
+PLACES = ["app/mapper", "app/orderMapper", "resources/sql", "resources/mapper", "app/java", "app/generated"]
+PLACE = "CASE class_id % 6 " + " ".join(f"WHEN {n} THEN '{p}'" for n, p in enumerate(PLACES)) + " END"
+
+
+def placed_folder(f: Facts) -> str:
+    """A folder tree with each class in one of PLACES."""
+    path = new_folder(f.spark, "placed")
+    for n, place in enumerate(PLACES):
+        f.class_f.filter(F.col("class_id") % len(PLACES) == n).select(F.col("class_name").alias("value")).write.text(f"{path}/{place}")
+    return path
+
+
+def held_lines(files: DataFrame) -> DataFrame:
+    """(folder, class_name): the lines of files in PLACES."""
+    folder = F.regexp_extract("path", f"/({'|'.join(PLACES)})/[^/]+$", 1)
+    return files.select(folder.alias("folder"), F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("class_name")).filter("class_name <> ''")
+
+
+@query("S08_by_three_globs", f"SELECT {PLACE} AS folder, class_name FROM {{class_f}} WHERE class_id % 6 < 4")
+def s08_globs(f: Facts) -> DataFrame:
+    """Files that any of three globs finds, each once: every glob finds some that no other does, and one folder meets two."""
+    return held_lines(folders.by_globs(f.spark, placed_folder(f), ["**/mapper/*", "**/*Mapper/*", "resources/**/*.txt"]))
+
+
+@query("S01_with_ignored", f"SELECT {PLACE} AS folder, class_name FROM {{class_f}} WHERE class_id % 6 NOT IN (2, 5)")
+def s01_ignored(f: Facts) -> DataFrame:
+    """A project's files without those that an ignore list names."""
+    return held_lines(folders.project_files(f.spark, placed_folder(f), "*.txt", ["**/generated/*", "sql/*.txt"]))
