@@ -305,3 +305,18 @@ def s08_globs(f: Facts) -> DataFrame:
 def s01_ignored(f: Facts) -> DataFrame:
     """A project's files without those that an ignore list names."""
     return held_lines(folders.project_files(f.spark, placed_folder(f), "*.txt", ["**/generated/*", "sql/*.txt"]))
+
+
+FULL_TAG = "CASE WHEN max_depth % 2 = 0 THEN md5(git_url) || left(md5(tag_new), 8) ELSE tag_new END"
+
+
+@query("J21_tags_of_folders", f"""WITH t AS (SELECT status, {FULL_TAG} AS tag FROM {{task_f}}), s AS (SELECT status, tag, CASE WHEN length(tag) = 40 THEN left(tag, 8) ELSE tag END AS short FROM t)
+  SELECT short AS folder, coalesce((SELECT min(k.tag) FROM s k WHERE k.short = d.short AND k.status <> 'pending'), short) AS full_tag FROM (SELECT DISTINCT short FROM s) d""")
+def j21_folders(f: Facts) -> DataFrame:
+    """Result folders, which have short names, with the full tag of a task that has started; without one, the name itself."""
+    path = new_folder(f.spark, "tags")
+    tags = f.task_f.select("task_id", "status", F.expr(FULL_TAG).alias("tag")).withColumn("short", N.short_tag(F.col("tag")))
+    tags.select("short", "task_id").repartition("short").write.partitionBy("short").parquet(path)
+    full = tags.filter("status <> 'pending'").groupBy("short").agg(F.min("tag").alias("full"))
+    found = folders.catalogue(f.spark, path, "short").select(F.col("short").cast("string"))
+    return found.join(full, "short", "left").select(F.col("short").alias("folder"), F.coalesce("full", "short").alias("full_tag"))

@@ -32,5 +32,6 @@ def by_globs(spark: SparkSession, folder: str, globs: list[str]) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, folder: str, *levels: str) -> DataFrame:
-    """The distinct values of partition folders below folder, from the listing alone: no file is opened."""
-    return spark.read.format("binaryFile").load(folder).select(*levels).distinct()
+    """The distinct values of partition folders below folder, as text, from the listing alone: no file is opened."""
+    columns = ", ".join(["path string, modificationTime timestamp, length long, content binary", *[f"{level} string" for level in levels]])
+    return spark.read.format("binaryFile").schema(columns).load(folder).select(*levels).distinct()

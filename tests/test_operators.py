@@ -213,3 +213,11 @@ def test_nearest_and_typed_reach(spark):
     steps = spark.createDataFrame([("class", 1, "field", 1), ("field", 1, "method", 7), ("method", 7, "method", 8), ("method", 8, "method", 7), ("field", 8, "method", 9)], "src_kind string, src long, dst_kind string, dst long")
     start = spark.createDataFrame([("class", 1), ("class", 1)], "kind string, id long")
     assert sorted(tuple(r) for r in impact.reached(start, steps).collect()) == [("class", 1, 0), ("field", 1, 1), ("method", 7, 2), ("method", 8, 3)]
+
+
+def test_folder_names_stay_text(spark, tmp_path):
+    from ripplecast.sources import folders
+
+    names = ["00123456", "12e45678", "v1", "a:b"]
+    spark.createDataFrame([(n, 1) for n in names], "short string, v int").write.partitionBy("short").parquet(str(tmp_path / "t"))
+    assert sorted(r[0] for r in folders.catalogue(spark, str(tmp_path / "t"), "short").collect()) == sorted(names)
