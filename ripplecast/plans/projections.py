@@ -37,7 +37,7 @@ def s14_prefixes(f: Facts) -> DataFrame:
     asked = f.task_f.select("task_id", "git_url", F.when(n % 3 == 0, F.col("tag_new")).otherwise(F.substring(digest(n + n % 3 - 1), F.lit(1), (2 + n % 5).cast("int"))).alias("ref"))
     tags = f.task_f.select("git_url", F.col("tag_old").alias("ref")).distinct().withColumn("is_tag", F.lit(True))
     commits = f.task_f.filter("status = 'completed'").select("git_url", digest(n).alias("hash")).distinct()
-    hits = lookup.prefix_join(asked, commits, "git_url", "ref", "hash").groupBy("task_id").agg(F.count("*").alias("n"), F.min("hash").alias("hash"))
+    hits = lookup.prefix_counts(asked, commits, "git_url", "ref", "hash").groupBy("task_id").agg(F.sum("n").alias("n"), F.min("hash").alias("hash"))
     rows = asked.join(tags, ["git_url", "ref"], "left").join(hits, "task_id", "left")
     kind = F.when(F.col("is_tag"), "tag").when(F.col("n") == 1, "commit").when(F.col("n") > 1, "ambiguous").otherwise("unknown")
     return rows.select("task_id", kind.alias("kind"), F.when(kind == "commit", F.col("hash")).alias("hash"), F.coalesce("n", F.lit(0)).alias("hits"))
