@@ -130,12 +130,17 @@ def j16(f: Facts) -> DataFrame:
 
 @query("J18_type_in_imports", "SELECT DISTINCT i.class_id, t.class_id AS type_id FROM {import_f} i JOIN {class_f} t ON CASE WHEN i.is_wildcard THEN t.package_name = i.import_path ELSE t.package_name || '.' || t.class_name = i.import_path END JOIN {class_f} c ON c.class_id = i.class_id AND c.project_id = t.project_id")
 def j18(f: Facts) -> DataFrame:
-    """Types of the same project that an import names, or whose package one takes in whole: two equi joins."""
-    types = f.class_f.select(F.col("class_id").alias("type_id"), "project_id", "package_name", F.concat_ws(".", "package_name", "class_name").alias("full_name"))
+    """Types of the same project that an import names, or whose package one takes in whole: two equi joins.
+
+    Imports and types are made distinct before they meet, and a named type is left out where its package is imported too,
+    so the pairs need no distinct of their own."""
+    types = f.class_f.select(F.col("class_id").alias("type_id"), "project_id", "package_name", F.concat_ws(".", "package_name", "class_name").alias("full_name")).distinct()
     imports = f.import_f.join(f.class_f.select("class_id", "project_id"), "class_id")
+    whole = imports.filter("is_wildcard").select("class_id", "project_id", F.col("import_path").alias("package_name")).distinct()
     named = imports.filter("NOT is_wildcard").join(types.withColumnRenamed("full_name", "import_path"), ["project_id", "import_path"])
-    whole = imports.filter("is_wildcard").join(types.withColumnRenamed("package_name", "import_path"), ["project_id", "import_path"])
-    return named.select("class_id", "type_id").union(whole.select("class_id", "type_id")).distinct()
+    named = named.join(whole, ["class_id", "project_id", "package_name"], "left_anti").select("class_id", "type_id").distinct()
+    members = types.select("project_id", "package_name", "type_id").distinct()
+    return named.union(lookup.split_join(whole, members, ["project_id", "package_name"], "type_id").select("class_id", "type_id"))
 
 
 @query("J19_field_type", "SELECT x.field_id, c.class_id FROM {field_f} x JOIN {class_f} c ON c.class_name = x.field_type")

@@ -15,3 +15,12 @@ def test_prefixes_are_counted_without_pairs(spark):
     rows = got.collect()
     assert len(pairs) > 10_000 and len(rows) == 102
     assert {r.id: (r.n, r.hash) for r in rows} == {k: (len(v), min(v)) for k, v in brute.items()}
+
+
+def test_pairs_of_one_key_are_dealt_over_parts(spark):
+    few = spark.createDataFrame([(i, "p") for i in range(40)] + [(50, "q"), (51, None), (52, "z")], "a long, k string")
+    many = spark.createDataFrame([(i, "p") for i in range(100)] + [(7, "q"), (8, None)], "b long, k string")
+    got = sorted((r.a, r.b, r.k) for r in lookup.split_join(few, many, ["k"], "b", block=16).collect())
+    assert got == sorted([(a, b, "p") for a in range(40) for b in range(100)] + [(50, 7, "q")])
+    # the pairs are made by a join on the part too, so that one key is no one task
+    assert "_part" in lookup.split_join(few, many, ["k"], "b")._jdf.queryExecution().optimizedPlan().toString().split("\n")[1]
