@@ -5,7 +5,7 @@ from ripplecast.operators import lookup
 
 def test_prefixes_are_counted_without_pairs(spark):
     """100 entries under one short prefix and 100 questions for it: counts as all pairs give them, from 100 rows, not 10,000."""
-    asked = spark.createDataFrame([(i, "r", "ab") for i in range(100)] + [(200, "r", "abc1"), (201, "q", "ab"), (202, "r", ""), (203, None, "ab")], "id long, repo string, ref string")
+    asked = spark.createDataFrame([(i, "r", "ab") for i in range(100)] + [(200, "r", "abc01"), (201, "q", "ab"), (202, "r", ""), (203, None, "ab")], "id long, repo string, ref string")
     entries = spark.createDataFrame([("r", f"abc{i:03d}") for i in range(100)] + [("q", "ab")], "repo string, hash string")
     got = lookup.prefix_counts(asked, entries, "repo", "ref", "hash")
     pairs = lookup.prefix_join(asked, entries, "repo", "ref", "hash").collect()
