@@ -298,8 +298,13 @@ def g14_deep(f: Facts) -> DataFrame:
 @query("G16_batch_nodes", NEAR + "SELECT c.class_name, m.method_name, min(depth) AS depth, count(DISTINCT root_id) AS chains, min(method_id) AS method_id FROM near JOIN {method_f} m ON m.method_id = node_id JOIN {class_f} c ON c.class_id = m.class_id GROUP BY c.class_name, m.method_name")
 def g16_batch(f: Facts) -> DataFrame:
     """The methods of all chains by class and name, each once for a batch analysis, with the number of chains that need it."""
-    names = f.method_f.join(f.class_f.select("class_id", "class_name"), "class_id").select(F.col("method_id").alias("node_id"), "class_name", "method_name")
-    return nodes_above(f, 10).join(names, "node_id").groupBy("class_name", "method_name").agg(F.min("depth").alias("depth"), F.count_distinct("root_id").alias("chains"), F.min("node_id").alias("method_id"))
+    start, edges = roots(f), reverse(f)
+    names = written(f.method_f.join(f.class_f.select("class_id", "class_name"), "class_id").select(F.col("method_id").alias("node_id"), "class_name", "method_name"))
+    # a group goes by its least method
+    methods = written(graph.nearest_root(start, edges, 10).join(names, "node_id").groupBy("class_name", "method_name").agg(F.min("depth").alias("depth"), F.min("node_id").alias("method_id")))
+    groups = names.join(methods.select("class_name", "method_name", F.col("method_id").alias("group_id")), ["class_name", "method_name"]).select("node_id", "group_id")
+    counts = graph.root_counts(start, edges, 10, groups).select(F.col("group_id").alias("method_id"), F.col("roots").alias("chains"))
+    return methods.join(counts, "method_id").select("class_name", "method_name", "depth", "chains", "method_id")
 
 
 @query("J20_chains_of_entries", NEAR + f"SELECT node_id AS entry_id, entry_type, count(*) AS chains, min(depth) AS depth, arg_min(root_id, CAST(depth AS BIGINT) * 1000000000 + root_id) AS nearest_root FROM near JOIN ({ENTRY}) e ON e.method_id = node_id WHERE entry_type IS NOT NULL GROUP BY node_id, entry_type")

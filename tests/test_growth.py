@@ -1,6 +1,10 @@
 """Steps whose rows must not grow faster than their input, on small cases with known results."""
 
-from ripplecast.operators import lookup
+import random
+
+from pyspark.sql import functions as F
+
+from ripplecast.operators import graph, lookup
 
 
 def test_prefixes_are_counted_without_pairs(spark):
@@ -24,3 +28,52 @@ def test_pairs_of_one_key_are_dealt_over_parts(spark):
     assert got == sorted([(a, b, "p") for a in range(40) for b in range(100)] + [(50, 7, "q")])
     # the pairs are made by a join on the part too, so that one key is no one task
     assert "_part" in lookup.split_join(few, many, ["k"], "b")._jdf.queryExecution().optimizedPlan().toString().split("\n")[1]
+
+
+def test_components_and_reach(spark):
+    """A long cycle, two random graphs and a chain against a search from each node."""
+    rng = random.Random(5)
+    cycle = [(i, (i + 1) % 40) for i in range(40)] + [(3, 1000), (2000, 7)]
+    chain = [(3000 + i, 3001 + i) for i in range(6)] + [(1000, 3000), (3006, 3006)]
+    wild = [(5000 + rng.randrange(25), 5000 + rng.randrange(25)) for _ in range(32)]
+    pairs = cycle + chain + wild
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    nodes = {x for p in pairs for x in p}
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    below = {a: reach(a) for a in nodes}
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    part = {r.node: r.component for r in graph.strong_components(edges).collect()}
+    assert set(part) == nodes
+    assert all((part[a] == part[b]) == (a == b or (a in below[b] and b in below[a])) for a in nodes for b in nodes)
+    got = {r.node: r.n for r in graph.reach_counts(edges, F.col("node") % 3 != 0).collect()}
+    assert got == {a: sum(b % 3 != 0 and b != a for b in below[a]) for a in nodes if a % 3}
+
+
+def test_sets_of_roots(spark):
+    """Roots by arrays in two halves against a row a pair in each round."""
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(rng.randrange(80), rng.randrange(80), 1) for _ in range(110)], "src long, dst long, line int").dropDuplicates(["src", "dst"])
+    roots = spark.createDataFrame([(i,) for i in range(0, 90, 3)], "root_id long")
+    for depth in (1, 5):
+        want = sorted(tuple(r) for r in graph.nearest(roots, edges, depth).select("root_id", "node_id", "depth").collect())
+        assert sorted(tuple(r) for r in graph.nearest_by_sets(roots, edges, depth).collect()) == want
+        of = {}
+        for r, n, d in want:
+            of.setdefault(n, set()).add((d, r))
+        assert {r.node_id: (r.depth, r.root_id) for r in graph.nearest_root(roots, edges, depth).collect()} == {n: min(x) for n, x in of.items()}
+        groups = spark.createDataFrame([(i, i % 7) for i in range(90)], "node_id long, group_id long")
+        met = {}
+        for r, n, _ in want:
+            met.setdefault(n % 7, set()).add(r)
+        assert {r.group_id: r.roots for r in graph.root_counts(roots, edges, depth, groups).collect()} == {g: len(x) for g, x in met.items()}
