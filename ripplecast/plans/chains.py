@@ -310,8 +310,11 @@ def g16_batch(f: Facts) -> DataFrame:
 @query("J20_chains_of_entries", NEAR + f"SELECT node_id AS entry_id, entry_type, count(*) AS chains, min(depth) AS depth, arg_min(root_id, CAST(depth AS BIGINT) * 1000000000 + root_id) AS nearest_root FROM near JOIN ({ENTRY}) e ON e.method_id = node_id WHERE entry_type IS NOT NULL GROUP BY node_id, entry_type")
 def j20_entries(f: Facts) -> DataFrame:
     """Each entry point with the chains that contain it: how many, and the nearest changed method."""
-    rows = nodes_above(f, 10).join(entry_types(f), "node_id")
-    return rows.groupBy(F.col("node_id").alias("entry_id"), "entry_type").agg(F.count("*").alias("chains"), F.min("depth").alias("depth"), F.min_by("root_id", F.struct("depth", "root_id")).alias("nearest_root"))
+    start, edges = roots(f), reverse(f)
+    entry = written(entry_types(f))
+    near = graph.nearest_root(start, edges, 10).join(entry, "node_id")
+    counts = graph.root_counts(start, edges, 10, entry.select("node_id", F.col("node_id").alias("group_id"))).select(F.col("group_id").alias("node_id"), F.col("roots").alias("chains"))
+    return near.join(counts, "node_id").select(F.col("node_id").alias("entry_id"), "entry_type", "chains", "depth", F.col("root_id").alias("nearest_root"))
 
 
 UP_DOC = f"""SELECT root_id, count(*) AS nodes, count(DISTINCT CASE WHEN entry_type IS NOT NULL THEN node_id END) AS entry_points, max(depth) AS depth, count(*) FILTER (is_cyclic) AS cycles,
