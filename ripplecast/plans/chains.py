@@ -292,7 +292,7 @@ NEAR = """WITH RECURSIVE walk AS (SELECT method_id AS root_id, method_id AS node
 @query("G14_chain_methods_deep", NEAR + "SELECT root_id, node_id, depth FROM near")
 def g14_deep(f: Facts) -> DataFrame:
     """The distinct methods of the chains of all changed methods, ten deep."""
-    return nodes_above(f, 10)
+    return graph.nearest_by_sets(roots(f), reverse(f), 10)
 
 
 @query("G16_batch_nodes", NEAR + "SELECT c.class_name, m.method_name, min(depth) AS depth, count(DISTINCT root_id) AS chains, min(method_id) AS method_id FROM near JOIN {method_f} m ON m.method_id = node_id JOIN {class_f} c ON c.class_id = m.class_id GROUP BY c.class_name, m.method_name")
