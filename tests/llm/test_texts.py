@@ -107,6 +107,28 @@ def test_forest_separates_rows_that_it_was_not_fitted_on(spark):
     assert bad.count() > 5 and bad.filter("kept").count() <= 0.1 * bad.count() and good.filter("not kept").count() <= 0.05 * good.count()
 
 
+def test_labels_beyond_any_sample_count(spark):
+    """Ranges and threshold against numpy over all of 21,000 labelled rows; the bad ones have the greatest hashes of all."""
+    ids = [r.id for r in spark.range(21_000).orderBy(F.xxhash64("id")).collect()]
+    text = lambda i, bad: " ".join(("#$%" if bad and j % 2 else "w") + str(i * 31 % 1009 + j) for j in range(24))
+    docs = documents(spark, [(i, text(i, k >= 20_500), "en", "s", 1, 1, 2, "x", "y") for k, i in enumerate(ids)])
+    labels = spark.createDataFrame([(i, int(k < 20_500), 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    got = quality.rate(docs, labels).join(labels, "doc_id")
+    assert got.groupBy("quality", "kept").count().collect() and got.filter("kept <> (quality = 1)").count() <= 0.01 * 21_000
+    assert got.filter("quality = 0 and kept").count() == 0
+
+    model = quality.fit(docs, labels)
+    seen = quality.labelled(docs.select("doc_id", quality.measured().alias("s")).select("doc_id", "s.*"), labels).toPandas()
+    assert len(seen) == 21_000
+    values, good, half = seen[quality.SHARES].to_numpy(float), seen["good"].to_numpy(), seen["half"].to_numpy()
+    want = np.quantile(values[good & half], [quality.TAIL, 1 - quality.TAIL], axis=0)
+    assert np.allclose([model.low, model.high], want, rtol=1e-12, atol=0)
+    score = model.score(values[~half])
+    good = good[~half]
+    gain = {x: (score[~good] > x).mean() - quality.GOOD_WEIGHT * (score[good] > x).mean() for x in np.unique(score)}
+    assert math.isclose(gain[model.threshold], max(gain.values()), abs_tol=1e-12) and len(model.forest.trees) == quality.TREES and model.forest.size == quality.PER_TREE
+
+
 def test_verdicts_by_plain_path_lengths(spark):
     """Each tree walked by hand, row by row."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
