@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from ripplecast.operators import graph, lookup
+from ripplecast.sources import javatokens
 
 
 def test_prefixes_are_counted_without_pairs(spark):
@@ -77,3 +78,26 @@ def test_sets_of_roots(spark):
         for r, n, _ in want:
             met.setdefault(n % 7, set()).add(r)
         assert {r.group_id: r.roots for r in graph.root_counts(roots, edges, depth, groups).collect()} == {g: len(x) for g, x in met.items()}
+
+
+def test_tokens_are_sorted_four_times(spark):
+    """Brackets are matched while a file is a row; before, each kind of bracket sorted all tokens again, seven times in all."""
+    files = spark.createDataFrame([("a", "class A { void f() { g(1); } }")], "path string, text string")
+    rows = javatokens.lexed(files)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Sort [") <= 4
+    got = {(r.t, r.pos): r for r in rows.collect()}
+    assert got["g", 8].enc.pos == 7 and got["g", 8].enc.type is None and got["f", 4].enc.type.name == "A" and got["1", 10].paren.pos == 9 and got["g", 8].end.t == ";"
+
+
+def test_brackets_without_partners(spark):
+    """Closing brackets before opening ones, and opening ones that nothing closes."""
+    texts = ["} { class A { } ) ( x( y ) { class B { int f() { class C { } } } } ", "", None, "{ { } } class K { class L { } } } class M { }"]
+    rows = javatokens.lexed(spark.createDataFrame(list(zip("abcd", texts)), "path string, text string")).filter("t <> '.'").collect()
+    types = {(r.path, r.enc.type.name) for r in rows if r.path == "d" and r.enc and r.enc.type}
+    assert {r.path for r in rows} == {"a", "d"} and types == {("d", "K"), ("d", "L")}
+    for path in "ad":
+        curly = 0
+        for r in sorted((r for r in rows if r.path == path), key=lambda r: r.pos):
+            curly -= r.t == "}"
+            assert r.curly == curly
+            curly += r.t == "{"
