@@ -4,10 +4,9 @@ A run is a table (kind, root_id, doc): a `metadata` row, a `chain` row a changed
 `failed` row for each one whose class is not there. Rows of a run are JSON lines of one document,
 so a run of any size is written and read by parts.
 
-Trees are put together from the deepest level up: the nodes of a level are grouped by the path of
-their parent and join it as its children. Both steps are keyed by (root, path), so that the
-nodes of one large chain are spread over all tasks until the last step; only the tree of a root
-is one value, and `top` gives a tree for each branch at that depth instead.
+The nodes of a root's chains are moved once, to where its tree is put together: in order of the places of their
+steps they are the tree in pre-order, so its text is their texts with brackets between them by depth. So a
+root's tree is one value, and `top` gives a tree for each branch at that depth instead.
 """
 
 from __future__ import annotations
@@ -17,13 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import kept, written
 from . import entries
 
 # What static analysis cannot see, and how much that matters.
 LIMITATIONS = {"DYNAMIC_DISPATCH": "HIGH", "INTERFACE_RESOLUTION": "MEDIUM", "FRAMEWORK_CALLS": "MEDIUM", "NATIVE_CODE": "LOW"}
-#: Children without a line stand after those with one.
-NO_LINE = 2**31 - 1
 
 
 def to_json(doc: Column) -> Column:
@@ -35,27 +32,41 @@ def with_member(doc: Column, name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.left(doc, F.length(doc) - 1), F.lit(f',"{name}":'), value, F.lit("}")), doc)
 
 
-def nested(levels: list[DataFrame], fields: list[Column], top: int = 0) -> DataFrame:
-    """(root_id, path, tree) of the nodes at depth top, tree as JSON: fields, then children in order of (line, node_id), if any.
+def gathered(levels: list[DataFrame], fields: list[Column], top: int = 0, more: tuple[Column, ...] = ()) -> DataFrame:
+    """(root_id, path, nodes) of the nodes at depth top: nodes are those of its tree in pre-order as (ranks, head, more), head the fields as JSON without its end.
 
-    levels: tables (root_id, node_id, path, line, and what fields read), one a depth from 0. Trees
-    are kept as text, so that the types and the plan's code do not grow with the depth.
+    levels: tables as graph.chain_levels gives them, or with more columns, one a depth from 0.
     """
-    kids, head = None, to_json(F.struct(*fields))
-    for depth in range(len(levels) - 1, top - 1, -1):
-        if kids is None:
-            trees = levels[depth].withColumn("tree", head)
-        else:
-            trees = levels[depth].join(kids, ["root_id", "path"], "left").withColumn("tree", with_member(head, "children", F.col("children")))
-        entry = F.struct(F.coalesce("line", F.lit(NO_LINE)).alias("at"), "node_id", "tree")
-        listed = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["tree"]), ",")
-        if depth > top:
-            kids = trees.groupBy("root_id", F.slice("path", 1, depth).alias("path")).agg(F.concat(F.lit("["), listed, F.lit("]")).alias("children"))
-    return trees.select("root_id", "path", "tree")
+    columns = [c for c in levels[-1].columns if c != "parent_id"]
+    rows = reduce(DataFrame.union, [level.select(*columns) for level in levels[top:]])
+    head = to_json(F.struct(*fields))
+    entry = F.struct("ranks", F.left(head, F.length(head) - 1).alias("head"), *more)
+    # dealt before they are listed, so that each node is moved once and no lists are; whole roots have one short key, by which they stay for what follows
+    path = F.slice("path", 1, top + 1).alias("path")
+    keys = ["root_id", "path"] if top else ["root_id"]
+    nodes = rows.select("root_id", path, entry.alias("entry")).select(*keys, "entry").repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list("entry")).alias("nodes"))
+    return nodes if top else nodes.select("root_id", F.array(F.col("root_id").cast(rows.schema["node_id"].dataType)).alias("path"), "nodes")
+
+
+def tree(nodes: str) -> Column:
+    """The JSON tree of a column of gathered nodes: each with its fields, then its children, if any."""
+    size = lambda i: F.size(F.get(F.col(nodes), i)["ranks"])
+
+    def text(node: Column, i: Column) -> Column:
+        depth, then = F.size(node["ranks"]), F.coalesce(size(i + 1), size(F.lit(0)))
+        closed = F.concat(F.lit("}"), F.repeat(F.lit("]}"), depth - then), F.when(i + 1 < F.size(nodes), ",").otherwise(""))
+        return F.concat(node["head"], F.when(then > depth, ',"children":[').otherwise(closed))
+
+    return F.array_join(F.transform(F.col(nodes), text), "")
+
+
+def nested(levels: list[DataFrame], fields: list[Column], top: int = 0) -> DataFrame:
+    """(root_id, path, tree) of the nodes at depth top, tree as JSON: fields, then children in order of (line, node_id), if any."""
+    return gathered(levels, fields, top).select("root_id", "path", tree("nodes").alias("tree"))
 
 
 def labelled(levels: list[DataFrame], names: DataFrame) -> list[DataFrame]:
-    """levels with the columns of names (node_id, ...); nodes without a name stay."""
+    """levels with the columns of names (node_id, ...), one row a node; nodes without a name stay."""
     return [level.join(names, "node_id", "left") for level in levels]
 
 
@@ -75,13 +86,30 @@ def flag(condition: Column) -> Column:
 NODE = ["node_id", "name", "change", "line", "entry"]
 
 
-def measured(levels: list[DataFrame], edges: DataFrame) -> DataFrame:
-    """(root_id, nodes, depth, cyclic, cut) of chains; cut counts paths that end at the last level though a step goes on."""
-    more = edges.select(F.col("src").alias("node_id")).distinct()
-    ends = levels[-1].filter("NOT is_cyclic").select("root_id", "node_id").join(more, "node_id", "left_semi").groupBy("root_id").agg(F.count("*").alias("cut"))
-    rows = reduce(DataFrame.union, [level.select("root_id", "depth", "is_cyclic") for level in levels])
-    sums = rows.groupBy("root_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.count_if("is_cyclic").alias("cyclic"))
-    return sums.join(ends, "root_id", "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+def followed(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """names with goes_on, whether a step leads on from the node; nodes without a name that one leads on from are added."""
+    more = edges.select(F.col("src").alias("node_id")).distinct().withColumn("goes_on", F.lit(True))
+    return written(names.join(more, "node_id", "full"))
+
+
+def trees(start: DataFrame, levels: list[DataFrame], names: DataFrame, fields: list[Column]) -> DataFrame:
+    """start (root_id, method) with tree, nodes, depth, cyclic, cut and points of its chains; cut counts paths that end at the last level though a step goes on,
+    points are the entry points met as (node_id, entry, depth), once each with the least depth.
+
+    A root's rows meet in one place, where its tree and all its measures are taken from them.
+    """
+    # a root's first row brings its method along, so that no trees are joined
+    none = F.lit(None).cast(start.schema["method"].dataType).alias("method")
+    of = lambda level, method: level.select("root_id", "node_id", "path", "line", "depth", "is_cyclic", "ranks", method)
+    one = reduce(DataFrame.union, [of(levels[0].join(start, "root_id"), F.col("method")), *[of(level, none) for level in levels[1:]]])
+    more = (F.col("method"), F.col("node_id"), F.col("depth"), F.col("is_cyclic"), F.col("entry"), ((F.col("depth") == len(levels) - 1) & ~F.col("is_cyclic") & F.coalesce("goes_on", F.lit(False))).alias("cut"))
+    rows = gathered(labelled([one], names), fields, more=more)
+    count_of = lambda name: F.size(F.filter("nodes", lambda x: x[name])).cast("long").alias(name.removeprefix("is_"))
+    found = F.sort_array(F.transform(F.filter("nodes", lambda x: x["entry"].isNotNull()), lambda x: F.struct(x["node_id"].alias("node_id"), x["entry"].alias("entry"), x["depth"].alias("depth"))))
+    depth = F.array_max(F.transform("nodes", lambda x: x["depth"])).alias("depth")
+    rows = rows.select("root_id", F.get("nodes", F.lit(0))["method"].alias("method"), tree("nodes").alias("tree"), F.size("nodes").cast("long").alias("nodes"), depth, count_of("is_cyclic"), count_of("cut"), found.alias("found"))
+    first = F.filter("found", lambda x, i: (i == 0) | (F.get("found", i - 1)["node_id"] != x["node_id"]))
+    return rows.withColumn("points", first).drop("found")
 
 
 def limits() -> Column:
@@ -103,23 +131,19 @@ def upwards(methods: DataFrame, classes: DataFrame, edges: DataFrame, levels_of,
     """The run (kind, root_id, doc) towards callers. levels_of(roots): the levels of chains along edges (src, dst, line)."""
     start, failed = changed(methods, classes)
     levels = levels_of(start.select("root_id"))
-    names = written(named(methods, classes))
-    trees = nested(labelled(levels, names), [*[F.col(c) for c in NODE], flag(F.col("is_cyclic")).alias("cyclic")])
-
-    entry = names.filter("entry IS NOT NULL").select("node_id", "entry")
-    met = reduce(DataFrame.union, [level.select("root_id", "node_id", "depth") for level in levels]).join(entry, "node_id")
-    met = met.groupBy("root_id", "node_id", "entry").agg(F.min("depth").alias("depth"))
-    points = met.groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "entry", "depth"))).alias("entry_points"))
-    facts = measured(levels, edges).join(points, "root_id", "left").withColumn("entry_points", F.coalesce("entry_points", F.expr("array()")))
-    facts = written(facts.withColumn("limitations", limits()))
+    names = followed(named(methods, classes), edges)
+    facts = trees(start, levels, names, [*[F.col(c) for c in NODE], flag(F.col("is_cyclic")).alias("cyclic")])
+    facts = facts.withColumnRenamed("points", "entry_points").withColumn("limitations", limits())
 
     stats = F.struct("nodes", "depth", "cyclic", "cut").alias("stats")
     doc = F.struct(F.lit("upwards").alias("direction"), "method", "entry_points", stats, "limitations", (F.size("limitations") > 0).alias("has_incomplete_paths"))
-    chains = start.join(trees, "root_id").join(facts, "root_id").select(F.lit("chain").alias("kind"), "root_id", with_member(to_json(doc), "chain", F.col("tree")).alias("doc"))
+    facts = facts.select("root_id", "depth", "cyclic", "cut", F.size("entry_points").alias("points"), with_member(to_json(doc), "chain", F.col("tree")).alias("doc"))
+    facts = kept(facts, "chains")
+    chains = facts.select(F.lit("chain").alias("kind"), "root_id", "doc")
 
     total = facts.agg(
         F.count("*").alias("total"), F.count_if(F.col("depth") > 0).alias("with_callers"), F.coalesce(F.sum("cyclic"), F.lit(0)).alias("cyclic"),
-        F.coalesce(F.sum("cut"), F.lit(0)).alias("cut"), F.coalesce(F.sum(F.size("entry_points")), F.lit(0)).alias("entry_points"),
+        F.coalesce(F.sum("cut"), F.lit(0)).alias("cut"), F.coalesce(F.sum("points"), F.lit(0)).alias("entry_points"),
     ).withColumn("coverage", F.coalesce(F.round(F.try_divide(100.0 * F.col("with_callers"), F.col("total")), 2), F.lit(0.0)))
     advice = entries.recommendations(F.col("coverage"), F.col("cut"), F.col("entry_points"), F.col("with_callers"))
     return chains.union(failed).union(metadata("upwards", total, failed, max_depth, F.struct("with_callers", "cyclic", "cut", "entry_points", "coverage"), advice))
@@ -148,11 +172,12 @@ def downwards(methods: DataFrame, classes: DataFrame, statements: DataFrame, edg
     """The run towards callees; nodes of data access methods carry their statements (node_id, stmt_id, sql_type, sql_content)."""
     start, failed = changed(methods, classes)
     levels = levels_of(start.select("root_id"))
-    names = named(methods, classes).join(statements_of(statements), "node_id", "left")
-    trees = nested(labelled(levels, written(names)), [*[F.col(c) for c in NODE], flag(F.col("is_cyclic")).alias("cyclic"), F.col("sql")])
-    facts = written(measured(levels, edges))
+    names = followed(named(methods, classes).join(statements_of(statements), "node_id", "left"), edges)
+    facts = trees(start, levels, names, [*[F.col(c) for c in NODE], flag(F.col("is_cyclic")).alias("cyclic"), F.col("sql")])
     doc = F.struct(F.lit("downwards").alias("direction"), "method", F.struct("nodes", "depth", "cyclic", "cut").alias("stats"))
-    chains = start.join(trees, "root_id").join(facts, "root_id").select(F.lit("chain").alias("kind"), "root_id", with_member(to_json(doc), "chain", F.col("tree")).alias("doc"))
+    facts = facts.select("root_id", "nodes", "cyclic", "cut", with_member(to_json(doc), "chain", F.col("tree")).alias("doc"))
+    facts = kept(facts, "chains")
+    chains = facts.select(F.lit("chain").alias("kind"), "root_id", "doc")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("nodes", "cyclic", "cut")]
     return chains.union(failed).union(metadata("downwards", facts.agg(F.count("*").alias("total"), *sums), failed, max_depth, F.struct("nodes", "cyclic", "cut")))
 

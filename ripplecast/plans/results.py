@@ -127,7 +127,7 @@ GRAPH = f"""{UP}, {NAMES}, apis AS (SELECT m.method_id, c.controller_base_url AS
 
 
 def graphs(f: Facts) -> DataFrame:
-    levels = graph.chain_levels(f.method_f.filter("change_type <> 'UNCHANGED'").select(F.col("method_id").alias("root_id")), reverse(f), DEPTH)
+    levels = graph.chain_levels(f.method_f.filter("change_type <> 'UNCHANGED'").select(F.col("method_id").alias("root_id")), reverse(f), DEPTH, ranked=False)
     api = f.method_f.filter("is_api").join(f.class_f, "class_id").select(F.col("method_id").alias("node_id"), F.col("controller_base_url").alias("api_path"))
     return results.graph_documents(levels, results.named(f.method_f, f.class_f).select("node_id", "name", "change"), api)
 
@@ -155,6 +155,6 @@ def k10_saved(f: Facts) -> DataFrame:
 def k12_report(f: Facts) -> DataFrame:
     """The downwards report of each changed method, with a box a statement below its data access method."""
     edges = steps_down(f)
-    levels = graph.chain_levels(f.method_f.filter("change_type <> 'UNCHANGED'").select(F.col("method_id").alias("root_id")), edges, DEPTH)
+    levels = graph.chain_levels(f.method_f.filter("change_type <> 'UNCHANGED'").select(F.col("method_id").alias("root_id")), edges, DEPTH, ranked=False)
     names = written(results.named(f.method_f, f.class_f).select("node_id", "name", "change"))
     return results.boxed_report(levels, names, linked_statements(f), BOX)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ripplecast.operators import graph, lookup
+from ripplecast.operators import graph, lookup, results
 from ripplecast.sources import javatokens
 
 
@@ -101,3 +101,15 @@ def test_brackets_without_partners(spark):
             curly -= r.t == "}"
             assert r.curly == curly
             curly += r.t == "{"
+
+
+def test_nodes_of_trees_are_moved_once(spark):
+    """A root's nodes meet in one exchange, in three levels as in one; before, each level was dealt twice more by the paths of its nodes."""
+    roots, edges = spark.createDataFrame([(0,), (1,)], "root_id long"), spark.createDataFrame([(0, 1, 2), (0, 2, None), (0, 3, 1), (1, 0, 5), (3, 0, None)], "src long, dst long, line int")
+    made = results.nested(graph.chain_levels(roots, edges, 3), [F.col("node_id").alias("id"), results.flag(F.col("is_cyclic")).alias("cyclic")])
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    back = '{"id":0,"cyclic":true}'
+    assert {r.root_id: r.tree for r in made.collect()} == {
+        0: f'{{"id":0,"children":[{{"id":3,"children":[{back}]}},{{"id":1,"children":[{back}]}},{{"id":2}}]}}',
+        1: '{"id":1,"children":[{"id":0,"children":[{"id":3,"children":[' + back + ']},{"id":1,"cyclic":true},{"id":2}]}]}',
+    }
