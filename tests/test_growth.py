@@ -1,11 +1,13 @@
 """Steps whose rows must not grow faster than their input, on small cases with known results."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from ripplecast.operators import graph, lookup, results
 from ripplecast.sources import javatokens
+from ripplecast.streaming import minutes
 
 
 def test_prefixes_are_counted_without_pairs(spark):
@@ -113,3 +115,13 @@ def test_nodes_of_trees_are_moved_once(spark):
         0: f'{{"id":0,"children":[{{"id":3,"children":[{back}]}},{{"id":1,"children":[{back}]}},{{"id":2}}]}}',
         1: '{"id":1,"children":[{"id":0,"children":[{"id":3,"children":[' + back + ']},{"id":1,"cyclic":true},{"id":2}]}]}',
     }
+
+
+def test_rows_of_a_key_wait_by_minute(spark):
+    """Open minutes of one key are dealt over all tasks, each one row in order; before, all of a key's rows waited in one task."""
+    calls = spark.sql("SELECT 'k' AS api_key, timestamp_seconds(7 * (id % 40)) AS ts, id % 40 AS event_id, nullif(id % 3, 2) = 0 AS success, 1.0D * (id % 40) AS response_time FROM range(80) WHERE id >= 40 OR id % 2 = 0")
+    rows = minutes.closed_minutes(calls, "2 minutes")
+    dealt = re.search(r"hashpartitioning\((.*?)\)", rows._jdf.queryExecution().executedPlan().toString())[1]
+    assert dealt.count("#") == 2
+    got = {r.minute: list(r.response_time) for r in rows.collect()}
+    assert got == {m: [float(i) for i in range(40) if 7 * i // 60 == m] for m in range(5)}
