@@ -29,6 +29,15 @@ def overridden(methods: DataFrame, classes: DataFrame) -> DataFrame:
     return own.join(tops, ["above_class", "method_name", "parameters"]).select("method_id", "above_id").distinct()
 
 
+def same_class(fields: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
+    """(object_id, impacted): each field with each method of its class, for the classes given; a field is in one class.
+
+    There are many more pairs than fields, so what is put together is made distinct and dealt by it before the pairs are made, not after.
+    """
+    own = fields.select("class_id", F.col("field_id").alias("object_id")).distinct().join(classes.distinct(), "class_id")
+    return own.join(methods.select("class_id", F.col("method_id").alias("impacted")).distinct(), "class_id").select("object_id", "impacted")
+
+
 def relations(methods: DataFrame, classes: DataFrame, fields: DataFrame, statements: DataFrame, calls: DataFrame, uses: DataFrame) -> DataFrame:
     """(src_kind, src, dst_kind, dst): one step of impact.
 

@@ -186,18 +186,18 @@ def g08(f: Facts) -> DataFrame:
 def p07(f: Facts) -> DataFrame:
     """One step of impact by the object's kind: a statement's method; callers of a method, through the interfaces
     that it implements too; callers of a class's methods; users of a field whose accessors are generated."""
-    as_long = lambda df: df.select(F.col("kind"), F.col("object_id").cast("long"), F.col("impacted").cast("long"))
+    as_long = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("object_id").cast("long"), F.col("impacted").cast("long"))
     callers = f.edge_f.select(F.col("callee_id").alias("target"), F.col("caller_id").alias("impacted"))
     changed = f.method_f.filter("change_type <> 'UNCHANGED'").select("method_id")
     overrides = implementing_methods(f.method_f, f.class_f).select(F.col("implementing_method").alias("method_id"), F.col("interface_method").alias("target"))
     called = changed.withColumn("target", F.col("method_id")).union(overrides.join(changed, "method_id").select("method_id", "target"))
-    statement = f.stmt_f.filter("linked_method_id IS NOT NULL").select(F.lit("xml").alias("kind"), F.col("stmt_id").alias("object_id"), F.col("linked_method_id").alias("impacted"))
-    method = called.join(callers, "target").select(F.lit("method").alias("kind"), F.col("method_id").alias("object_id"), "impacted")
-    of_class = f.class_f.filter("change_type <> 'UNCHANGED'").join(f.method_f.select("class_id", F.col("method_id").alias("target")), "class_id").join(callers, "target")
+    statement = f.stmt_f.filter("linked_method_id IS NOT NULL").select(F.col("stmt_id").alias("object_id"), F.col("linked_method_id").alias("impacted"))
+    method = called.join(callers, "target").select(F.col("method_id").alias("object_id"), "impacted")
+    of_class = f.class_f.filter("change_type <> 'UNCHANGED'").join(f.method_f.select("class_id", F.col("method_id").alias("target")), "class_id").join(callers, "target").select(F.col("class_id").alias("object_id"), "impacted")
     with_data = f.class_f.filter(F.col("annotations").contains('"Data"')).select("class_id")
-    field = f.field_f.join(with_data, "class_id").join(f.method_f.select("class_id", "method_id"), "class_id").select(F.lit("field").alias("kind"), F.col("field_id").alias("object_id"), F.col("method_id").alias("impacted"))
-    parts = [statement, method, of_class.select(F.lit("class").alias("kind"), F.col("class_id").alias("object_id"), "impacted"), field]
-    return reduce(DataFrame.union, map(as_long, parts)).distinct()
+    # kinds differ, so each is made distinct on its own
+    parts = [as_long(rows.distinct(), kind) for kind, rows in (("xml", statement), ("method", method), ("class", of_class))]
+    return reduce(DataFrame.union, [*parts, as_long(impact.same_class(f.field_f, f.method_f, with_data), "field")])
 
 
 STEPS = """up AS (SELECT class_id, extends_id AS above FROM {class_f} WHERE extends_id IS NOT NULL UNION SELECT class_id, implements_id FROM {class_f} WHERE implements_id IS NOT NULL),

@@ -5,10 +5,13 @@ import re
 
 from pyspark.sql import functions as F
 
-from ripplecast.operators import graph, lookup, results
+from ripplecast import registry
+from ripplecast.operators import graph, impact, lookup, results
 from ripplecast.sources import javatokens
 from ripplecast.streaming import minutes
 
+from .conftest import SF
+
 
 def test_prefixes_are_counted_without_pairs(spark):
     """100 entries under one short prefix and 100 questions for it: counts as all pairs give them, from 100 rows, not 10,000."""
@@ -125,3 +128,15 @@ def test_rows_of_a_key_wait_by_minute(spark):
     assert dealt.count("#") == 2
     got = {r.minute: list(r.response_time) for r in rows.collect()}
     assert got == {m: [float(i) for i in range(40) if 7 * i // 60 == m] for m in range(5)}
+
+
+def test_pairs_of_a_class_are_not_gathered(spark):
+    """Fields and methods of a class are made distinct before they meet; before, all pairs of a task were held by one aggregate over the union."""
+    registry.load()
+    plan = registry.QUERIES["o_P07_impact_of_objects"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")
+    fields = spark.createDataFrame([(i, i % 2) for i in range(6)] * 2 + [(9, 7), (10, None)], "field_id long, class_id long")
+    methods = spark.createDataFrame([(20 + i, i % 2) for i in range(5)] * 2 + [(30, 7), (31, None)], "method_id long, class_id long")
+    classes = spark.createDataFrame([(1,), (1,), (7,), (8,), (None,)], "class_id long")
+    got = sorted(tuple(r) for r in impact.same_class(fields, methods, classes).select("object_id", "impacted").collect())
+    assert got == sorted([(i, 20 + j) for i in (1, 3, 5) for j in (1, 3)] + [(9, 30)])
