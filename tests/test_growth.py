@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplecast import registry
 from ripplecast.operators import graph, impact, lookup, results
-from ripplecast.sources import javatokens
+from ripplecast.sources import java, javatokens
 from ripplecast.streaming import minutes
 
 from .conftest import SF
@@ -140,3 +140,25 @@ def test_pairs_of_a_class_are_not_gathered(spark):
     classes = spark.createDataFrame([(1,), (1,), (7,), (8,), (None,)], "class_id long")
     got = sorted(tuple(r) for r in impact.same_class(fields, methods, classes).select("object_id", "impacted").collect())
     assert got == sorted([(i, 20 + j) for i in (1, 3, 5) for j in (1, 3)] + [(9, 30)])
+
+
+def test_tokens_are_moved_with_their_file(spark):
+    """Neighbours and numbers of tokens are found while a file is a row: no sort and no window over tokens, one exchange of files; before, four sorts."""
+    rows = javatokens.lexed(spark.createDataFrame([("a", "class A { int[] x = {1}; void f() { for (int i = a.b(); ;) { } } }")], "path string, text string"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == plan.count("Window [") == 0 and plan.count("Exchange") == 1
+    got = {r.pos: r for r in rows.collect()}
+    assert [got[i].t for i in sorted(got)] == "class A { int [ ] x = { 1 } ; void f ( ) { for ( int i = a . b ( ) ; ; ) { } } }".split()
+    assert (got[1].head.t, got[1].head.name, got[1].end.close, got[1].in_head) == ("class", "A", 33, True) and got[3].head is None and not got[3].in_head
+    assert {got[i].run for i in (22, 23, 24)} == {got[22].run} and got[21].stmt != got[17].stmt and got[21].seg == got[27].seg
+    assert (got[22].prev, got[22].prev_kind, got[22].next, got[22].next_pos, got[22].paren.pos, got[25].paren.pos) == ("=", "mark", ".", 23, 18, 25)
+
+
+def test_small_tables_of_sources_are_computed_once(spark):
+    """Packages and imports are read from a written table; before, each use of them went over all tokens again."""
+    s = java.Source(spark.createDataFrame([("a", "package p; import q.R; class A { R r = new R() { void g() { int no; } }; void f(R s) { int n = 1; r.go(n, (1 + n)); } }")], "path string, text string"))
+    for table in (s.packages, s.imports):
+        assert "Aggregate" not in table._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.name, r.rank) for r in s.symbols.collect()) == [("n", 2), ("r", 3), ("s", 1)]
+    assert [(r.method_name, r.callee_class) for r in s.resolved_calls.collect()] == [("go", "q.R")]
+    assert [r.types for r in s.argument_types.collect()] == ["int,String"]
