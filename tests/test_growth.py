@@ -170,3 +170,30 @@ def test_small_tables_of_sources_are_computed_once(spark):
     assert sorted((r.name, r.rank) for r in s.symbols.collect()) == [("n", 2), ("r", 3), ("s", 1)]
     assert [(r.method_name, r.callee_class) for r in s.resolved_calls.collect()] == [("go", "q.R")]
     assert [r.types for r in s.argument_types.collect()] == ["int,String"]
+
+
+def test_pairs_of_roots_and_nodes_are_moved_as_bare_ids(spark):
+    """Every node has two callers, as in the facts: what is shuffled for a pair of the result is little more than its id. Ids that are no int, and null ones, give the same rows as a row a pair."""
+    n, depth = 4000, 6
+    edges = spark.range(n).select("id", F.explode(F.array(F.lit(1), F.lit(18))).alias("b")).select(((F.col("id") * 31 + F.col("b")) % n).alias("src"), F.col("id").alias("dst"))
+    roots = spark.range(0, n, 4).select(F.col("id").alias("root_id"))
+    # accumulates over the session: what this run adds
+    moved = lambda: sum(e.totalShuffleWrite() for e in executors())
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def executors():
+        found = store.executorList(False)
+        return [found.apply(i) for i in range(found.size())]
+
+    before = moved()
+    rows = graph.nearest_by_sets(roots, edges, depth).agg(F.count("*").alias("n"), F.sum(F.hash("root_id", "node_id", "depth")).alias("all")).first()
+    bytes_moved = moved() - before
+    want = graph.nearest(roots, edges, depth).select("root_id", F.col("node_id"), "depth").agg(F.count("*").alias("n"), F.sum(F.hash("root_id", "node_id", "depth")).alias("all")).first()
+    assert rows == want and rows.n > 100_000
+    assert bytes_moved < 20 * rows.n
+    far = spark.createDataFrame([(1 << 40, 2 << 40), (2 << 40, -5), (-5, 1 << 40), (-5, 7), (7, None), (None, 8), (8, 8)], "src long, dst long")
+    for start in ([1 << 40, -5], [8], []):
+        begin = spark.createDataFrame([(i,) for i in start], "root_id long")
+        for depth in (1, 3, 7):
+            got, known = (sorted(map(str, f(begin, far, depth).select("root_id", "node_id", "depth").collect())) for f in (graph.nearest_by_sets, graph.nearest))
+            assert got == known
