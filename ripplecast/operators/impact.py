@@ -67,10 +67,10 @@ def reached(start: DataFrame, steps: DataFrame) -> DataFrame:
     touch is met once, so a round has no more rows than there are objects.
     """
     steps = written(steps)
-    found = fresh = written(start.select("kind", "id").distinct().withColumn("round", F.lit(0)))
+    found = fresh = graph.round_rows(start.select("kind", "id").distinct().withColumn("round", F.lit(0)))
     for n in count(1):
         met = fresh.select(F.col("kind").alias("src_kind"), F.col("id").alias("src")).join(steps, ["src_kind", "src"]).select(F.col("dst_kind").alias("kind"), F.col("dst").alias("id")).distinct()
-        fresh = written(met.join(found, ["kind", "id"], "left_anti").withColumn("round", F.lit(n)))
+        fresh = graph.round_rows(met.join(found, ["kind", "id"], "left_anti").withColumn("round", F.lit(n)))
         if fresh.isEmpty():
             return found
-        found = written(found.union(fresh)) if n % 8 == 0 else found.union(fresh)
+        found = graph.round_rows(found.union(fresh)) if n % 8 == 0 else found.union(fresh)
